@@ -11,10 +11,15 @@ How the lists stay short, and no list's pairs are all emitted:
   union, so far above ``FLOOR * k`` of them that less happens with a chance under 1e-7.
   By the prefix principle it is enough to list a node under its ``k - FLOOR * k + 1``
   rarest values: a line that a third of all texts share is hardly among them.
-* Every list first links its members to one leader. After these links are confirmed and
-  joined to components, only members of one list in *different* components are
-  still of interest; rounds with other leaders shrink them, then a last round takes
-  the pairs that are left, if their sizes allow the similarity.
+* Every list first links its members to one leader, the one with the most common values. After these
+  links are confirmed and joined to components, only members of one list in *different*
+  components are still of interest.
+* What is left of a list of at most ``SHORT`` members is compared directly.
+* In a longer one every member is held against the leader L once more, by its symmetric difference
+  D(X) to L's full set. Say two members are linked, but X not with L. With s(X, Y) the size of a symmetric
+  difference, linked means s(X, Y) <= u * (|X| + |Y|) for u = (1 - t) / (1 + t), so that
+  2 * |D(X) & D(Y)| = s(X, L) + s(Y, L) - s(X, Y) > 0 unless Y is L. So members meet in lists by the
+  values of their differences, which independent edits of one text hardly share, and no link is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ FLOOR = 0.47
 #: How far an estimate from a sketch may lie below the threshold (four deviations at 32 values).
 SLACK = 0.26
 LEADER_ROUNDS = 2
+#: Lists up to this length are compared pair by pair.
+SHORT = 24
 
 
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
@@ -79,18 +86,57 @@ def _estimate(k: int):
     return F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) / F.size(union)
 
 
+def _full_sets(digests: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    wanted = digests.distinct().join(nodes.select("digest", "rep"), "digest").select(F.col("rep").alias("doc_id")).distinct()
+    full = docs.join(wanted, "doc_id", "left_semi").select(*text_bytes()).mapInArrow(_full(shingle), "digest binary, shingles array<bigint>")
+    return written(full.groupBy("digest").agg(F.first("shingles").alias("shingles")), "full")
+
+
+def _with_sets(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    side = lambda c: full.select(F.col("digest").alias(c), F.col("shingles").alias(f"f{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of digests, those whose full sets are similar enough."""
     side = lambda c: nodes.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(_estimate(k) >= percent / 100 - SLACK)
     near = written(near.select("a", "b", "na", "nb"), "near")
-    wanted = near.select(F.col("a").alias("digest")).union(near.select("b")).distinct().join(nodes.select("digest", "rep"), "digest").select(F.col("rep").alias("doc_id")).distinct()
-    full = docs.join(wanted, "doc_id", "left_semi").select(*text_bytes()).mapInArrow(_full(shingle), "digest binary, shingles array<bigint>")
-    full = written(full.groupBy("digest").agg(F.first("shingles").alias("shingles")), "full")
-    both = near.join(full.select(F.col("digest").alias("b"), F.col("shingles").alias("fb")), "b").join(full.select(F.col("digest").alias("a"), F.col("shingles").alias("fa")), "a")
-    shared = F.size(F.array_intersect("fa", "fb"))
-    return both.select("a", "b", "na", "nb", shared.alias("i")).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    full = _full_sets(near.select(F.col("a").alias("digest")).union(near.select("b")), nodes, docs, shingle)
+    both = _with_sets(near, full).select("a", "b", "na", "nb", F.size(F.array_intersect("fa", "fb")).alias("i"))
+    return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+
+
+def _pair(x: str, y: str):
+    return [F.least(x, y).alias("b"), F.greatest(x, y).alias("a")]
+
+
+def _leaders(lists: DataFrame, turn: int) -> DataFrame:
+    """One member of each list: the one with the most common values, on later turns one of any component."""
+    order = -F.col("weight") if turn == 0 else F.xxhash64("c", F.lit(turn))
+    lead = lists.groupBy("v").agg(F.min(F.struct(order.alias("o"), F.col("digest").alias("lead"), F.col("c").alias("lc"), F.col("n").alias("ln"))).alias("x"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members"))
+    return lead.where("c0 <> c1").select("v", "x.lead", "x.lc", "x.ln", "members")
+
+
+def _rest(left: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs in different components of one list that may be linked."""
+    sized = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)") & F.expr("x.c < y.c")
+    led = written(left.join(_leaders(left, 0), "v"), "led")
+    short = led.where(F.col("members") <= SHORT).select("v", "digest", "n", "c")
+    pairs = short.alias("x").join(short.alias("y"), F.expr("x.v = y.v") & sized).select(*_pair("x.digest", "y.digest"))
+    long = written(led.where(F.col("members") > SHORT).where("digest <> lead").select("lead", "lc", "ln", "digest", "n", "c").distinct(), "long")
+    if long.isEmpty():
+        return pairs.distinct()
+    full = _full_sets(long.select("digest").union(long.select("lead")), nodes, docs, shingle)
+    apart = _with_sets(long.withColumnRenamed("digest", "b").withColumnRenamed("lead", "a"), full)
+    apart = apart.select("a", F.col("b").alias("digest"), "n", "c", F.explode(F.array_union(F.array_except("fa", "fb"), F.array_except("fb", "fa"))).alias("e"))
+    apart = written(apart, "apart")
+    mixed = apart.groupBy("a", "e").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a", "e")
+    apart = apart.join(mixed, ["a", "e"], "left_semi")
+    far = apart.alias("x").join(apart.alias("y"), F.expr("x.a = y.a and x.e = y.e") & sized).select(*_pair("x.digest", "y.digest"))
+    to_lead = long.where("c <> lc").select(*_pair("digest", "lead"))
+    return pairs.union(far).union(to_lead).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
@@ -111,25 +157,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
     listed = nodes.select("digest", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     common = listed.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = listed.join(common, "v").groupBy("digest").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    shared = listed.join(common, "v").groupBy("digest").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.sum("df").alias("weight"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # values of no other sketch are the rarest, and their lists bring nobody together
     prefix = F.col("kept") - F.ceil(FLOOR * F.col("kept")) + 1 - (F.col("kept") - F.size("vs"))
-    lists = shared.where(prefix > 0).select("digest", "n", F.explode(F.slice("vs", 1, prefix.cast("int"))).alias("x")).select("digest", "n", F.col("x.v").alias("v"))
+    lists = shared.where(prefix > 0).select("digest", "n", "weight", F.explode(F.slice("vs", 1, prefix.cast("int"))).alias("x")).select("digest", "n", "weight", F.col("x.v").alias("v"))
     lists = written(lists, "lists")
 
     links = None
     left = lists.withColumn("c", F.col("digest"))
     for turn in range(LEADER_ROUNDS):
-        order = F.xxhash64("c", F.lit(turn))
-        leaders = left.groupBy("v").agg(F.min(F.struct(order.alias("o"), F.col("digest").alias("lead"), F.col("c").alias("lc"), F.col("n").alias("ln"))).alias("x"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        leaders = leaders.where("c0 <> c1").select("v", "x.lead", "x.lc", "x.ln")
-        pairs = left.join(leaders, "v").where((F.col("c") != F.col("lc")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")))
-        found = _confirmed(pairs.select(F.least("digest", "lead").alias("b"), F.greatest("digest", "lead").alias("a")).distinct(), nodes, docs, shingle, k, percent)
+        pairs = left.join(_leaders(left, turn), "v").where((F.col("c") != F.col("lc")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")))
+        found = _confirmed(pairs.select(*_pair("digest", "lead")).distinct(), nodes, docs, shingle, k, percent)
         links = written(found if links is None else links.union(found), "links")
         left = _uncertain(lists, components(links))
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, F.col("x.v") == F.col("y.v")).where("x.c < y.c").where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    found = _confirmed(rest.select(F.least("x.digest", "y.digest").alias("b"), F.greatest("x.digest", "y.digest").alias("a")).distinct(), nodes, docs, shingle, k, percent)
+    found = _confirmed(_rest(left, nodes, docs, shingle, percent), nodes, docs, shingle, k, percent)
     of = components(written(links.union(found), "links"))
 
     member = nodes.select("digest", "rep").join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
@@ -142,6 +183,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
 def _uncertain(lists: DataFrame, of: DataFrame) -> DataFrame:
     """The lists whose members are in more than one component, with the members' components."""
-    with_c = written(lists.join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").select("digest", "n", "v", F.coalesce("component", "digest").alias("c")), "uncertain")
+    with_c = written(lists.join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").select("digest", "n", "weight", "v", F.coalesce("component", "digest").alias("c")), "uncertain")
     mixed = with_c.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("v")
     return with_c.join(mixed, "v", "left_semi")

@@ -27,6 +27,8 @@ SCALE = 64.0
 NEUTRAL = 150
 #: Weight of the squared embeddings in the loss.
 DECAY = 3e-5
+#: Few texts are gone through more often, to make so many steps.
+STEPS = 600
 
 _PLAIN = _LOWER.copy()
 _PLAIN[_SPACE] = 32
@@ -85,7 +87,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], totals: dict[int, int],
     weight = np.array([totals[c] / have[c] for c in (0, 1)])[y]
     weight = (weight / weight.mean()).astype(np.float32)
     sq_emb, sq_out = np.full_like(emb, 1e-6), np.full_like(out, 1e-6)
-    for epoch in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // len(y)))):
         for some in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             sizes = np.array([len(bags[i][1]) for i in some])
             keys = np.concatenate([bags[i][1] for i in some])
