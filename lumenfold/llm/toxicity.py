@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.shared import _LOWER, _SPACE, mix, powers, prefix_sums, slices, text_bytes, words
 
-BITS = 15
+BITS = 17
 GRAMS = (3, 4, 5)
 DIM = 8
 #: A mean over hundreds of n-grams is small; this brings the logits to the size that training expects.
@@ -27,6 +27,8 @@ SCALE = 64.0
 NEUTRAL = 150
 #: Weight of the squared embeddings in the loss.
 DECAY = 3e-5
+#: N-grams of fewer training texts teach nothing: they would only tell those texts apart.
+LEAST_TEXTS = 4
 #: Few texts are gone through more often, to make so many steps.
 STEPS = 600
 
@@ -82,6 +84,10 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], totals: dict[int, int],
     bias = np.log(np.array([totals.get(0, 0) + 1.0, totals.get(1, 0) + 1.0]) / (sum(totals.values()) + 2.0)).astype(np.float32)
     if not bags or len(totals) < 2:
         return np.zeros(1 << BITS), float(bias[1] - bias[0])
+    seen = np.zeros(1 << BITS, np.int64)
+    for _, keys, _ in bags:
+        seen[keys] += 1
+    bags = [(t, keys[on], share[on]) for t, keys, share in bags for on in [seen[keys] >= LEAST_TEXTS]]
     y = np.array([t for t, _, _ in bags])
     have = np.bincount(y, minlength=2)
     weight = np.array([totals[c] / have[c] for c in (0, 1)])[y]
@@ -107,7 +113,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], totals: dict[int, int],
             sq_out += g_out * g_out
             out -= rate * g_out / np.sqrt(sq_out)
             bias -= np.float32(0.02) * p.sum(0)
-    return (SCALE * (emb @ (out[:, 1] - out[:, 0]))).astype(np.float64), float(bias[1] - bias[0])
+    return np.where(seen >= LEAST_TEXTS, SCALE * (emb @ (out[:, 1] - out[:, 0])), 0).astype(np.float64), float(bias[1] - bias[0])
 
 
 def score(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 2500) -> DataFrame:
