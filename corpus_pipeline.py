@@ -1,23 +1,62 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage reads what the one before it wrote: toxic documents go, superfluous lines go, one document of each group of near
+copies stays, personal data is masked, and what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenfold.llm import line_dedup, minhash, packing, pii, toxicity
+from lumenfold.llm.shared import table, written
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOXIC = 0.3
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_chars, where there is one, of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below ``TOXIC``; the model learns from all labels of documents that came here."""
+    toxic = toxicity.score(docs, table(spark, sf_dir, "labels")).where(f"score >= {TOXIC}")
+    return docs.join(toxic.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, less the lines that earlier ones have."""
+    return recounted(line_dedup.dedup_lines(docs).select(*docs.columns))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, at five words and a similarity of 0.8."""
+    copies = minhash.near_duplicates(docs).where("not kept and doc_id is not null")
+    return docs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data masked."""
+    return recounted(pii.mask(docs))
 
-from lumenfold.llm import minhash
-from lumenfold.llm.shared import written
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, RANKS, public_tokenizers.PATTERN)
 
-def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.join(minhash.near_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
 
+STAGES = [("toxicity", without_toxic), ("line-dedup", without_lines), ("minhash-near-dedup", without_near_copies), ("pii", without_personal_data), ("packing", packed)]
 
-STAGES = [("minhash near-dedup", minhash_stage)]
+#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs

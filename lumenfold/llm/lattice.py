@@ -157,7 +157,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     held = dealt.where(~F.col("looks")).withColumn("h", block("hb")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lb") - 1)))
     looking = dealt.where("looks").withColumn("l", block("lb")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)))
     keys = [*place, "h", "l"]
-    pairs = held.select(*keys, "node", "small").groupBy(*keys).cogroup(looking.select(*keys, "node", "small").groupBy(*keys)).applyInArrow(_close(least), "a bigint, b bigint").distinct()
+    other = looking.select(*keys, "node", "small").toDF(*(f"{k}_2" for k in keys), "node", "small")  # names of its own, for the analyser
+    pairs = held.select(*keys, "node", "small").groupBy(*keys).cogroup(other.groupBy(*(f"{k}_2" for k in keys))).applyInArrow(_close(least), "a bigint, b bigint").distinct()
     full = lambda c: nodes.select(F.col("node").alias(c), F.col("embedding").alias(f"e{c}"))
     links = written(pairs.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verify(least), "a bigint, b bigint"), "links")
     both = links.union(links.select("b", "a")).toDF("node", "other")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, fingerprints, language_model, lattice, line_dedup, minhash, packing, substrings, toxicity
+from lumenfold.llm import bpe, fingerprints, language_model, lattice, line_dedup, minhash, packing, pii, substrings, toxicity
 from lumenfold.llm.shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("key", "span_list")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
