@@ -26,7 +26,9 @@ NEAR_FROM = 20
 #: So many candidate lines at most are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
-_POSITION = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "th", "no")
+
+def _position() -> Column:
+    return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "th", "no")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -108,10 +110,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select("doc_id", "text")
     lines = written(_lines(slim).withColumn("halves", F.when(F.col("n") >= NEAR_FROM, _halves())).drop("line"), "lines")
-    first = written(lines.groupBy("h1", "h2").agg(F.min(_POSITION).alias("first")), "first")
+    first = written(lines.groupBy("h1", "h2").agg(F.min(_position()).alias("first")), "first")
     near = near_lines(slim, first, lines).withColumn("near", F.lit(True))
     verdict = written(first.join(near, ["h1", "h2"], "left"), "verdict")
-    gone = lines.join(verdict, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_POSITION != F.col("first")))
+    gone = lines.join(verdict, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_position() != F.col("first")))
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone"))
     own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = own.join(gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("gone").alias("__gone")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")

@@ -19,7 +19,12 @@ How the lists stay short, and no list's pairs are all emitted:
   D(X) to L's full set. Say two members are linked, but X not with L. With s(X, Y) the size of a symmetric
   difference, linked means s(X, Y) <= u * (|X| + |Y|) for u = (1 - t) / (1 + t), so that
   2 * |D(X) & D(Y)| = s(X, L) + s(Y, L) - s(X, Y) > 0 unless Y is L. So members meet in lists by the
-  values of their differences, which independent edits of one text hardly share, and no link is lost.
+  values of their differences, which independent edits of one text hardly share, and no link is lost. The
+  prefix principle applies here too: by the triangle inequality D(X) and D(Y) share at least
+  |D(X)| - u * (|X| + |X| / t) values.
+* Each text also has an odd sketch: ``ODD`` longs whose bits tell whether an odd number of its values fell there. As
+  every value in which two sets differ flips one bit, no more bits can differ than the sets do; pairs
+  above the difference that a link allows are never made.
 """
 
 from __future__ import annotations
@@ -39,9 +44,9 @@ from lumenfold.llm.shared import shingle_hashes, slices, text_bytes, word_hashes
 FLOOR = 0.47
 #: How far an estimate from a sketch may lie below the threshold (four deviations at 32 values).
 SLACK = 0.26
-LEADER_ROUNDS = 2
 #: Lists up to this length are compared pair by pair.
 SHORT = 24
+ODD = 8
 
 
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
@@ -55,17 +60,24 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
 
 
+def _odd(s: np.ndarray) -> np.ndarray:
+    at = (s >> np.uint64(32)) * np.uint64(64 * ODD) >> np.uint64(32)
+    bits = np.bincount(at.astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sketcher(shingle: int, k: int):
     def run(batches):
         for batch in batches:
-            digest, size, sketch = [], [], []
+            digest, size, sketch, odd = [], [], [], []
             for s in _sets(batch, shingle):
                 digest.append(_digest(s))
                 size.append(len(s))
                 sketch.append(s[:k].view(np.int64))
+                odd.append(_odd(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "n_shingles", "sketch"],
+                [batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "digest", "n_shingles", "sketch", "odd"],
             )
 
     return run
@@ -97,12 +109,17 @@ def _with_sets(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
+def _may(percent: int, x: str, y: str) -> str:
+    """Sizes and odd sketches allow the similarity."""
+    apart = " + ".join(f"bit_count({x}odd[{i}] ^ {y}odd[{i}])" for i in range(ODD))
+    return f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and {100 + percent} * ({apart}) <= {100 - percent} * ({x}n + {y}n)"
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of digests, those whose full sets are similar enough."""
-    side = lambda c: nodes.select(F.col("digest").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(_estimate(k) >= percent / 100 - SLACK)
-    near = written(near.select("a", "b", "na", "nb"), "near")
+    side = lambda c: nodes.select(F.col("digest").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"s{c}"), F.col("odd").alias(f"{c}odd"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_may(percent, "a", "b")).where(_estimate(k) >= percent / 100 - SLACK)
+    near = written(near.select("a", "b", F.col("an").alias("na"), F.col("bn").alias("nb")), "near")
     full = _full_sets(near.select(F.col("a").alias("digest")).union(near.select("b")), nodes, docs, shingle)
     both = _with_sets(near, full).select("a", "b", "na", "nb", F.size(F.array_intersect("fa", "fb")).alias("i"))
     return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
@@ -112,31 +129,40 @@ def _pair(x: str, y: str):
     return [F.least(x, y).alias("b"), F.greatest(x, y).alias("a")]
 
 
-def _leaders(lists: DataFrame, turn: int) -> DataFrame:
-    """One member of each list: the one with the most common values, on later turns one of any component."""
-    order = -F.col("weight") if turn == 0 else F.xxhash64("c", F.lit(turn))
-    lead = lists.groupBy("v").agg(F.min(F.struct(order.alias("o"), F.col("digest").alias("lead"), F.col("c").alias("lc"), F.col("n").alias("ln"))).alias("x"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("members"))
-    return lead.where("c0 <> c1").select("v", "x.lead", "x.lc", "x.ln", "members")
+def _leaders(lists: DataFrame) -> DataFrame:
+    """Of each list, the member with the most common values."""
+    lead = F.min(F.struct((-F.col("weight")).alias("o"), F.col("digest").alias("lead"))).alias("x")
+    return lists.groupBy("v").agg(lead, F.count("*").alias("members")).where("members > 1").select("v", "x.lead", "members")
 
 
-def _rest(left: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _rest(lists: DataFrame, of: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs in different components of one list that may be linked."""
-    sized = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)") & F.expr("x.c < y.c")
-    led = written(left.join(_leaders(left, 0), "v"), "led")
-    short = led.where(F.col("members") <= SHORT).select("v", "digest", "n", "c")
-    pairs = short.alias("x").join(short.alias("y"), F.expr("x.v = y.v") & sized).select(*_pair("x.digest", "y.digest"))
-    long = written(led.where(F.col("members") > SHORT).where("digest <> lead").select("lead", "lc", "ln", "digest", "n", "c").distinct(), "long")
+    with_c = nodes.select("digest", "n", "odd").join(of.select(F.col("node").alias("digest"), "component"), "digest", "left")
+    with_c = written(with_c.select("digest", "n", "odd", F.coalesce("component", "digest").alias("c")), "placed")
+    placed = lists.join(with_c.select("digest", "c"), "digest")
+    mixed = placed.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("v")
+    left = written(lists.join(mixed, "v", "left_semi").select("v", "digest", "lead", "members"), "left")
+    allowed = F.expr(f"x.c < y.c and {_may(percent, 'x.', 'y.')}")
+    short = left.where(F.col("members") <= SHORT).select("v", "digest").join(with_c, "digest")
+    pairs = short.alias("x").join(short.alias("y"), F.expr("x.v = y.v") & allowed).select(*_pair("x.digest", "y.digest"))
+    long = written(left.where(F.col("members") > SHORT).where("digest <> lead").select("lead", "digest").distinct(), "long")
     if long.isEmpty():
         return pairs.distinct()
+
     full = _full_sets(long.select("digest").union(long.select("lead")), nodes, docs, shingle)
-    apart = _with_sets(long.withColumnRenamed("digest", "b").withColumnRenamed("lead", "a"), full)
-    apart = apart.select("a", F.col("b").alias("digest"), "n", "c", F.explode(F.array_union(F.array_except("fa", "fb"), F.array_except("fb", "fa"))).alias("e"))
-    apart = written(apart, "apart")
-    mixed = apart.groupBy("a", "e").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a", "e")
-    apart = apart.join(mixed, ["a", "e"], "left_semi")
-    far = apart.alias("x").join(apart.alias("y"), F.expr("x.a = y.a and x.e = y.e") & sized).select(*_pair("x.digest", "y.digest"))
-    to_lead = long.where("c <> lc").select(*_pair("digest", "lead"))
-    return pairs.union(far).union(to_lead).distinct()
+    apart = _with_sets(long.select(F.col("digest").alias("b"), F.col("lead").alias("a")), full)
+    apart = apart.select("a", F.col("b").alias("digest"), F.explode(F.array_union(F.array_except("fa", "fb"), F.array_except("fb", "fa"))).alias("e"))
+    apart = written(apart.join(with_c.select("digest", "n", "c"), "digest"), "apart")
+    common = apart.groupBy("a", "e").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a", "e", "df")
+    size = apart.groupBy("a", "digest").agg(F.count("*").alias("d"))
+    by_member = apart.join(common, ["a", "e"]).groupBy("a", "digest").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es")).join(size, ["a", "digest"])
+    # values of one component alone count as the rarest: their lists bring nobody together
+    surely = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / (100 + percent) * (1 + 100 / percent)))
+    prefix = F.col("d") - surely + 1 - (F.col("d") - F.size("es"))
+    met = by_member.where(prefix > 0).select("a", "digest", F.explode(F.slice("es", 1, prefix.cast("int"))).alias("x")).select("a", "digest", F.col("x.e").alias("e"))
+    met = met.join(with_c, "digest")
+    far = met.alias("x").join(met.alias("y"), F.expr("x.a = y.a and x.e = y.e") & allowed).select(*_pair("x.digest", "y.digest"))
+    return pairs.union(far).union(long.select(*_pair("digest", "lead"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
@@ -152,25 +178,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     and text are ignored, whatever their names. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    rows = written(docs.select(*text_bytes()).mapInArrow(_sketcher(shingle, k), "doc_id bigint, digest binary, n_shingles bigint, sketch array<bigint>"), "sketches")
-    nodes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    rows = written(docs.select(*text_bytes()).mapInArrow(_sketcher(shingle, k), "doc_id bigint, digest binary, n_shingles bigint, sketch array<bigint>, odd array<bigint>"), "sketches")
+    nodes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")), "nodes")
 
-    listed = nodes.select("digest", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
+    listed = nodes.select("digest", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     common = listed.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = listed.join(common, "v").groupBy("digest").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.sum("df").alias("weight"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    shared = listed.join(common, "v").groupBy("digest").agg(F.first("kept").alias("kept"), F.sum("df").alias("weight"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # values of no other sketch are the rarest, and their lists bring nobody together
     prefix = F.col("kept") - F.ceil(FLOOR * F.col("kept")) + 1 - (F.col("kept") - F.size("vs"))
-    lists = shared.where(prefix > 0).select("digest", "n", "weight", F.explode(F.slice("vs", 1, prefix.cast("int"))).alias("x")).select("digest", "n", "weight", F.col("x.v").alias("v"))
+    lists = shared.where(prefix > 0).select("digest", "weight", F.explode(F.slice("vs", 1, prefix.cast("int"))).alias("x")).select("digest", "weight", F.col("x.v").alias("v"))
     lists = written(lists, "lists")
+    lists = written(lists.join(_leaders(lists), "v"), "led")
 
-    links = None
-    left = lists.withColumn("c", F.col("digest"))
-    for turn in range(LEADER_ROUNDS):
-        pairs = left.join(_leaders(left, turn), "v").where((F.col("c") != F.col("lc")) & (100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")))
-        found = _confirmed(pairs.select(*_pair("digest", "lead")).distinct(), nodes, docs, shingle, k, percent)
-        links = written(found if links is None else links.union(found), "links")
-        left = _uncertain(lists, components(links))
-    found = _confirmed(_rest(left, nodes, docs, shingle, percent), nodes, docs, shingle, k, percent)
+    pairs = lists.where("digest <> lead").select(*_pair("digest", "lead")).distinct()
+    links = written(_confirmed(pairs, nodes, docs, shingle, k, percent), "links")
+    found = _confirmed(_rest(lists, components(links), nodes, docs, shingle, percent), nodes, docs, shingle, k, percent)
     of = components(written(links.union(found), "links"))
 
     member = nodes.select("digest", "rep").join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
@@ -180,9 +202,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
-
-def _uncertain(lists: DataFrame, of: DataFrame) -> DataFrame:
-    """The lists whose members are in more than one component, with the members' components."""
-    with_c = written(lists.join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").select("digest", "n", "weight", "v", F.coalesce("component", "digest").alias("c")), "uncertain")
-    mixed = with_c.groupBy("v").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("v")
-    return with_c.join(mixed, "v", "left_semi")
