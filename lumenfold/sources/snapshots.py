@@ -1,33 +1,31 @@
-"""A mutable table as numbered Parquet snapshots: writers add one, readers take the latest that is complete."""
+"""A mutable table as numbered Parquet snapshots: writers add one, readers take the latest that was committed."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Snapshots:
-    """A folder of ``snap=<n>``; Spark's own commit marker tells which are complete. One writer at a time."""
+    """A folder of ``snap=<n>`` and a table ``commits`` of the numbers that are complete. One writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
-    def _numbers(self) -> list[int]:
+    def _latest(self) -> int:
         try:
-            marks = self.spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(f"{self.folder}/snap=*/_SUCCESS")
-            return sorted(int(r.path.split("snap=")[1].split("/")[0]) for r in marks.select("path").collect())
-        except AnalysisException:  # nothing was written yet
-            return []
+            return self.spark.read.schema("n int").parquet(f"{self.folder}/commits").agg(F.max("n").alias("n")).first().n or 0
+        except AnalysisException:  # nothing was committed yet
+            return 0
 
     def read(self) -> DataFrame:
-        numbers = self._numbers()
-        if not numbers:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/snap={numbers[-1]}")
+        n = self._latest()
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/snap={n}") if n else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame) -> DataFrame:
-        """A new snapshot; the ones before it, and what reads them, stay as they are."""
-        numbers = self._numbers()
-        columns = self.spark.createDataFrame([], self.schema).columns
-        df.select(*columns).write.parquet(f"{self.folder}/snap={(numbers or [0])[-1] + 1}")
+        """A new snapshot; committed ones, and what reads them, stay as they are. One that failed half-way is replaced."""
+        n = self._latest() + 1
+        df.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("overwrite").parquet(f"{self.folder}/snap={n}")
+        self.spark.range(1).select(F.lit(n).alias("n")).write.mode("append").parquet(f"{self.folder}/commits")
         return self.read()
