@@ -15,8 +15,8 @@ How the lists stay short, and no list's pairs are all emitted:
   links are confirmed and joined to components, only members of one list in *different*
   components are still of interest.
 * What is left of a list of at most ``SHORT`` members is compared directly.
-* In a longer one every member is held against the leader L once more, by its symmetric difference
-  D(X) to L's full set. Say two members are linked, but X not with L. With s(X, Y) the size of a symmetric
+* In a longer one every member is held against one text L, the best linked one of the leader's component, by its
+  symmetric difference D(X) to L's full set. Say two members are linked, but X not with L. With s(X, Y) the size of a symmetric
   difference, linked means s(X, Y) <= u * (|X| + |Y|) for u = (1 - t) / (1 + t), so that
   2 * |D(X) & D(Y)| = s(X, L) + s(Y, L) - s(X, Y) > 0 unless Y is L. So members meet in lists by the
   values of their differences, which independent edits of one text hardly share, and no link is lost. The
@@ -135,7 +135,14 @@ def _leaders(lists: DataFrame) -> DataFrame:
     return lists.groupBy("v").agg(lead, F.count("*").alias("members")).where("members > 1").select("v", "x.lead", "members")
 
 
-def _rest(lists: DataFrame, of: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _centres(links: DataFrame, of: DataFrame) -> DataFrame:
+    """For every linked node the node of its component that has the most links so far."""
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    best = of.join(degree, "node").groupBy("component").agg(F.max(F.struct("links", "node")).alias("x")).select("component", F.col("x.node").alias("centre"))
+    return of.join(best, "component").select(F.col("node").alias("lead"), "centre")
+
+
+def _rest(lists: DataFrame, links: DataFrame, of: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs in different components of one list that may be linked."""
     with_c = nodes.select("digest", "n", "odd").join(of.select(F.col("node").alias("digest"), "component"), "digest", "left")
     with_c = written(with_c.select("digest", "n", "odd", F.coalesce("component", "digest").alias("c")), "placed")
@@ -145,7 +152,9 @@ def _rest(lists: DataFrame, of: DataFrame, nodes: DataFrame, docs: DataFrame, sh
     allowed = F.expr(f"x.c < y.c and {_may(percent, 'x.', 'y.')}")
     short = left.where(F.col("members") <= SHORT).select("v", "digest").join(with_c, "digest")
     pairs = short.alias("x").join(short.alias("y"), F.expr("x.v = y.v") & allowed).select(*_pair("x.digest", "y.digest"))
-    long = written(left.where(F.col("members") > SHORT).where("digest <> lead").select("lead", "digest").distinct(), "long")
+    # any L will do, as long as what meets in a list has the same: one for each component, whatever the list
+    long = left.where(F.col("members") > SHORT).join(_centres(links, of), "lead", "left").withColumn("lead", F.coalesce("centre", "lead"))
+    long = written(long.where("digest <> lead").select("lead", "digest").distinct(), "long")
     if long.isEmpty():
         return pairs.distinct()
 
@@ -192,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
 
     pairs = lists.where("digest <> lead").select(*_pair("digest", "lead")).distinct()
     links = written(_confirmed(pairs, nodes, docs, shingle, k, percent), "links")
-    found = _confirmed(_rest(lists, components(links), nodes, docs, shingle, percent), nodes, docs, shingle, k, percent)
+    found = _confirmed(_rest(lists, links, written(components(links), "components"), nodes, docs, shingle, percent), nodes, docs, shingle, k, percent)
     of = components(written(links.union(found), "links"))
 
     member = nodes.select("digest", "rep").join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
