@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import dates as D
-from lumenfold.operators import corpus, digest, retrieval, themes
+from lumenfold.operators import corpus, digest, retrieval, signals, themes
 from lumenfold.plans.providers import ChatProvider, Embedder, answers, with_vectors
 from lumenfold.sources.snapshots import Snapshots
 
@@ -32,13 +32,30 @@ def dated_records(records: DataFrame, today: dt.date) -> DataFrame:
 
 
 def ingest(store: Snapshots, records: DataFrame, embedder: Embedder, today: dt.date, now: str, **chunking) -> DataFrame:
-    """New and changed entries into the store; returns each record's status. The new state is complete before it is seen."""
+    """New and changed entries into the store; returns each record's status. The new state is complete before it is seen.
+
+    The status is against the snapshot before, which stays, so it may be read later.
+    """
     existing = store.read()
     status = dated_records(corpus.ingest_status(records, existing), today)
     changed = status.where(F.col("status").isin("added", "updated"))
-    report = status.select("entry_id", "status", F.col("dt").cast("string").alias("date"), "date_source").collect()  # one line for each record of the call
     store.write(corpus.merged(existing, with_vectors(corpus.to_chunks(changed, now, **chunking), embedder)))
-    return records.sparkSession.createDataFrame(report, "entry_id string, status string, date string, date_source string")
+    return status.select("entry_id", "status", F.col("dt").cast("string").alias("date"), "date_source")
+
+
+def remove(store: Snapshots, ids: list[str] = (), date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """Without the entries of these ids and of the period; without either, nothing goes."""
+    chunks = store.read()
+    gone = store.spark.createDataFrame([(i,) for i in ids], "entry_id string")
+    if date_from or date_to:
+        gone = gone.union(corpus.entry_ids(chunks, date_from, date_to))
+    return store.write(corpus.delete(chunks, gone))
+
+
+def derive(entries: Snapshots, store: Snapshots, a_pass: signals.Pass, now: str, since: str | None = None, rebuild: bool = False) -> DataFrame:
+    """The pass over chunks that it has not seen, or over all of them again."""
+    chunks = corpus.in_range(entries.read(), since).select(F.col("id").alias("chunk_id"), "entry_id", "text")
+    return store.write(signals.derive(chunks, store.read(), a_pass, now, rebuild))
 
 
 def enrich(store: Snapshots, chat: ChatProvider, limit: int | None = None) -> DataFrame:
@@ -106,3 +123,18 @@ def discover_themes(chunks: DataFrame, k: int | None = None, seed: int = 0) -> t
     found = themes.themes(members, themes.theme_terms(members))
     years = corpus.collapse(chunks).select("entry_id", "date", "year")
     return found, assigned.join(years, "entry_id").join(F.broadcast(found.select("theme_id", "label")), "theme_id")
+
+
+def name_themes(found: DataFrame, chat: ChatProvider) -> DataFrame:
+    """Themes with titles from a chat model, of at most 60 characters; the label stays where it fails or says nothing.
+
+    Themes are ten at most unless more were asked for, so the driver asks for each.
+    """
+    named = []
+    for row in found.collect():
+        try:
+            title = chat.chat([{"role": "user", "content": f"A short title for entries about: {', '.join(row.terms or [])}"}]).strip().strip('"')[:60]
+        except Exception:  # a model that cannot be reached must not lose the themes
+            title = ""
+        named.append((row.theme_id, title or row.label, row.terms, row.size))
+    return found.sparkSession.createDataFrame(named, found.schema)

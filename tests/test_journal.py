@@ -137,6 +137,31 @@ def test_ingest_enrich_search_and_ask(spark, tmp_path):
     assert flows.ask(store.read(), "x", embedder, EchoChat(), TODAY, date_from="2030-01-01").text == flows.NO_HITS
 
 
+def test_commands(spark, tmp_path, capsys):
+    from lumenfold.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/2020-01-01.txt").write_text("I think we were tired")
+    (tmp_path / "in/2021-01-01.txt").write_text("A quiet walk")
+    store = str(tmp_path / "store")
+    run = lambda *args: (main([store, *args]), capsys.readouterr().out)[1]
+    assert "added" in run("ingest", str(tmp_path / "in"))
+    assert "2020-01-01.txt" in run("list") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
+    assert "self_focus" in run("derive") and "2021" in run("stats")
+    run("remove", "--from", "2021-01-01")
+    assert "2021-01-01.txt" not in run("list")
+
+
+def test_theme_names_fall_back(spark):
+    class Broken:
+        def chat(self, messages, temperature=0.2):
+            raise ConnectionError
+
+    found = spark.createDataFrame([(0, "sea, sand", ["sea", "sand"], 3)], "theme_id int, label string, terms array<string>, size bigint")
+    assert flows.name_themes(found, Broken()).first().label == "sea, sand"
+    assert flows.name_themes(found, EchoChat()).first().label == "A short title for entries about: sea, sand"
+
+
 def test_dropped_files(spark, tmp_path):
     folder = tmp_path / "drop"
     folder.mkdir()
