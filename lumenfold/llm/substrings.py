@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import slices, text_bytes, written
+from lumenfold.llm.shared import arrow_rows, slices, text_bytes, written
 
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 #: One position in so many may be a cut, if none of the GAP before it may.
@@ -69,11 +69,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
+def _places(batch):
+    """Row number and (at, there, own, other) for each place; places of one passage give equal rows."""
+    for i, (places, own, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("places", "own", "other")))):
+        for place in places:
+            yield i, (place["at"], place["there"], own, other)
+
+
 def _extended(words: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for i, (at, there, own, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "there", "own", "other")))):
+            for i, (at, there, own, other) in _places(batch):
                 a, b = np.frombuffer(own, np.uint8), np.frombuffer(other, np.uint8)
                 start = at - _common(a[:at][::-1], b[:there][::-1])
                 end = at + _common(a[at:], b[there:])
@@ -110,17 +117,22 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     stop = F.get("ends", F.col("no"))
     start = F.coalesce(F.get("ends", F.col("no") - 1), F.lit(0))
     chunk = chunk.select("digest", "doc_id", "key", "no", start.alias("at"), (stop - start).alias("size"))
-    place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key", "at")
-    sources = chunk.groupBy("digest").agg(F.min(place).alias("source"), F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("digest", "source")
+    # two plain numbers for each chunk find the few digests that documents share; places are compared for those alone
+    shared = chunk.groupBy("digest").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("digest")
+    chunk = written(chunk.join(shared, "digest"), "shared")
+    sources = chunk.groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key", "at")).alias("source"))
     again = chunk.join(sources, "digest").where("key <> source.key").select("doc_id", "key", "no", "at", "size", F.col("source.doc_id").alias("first_doc_id"), F.col("source.key").alias("other"), F.col("source.at").alias("there"))
     again = again.dropDuplicates(["key", "no"])
     by_doc = W.partitionBy("key").orderBy("no")
     again = again.withColumn("run", F.col("no") - F.row_number().over(by_doc))
     again = again.withColumn("run_bytes", F.sum("size").over(W.partitionBy("key", "run"))).where(F.col("run_bytes") >= RUN)
     units = again.groupBy("key", "run", "other", (F.col("there") - F.col("at")).alias("shift")).agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.min("at").alias("at"), F.sum("size").alias("bytes"))
-    units = written(units.where(F.col("bytes") >= UNIT).select("doc_id", "key", "at", "other", "first_doc_id", (F.col("at") + F.col("shift")).alias("there")), "units")
+    # each pair of texts once, with all places where they may agree
+    units = units.where(F.col("bytes") >= UNIT).groupBy("key", "other").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("at", (F.col("at") + F.col("shift")).alias("there"))).alias("places"))
+    units = written(units, "units")
     wanted = units.select("key").union(units.select("other")).distinct()
     texts = written(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first(F.col("text").cast("binary")).alias("text")), "texts")
     both = units.join(texts.select("key", F.col("text").alias("own")), "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("source")), "other")
-    both = both.select("doc_id", "first_doc_id", "at", "there", "own", F.col("source").alias("other"))
-    return both.mapInArrow(_extended(words), "doc_id bigint, start bigint, stop bigint, n_words bigint, first_doc_id bigint").distinct()
+    both = both.select("doc_id", "first_doc_id", "places", "own", F.col("source").alias("other"))
+    with arrow_rows(docs.sparkSession, 200):
+        return written(both.mapInArrow(_extended(words), "doc_id bigint, start bigint, stop bigint, n_words bigint, first_doc_id bigint"), "passages").distinct()
