@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,8 +100,13 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q")).first().q or []
     cuts = sorted(set(cuts), reverse=True)
     # 0: ids above the first cut; one range more for null ids. Every bucket holds the cut that ends it.
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.lit(list(cuts)).cast("array<bigint>"), lambda c: c > F.col("doc_id"))))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    edges = np.array(cuts[::-1], np.int64)
+
+    @F.pandas_udf("int")
+    def above(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(edges) - np.searchsorted(edges, ids.to_numpy(), "right"))
+
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(above(F.coalesce("doc_id", F.lit(0)))).cast("int"))
     starts = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
     if not starts:
         return spark.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
