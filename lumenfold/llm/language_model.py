@@ -6,8 +6,9 @@ bits of their hash. A bigram keeps its shard and 40 bits.
 
 The filter: a count c has the level 1 + floor(2 * log2 c), and an n-gram is entered once for each
 level up to its own, so a reader probes level after level until one is missing. Each shard fills
-a segment of its own. The filter has BITS_EACH bits for each entry, but never more than ``filter_bytes``,
-which is all that is broadcast: past that it takes in all n-grams still, with more false levels.
+a segment of its own. The filter has BITS_EACH bits for each entry, whatever the corpus. One of at most ``filter_bytes``
+is broadcast. A larger one stays in its segments: the distinct n-grams of each chunk of texts go to the task that
+holds their segment, and their levels come back to the chunk. Both ways read the same bits.
 
 Exact counts: the words from the highest count level down, while they are at most ``head`` words, are broadcast;
 a text's other words meet their counts in a join.
@@ -21,13 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import mix, partitions, slices, text_bytes, word_hashes, written
+from lumenfold.llm.shared import arrow_rows, mix, partitions, slices, text_bytes, word_hashes, written
 
 END, BEGIN = np.uint64(0x51ED270B7A3C9E15), np.uint64(0x2545F4914F6CDD1D)
 LOW40 = np.uint64((1 << 40) - 1)
 BITS_EACH, PROBES = 8, 3
 #: A shard's arrays leave a task when so many tokens are waiting.
 FLUSH = 3_000_000
+#: Bytes of the texts that ask for levels together, and how many shards' segments are read in one place (as a power of two).
+CHUNK, NEAR = 8 << 20, 3
 #: Weight of the bigram's part.
 BIGRAM = 0.4
 
@@ -59,13 +62,13 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, prev, first
 
 
-def _five(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _five(keys: np.ndarray, width: int = 5) -> bytes:
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _from_five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def _from_five(raw: bytes, width: int = 5) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.reshape(-1).view(np.uint64)
 
 
@@ -140,6 +143,20 @@ def _spots(keys: np.ndarray, q: np.ndarray | int, size: np.ndarray | int):
         yield ((a + np.uint64(i) * b & np.uint64(0xFFFFFFFF)) * np.asarray(size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
+def _probed(raw: np.ndarray, keys: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """The level of each key, whose segment of ``size`` bits begins at the bit ``start`` of ``raw``."""
+    q, on, at = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    while len(on) and at < 130:
+        hit = np.ones(len(on), bool)
+        for spot in _spots(keys[on], at, size):
+            spot += start[on]
+            hit &= (raw[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+        on = on[hit]
+        q[on] = at
+        at += 1
+    return q
+
+
 class Filter:
     """The segments of all shards, one after another; shards of words first."""
 
@@ -150,16 +167,7 @@ class Filter:
         shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         inner = keys if gram == 1 else keys >> np.uint64(24 - self.bits) & LOW40
         start = shard * self.sizes[gram - 1] + (0 if gram == 1 else (self.sizes[0] << self.bits))
-        q, on, at = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(on) and at < 130:
-            hit = np.ones(len(on), bool)
-            for spot in _spots(inner[on], at, self.sizes[gram - 1]):
-                spot += start[on]
-                hit &= (self.raw[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
-            on = on[hit]
-            q[on] = at
-            at += 1
-        return q
+        return _probed(self.raw, inner, start, self.sizes[gram - 1])
 
 
 def _segments(sizes: tuple[int, int]):
@@ -179,6 +187,73 @@ def _segments(sizes: tuple[int, int]):
     return run
 
 
+def _chunked(batches):
+    """Rows of about CHUNK bytes of whole texts: the number of the first (which names the chunk), their ids, bounds, and bytes, compressed."""
+    task, row = TaskContext.get().partitionId() << 33, 0
+    for batch in batches:
+        for a, b, data, bounds in slices(batch, "text", CHUNK):
+            ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("doc_id").slice(a, b - a))
+            small = pa.compress(data.tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([task + row], pa.int64()), ids, pa.array([bounds.tobytes()]), pa.array([small])], ["chunk", "ids", "bounds", "data"])
+            row += b - a
+
+
+def _texts(bounds: bytes, data: bytes) -> pa.RecordBatch:
+    at = np.frombuffer(bounds, np.int64)
+    raw = pa.decompress(data, int(at[-1]), "zstd")
+    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(bounds), raw])], ["text"])
+
+
+def _asked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and bigrams of texts, in order."""
+    one, two = [np.array([BEGIN])], []
+    for _, _, data, bounds in slices(batch, "text"):
+        now, prev, _ = tokens(data, bounds)
+        one.append(np.unique(now))
+        two.append(np.unique(bigrams(prev, now)))
+    return np.unique(np.concatenate(one)), np.unique(np.concatenate(two))
+
+
+def _questions(bits: int):
+    """Rows of chunk, gram size, part (of the shards), keys. Of a bigram, the shard within the part and 40 bits are sent."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, bounds, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bounds", "data"))):
+                rows = []
+                for gram, keys in enumerate(_asked(_texts(bounds, data)), 1):
+                    part = keys >> np.uint64(64 - bits) >> np.uint64(NEAR)
+                    cut = np.searchsorted(part, np.arange((1 << bits - NEAR) + 1))
+                    kept = keys if gram == 1 else keys >> np.uint64(24 - bits) & np.uint64((1 << 40 + NEAR) - 1)
+                    rows += [(chunk, gram, int(p), _five(kept[cut[p] : cut[p + 1]], 8 if gram == 1 else 6)) for p in np.flatnonzero(np.diff(cut))]
+                kinds = pa.int64(), pa.int32(), pa.int32(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["chunk", "gram", "part", "keys"])
+
+    return run
+
+
+def _answers(bits: int, sizes: tuple[int, int]):
+    """The levels, a byte each, of the keys that chunks ask for; from the segments of one part."""
+    inside = np.uint64((1 << NEAR) - 1)
+
+    def run(key, asked: pa.Table, held: pa.Table) -> pa.Table:
+        gram, part = (k.as_py() for k in key)
+        size = sizes[gram - 1]
+        raw = np.zeros((size << NEAR) // 8, np.uint8)
+        for shard, segment in zip(held["shard"].to_pylist(), held["segment"].to_pylist()):
+            at = (shard - (part << NEAR)) * size // 8
+            raw[at : at + size // 8] = np.frombuffer(segment, np.uint8)
+        out = []
+        for sent in asked["keys"].to_pylist():
+            keys = _from_five(sent, 8 if gram == 1 else 6)
+            shard = keys >> np.uint64(64 - bits) & inside if gram == 1 else keys >> np.uint64(40)
+            q = _probed(raw, keys if gram == 1 else keys & LOW40, shard.astype(np.int64) * size, size)
+            out.append(q.astype(np.uint8).tobytes())
+        return pa.table({"chunk": asked["chunk"], "gram": asked["gram"], "part": asked["part"], "levels": pa.array(out, pa.binary())})
+
+    return run
+
+
 def _words(least: int, most: int):
     """The words with a count level from ``least`` to ``most``, and their counts."""
 
@@ -205,7 +280,8 @@ def score(docs: DataFrame, learn=None, head: int = 1_000_000, filter_bytes: int
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and one end for every text; the rows where
     ``learn``, a condition on doc_id, holds (default: all) are counted. With c the token's count, N all and V the
     distinct tokens counted, base_score sums log10((c + 0.1) / (N + 0.1 * (V + 1))); n_known counts tokens with c > 0.
-    score sums log10 of (1 - BIGRAM) * unigram + BIGRAM * bigram probability, all counts read from the filter.
+    score sums log10 of (1 - BIGRAM) * unigram + BIGRAM * bigram probability, all counts read from the filter. ``filter_bytes``
+    decides how the filter is read, not what it says.
 
     Null and empty texts are an end alone. Repeated rows count as often as they come, and keep their rows, as null
     ids do (which teach nothing where ``learn`` is not true of them). With nothing to learn from, N and V are 0.
@@ -220,14 +296,16 @@ def score(docs: DataFrame, learn=None, head: int = 1_000_000, filter_bytes: int
     total = {r.gram: r for r in grams.groupBy("gram").agg(F.sum("entries").alias("entries"), F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()}
     n, v = (total[1].tokens, total[1].words) if total else (0, 0)
     entries = [total[g].entries if g in total else 0 for g in (1, 2)]
-    each = min(BITS_EACH, 8 * filter_bytes / max(1, sum(entries)))
-    sizes = tuple(8 * max(1, int(each * e / (8 << bits))) for e in entries)
-    raw = np.zeros((sum(sizes) << bits) // 8, np.uint8)
-    segments = grams.mapInArrow(_segments(sizes), "gram int, shard int, segment binary").toArrow()
-    for gram, shard, segment in zip(segments["gram"].to_pylist(), segments["shard"].to_pylist(), segments["segment"]):
-        at = (shard * sizes[gram - 1] + (0 if gram == 1 else sizes[0] << bits)) // 8
-        raw[at : at + sizes[gram - 1] // 8] = np.frombuffer(segment.as_buffer(), np.uint8)
-    del segments
+    sizes = tuple(8 * max(1, BITS_EACH * e // (8 << bits)) for e in entries)
+    segments = grams.mapInArrow(_segments(sizes), "gram int, shard int, segment binary")
+    raw = None
+    if sum(sizes) << bits <= 8 * filter_bytes:
+        raw = np.zeros((sum(sizes) << bits) // 8, np.uint8)
+        all_segments = segments.toArrow()
+        for gram, shard, segment in zip(all_segments["gram"].to_pylist(), all_segments["shard"].to_pylist(), all_segments["segment"]):
+            at = (shard * sizes[gram - 1] + (0 if gram == 1 else sizes[0] << bits)) // 8
+            raw[at : at + sizes[gram - 1] // 8] = np.frombuffer(segment.as_buffer(), np.uint8)
+        del all_segments
 
     unigrams = grams.where("gram = 1").select("gram", "shard", "once", "more", "counts")
     least, room = 1 << 20, head
@@ -242,45 +320,64 @@ def score(docs: DataFrame, learn=None, head: int = 1_000_000, filter_bytes: int
     below = np.log10(n + 0.1 * (v + 1))
     model = spark.sparkContext.broadcast((raw, keys[order], np.log10(counts[order] + 0.1) - below))
 
+    names = ["row", "doc_id", "n_tokens", "top_known", "top_base", "score", "rare", "times"]
+
+    def scores(batch: pa.RecordBatch, rows: np.ndarray, ids: pa.Array, levels) -> pa.RecordBatch:
+        _, known, logs = model.value
+        n_tokens, n_known, base, score_, rare, times = [], [], [], [], [], []
+        for _, _, data, bounds in slices(batch, "text"):
+            now, prev, first = tokens(data, bounds)
+            word, at = np.unique(now, return_inverse=True)
+            c = value(levels(word, 1))
+            uni = ((c + 0.1) / (n + 0.1 * (v + 1)))[at]
+            pair, where = np.unique(bigrams(prev, now), return_inverse=True)
+            both = value(levels(pair, 2))[where]
+            c_begin = value(levels(np.array([BEGIN]), 1))[0]
+            c_prev = np.concatenate(([c_begin], c[at[:-1]]))
+            c_prev[first[:-1]] = c_begin
+            p = (1 - BIGRAM) * uni + BIGRAM * np.minimum(1, both / np.maximum(c_prev, 1))
+            spot = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
+            is_top = known[spot] == word if len(known) else np.zeros(len(word), bool)
+            log = np.where(is_top, logs[spot] if len(logs) else 0.0, 0.0)
+            text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            base.append(np.bincount(text, log[at], len(first) - 1))
+            n_known.append(np.bincount(text, is_top[at], len(first) - 1))
+            score_.append(np.bincount(text, np.log10(p), len(first) - 1))
+            n_tokens.append(np.diff(first))
+            out = np.flatnonzero(~is_top[at])
+            key = np.unique((text[out] << 32) | at[out], return_counts=True)
+            cut = np.searchsorted(key[0] >> 32, np.arange(len(first)))
+            h, m = word[key[0] & 0xFFFFFFFF].view(np.int64), key[1].astype(np.int32)
+            rare += [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
+            times += [m[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        done = [pa.array(np.concatenate(x) if x else [], t) for x, t in ((n_tokens, pa.int64()), ([y.astype(np.int64) for y in n_known], pa.int64()), (base, pa.float64()), (score_, pa.float64()))]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), ids, *done, pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names)
+
     def run(batches):
-        raw, known, logs = model.value
-        read = Filter(bits, sizes, raw)
-        task, row = TaskContext.get().partitionId() << 33, 0
+        read = Filter(bits, sizes, model.value[0])
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows, n_tokens, n_known, base, score_, rare, times = [], [], [], [], [], [], []
-            for _, _, data, bounds in slices(batch, "text"):
-                now, prev, first = tokens(data, bounds)
-                word, at = np.unique(now, return_inverse=True)
-                c = value(read.levels(word, 1))
-                uni = ((c + 0.1) / (n + 0.1 * (v + 1)))[at]
-                pair, where = np.unique(bigrams(prev, now), return_inverse=True)
-                both = value(read.levels(pair, 2))[where]
-                c_begin = value(read.levels(np.array([BEGIN]), 1))[0]
-                c_prev = np.concatenate(([c_begin], c[at[:-1]]))
-                c_prev[first[:-1]] = c_begin
-                p = (1 - BIGRAM) * uni + BIGRAM * np.minimum(1, both / np.maximum(c_prev, 1))
-                spot = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-                is_top = known[spot] == word if len(known) else np.zeros(len(word), bool)
-                log = np.where(is_top, logs[spot] if len(logs) else 0.0, 0.0)
-                text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                base.append(np.bincount(text, log[at], len(first) - 1))
-                n_known.append(np.bincount(text, is_top[at], len(first) - 1))
-                score_.append(np.bincount(text, np.log10(p), len(first) - 1))
-                n_tokens.append(np.diff(first))
-                out = np.flatnonzero(~is_top[at])
-                key = np.unique((text[out] << 32) | at[out], return_counts=True)
-                cut = np.searchsorted(key[0] >> 32, np.arange(len(first)))
-                h, m = word[key[0] & 0xFFFFFFFF].view(np.int64), key[1].astype(np.int32)
-                rare += [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
-                times += [m[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            size = batch.num_rows
-            rows = pa.array(np.arange(row, row + size) + task, pa.int64())
-            row += size
-            done = [pa.array(np.concatenate(x) if x else [], t) for x, t in ((n_tokens, pa.int64()), ([y.astype(np.int64) for y in n_known], pa.int64()), (base, pa.float64()), (score_, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *done, pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], ["row", "doc_id", "n_tokens", "top_known", "top_base", "score", "rare", "times"])
+            yield scores(batch, np.arange(row, row + batch.num_rows), batch.column("doc_id"), read.levels)
+            row += batch.num_rows
+
+    def run_chunk(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        batch, answers = _texts(texts["bounds"][0].as_py(), texts["data"][0].as_py()), answers.sort_by("part")
+        keys, gram = _asked(batch), answers["gram"].to_numpy()
+        levels = [np.frombuffer(b"".join(answers["levels"].filter(pa.array(gram == g)).to_pylist()), np.uint8).astype(np.int64) for g in (1, 2)]
+        ids, row = texts["ids"].combine_chunks().flatten(), key[0].as_py()
+        found = lambda asked, g: levels[g - 1][np.searchsorted(keys[g - 1], asked)]
+        return pa.Table.from_batches([scores(batch, np.arange(row, row + batch.num_rows), ids, found)])
 
     part = "row bigint, doc_id bigint, n_tokens bigint, top_known bigint, top_base double, score double, rare array<bigint>, times array<int>"
-    scored = written(docs.select(*text_bytes()).mapInArrow(run, part), "scored")
+    if raw is not None:
+        scored = written(docs.select(*text_bytes()).mapInArrow(run, part), "scored")
+    else:
+        chunks = written(docs.select(*text_bytes()).mapInArrow(_chunked, "chunk bigint, ids array<bigint>, bounds binary, data binary"), "chunks")
+        asked = chunks.select("chunk", "bounds", "data").mapInArrow(_questions(bits), "chunk bigint, gram int, part int, keys binary")
+        held = segments.withColumn("part", F.shiftright("shard", NEAR))
+        answers = asked.groupBy("gram", "part").cogroup(held.groupBy("gram", "part")).applyInArrow(_answers(bits, sizes), "chunk bigint, gram int, part int, levels binary")
+        with arrow_rows(spark, 64):  # a chunk is a row of megabytes
+            scored = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, part), "scored")
     tail = scored.where("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
     tail = tail.join(unigrams.mapInArrow(_words(1, least - 1), "h bigint, c bigint"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     tail = tail.groupBy("row").agg(F.sum(F.col("m") * (F.log10(F.col("c") + 0.1) - float(below))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known"))

@@ -319,6 +319,16 @@ def test_language_model(spark, head):
     assert nothing.train_tokens == 0 and nothing.base_score == pytest.approx(3 * math.log10(0.1 / 0.1))
 
 
+def test_language_model_says_the_same_past_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "CHUNK", 40_000)
+    texts = [*ODD, *(prose(RND.randint(1, 200), i) for i in range(40)), "new WORD", "new WORD"]
+    near, far = ({(r.doc_id, r.n_tokens, r.n_known, r.base_score): r.score for r in language_model.score(frame(spark, texts), F.col("doc_id") % 5 != 0, filter_bytes=b).collect()} for b in (64 << 20, 1))
+    assert near.keys() == far.keys() and len(near) == len(texts)
+    assert all(far[k] == pytest.approx(near[k]) for k in near)
+    assert language_model.score(frame(spark, ["a", "a", None], [3, 3, None]), filter_bytes=1).count() == 3
+    assert language_model.score(frame(spark, []), filter_bytes=1).count() == 0
+
+
 def test_filter_levels_are_never_too_low():
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(1, 3000, 5000)
