@@ -1,26 +1,26 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A gear hash of the last 16 bytes decides where a text is cut, so the cuts inside a passage are the same wherever it
-stands, whatever is inserted before it. Chunks are deduplicated by digest; where an unbroken run of a text's chunks occurs in
-earlier documents, the whole texts are compared around it, and the repeated passage is returned to its last byte.
+A gear hash of the last 16 bytes decides where a text is cut: of any ``w`` positions in a row the one with the least value is a cut, the
+last of equal ones. So the cuts inside a passage are the same wherever it stands, and of w + k - 1 bytes in a row some k that
+end at a cut, a chunk, lie inside. More than ``words`` words have 2 * words + 1 bytes at least, and w + k - 1 is no more.
+
+A passage's chunks are all met elsewhere too. Where that holds, each run of words + 1 words is looked for by itself, and
+brings a text together with the earliest one that has the whole run, whichever texts have its parts. The two are
+compared, and every passage that they share is returned to its last byte.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import arrow_rows, slices, text_bytes, written
+from lumenfold.llm.shared import arrow_rows, mix, powers, prefix_sums, slices, text_bytes, words as words_of, written
 
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
-#: One position in so many may be a cut, if none of the GAP before it may.
-RATE, GAP, LONGEST = 24, 12, 512
-#: A run of repeated chunks has so many bytes, and the part of it that one earlier place explains so many.
-RUN, UNIT = 80, 32
+#: Bytes of a chunk, and positions of which one is a cut, for passages of over 50 words.
+CHUNK, WINDOW = 40, 62
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -33,34 +33,95 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one text. The rule looks at few bytes before a position, so it recovers after any change."""
-    if not len(data):
-        return np.zeros(0, np.int64)
-    may = np.flatnonzero(gear(data)[15:] < (1 << 16) // RATE) + 16
-    at = may[np.diff(may, prepend=-GAP) >= GAP]
-    ends = np.unique(np.append(at, len(data)))
-    starts = np.concatenate(([0], ends[:-1]))
-    long = np.flatnonzero(ends - starts > LONGEST)
-    if len(long):
-        ends = np.unique(np.concatenate([ends, *(np.arange(starts[i] + LONGEST, ends[i], LONGEST) for i in long)]))
-    return ends
-
-
-def _chunks(batches):
-    for batch in batches:
-        digests, ends = [], []
-        for _, _, data, bounds in slices(batch, "text"):
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                raw = data[a:b]
-                end = cuts(raw)
-                text, start, out = raw.tobytes(), 0, np.empty(len(end), np.uint64)
-                for i, e in enumerate(end):
-                    out[i] = xxhash.xxh3_64_intdigest(text[start:e])
-                    start = e
-                digests.append(out.view(np.int64))
-                ends.append(end.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(digests, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32()))], ["doc_id", "key", "digests", "ends"])
+def _lengths(words: int) -> tuple[int, int]:
+    """Bytes of a chunk and positions of a window, so that a chunk lies in any words + 1 words."""
+    if words < 16:
+        raise ValueError("passages of at least 16 words only: the gear hash takes 16 bytes")
+    k = min(CHUNK, words)
+    return k, 2 * words + 2 - k
+
+
+def _picks(data: np.ndarray, w: int) -> np.ndarray:
+    """For each ``w`` positions in a row, by their first: the last of those with the least gear value."""
+    least = gear(data).astype(np.int64) << 32 | np.arange(len(data) - 1, -1, -1)
+    have = 1
+    while have < w:
+        step = min(have, w - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return len(data) - 1 - (least & 0xFFFFFFFF)
+
+
+def _windows(data: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Picks of all windows, and which windows belong to one text with the chunks before all their positions."""
+    if len(data) < w:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    pick = _picks(data, w)
+    edge = np.zeros(len(data) + 2, np.int64)
+    low, high = bounds[:-1] + k - 1, bounds[1:] - w + 1
+    on = high > low
+    np.add.at(edge, low[on], 1)
+    np.add.at(edge, high[on], -1)
+    return pick, np.cumsum(edge)[: len(pick)] > 0
+
+
+def cuts(data: np.ndarray, k: int = CHUNK, w: int = WINDOW) -> np.ndarray:
+    """Ends of the chunks of one text."""
+    pick, within = _windows(data, np.array([0, len(data)]), k, w)
+    return np.unique(pick[within]) + 1
+
+
+def _hashes(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((sums[end] - sums[start]) * down[start])
+
+
+def _chunks(k: int, w: int):
+    def run(batches):
+        for batch in batches:
+            digests = []
+            for _, _, data, bounds in slices(batch, "text"):
+                pick, within = _windows(data, bounds, k, w)
+                end = pick[within]
+                end = end[np.diff(end, prepend=-1) > 0] + 1
+                h = _hashes(prefix_sums(data), powers(len(data))[1], end - k, end).view(np.int64)
+                at = np.searchsorted(end, bounds, "right")
+                digests += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(digests, pa.list_(pa.int64()))], ["key", "digests"])
+
+    return run
+
+
+def _runs(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a text: starts, ends and hashes of all runs of words + 1."""
+    start, end = starts[: max(0, len(starts) - words)], ends[words:]
+    return start, end, _hashes(sums, down, start, end)
+
+
+def _candidates(words: int):
+    """Hashes of the runs of words + 1 words in which every window's chunk is met elsewhere."""
+    k, w = _lengths(words)
+
+    def run(batches):
+        for batch in batches:
+            grams, row, known = [], 0, batch.column("met").to_pylist()
+            for _, _, data, bounds in slices(batch, "text"):
+                sums, down = prefix_sums(data), powers(len(data))[1]
+                starts, ends, before, _, _ = words_of(data, bounds)
+                pick, within = _windows(data, bounds, k, w)
+                for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                    low, high = a + k - 1, b - w + 1
+                    found = np.zeros(0, np.uint64)
+                    if high > low:
+                        end = pick[low:high] + 1
+                        alone = ~np.isin(_hashes(sums, down, end - k, end).view(np.int64), np.array(known[row], np.int64))
+                        upto = np.concatenate(([0], np.cumsum(alone)))
+                        start, stop, h = _runs(sums, down, starts[before[t] : before[t + 1]], ends[before[t] : before[t + 1]], words)
+                        found = np.unique(h[upto[stop - w + 1 - low] == upto[start + k - 1 - low]])
+                    grams.append(found.view(np.int64))
+                    row += 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "key", "grams"])
+
+    return run
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -69,30 +130,56 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _places(batch):
-    """Row number and (at, there, own, other) for each place; places of one passage give equal rows."""
-    for i, (places, own, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("places", "own", "other")))):
-        for place in places:
-            yield i, (place["at"], place["there"], own, other)
+def _longest(a: tuple, at: int, b: tuple, there: np.ndarray) -> int:
+    """Of the places ``there`` in text b, the one from which b agrees longest with a from ``at``."""
+    if len(there) == 1:
+        return int(there[0])
+    (sa, da), (sb, db) = a, b
+    low, high = np.zeros(len(there), np.int64), np.minimum(len(sa) - 1 - at, len(sb) - 1 - there)
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        same = (sa[at + mid] - sa[at]) * da[at] == (sb[there + mid] - sb[there]) * db[there]
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return int(there[low.argmax()])
+
+
+def _passages(own: bytes, other: bytes, words: int):
+    """(start, end, words) of every longest passage of more than ``words`` words of ``own`` that ``other`` has, in bytes."""
+    sides = []
+    for raw in (own, other):
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends, *_ = words_of(data, np.array([0, len(data)]))
+        sums, down = prefix_sums(data), powers(len(data))[1]
+        sides.append((data, (sums, down), *_runs(sums, down, starts, ends, words)))
+    (a, ha, start, stop, grams), (b, hb, starts_b, _, grams_b) = sides
+    order = np.argsort(grams_b, kind="stable")
+    ranked = grams_b[order]
+    low, high = np.searchsorted(ranked, grams), np.searchsorted(ranked, grams, "right")
+    met, i = np.flatnonzero(high > low), 0
+    while i < len(met):
+        g = met[i]
+        at = int(start[g])
+        there = _longest(ha, at, hb, starts_b[order[low[g] : high[g]]])
+        first = at - _common(a[:at][::-1], b[:there][::-1])
+        end = at + _common(a[at:], b[there:])
+        # only whole words: a word that goes on beyond the match is not repeated
+        inside = own[first:end]
+        if first and not own[first - 1 : first].isspace() and not inside[:1].isspace():
+            first += len(inside) - len(inside.split(None, 1)[-1]) if len(inside.split(None, 1)) > 1 else len(inside)
+        if end < len(own) and not own[end : end + 1].isspace() and not own[end - 1 : end].isspace():
+            end = first + len(own[first:end].rsplit(None, 1)[0]) if len(own[first:end].split(None, 1)) > 1 else first
+        n = len(own[first:end].split())
+        if n > words:
+            yield first, end, n
+        i = max(i + 1, int(np.searchsorted(stop[met], end, "right")))
 
 
 def _extended(words: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for i, (at, there, own, other) in _places(batch):
-                a, b = np.frombuffer(own, np.uint8), np.frombuffer(other, np.uint8)
-                start = at - _common(a[:at][::-1], b[:there][::-1])
-                end = at + _common(a[at:], b[there:])
-                # only whole words: a word that goes on beyond the match is not repeated
-                inside = own[start:end]
-                if start and not own[start - 1 : start].isspace() and not inside[:1].isspace():
-                    start += len(inside) - len(inside.split(None, 1)[-1]) if len(inside.split(None, 1)) > 1 else len(inside)
-                if end < len(own) and not own[end : end + 1].isspace() and not own[end - 1 : end].isspace():
-                    end = start + len(own[start:end].rsplit(None, 1)[0]) if len(own[start:end].split(None, 1)) > 1 else start
-                n = len(own[start:end].split())
-                if n > words:
-                    rows.append((i, len(own[:start].decode(errors="replace")), len(own[:end].decode(errors="replace")), n))
+            for i, (own, other) in enumerate(zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())):
+                rows += [(i, len(own[:a].decode(errors="replace")), len(own[:b].decode(errors="replace")), n) for a, b, n in _passages(own, other, words)]
             index = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), batch.column("first_doc_id").take(index)], ["doc_id", "start", "stop", "n_words", "first_doc_id"])
 
@@ -103,36 +190,31 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """Passages of more than ``words`` words that an earlier document has: doc_id, start, stop, n_words, first_doc_id.
 
     Earlier: smaller doc_id, null last, then a hash of the text. start and stop are code points (stop exclusive) of whole words;
-    the passage is as long as the two texts agree, and first_doc_id is the earliest document with one of its chunks. One
-    row for each passage and earlier document found for it; documents without any have no row. A passage of a few
-    hundred bytes needs two cuts that are RUN bytes apart in it, which about one in thirty of the shortest misses.
+    the passage is as long as the two texts agree, and first_doc_id is the earliest document with some words + 1 words of it. One
+    row for each passage and earlier document found for it; documents without any have no row. Every run of words + 1
+    words that an earlier document has, byte for byte, lies in a row.
 
     Null and empty texts have no passages. Repetition within one document is not looked for. Rows equal in doc_id and text
     are one document; other columns are ignored; an empty table gives no rows.
     """
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key")
     rows = docs.select("doc_id", "text").withColumn("key", key)
-    chunked = written(rows.select(*text_bytes("doc_id", "text", "key")).where(F.length("text") > 0).mapInArrow(_chunks, "doc_id bigint, key bigint, digests array<bigint>, ends array<int>"), "chunks")
-    chunk = chunked.select("doc_id", "key", "ends", F.posexplode("digests").alias("no", "digest"))
-    stop = F.get("ends", F.col("no"))
-    start = F.coalesce(F.get("ends", F.col("no") - 1), F.lit(0))
-    chunk = chunk.select("digest", "doc_id", "key", "no", start.alias("at"), (stop - start).alias("size"))
-    # two plain numbers for each chunk find the few digests that documents share; places are compared for those alone
+    chunked = rows.select(*text_bytes("doc_id", "text", "key")).where(F.length("text") > 2 * words).mapInArrow(_chunks(*_lengths(words)), "key bigint, digests array<bigint>")
+    chunk = written(chunked, "chunks").select("key", F.explode("digests").alias("digest"))
+    # two plain numbers for each chunk find the few digests that documents share
     shared = chunk.groupBy("digest").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("digest")
-    chunk = written(chunk.join(shared, "digest"), "shared")
-    sources = chunk.groupBy("digest").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key", "at")).alias("source"))
-    again = chunk.join(sources, "digest").where("key <> source.key").select("doc_id", "key", "no", "at", "size", F.col("source.doc_id").alias("first_doc_id"), F.col("source.key").alias("other"), F.col("source.at").alias("there"))
-    again = again.dropDuplicates(["key", "no"])
-    by_doc = W.partitionBy("key").orderBy("no")
-    again = again.withColumn("run", F.col("no") - F.row_number().over(by_doc))
-    again = again.withColumn("run_bytes", F.sum("size").over(W.partitionBy("key", "run"))).where(F.col("run_bytes") >= RUN)
-    units = again.groupBy("key", "run", "other", (F.col("there") - F.col("at")).alias("shift")).agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.min("at").alias("at"), F.sum("size").alias("bytes"))
-    # each pair of texts once, with all places where they may agree
-    units = units.where(F.col("bytes") >= UNIT).groupBy("key", "other").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id"), F.collect_list(F.struct("at", (F.col("at") + F.col("shift")).alias("there"))).alias("places"))
-    units = written(units, "units")
+    met = written(chunk.join(shared, "digest").groupBy("key").agg(F.collect_set("digest").alias("met")), "met")
+    with arrow_rows(docs.sparkSession, 1000):
+        found = rows.select(*text_bytes("doc_id", "text", "key")).join(met, "key").mapInArrow(_candidates(words), "doc_id bigint, key bigint, grams array<bigint>")
+        found = written(found.where("size(grams) > 0"), "candidates")
+    gram = found.select("doc_id", "key", F.explode("grams").alias("gram"))
+    # of each run the earliest document
+    sources = gram.groupBy("gram").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("source"), F.max("key").alias("k1"), F.min("key").alias("k0")).where("k0 <> k1")
+    units = gram.join(sources.select("gram", "source"), "gram").where("key <> source.key").select("key", "doc_id", F.col("source.key").alias("other"), F.col("source.doc_id").alias("first_doc_id"))
+    units = written(units.groupBy("key", "other").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id")), "units")
     wanted = units.select("key").union(units.select("other")).distinct()
     texts = written(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first(F.col("text").cast("binary")).alias("text")), "texts")
     both = units.join(texts.select("key", F.col("text").alias("own")), "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("source")), "other")
-    both = both.select("doc_id", "first_doc_id", "places", "own", F.col("source").alias("other"))
+    both = both.select("doc_id", "first_doc_id", "own", F.col("source").alias("other"))
     with arrow_rows(docs.sparkSession, 200):
         return written(both.mapInArrow(_extended(words), "doc_id bigint, start bigint, stop bigint, n_words bigint, first_doc_id bigint"), "passages").distinct()

@@ -191,6 +191,14 @@ def test_substrings(spark):
     assert substrings.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_substrings_that_other_documents_have_in_parts(spark):
+    part = [prose(10, 700 + i) for i in range(8)]
+    texts = [" ".join(p) for p in (part[:4], part[3:], part, part)]
+    assert [len(t.split()) for t in texts] == [40, 50, 80, 80]
+    rows = substrings.repeated_passages(frame(spark, texts)).collect()
+    assert [tuple(r) for r in rows] == [(3, 0, len(texts[3]), 80, 2)]
+
+
 def test_chunks_recover_after_an_insertion():
     data = np.frombuffer(prose(3000, 8).encode(), np.uint8)
     moved = np.concatenate([data[:500], np.frombuffer(b"inserted", np.uint8), data[500:]])
