@@ -199,6 +199,20 @@ def test_substrings_that_other_documents_have_in_parts(spark):
     assert [tuple(r) for r in rows] == [(3, 0, len(texts[3]), 80, 2)]
 
 
+def test_the_shortest_and_the_periodic_substrings(spark):
+    passages = [*(prose(51, 800 + i) for i in range(60)), " ".join("abcde"[i * i * i % 5] for i in range(51)), "Ha " * 50 + "Ha", "menten " * 50 + "menten", "x yz " * 30 + "x"]
+    texts, at = [], []
+    for i, p in enumerate(passages):
+        at.append([len(texts), len(texts) + 1])
+        texts += [f"{prose(RND.randint(1, 60), 900 + i)}, {p} .{i}", f"{prose(RND.randint(1, 60), 1000 + i)}; {p} !{i}"]
+    rows = substrings.repeated_passages(frame(spark, texts)).collect()
+    found = {(r.doc_id, r.first_doc_id) for r in rows if passages[r.doc_id // 2] in texts[r.doc_id][r.start : r.stop]}
+    assert {(b, a) for a, b in at} <= found
+    for r in rows:
+        part = texts[r.doc_id][r.start : r.stop]
+        assert part in texts[r.first_doc_id] and r.n_words == len(part.split()) > 50
+
+
 def test_chunks_recover_after_an_insertion():
     data = np.frombuffer(prose(3000, 8).encode(), np.uint8)
     moved = np.concatenate([data[:500], np.frombuffer(b"inserted", np.uint8), data[500:]])
