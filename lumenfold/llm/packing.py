@@ -9,6 +9,8 @@ rank among those of their length, which Spark numbers within salted groups.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -35,15 +37,42 @@ def _worker(path: str, pattern: str) -> Pieces:
     return Pieces(lambda piece: array("I", encode(piece)).tobytes(), bytes.__add__)
 
 
+@lru_cache(1)
+def _added(path: str) -> dict[str, int]:
+    """The tokens beside the ranks that the vocabulary's json, if there is one, has; they are looked for before anything is split."""
+    try:
+        with open(re.sub(r"\.tiktoken$", ".json", path), encoding="utf-8") as f:
+            tokens = json.load(f)["added_tokens"]
+    except FileNotFoundError:
+        return {}
+    odd = [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]
+    if odd:
+        raise ValueError(f"added tokens of a kind that is not known here: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def _encoded(text: str, pieces: Pieces, added: dict[str, int]) -> list[bytes]:
+    """The ids of a text, in which added tokens are one id each; of several at one place the longest."""
+    if not any(t in text for t in added):
+        return [*pieces.of(text)]
+    out = []
+    for part in re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text):
+        out += [array("I", [added[part]]).tobytes()] if part in added else pieces.of(part)
+    return out
+
+
 def tokenised(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """The pieces of every text: its ids and then ``end_id``, cut only if longer than ``capacity``; the first piece takes what is over."""
+    """The pieces of every text: its ids and then ``end_id``, cut only if longer than ``capacity``; the first piece takes what is over.
+
+    Added tokens, such as <|endoftext|>, in a text are the ids that the json beside ``ranks_path`` gives them.
+    """
 
     def run(batches):
-        pieces, end = _worker(ranks_path, pattern), array("I", [end_id]).tobytes()
+        pieces, added, end = _worker(ranks_path, pattern), _added(ranks_path), array("I", [end_id]).tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = memoryview(b"".join([*pieces.of(text), end]))
+                ids = memoryview(b"".join([*_encoded(text, pieces, added), end]))
                 n = len(ids) // 4
                 cut, k = 0, 0
                 while cut < n:

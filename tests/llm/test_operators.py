@@ -112,6 +112,19 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), RANKS, PATTERN).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext", "one <|endoftext|>\ttwo  three", "<|endoftext|>" * 3000]
+    rows = packing.pack(frame(spark, texts), RANKS, PATTERN).collect()
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert [r.ids_crc32 for r in own] == [zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own]
+        assert sum(r.length for r in own) == len(ids)
+
+
 def test_tokens_are_the_tokenizers_own():
     from tokenizers import Tokenizer
 
