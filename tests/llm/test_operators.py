@@ -80,6 +80,13 @@ def test_near_duplicates_repeated_rows_and_null_ids(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("t", [0.8, 0.85])
+def test_sketches_refuse_hardly_a_pair_at_the_threshold(t):
+    fewer = lambda m: sum(math.comb(32, i) * t**i * (1 - t) ** (32 - i) for i in range(m))
+    assert fewer(math.ceil(minhash.FLOOR * 32)) < 1e-7
+    assert fewer(math.ceil((t - minhash.SLACK) * 32)) < 1e-7
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (101, 100)]
     got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
