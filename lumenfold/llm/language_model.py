@@ -2,22 +2,23 @@
 
 Counting: tasks count hashed words and bigrams of their texts, in sorted arrays dealt by the hash's leading
 bits into shards, several for each shuffle partition; each shard is merged by itself. Words keep all 64
-bits of their hash. A bigram keeps its shard and 40 bits.
+bits of their hash. A bigram keeps its shard and 40 bits: it shares them with another with a chance of
+(bigrams of a shard) / 2**40, the same at every size.
 
 The filter: a count c has the level 1 + floor(2 * log2 c), and an n-gram is entered once for each
 level up to its own, so a reader probes level after level until one is missing. Each shard fills
-a segment of its own. The filter has BITS_EACH bits for each entry, whatever the corpus. One of at most ``filter_bytes``
-is broadcast. A larger one stays in its segments: the distinct n-grams of each chunk of texts go to the task that
-holds their segment, and their levels come back to the chunk. Both ways read the same bits.
+a segment of its own, with BITS_EACH bits for each entry, whatever the corpus.
 
-Exact counts: the words from the highest count level down, while they are at most ``head`` words, are broadcast;
-a text's other words meet their counts in a join.
+Reading: a filter that grows with the corpus has no bound under which it could always be broadcast. One of at most ``broadcast_bytes``, its
+words' exact counts included, is; a larger one stays in its segments: the distinct n-grams of each chunk of texts go to the
+task that holds their segments, and their levels, and words' exact counts, come back to the chunk. Both ways read the same bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +26,18 @@ from pyspark.sql import functions as F
 from lumenfold.llm.shared import arrow_rows, mix, partitions, slices, text_bytes, word_hashes, written
 
 END, BEGIN = np.uint64(0x51ED270B7A3C9E15), np.uint64(0x2545F4914F6CDD1D)
-LOW40 = np.uint64((1 << 40) - 1)
 BITS_EACH, PROBES = 8, 3
 #: A shard's arrays leave a task when so many tokens are waiting.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Bytes of the texts that ask for levels together, and how many shards' segments are read in one place (as a power of two).
 CHUNK, NEAR = 8 << 20, 3
 #: Weight of the bigram's part.
 BIGRAM = 0.4
 
+SHARD = "gram int, shard int, once binary, more binary, counts binary"
+MERGED = "gram int, shard int, size bigint, segment binary, keys binary, counts binary, words bigint, tokens bigint"
+SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
 
 def level(c: np.ndarray) -> np.ndarray:
     return (1 + np.floor(2 * np.log2(c))).astype(np.int64)
@@ -44,32 +48,46 @@ def value(q: np.ndarray) -> np.ndarray:
     return np.where(q <= 1, q, 2.0 ** ((q - 0.5) / 2))
 
 
-def bigrams(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C1B) + after)
-
+def bigrams(before: np.ndarray, after: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` for the shard and 40 more."""
+    return mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + after) >> np.uint64(24 - bits)
 
-def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a run of texts: each token's hash (every text's words, then its end), the token before it, and each text's first token."""
-    h, before = word_hashes(data, bounds)
-    first = before + np.arange(len(before))
-    out = np.empty(len(h) + len(before) - 1, np.uint64)
-    ends = np.zeros(len(out), bool)
-    ends[first[1:] - 1] = True
-    out[~ends], out[ends] = h, END
-    prev = np.empty_like(out)
-    prev[1:] = out[:-1]
-    prev[first[:-1]] = BEGIN
-    return out, prev, first
 
+def shards(keys: np.ndarray, gram: int, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits if gram == 1 else 40)).astype(np.int64)
 
-def _five(keys: np.ndarray, width: int = 5) -> bytes:
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-
-def _from_five(raw: bytes, width: int = 5) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.reshape(-1).view(np.uint64)
+def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts: each token's hash (every text's words, then its end), the token before it, and each text's first token."""
+    all_now, all_prev, all_first, at = [], [], [np.zeros(1, np.int64)], 0
+    for _, _, data, bounds in slices(batch, "text"):
+        h, before = word_hashes(data, bounds)
+        first = before + np.arange(len(before))
+        now = np.empty(len(h) + len(before) - 1, np.uint64)
+        ends = np.zeros(len(now), bool)
+        ends[first[1:] - 1] = True
+        now[~ends], now[ends] = h, END
+        prev = np.empty_like(now)
+        prev[1:] = now[:-1]
+        prev[first[:-1]] = BEGIN
+        all_now.append(now)
+        all_prev.append(prev)
+        all_first.append(first[1:] + at)
+        at += len(now)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate(all_now or [none]), np.concatenate(all_prev or [none]), np.concatenate(all_first)
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as planes of their bytes, compressed: the high bytes of sorted or small ones take hardly any room."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(numbers) else b"")
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd") if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(np.uint64)
 
 
 def _counter(bits: int):
@@ -78,113 +96,112 @@ def _counter(bits: int):
 
     def count(found: list[np.ndarray], gram: int):
         keys, n = np.unique(np.concatenate(found), return_counts=True)
-        cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-        kept = keys if gram == 1 else keys >> np.uint64(24 - bits) & LOW40
-        pack = (lambda x: x.tobytes()) if gram == 1 else _five
+        cut = np.searchsorted(shards(keys, gram, bits), np.arange((1 << bits) + 1))
         for s in np.flatnonzero(np.diff(cut)):
-            k, c = kept[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]
-            yield gram, int(s), pack(k[c == 1]), pack(k[c > 1]), c[c > 1].astype(np.uint32).tobytes()
+            k, c = keys[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]
+            yield gram, int(s), squeezed(k[c == 1]), squeezed(k[c > 1]), squeezed(c[c > 1])
+
+    def flush(one: list, two: list):
+        rows = []
+        for gram, found in ((1, one), (2, two)):
+            for row in count(found, gram):
+                rows.append(row)
+                if len(rows) == 64:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+            found.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches):
         one, two, waiting = [], [], 0
-
-        def flush():
-            rows = [*count(one, 1), *count(two, 2)]
-            for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 256]), schema)], schema=schema)
-
         for batch in batches:
-            for _, _, data, bounds in slices(batch, "text"):
-                now, prev, _ = tokens(data, bounds)
-                one.append(now)
-                two.append(bigrams(prev, now))
-                one.append(np.full(len(bounds) - 1, BEGIN))
+            for a, b, _, _ in slices(batch, "text", CHUNK):
+                now, prev, _ = tokens(batch.slice(a, b - a))
+                one += [now, np.full(b - a, BEGIN)]
+                two.append(bigrams(prev, now, bits))
                 waiting += len(now)
                 if waiting >= FLUSH:
-                    yield from flush()
-                    one, two, waiting = [], [], 0
+                    yield from flush(one, two)
+                    waiting = 0
         if one:
-            yield from flush()
+            yield from flush(one, two)
 
     return run
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """One shard's arrays added up."""
-    gram, shard = table["gram"][0].as_py(), table["shard"][0].as_py()
-    read = (lambda b: np.frombuffer(b, np.uint64)) if gram == 1 else _from_five
-    keys, counts = [], []
-    for once, more, c in zip(table["once"].to_pylist(), table["more"].to_pylist(), table["counts"].to_pylist()):
-        keys += [read(once), read(more)]
-        counts += [np.ones(len(keys[-2]), np.uint64), np.frombuffer(c, np.uint32).astype(np.uint64)]
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    keys, counts = keys[first], np.add.reduceat(counts, first)
-    real = keys != BEGIN if gram == 1 else np.ones(len(keys), bool)
-    pack = (lambda x: x.tobytes()) if gram == 1 else _five
-    row = [gram, shard, pack(keys[counts == 1]), pack(keys[counts > 1]), counts[counts > 1].tobytes(), int(level(counts).sum()), int(real.sum()), int(counts[real].sum())]
-    return pa.table({n: pa.array([x], t) for x, (n, t) in zip(row, (("gram", pa.int32()), ("shard", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("counts", pa.binary()), ("entries", pa.int64()), ("words", pa.int64()), ("tokens", pa.int64())))})
-
-
-def _arrays(batch: pa.RecordBatch):
-    for gram, shard, once, more, counts in zip(*(batch.column(c).to_pylist() for c in ("gram", "shard", "once", "more", "counts"))):
-        read = (lambda b: np.frombuffer(b, np.uint64)) if gram == 1 else _from_five
-        a, b, c = read(once), read(more), np.frombuffer(counts, np.uint64)
-        yield gram, shard, np.concatenate([a, b]), np.concatenate([np.ones(len(a), np.int64), c.astype(np.int64)])
-
-
-def _spots(keys: np.ndarray, q: np.ndarray | int, size: np.ndarray | int):
+def _spots(keys: np.ndarray, q: int, size: np.ndarray | int):
     """Bits, within a segment of ``size`` bits, of keys entered at level ``q``."""
-    g = mix(keys + np.uint64(0xD1B54A32D192ED03) * np.asarray(q).astype(np.uint64))
+    g = mix(keys + np.uint64(0xD1B54A32D192ED03) * np.uint64(q))
     a, b = g & np.uint64(0xFFFFFFFF), g >> np.uint64(32)
     for i in range(PROBES):
         yield ((a + np.uint64(i) * b & np.uint64(0xFFFFFFFF)) * np.asarray(size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-def _probed(raw: np.ndarray, keys: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """The level of each key, whose segment of ``size`` bits begins at the bit ``start`` of ``raw``."""
-    q, on, at = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-    while len(on) and at < 130:
-        hit = np.ones(len(on), bool)
-        for spot in _spots(keys[on], at, size):
-            spot += start[on]
-            hit &= (raw[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
-        on = on[hit]
-        q[on] = at
-        at += 1
-    return q
-
-
-class Filter:
-    """The segments of all shards, one after another; shards of words first."""
+def segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits of one shard's keys."""
+    q = level(counts)
+    bits = np.zeros(8 * max(1, BITS_EACH * int(q.sum()) // 8), bool)
+    for at in range(1, int(q.max(initial=0)) + 1):
+        for spot in _spots(keys[q >= at], at, len(bits)):
+            bits[spot] = True
+    return bits
 
-    def __init__(self, bits: int, sizes: tuple[int, int], raw: np.ndarray):
-        self.bits, self.sizes, self.raw = bits, sizes, raw
 
-    def levels(self, keys: np.ndarray, gram: int) -> np.ndarray:
-        shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        inner = keys if gram == 1 else keys >> np.uint64(24 - self.bits) & LOW40
-        start = shard * self.sizes[gram - 1] + (0 if gram == 1 else (self.sizes[0] << self.bits))
-        return _probed(self.raw, inner, start, self.sizes[gram - 1])
-
-
-def _segments(sizes: tuple[int, int]):
-    def run(batches):
-        for batch in batches:
-            grams, shards, out = [], [], []
-            for gram, shard, keys, counts in _arrays(batch):
-                bits, q = np.zeros(sizes[gram - 1], bool), level(counts)
-                for at in range(1, int(q.max(initial=0)) + 1):
-                    for spot in _spots(keys[q >= at], at, sizes[gram - 1]):
-                        bits[spot] = True
-                grams.append(gram)
-                shards.append(shard)
-                out.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int32()), pa.array(shards, pa.int32()), pa.array(out, pa.binary())], ["gram", "shard", "segment"])
-
-    return run
+def _merged(table: pa.Table) -> pa.Table:
+    """One shard's arrays added up: its segment, and of words the exact counts."""
+    gram, shard = table["gram"][0].as_py(), table["shard"][0].as_py()
+    keys, counts = [], []
+    for once, more, c in zip(*(table[x].to_pylist() for x in ("once", "more", "counts"))):
+        keys += [unsqueezed(once), unsqueezed(more)]
+        counts += [np.ones(len(keys[-2]), np.uint64), unsqueezed(c)]
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    keys, counts = keys[first], np.add.reduceat(counts, first)
+    bits = segment(keys, counts)
+    real = (keys != BEGIN) & (gram == 1)
+    row = gram, shard, len(bits), np.packbits(bits, bitorder="little").tobytes(), squeezed(keys[real]), squeezed(counts[real]), int(real.sum()), int(counts[real].sum())
+    kinds = pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+    return pa.table([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in MERGED.split(", ")])
+
+
+class Segments:
+    """Of one gram size, the filter's segments of some shards, and of words the exact counts."""
+
+    def __init__(self, rows: pa.Table, gram: int, bits: int):
+        rows = rows.sort_by("shard")
+        self.gram, self.bits = gram, bits
+        self.shard, self.size = rows["shard"].to_numpy().astype(np.int64), rows["size"].to_numpy().astype(np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.raw = np.frombuffer(b"".join(rows["segment"].to_pylist()), np.uint8)
+        none = [np.zeros(0, np.uint64)]
+        self.keys, self.counts = (np.concatenate([*map(unsqueezed, rows[c].to_pylist())] or none) for c in ("keys", "counts"))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """By probing level after level, until one is missing."""
+        q = np.zeros(len(keys), np.int64)
+        if not len(self.shard):
+            return q
+        shard = shards(keys, self.gram, self.bits)
+        at = np.minimum(np.searchsorted(self.shard, shard), len(self.shard) - 1)
+        on, now = np.flatnonzero(self.shard[at] == shard), 1
+        while len(on) and now < 130:
+            hit = np.ones(len(on), bool)
+            for spot in _spots(keys[on], now, self.size[at[on]]):
+                spot += self.start[at[on]]
+                hit &= (self.raw[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+            on = on[hit]
+            q[on] = now
+            now += 1
+        return q
+
+    def exact(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], np.uint64(0))
 
 
 def _chunked(batches):
@@ -204,83 +221,68 @@ def _texts(bounds: bytes, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(bounds), raw])], ["text"])
 
 
-def _asked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words and bigrams of texts, in order."""
-    one, two = [np.array([BEGIN])], []
-    for _, _, data, bounds in slices(batch, "text"):
-        now, prev, _ = tokens(data, bounds)
-        one.append(np.unique(now))
-        two.append(np.unique(bigrams(prev, now)))
-    return np.unique(np.concatenate(one)), np.unique(np.concatenate(two))
-
-
 def _questions(bits: int):
-    """Rows of chunk, gram size, part (of the shards), keys. Of a bigram, the shard within the part and 40 bits are sent."""
+    """Rows of chunk, gram size, part (shards in a row) and the distinct keys of the chunk in it."""
 
     def run(batches):
         for batch in batches:
             for chunk, bounds, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "bounds", "data"))):
-                rows = []
-                for gram, keys in enumerate(_asked(_texts(bounds, data)), 1):
-                    part = keys >> np.uint64(64 - bits) >> np.uint64(NEAR)
-                    cut = np.searchsorted(part, np.arange((1 << bits - NEAR) + 1))
-                    kept = keys if gram == 1 else keys >> np.uint64(24 - bits) & np.uint64((1 << 40 + NEAR) - 1)
-                    rows += [(chunk, gram, int(p), _five(kept[cut[p] : cut[p + 1]], 8 if gram == 1 else 6)) for p in np.flatnonzero(np.diff(cut))]
-                kinds = pa.int64(), pa.int32(), pa.int32(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["chunk", "gram", "part", "keys"])
+                now, prev, _ = tokens(_texts(bounds, data))
+                for gram, keys in ((1, np.append(now, BEGIN)), (2, bigrams(prev, now, bits))):
+                    keys = np.unique(keys)
+                    cut = np.searchsorted(shards(keys, gram, bits) >> NEAR, np.arange((1 << max(0, bits - NEAR)) + 1))
+                    parts = np.flatnonzero(np.diff(cut))
+                    sent = [squeezed(keys[cut[p] : cut[p + 1]]) for p in parts]
+                    n = len(parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.full(n, gram, np.int32)), pa.array(parts.astype(np.int32)), pa.array(sent, pa.binary())], ["chunk", "gram", "part", "keys"])
 
     return run
 
 
-def _answers(bits: int, sizes: tuple[int, int]):
-    """The levels, a byte each, of the keys that chunks ask for; from the segments of one part."""
-    inside = np.uint64((1 << NEAR) - 1)
+def _answers(bits: int):
+    """For the keys that chunks ask for, from the segments of one part: levels, and words' exact counts."""
 
     def run(key, asked: pa.Table, held: pa.Table) -> pa.Table:
-        gram, part = (k.as_py() for k in key)
-        size = sizes[gram - 1]
-        raw = np.zeros((size << NEAR) // 8, np.uint8)
-        for shard, segment in zip(held["shard"].to_pylist(), held["segment"].to_pylist()):
-            at = (shard - (part << NEAR)) * size // 8
-            raw[at : at + size // 8] = np.frombuffer(segment, np.uint8)
-        out = []
+        gram = key[0].as_py()
+        own, levels, counts = Segments(held, gram, bits), [], []
         for sent in asked["keys"].to_pylist():
-            keys = _from_five(sent, 8 if gram == 1 else 6)
-            shard = keys >> np.uint64(64 - bits) & inside if gram == 1 else keys >> np.uint64(40)
-            q = _probed(raw, keys if gram == 1 else keys & LOW40, shard.astype(np.int64) * size, size)
-            out.append(q.astype(np.uint8).tobytes())
-        return pa.table({"chunk": asked["chunk"], "gram": asked["gram"], "part": asked["part"], "levels": pa.array(out, pa.binary())})
-
-    return run
-
-
-def _words(least: int, most: int):
-    """The words with a count level from ``least`` to ``most``, and their counts."""
-
-    def run(batches):
-        for batch in batches:
-            for _, _, keys, counts in _arrays(batch):
-                q = level(counts)
-                on = (q >= least) & (q <= most) & (keys != BEGIN)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[on].view(np.int64)), pa.array(counts[on])], ["h", "c"])
+            keys = unsqueezed(sent)
+            levels.append(own.levels(keys).astype(np.uint8).tobytes())
+            counts.append(squeezed(own.exact(keys)) if gram == 1 else b"")
+        return pa.table({"chunk": asked["chunk"], "gram": asked["gram"], "part": asked["part"], "levels": pa.array(levels, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
 
 
-def _level_sizes(batches):
-    for batch in batches:
-        for _, _, keys, counts in _arrays(batch):
-            n = np.bincount(level(counts[keys != BEGIN]), minlength=2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["q", "n"])
-
-
-def score(docs: DataFrame, learn=None, head: int = 1_000_000, filter_bytes: int = 64 << 20) -> DataFrame:
+def _scores(batch: pa.RecordBatch, ids: pa.Array, bits: int, n: int, v: int, read) -> pa.RecordBatch:
+    """``read`` (gram size, distinct keys in order) gives their levels and, of words, exact counts."""
+    now, prev, first = tokens(batch)
+    texts = len(first) - 1
+    word, at = np.unique(np.append(now, BEGIN), return_inverse=True)
+    levels, exact = read(1, word)
+    smooth = n + 0.1 * (v + 1)
+    c = value(levels)
+    uni = (c + 0.1) / smooth
+    c_prev = np.empty(len(now))
+    c_prev[1:] = c[at[:-2]]
+    c_prev[first[:-1]] = c[at[-1]]
+    at = at[:-1]
+    pair, where = np.unique(bigrams(prev, now, bits), return_inverse=True)
+    both = value(read(2, pair)[0])
+    p = (1 - BIGRAM) * uni[at] + BIGRAM * np.minimum(1, both[where] / np.maximum(c_prev, 1))
+    text = np.repeat(np.arange(texts), np.diff(first))
+    base = np.bincount(text, (np.log10(exact.astype(np.float64) + 0.1) - np.log10(smooth))[at], texts)
+    known = np.bincount(text, (exact > 0)[at], texts).astype(np.int64)
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(np.bincount(text, np.log10(p), texts))], [c.split()[0] for c in SCORED.split(", ")])
+
+
+def score(docs: DataFrame, learn=None, broadcast_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and one end for every text; the rows where
     ``learn``, a condition on doc_id, holds (default: all) are counted. With c the token's count, N all and V the
     distinct tokens counted, base_score sums log10((c + 0.1) / (N + 0.1 * (V + 1))); n_known counts tokens with c > 0.
-    score sums log10 of (1 - BIGRAM) * unigram + BIGRAM * bigram probability, all counts read from the filter. ``filter_bytes``
+    score sums log10 of (1 - BIGRAM) * unigram + BIGRAM * bigram probability, all counts read from the filter. ``broadcast_bytes``
     decides how the filter is read, not what it says.
 
     Null and empty texts are an end alone. Repeated rows count as often as they come, and keep their rows, as null
@@ -288,99 +290,39 @@ def score(docs: DataFrame, learn=None, head: int = 1_000_000, filter_bytes: int
     Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    bits = min(20, (4 * partitions(spark)).bit_length())
-    taught = docs.where(learn) if learn is not None else docs
-    shards = taught.select(*text_bytes()).mapInArrow(_counter(bits), "gram int, shard int, once binary, more binary, counts binary")
-    merged = "gram int, shard int, once binary, more binary, counts binary, entries bigint, words bigint, tokens bigint"
-    grams = written(shards.groupBy("gram", "shard").applyInArrow(_merged, merged), "grams")
-    total = {r.gram: r for r in grams.groupBy("gram").agg(F.sum("entries").alias("entries"), F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()}
-    n, v = (total[1].tokens, total[1].words) if total else (0, 0)
-    entries = [total[g].entries if g in total else 0 for g in (1, 2)]
-    sizes = tuple(8 * max(1, BITS_EACH * e // (8 << bits)) for e in entries)
-    segments = grams.mapInArrow(_segments(sizes), "gram int, shard int, segment binary")
-    raw = None
-    if sum(sizes) << bits <= 8 * filter_bytes:
-        raw = np.zeros((sum(sizes) << bits) // 8, np.uint8)
-        all_segments = segments.toArrow()
-        for gram, shard, segment in zip(all_segments["gram"].to_pylist(), all_segments["shard"].to_pylist(), all_segments["segment"]):
-            at = (shard * sizes[gram - 1] + (0 if gram == 1 else sizes[0] << bits)) // 8
-            raw[at : at + sizes[gram - 1] // 8] = np.frombuffer(segment.as_buffer(), np.uint8)
-        del all_segments
-
-    unigrams = grams.where("gram = 1").select("gram", "shard", "once", "more", "counts")
-    least, room = 1 << 20, head
-    for r in unigrams.mapInArrow(_level_sizes, "q bigint, n bigint").groupBy("q").agg(F.sum("n").alias("n")).orderBy(F.desc("q")).collect():
-        room -= r.n
-        if room < 0:
-            break
-        least = r.q
-    top = unigrams.mapInArrow(_words(least, 1 << 20), "h bigint, c bigint").toArrow()
-    keys, counts = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy().astype(np.float64)
-    order = np.argsort(keys)
-    below = np.log10(n + 0.1 * (v + 1))
-    model = spark.sparkContext.broadcast((raw, keys[order], np.log10(counts[order] + 0.1) - below))
-
-    names = ["row", "doc_id", "n_tokens", "top_known", "top_base", "score", "rare", "times"]
-
-    def scores(batch: pa.RecordBatch, rows: np.ndarray, ids: pa.Array, levels) -> pa.RecordBatch:
-        _, known, logs = model.value
-        n_tokens, n_known, base, score_, rare, times = [], [], [], [], [], []
-        for _, _, data, bounds in slices(batch, "text"):
-            now, prev, first = tokens(data, bounds)
-            word, at = np.unique(now, return_inverse=True)
-            c = value(levels(word, 1))
-            uni = ((c + 0.1) / (n + 0.1 * (v + 1)))[at]
-            pair, where = np.unique(bigrams(prev, now), return_inverse=True)
-            both = value(levels(pair, 2))[where]
-            c_begin = value(levels(np.array([BEGIN]), 1))[0]
-            c_prev = np.concatenate(([c_begin], c[at[:-1]]))
-            c_prev[first[:-1]] = c_begin
-            p = (1 - BIGRAM) * uni + BIGRAM * np.minimum(1, both / np.maximum(c_prev, 1))
-            spot = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-            is_top = known[spot] == word if len(known) else np.zeros(len(word), bool)
-            log = np.where(is_top, logs[spot] if len(logs) else 0.0, 0.0)
-            text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            base.append(np.bincount(text, log[at], len(first) - 1))
-            n_known.append(np.bincount(text, is_top[at], len(first) - 1))
-            score_.append(np.bincount(text, np.log10(p), len(first) - 1))
-            n_tokens.append(np.diff(first))
-            out = np.flatnonzero(~is_top[at])
-            key = np.unique((text[out] << 32) | at[out], return_counts=True)
-            cut = np.searchsorted(key[0] >> 32, np.arange(len(first)))
-            h, m = word[key[0] & 0xFFFFFFFF].view(np.int64), key[1].astype(np.int32)
-            rare += [h[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            times += [m[a:b] for a, b in zip(cut[:-1], cut[1:])]
-        done = [pa.array(np.concatenate(x) if x else [], t) for x, t in ((n_tokens, pa.int64()), ([y.astype(np.int64) for y in n_known], pa.int64()), (base, pa.float64()), (score_, pa.float64()))]
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), ids, *done, pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names)
-
-    def run(batches):
-        read = Filter(bits, sizes, model.value[0])
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            yield scores(batch, np.arange(row, row + batch.num_rows), batch.column("doc_id"), read.levels)
-            row += batch.num_rows
-
-    def run_chunk(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        batch, answers = _texts(texts["bounds"][0].as_py(), texts["data"][0].as_py()), answers.sort_by("part")
-        keys, gram = _asked(batch), answers["gram"].to_numpy()
-        levels = [np.frombuffer(b"".join(answers["levels"].filter(pa.array(gram == g)).to_pylist()), np.uint8).astype(np.int64) for g in (1, 2)]
-        ids, row = texts["ids"].combine_chunks().flatten(), key[0].as_py()
-        found = lambda asked, g: levels[g - 1][np.searchsorted(keys[g - 1], asked)]
-        return pa.Table.from_batches([scores(batch, np.arange(row, row + batch.num_rows), ids, found)])
-
-    part = "row bigint, doc_id bigint, n_tokens bigint, top_known bigint, top_base double, score double, rare array<bigint>, times array<int>"
-    if raw is not None:
-        scored = written(docs.select(*text_bytes()).mapInArrow(run, part), "scored")
+    bits = min(24, (4 * partitions(spark)).bit_length())
+    rows = docs.select("doc_id", "text")
+    taught = rows.where(learn) if learn is not None else rows
+    counted = taught.select(*text_bytes()).mapInArrow(_counter(bits), SHARD)
+    grams = written(counted.groupBy("gram", "shard").applyInArrow(_merged, MERGED), "grams")
+    total = grams.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), F.sum(F.col("size") / 8 + 16 * F.col("words")).alias("held")).first()
+    n, v = total.n or 0, total.v or 0
+
+    if (total.held or 0) <= broadcast_bytes:
+        model = spark.sparkContext.broadcast(grams.toArrow())
+
+        def near(batches):
+            held = {g: Segments(model.value.filter(pa.compute.equal(model.value["gram"], g)), g, bits) for g in (1, 2)}
+            for batch in batches:
+                for a, b, _, _ in slices(batch, "text", CHUNK):
+                    yield _scores(batch.slice(a, b - a), batch.column("doc_id").slice(a, b - a), bits, n, v, lambda g, keys: (held[g].levels(keys), held[g].exact(keys)))
+
+        scored = rows.select(*text_bytes()).mapInArrow(near, SCORED)
     else:
-        chunks = written(docs.select(*text_bytes()).mapInArrow(_chunked, "chunk bigint, ids array<bigint>, bounds binary, data binary"), "chunks")
+
+        def far(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
+            batch, answers = _texts(texts["bounds"][0].as_py(), texts["data"][0].as_py()), answers.sort_by("part")
+            told = {}
+            for g in (1, 2):
+                own = answers.filter(pa.compute.equal(answers["gram"], g))
+                counts = [unsqueezed(x) for x in own["counts"].to_pylist()] if g == 1 else []
+                told[g] = np.frombuffer(b"".join(own["levels"].to_pylist()), np.uint8).astype(np.int64), np.concatenate(counts) if counts else None
+            return pa.Table.from_batches([_scores(batch, texts["ids"].combine_chunks().flatten(), bits, n, v, lambda g, keys: told[g])])
+
+        chunks = written(rows.select(*text_bytes()).mapInArrow(_chunked, "chunk bigint, ids array<bigint>, bounds binary, data binary"), "chunks")
         asked = chunks.select("chunk", "bounds", "data").mapInArrow(_questions(bits), "chunk bigint, gram int, part int, keys binary")
-        held = segments.withColumn("part", F.shiftright("shard", NEAR))
-        answers = asked.groupBy("gram", "part").cogroup(held.groupBy("gram", "part")).applyInArrow(_answers(bits, sizes), "chunk bigint, gram int, part int, levels binary")
+        held = grams.withColumn("part", F.shiftright("shard", NEAR))
+        answers = asked.groupBy("gram", "part").cogroup(held.groupBy("gram", "part")).applyInArrow(_answers(bits), "chunk bigint, gram int, part int, levels binary, counts binary")
         with arrow_rows(spark, 64):  # a chunk is a row of megabytes
-            scored = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, part), "scored")
-    tail = scored.where("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
-    tail = tail.join(unigrams.mapInArrow(_words(1, least - 1), "h bigint, c bigint"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    tail = tail.groupBy("row").agg(F.sum(F.col("m") * (F.log10(F.col("c") + 0.1) - float(below))).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known"))
-    out = scored.drop("rare", "times").join(tail, "row", "left")
-    known_sum = (F.col("top_known") + F.coalesce("rare_known", F.lit(0))).cast("bigint")
-    return out.select("doc_id", "n_tokens", known_sum.alias("n_known"), F.lit(int(n)).cast("bigint").alias("train_tokens"), (F.col("top_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score")
+            scored = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(far, SCORED), "scored")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("bigint").alias("train_tokens"), "base_score", "score")
