@@ -19,21 +19,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import written
+from lumenfold.llm.shared import unused, written
 
-#: Shorter lines are dropped only for an equal one: one edit is much of them.
-NEAR_FROM = 20
 #: So many candidate lines at most are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LINES = 500_000
 
 
 def _position() -> Column:
-    return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "th", "no")
+    return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "th", "th2", "no")
+
+
+def _text_hashes() -> list[Column]:
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2")]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("no", "line")).where(F.trim("line") != "")
+    lines = docs.select("doc_id", *_text_hashes(), F.posexplode(F.split(text, "\n")).alias("no", "line")).where(F.trim("line") != "")
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "n": F.length("line")})
 
 
@@ -72,12 +75,12 @@ if(longer = 0,
 """
 
 
-def near_lines(docs: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, first: DataFrame, lines: DataFrame, near_from: int) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier line one edit away."""
-    halves = lines.where(F.col("n") >= NEAR_FROM).select("h1", "h2", F.explode("halves").alias("half"))
+    halves = lines.where(F.col("n") >= near_from).select("h1", "h2", F.explode("halves").alias("half"))
     met = written(_shared(halves, "half").select("h1", "h2").distinct(), "met")
     some = F.broadcast(met) if met.count() <= BROADCAST_LINES else met
-    texts = _lines(docs).where(F.col("n") >= NEAR_FROM).join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = _lines(docs).where(F.col("n") >= near_from).join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = written(texts.join(first, ["h1", "h2"]).withColumn("n", F.length("line")), "texts")
 
     base = lambda m, longer: _BLOCKS.format(m=m, longer=longer)
@@ -97,31 +100,41 @@ def near_lines(docs: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame
     return sure.select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_from: int = 20, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` with every line dropped from ``text`` that an earlier line makes superfluous, and n_lines, n_dropped.
 
     Lines end at line feeds. Earlier: smaller doc_id (null last), then place in the text. A line goes if an equal one
-    comes earlier, or, from ``NEAR_FROM`` characters on, if a line at Levenshtein distance 1 comes before its first
-    copy (kept itself or not). Blank lines (spaces only) stay and are not counted.
+    comes earlier, or, from ``near_from`` characters on (one edit is much of a shorter line), if a line at Levenshtein distance 1 comes before
+    its first copy (kept itself or not). Blank lines (spaces only) stay and are not counted.
 
-    Every row stays, with its other columns as they are; a text may become empty. Null texts stay null, with 0 lines. Of
+    Every row stays, with its other columns as they are, whatever their names; columns that are called ``n_lines`` or ``n_dropped`` already are
+    replaced by the counts. A text may become empty. Null texts stay null, with 0 lines. Of
     rows with one doc_id and different texts, the order is that of the texts' hashes; rows equal in both are one
     document and get the same result. An empty table gives no rows.
     """
     slim = docs.select("doc_id", "text")
-    lines = written(_lines(slim).withColumn("halves", F.when(F.col("n") >= NEAR_FROM, _halves())).drop("line"), "lines")
+    lines = written(_lines(slim).withColumn("halves", F.when(F.col("n") >= near_from, _halves())).drop("line"), "lines")
     first = written(lines.groupBy("h1", "h2").agg(F.min(_position()).alias("first")), "first")
-    near = near_lines(slim, first, lines).withColumn("near", F.lit(True))
+    near = near_lines(slim, first, lines, near_from).withColumn("near", F.lit(True))
     verdict = written(first.join(near, ["h1", "h2"], "left"), "verdict")
     gone = lines.join(verdict, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (_position() != F.col("first")))
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("no").alias("gone"))
-    own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = own.join(gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("gone").alias("__gone")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    th, th2, id_, h, h2, out_ = (unused(docs, c) for c in ("th_of_row", "th2_of_row", "id_of_line", "th_of_line", "th2_of_line", "lines_out"))
+    gone = gone.groupBy(F.col("doc_id").alias(id_), F.col("th").alias(h), F.col("th2").alias(h2)).agg(F.collect_set("no").alias(out_))
+    own = docs.withColumns(dict(zip((th, th2), _text_hashes())))
+    out = own.join(written(gone, "gone"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(th) == F.col(h)) & (F.col(th2) == F.col(h2)), "left")
     split = F.split("text", "\n")
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone"))
-    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), out_))
+    cleaned = F.when(F.col(out_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
     counted = F.coalesce(F.size(F.filter(split, lambda x: F.trim(x) != "")), F.lit(0))
-    return out.select(*(cleaned.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.when(F.col("text").isNull(), 0).otherwise(counted).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_dropped"))
+    names = [c for c in docs.columns if c.lower() not in (n_lines.lower(), n_dropped.lower())]
+    counts = F.when(F.col("text").isNull(), 0).otherwise(counted).alias(n_lines), F.coalesce(F.size(out_), F.lit(0)).alias(n_dropped)
+    return out.select(*(cleaned.alias(c) if c == "text" else F.col(f"`{c}`") for c in names), *counts)
+
+
+def without_repeated_lines(docs: DataFrame, near_from: int = 20) -> DataFrame:
+    """``docs`` with superfluous lines dropped by ``dedup_lines``, and no columns but its own."""
+    n_lines = unused(docs, "n_lines")
+    return dedup_lines(docs, near_from, n_lines, unused(docs.withColumn(n_lines, F.lit(0)), "n_dropped")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: The same rule in DuckDB, for tables with one row for each doc_id; lines that share neither half are never close.
