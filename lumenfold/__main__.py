@@ -1,64 +1,104 @@
-"""``python -m lumenfold STORE COMMAND ...``: ingest, list, remove, search, stats, themes, derive, watch."""
+"""``python -m lumenfold STORE COMMAND ...``: ingest, watch, list, remove, index, search, ask, enrich, digest, stats, themes, derive, vacuum."""
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from lumenfold.operators import corpus, insights, signals, stats
 from lumenfold.plans import flows
-from lumenfold.plans.providers import HashEmbedder
+from lumenfold.plans.providers import ChatProvider, EchoChat, HashEmbedder
 from lumenfold.session import session
+from lumenfold.settings import Settings
+from lumenfold.sources.conversations import DIGESTS
 from lumenfold.sources.snapshots import Snapshots
 from lumenfold.sources.texts import from_folder
 from lumenfold.streaming import drops
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None, settings: Settings | None = None, chat: ChatProvider | None = None) -> None:
+    """``chat`` stands for a chat model; the default only repeats what it is told."""
+    settings, chat = settings or Settings.read(os.environ), chat or EchoChat()
     parser = argparse.ArgumentParser(prog="lumenfold", description=__doc__)
     parser.add_argument("store")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("ingest", "watch"):
         commands.add_parser(name).add_argument("folder")
-    for name in ("list", "stats", "themes"):
+    for name in ("list", "stats", "themes", "index", "vacuum"):
         commands.add_parser(name)
-    search = commands.add_parser("search")
-    search.add_argument("query")
-    search.add_argument("-k", type=int, default=8)
+    for name, what in (("search", "query"), ("ask", "question")):
+        sub = commands.add_parser(name)
+        sub.add_argument(what)
+        sub.add_argument("-k", type=int, default=settings.k)
+    commands.add_parser("enrich").add_argument("--limit", type=int)
+    commands.add_parser("digest").add_argument("--force", action="store_true")
     gone = commands.add_parser("remove")
     gone.add_argument("ids", nargs="*")
+    gone.add_argument("--all", action="store_true", dest="everything")
+    gone.add_argument("--yes", action="store_true")
     derive = commands.add_parser("derive")
     derive.add_argument("--since")
+    derive.add_argument("--pass", dest="pass_name", choices=["lexical"], default="lexical")
     derive.add_argument("--rebuild", action="store_true")
-    for sub in (search, gone):
-        sub.add_argument("--from", dest="date_from")
-        sub.add_argument("--to", dest="date_to")
+    derive.add_argument("--aggregate", action="store_true")
+    for name in ("search", "ask", "digest", "remove"):
+        commands.choices[name].add_argument("--from", dest="date_from")
+        commands.choices[name].add_argument("--to", dest="date_to")
     args = parser.parse_args(argv)
 
     spark, now = session(), dt.datetime.now()
     store, embedder = Snapshots(spark, f"{args.store}/entries", corpus.CHUNKS), HashEmbedder()
-    stamp = now.isoformat(timespec="seconds")
+    index = Snapshots(spark, f"{args.store}/postings", "term string, id string, dl int, tf int", "term")
+    stamp, today = now.isoformat(timespec="seconds"), now.date()
     if args.command == "ingest":
-        corpus.ingest_summary(flows.ingest(store, from_folder(spark, args.folder), embedder, now.date(), stamp)).show()
+        status = flows.ingest(store, from_folder(spark, args.folder), embedder, today, stamp)
+        corpus.dates_to_check(corpus.ingest_summary(status), settings.mtime_warning).show()
+        corpus.date_sources(status).show()
     elif args.command == "watch":
-        drops.follow(spark, store, args.folder, f"{args.store}/watch", embedder, now.date(), stamp).awaitTermination()
+        drops.follow(spark, store, args.folder, f"{args.store}/watch", embedder, today, stamp).awaitTermination()
     elif args.command == "list":
         corpus.list_entries(store.read()).show(1000, truncate=False)
+    elif args.command == "index":
+        print(flows.reindex(store, index).count(), "postings")
+    elif args.command == "vacuum":
+        print(store.vacuum() + index.vacuum(), "folders went")
     elif args.command == "remove":
-        flows.remove(store, args.ids, args.date_from, args.date_to)
+        if not args.everything:
+            flows.to_remove(store, args.ids, args.date_from, args.date_to).orderBy("entry_id").show(20, truncate=False)
+        if args.yes or input("Remove? [y/N] ").strip().lower() == "y":
+            print(flows.remove(store, args.ids, args.date_from, args.date_to, args.everything), "entries were asked to go")
     elif args.command == "search":
-        flows.hybrid_search(store.read(), args.query, embedder, args.k, args.date_from, args.date_to).orderBy(F.desc("score")).select("date", "entry_id", "text").show(args.k, truncate=100)
+        postings = index.read()
+        found = flows.hybrid_search(store.read(), args.query, embedder, args.k, args.date_from, args.date_to, settings.pool, None if postings.isEmpty() else postings)
+        found.orderBy(F.desc("score")).select("date", "entry_id", "text").show(args.k, truncate=100)
+    elif args.command == "ask":
+        said = flows.ask(store.read(), args.question, embedder, chat, today, args.k, args.date_from, args.date_to, auto_dates=True)
+        print(said.text, *said.dates, sep="\n")
+    elif args.command == "enrich":
+        flows.enrich(store, chat, args.limit)
+        corpus.pending(store.read()).show()
+    elif args.command == "digest":
+        cache = Snapshots(spark, f"{args.store}/digests", DIGESTS, "cache_key", 1)
+        entries = corpus.collapse(store.read(), args.date_from, args.date_to)
+        text, cached, digests = flows.compose_digest(entries, cache.read(), chat, args.date_from or "", args.date_to or "", type(chat).__name__, stamp, args.force)
+        if not cached:
+            cache.write(digests)
+        print(text)
     elif args.command == "stats":
         entries = corpus.collapse(store.read())
-        for frame in (stats.entries_per_year(entries), stats.mean_mood_per_year(entries), stats.top_tokens(entries, "topics"), insights.cadence(entries, now.date())):
+        for frame in (corpus.corpus_totals(store.read()), stats.entries_per_year(entries), stats.mean_mood_per_year(entries), stats.top_tokens(entries, "topics"), insights.cadence(entries, today)):
             frame.show(truncate=False)
     elif args.command == "themes":
         flows.discover_themes(store.read())[0].show(truncate=False)
     elif args.command == "derive":
-        signal_store = Snapshots(spark, f"{args.store}/signals", corpus.SIGNALS)
-        flows.derive(store, signal_store, signals.LexicalPass(), stamp, args.since, args.rebuild).groupBy("key").count().show(truncate=False)
+        signal_store, a_pass = Snapshots(spark, f"{args.store}/signals", corpus.SIGNALS, "chunk_id"), signals.LexicalPass()
+        flows.derive(store, signal_store, a_pass, stamp, args.since, args.rebuild).groupBy("key").count().show(truncate=False)
+        if args.aggregate:
+            rollup = Snapshots(spark, f"{args.store}/rollup", signals.ROLLUP)
+            signals.lexical_wide(flows.aggregate(store, signal_store, rollup, a_pass), a_pass.keys).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -24,10 +24,9 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)"), F.lit(1))
 
 
-def theme_words(c: Column, stopwords: Iterable[str]) -> Column:
-    """Runs of three and more letters and apostrophes, lower-cased, without stop-words."""
-    found = F.transform(F.regexp_extract_all(c, F.lit("([a-zA-Z']{3,})"), F.lit(1)), F.lower)
-    return F.filter(found, lambda w: ~w.isin(*sorted(stopwords)))
+def theme_words(c: Column) -> Column:
+    """Runs of three and more letters and apostrophes, lower-cased."""
+    return F.transform(F.regexp_extract_all(c, F.lit("([a-zA-Z']{3,})"), F.lit(1)), F.lower)
 
 
 def word_count(c: Column) -> Column:
@@ -42,13 +41,21 @@ def chunk_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
-def count_of(words: Column, chosen: Iterable[str]) -> Column:
-    """How many of ``words`` are in a set; repetitions count."""
-    return F.size(F.filter(words, lambda w: w.isin(*chosen)))
+def count_of(word: Column, chosen: Iterable[str]) -> Column:
+    """An aggregate over words: how many are in a set; repetitions count."""
+    return F.count_if(word.isin(*chosen)).cast("int")
 
 
-def distinct_of(words: Column, chosen: Iterable[str]) -> Column:
-    return F.size(F.array_intersect(words, F.array(*map(F.lit, chosen))))
+def distinct_of(word: Column, chosen: Iterable[str]) -> Column:
+    """An aggregate over words: how many different ones of a set occur. Each word of the set has a bit of its own."""
+    words = list(dict.fromkeys(chosen))
+    parts = []
+    for i in range(0, len(words), 63):
+        bit = F.lit(None).cast("bigint")
+        for j, w in enumerate(words[i : i + 63]):
+            bit = F.when(word == w, F.lit(1 << j).cast("bigint")).otherwise(bit)
+        parts.append(F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint"))))
+    return sum(parts[1:], parts[0]) if parts else F.lit(0)
 
 
 def first_largest(counts: dict[str, Column], none: str) -> Column:
@@ -64,6 +71,12 @@ def listed(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def shown(c: Column) -> Column:
+    """The parts of a list as people see it: ``listed``, without brackets and quotes and without what only says that there is nothing."""
+    parts = F.transform(listed(F.coalesce(c, F.lit(""))), lambda x: F.regexp_replace(x, r"^[\[\s'\"]+|[\]\s'\"]+$", ""))
+    return F.filter(parts, lambda x: ~F.lower(x).isin("", "none", "null"))
+
+
 def clean_list(c: Column) -> Column:
     """An array of strings as a list: trimmed, lower-cased, each once in its order."""
     return F.array_join(F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(stripped(x))), lambda x: x != "")), ", ")
@@ -91,22 +104,25 @@ def chunks(c: Column, target: int = 400, overlap: int = 1, delimiter: str = r"\n
     paragraph is added without a second look at the budget.
     """
     parts = F.transform(paragraphs(c, delimiter), lambda p: F.struct(p.alias("p"), word_count(p).alias("w")))
-    words = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["w"])
-    kinds = "struct<done: array<array<string>>, now: array<struct<p: string, w: int>>>"
+    # only the paragraph's number, the open chunk's first one and words, and the finished ranges are carried
+    kinds = "struct<at: int, first: int, words: int, held: array<int>, done: array<struct<a: int, b: int>>>"
 
     def take(state: Column, x: Column) -> Column:
-        full = (words(state["now"]) + x["w"] > target) & (F.size(state["now"]) > 0)
-        held = F.slice(state["now"], F.greatest(F.lit(1), F.size(state["now"]) - overlap + 1), overlap) if overlap else F.slice(state["now"], 1, 0)
-        text = F.transform(state["now"], lambda y: y["p"])
-        done = F.when(full, F.concat(state["done"], F.array(text))).otherwise(state["done"])
-        return F.struct(done.alias("done"), F.concat(F.when(full, held).otherwise(state["now"]), F.array(x)).alias("now")).cast(kinds)
-
-    start = F.expr(f"cast(named_struct('done', array(), 'now', array()) as {kinds})")
+        at = state["at"] + 1
+        full = (state["words"] + x["w"] > target) & (state["first"] <= state["at"])
+        kept = F.least(F.lit(overlap), at - state["first"])
+        first = F.when(full, at - kept).otherwise(state["first"])
+        carried = F.aggregate(F.slice(state["held"], F.greatest(F.lit(1), F.size(state["held"]) - kept + 1), kept), F.lit(0), lambda s, w: s + w) if overlap else F.lit(0)
+        words = F.when(full, carried).otherwise(state["words"]) + x["w"]
+        held = F.slice(F.array_append(state["held"], x["w"]), F.greatest(F.lit(1), F.size(state["held"]) + 2 - max(1, overlap)), max(1, overlap))
+        done = F.when(full, F.array_append(state["done"], F.struct(state["first"].alias("a"), state["at"].alias("b")))).otherwise(state["done"])
+        return F.struct(at.alias("at"), first.alias("first"), words.alias("words"), held.alias("held"), done.alias("done")).cast(kinds)
+
+    start = F.expr(f"cast(named_struct('at', 0, 'first', 1, 'words', 0, 'held', array(), 'done', array()) as {kinds})")
     end = F.aggregate(parts, start, take)
-    packed = F.concat(end["done"], F.array(F.transform(end["now"], lambda y: y["p"])))
-    whole = F.array(F.transform(parts, lambda y: y["p"]))
-    groups = F.when(words(parts) <= target, whole).otherwise(packed)
-    return F.filter(F.transform(groups, lambda g: F.array_join(g, "\n\n")), lambda t: t != "")
+    ranges = F.array_append(end["done"], F.struct(end["first"].alias("a"), end["at"].alias("b")))
+    text = lambda r: F.array_join(F.transform(F.slice(parts, r["a"], r["b"] - r["a"] + 1), lambda y: y["p"]), "\n\n")
+    return F.when(F.size(parts) == 0, F.expr("cast(array() as array<string>)")).otherwise(F.filter(F.transform(ranges, text), lambda t: t != ""))
 
 
 def windows(c: Column, most: int = 1800) -> Column:

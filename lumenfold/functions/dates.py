@@ -15,6 +15,12 @@ _LONG = "January February March April May June July August September October Nov
 _MONTH = "(?:" + "|".join(s + "".join(f"(?:{c}" for c in long[3:]) + ")?" * (len(long) - 3) for s, long in zip(MONTHS, _LONG)) + "|Sept)"
 
 
+# Fixed formats: file names carry YYYYMMDD, year-month-day, or month-day-year, header lines a numeric date or a month's name.
+_SEP = "[-_./]"
+_COMPACT, _YEAR_FIRST, _YEAR_LAST = r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)", rf"(?<!\d)(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})(?!\d)", rf"(?<!\d)(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{2,4}})(?!\d)"
+_NUMERIC, _MONTH_FIRST, _DAY_FIRST = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", rf"{_MONTH}\.?\s+\d{{1,2}},?\s+\d{{4}}", rf"\d{{1,2}}\s+{_MONTH}\.?\s+\d{{4}}"
+
+
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
     """A date, or null where the calendar has none or the year is implausible."""
     y, m, d = (x.try_cast("int") for x in (year, month, day))
@@ -29,10 +35,7 @@ def _parts(c: Column, pattern: str) -> list[Column]:
 
 def filename_date(name: Column, day_first: bool = False) -> Column:
     """YYYYMMDD, then year-month-day, then month-day-year (or day-month where that is none); of each only the first match is tried."""
-    sep = "[-_./]"
-    compact = _parts(name, r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)")
-    ymd = _parts(name, rf"(?<!\d)(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})(?!\d)")
-    a, b, short = _parts(name, rf"(?<!\d)(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{2,4}})(?!\d)")
+    compact, ymd, (a, b, short) = (_parts(name, p) for p in (_COMPACT, _YEAR_FIRST, _YEAR_LAST))
     n = short.try_cast("int")
     year = F.when(n >= 100, n).when(n <= 69, n + 2000).otherwise(n + 1900)
     orders = [(b, a), (a, b)] if day_first else [(a, b), (b, a)]
@@ -42,8 +45,7 @@ def filename_date(name: Column, day_first: bool = False) -> Column:
 def header_date(body: Column) -> Column:
     """The first date in the first lines: year-month-day, month day year, or day month year with the month's name."""
     head = F.array_join(F.slice(F.split(body, r"\r\n|\n|\r"), 1, HEADER_LINES), "\n")
-    ymd, mdy, dmy = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", rf"{_MONTH}\.?\s+\d{{1,2}},?\s+\d{{4}}", rf"\d{{1,2}}\s+{_MONTH}\.?\s+\d{{4}}"
-    found = F.regexp_extract(head, rf"(?i)\b({ymd}|{mdy}|{dmy})\b", 1)
+    found = F.regexp_extract(head, rf"(?i)\b({_NUMERIC}|{_MONTH_FIRST}|{_DAY_FIRST})\b", 1)
     number = F.array(*map(F.lit, (m.lower() for m in MONTHS)))
     month = F.array_position(number, F.lower(F.regexp_extract(found, r"(?i)([a-z]{3})[a-z]*", 1))).cast("string")
     day = F.regexp_extract(found, r"(?<!\d)(\d{1,2})(?!\d)", 1)
@@ -76,6 +78,17 @@ def month_days(today: dt.date, window: int) -> list[str]:
     return sorted({(today + dt.timedelta(days=i)).strftime("%m-%d") for i in range(-window, window + 1)})
 
 
+def preset_range(name: str, today: dt.date) -> tuple[str | None, str | None]:
+    """(date_from, date_to) of ``all``, ``year`` (this one), a year such as ``2021``, or the last days, as in ``30 days``, today included."""
+    if name == "all":
+        return None, None
+    if name == "year" or name.isdigit():
+        year = today.year if name == "year" else int(name)
+        return f"{year:04}-01-01", f"{year:04}-12-31"
+    days = int(name.removesuffix("days"))
+    return (today - dt.timedelta(days=days - 1)).isoformat(), today.isoformat()
+
+
 def question_years(question: Column, today: dt.date) -> tuple[Column, Column]:
     """First and last day of the years that a question names; nulls where it names none."""
     found = F.transform(F.regexp_extract_all(question, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import columns as C
 from lumenfold.functions import dates as D
 
+# Fixed names: the fields of the data model.
 CHUNKS = """id string, entry_id string, source string, date string, date_int bigint, date_source string, text string, word_count int,
 content_hash string, chunk_index int, ingested_at string, vector array<float>, mood int, topics string, people string, places string, enriched boolean"""
 SIGNALS = "chunk_id string, entry_id string, namespace string, key string, value_num double, value_json string, model_tag string, content_hash string, computed_at string, pass_name string, pass_version string"
@@ -36,6 +37,26 @@ def enriched(entries: DataFrame) -> DataFrame:
     return entries.where("mood > 0")
 
 
+def has_enrichment(entries: DataFrame) -> DataFrame:
+    """One row: whether any entry has a mood; false for no entries."""
+    return entries.agg(F.coalesce(F.bool_or(F.col("mood") > 0), F.lit(False)).alias("has_enrichment"))
+
+
+def ordered_chunks(chunks: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """What a pass reads of a period, in the order of time: id, entry_id, date, text."""
+    return in_range(chunks, date_from, date_to).orderBy("date_int", "entry_id", "chunk_index").select("id", "entry_id", "date", "text")
+
+
+def corpus_totals(chunks: DataFrame) -> DataFrame:
+    """One row: entries, chunks and words of the whole collection."""
+    return chunks.agg(F.countDistinct("entry_id").alias("entries"), F.count("*").alias("chunks"), F.coalesce(F.sum("word_count"), F.lit(0)).cast("bigint").alias("words"))
+
+
+def duplicates(entries: DataFrame, key: str) -> DataFrame:
+    """Each content that several entries have: its hash, the least ``key``, and how many there are."""
+    return entries.groupBy("content_hash").agg(F.min(key).alias(f"first_{key}"), F.count("*").alias("copies")).where("copies > 1")
+
+
 def collapse(chunks: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """One row for each entry: of every column the value of the first chunk that has one, and the year."""
     columns = [c for c in chunks.columns if c != "entry_id"]
@@ -56,7 +77,11 @@ def list_entries(chunks: DataFrame) -> DataFrame:
 
 
 def search_entries(chunks: DataFrame, pattern: str) -> DataFrame:
-    """Entries with a match, whatever the case, in a chunk's text or in their id, date or source."""
+    """Entries with a match, whatever the case, in a chunk's text or in their id, date or source. What is no pattern is looked for as it stands."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        pattern = re.escape(pattern)
     hit = F.concat_ws("\n", "entry_id", "date", "source").rlike(f"(?i){pattern}") | F.col("text").rlike(f"(?i){pattern}")
     return chunks.where(hit).select("entry_id").distinct()
 
@@ -68,13 +93,16 @@ def entry_ids(chunks: DataFrame, date_from: str | None = None, date_to: str | No
 def ingest_status(records: DataFrame, existing: DataFrame) -> DataFrame:
     """Each record's content_hash and status: empty, skipped (nothing new), updated or added.
 
-    ``existing``: chunks. Of records with one id in a batch the first by text counts; the others are skipped.
+    ``existing``: chunks. Of records with one id in a batch the one with the least content_hash counts, equal ones are all one; the others are
+    skipped. Bodies are hashed where they are read: only ids and hashes are grouped.
     """
     known = existing.groupBy("entry_id").agg(F.max("content_hash").alias("known"))
     body = C.stripped(F.coalesce("body", F.lit("")))
-    nth = F.expr("row_number() over (partition by entry_id order by body)")
-    status = F.when(body == "", "empty").when((F.col("nth") > 1) | (F.col("known") == F.col("content_hash")), "skipped").when(F.col("known").isNotNull(), "updated").otherwise("added")
-    return records.withColumn("body", body).withColumn("content_hash", C.content_hash(body)).withColumn("nth", nth).join(known, "entry_id", "left").withColumn("status", status).drop("nth", "known")
+    hashed = records.withColumn("body", body).withColumn("content_hash", C.content_hash(F.col("body"))).withColumn("row", F.monotonically_increasing_id())
+    counts = hashed.select("entry_id", "content_hash", "row").groupBy("entry_id").agg(F.min(F.struct("content_hash", "row")).alias("first"))
+    counts = counts.join(known, "entry_id", "left").select("entry_id", "known", F.col("first.row").alias("first_row"))
+    status = F.when(F.col("body") == "", "empty").when((F.col("row") != F.col("first_row")) | (F.col("known") == F.col("content_hash")), "skipped").when(F.col("known").isNotNull(), "updated").otherwise("added")
+    return hashed.join(counts, "entry_id", "left").withColumn("status", status).drop("row", "first_row", "known")
 
 
 def to_chunks(records: DataFrame, ingested_at: str, target: int = 400, overlap: int = 1, delimiter: str = r"\n\s*\n") -> DataFrame:
@@ -104,6 +132,21 @@ def ingest_summary(status: DataFrame) -> DataFrame:
     return status.agg(count("added"), count("updated"), count("skipped"), F.count_if(F.col("status") != "empty").alias("n_entries"), by_mtime.alias("mtime_fraction"))
 
 
+def date_sources(status: DataFrame) -> DataFrame:
+    """How many changed entries were dated by what, most first."""
+    return status.where(F.col("status").isin("added", "updated")).groupBy("date_source").agg(F.count("*").alias("entries")).orderBy(F.desc("entries"), "date_source")
+
+
+def dates_to_check(summary: DataFrame, most: float = 0.3) -> DataFrame:
+    """``summary`` with ``check_dates``: more than ``most`` of the changed entries have only a file's time for a date."""
+    return summary.withColumn("check_dates", F.col("mtime_fraction") > most)
+
+
+def requested(ids: DataFrame) -> DataFrame:
+    """One row: how many different ids are asked to go, there or not; null and empty ones are none."""
+    return ids.where("entry_id <> ''").agg(F.countDistinct("entry_id").alias("requested"))
+
+
 def pending(chunks: DataFrame) -> DataFrame:
     return chunks.where("not enriched").agg(F.countDistinct("entry_id").alias("pending"))
 
@@ -124,10 +167,10 @@ def cleaned_answers(raw: DataFrame) -> DataFrame:
 
 
 def digest_key(entries: DataFrame, date_from: str, date_to: str, model: str) -> Column:
-    """An aggregate: changes with the period, the model, and any entry's content."""
-    parts = F.array_sort(F.collect_list(F.struct("entry_id", "content_hash")))
-    return F.sha2(F.concat(F.lit(f"{date_from}|{date_to}|{model}"), F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["entry_id"], x["content_hash"])), "")), 256)
+    """An aggregate: changes with the period, the model, and any entry's content, not with their order.
 
-
-def as_of(today: dt.date | str) -> dt.date:
-    return today if isinstance(today, dt.date) else dt.date.fromisoformat(today)
+    Each entry's digest is eight numbers of 32 bits, and sums do not depend on an order: so tasks add up what they have, and nothing is gathered.
+    """
+    own = F.sha2(F.concat_ws(":", "entry_id", "content_hash"), 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring(own, 8 * i + 1, 8), 16, 10).cast("bigint")), F.lit(0)).cast("string") for i in range(8)]
+    return F.sha2(F.concat_ws("|", F.lit(date_from), F.lit(date_to), F.lit(model), F.count("*").cast("string"), *sums), 256)

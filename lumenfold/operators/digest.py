@@ -37,7 +37,7 @@ def overview(entries: DataFrame) -> DataFrame:
     def top(column: str) -> DataFrame:
         counts = entries.select(F.explode(C.listed(F.coalesce(column, F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(5)
         names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "t"))), lambda x: x["t"])
-        return counts.agg(F.when(F.count("*") > 0, F.concat(F.lit(f"recurring {column}: "), F.array_join(names, ", "))).alias(column))
+        return counts.agg(F.when(F.count("*") > 0, F.concat(F.lit(f"often named {column}: "), F.array_join(names, ", "))).alias(column))
 
-    said = F.concat_ws("; ", F.format_string("%d entries in this period", "n"), F.when(F.col("moods") >= 3, F.format_string("mean mood %.1f/5", C.rounded(F.col("mean"), 1))), "topics", "people")
+    said = F.concat_ws("; ", F.format_string("entries: %d", "n"), F.when(F.col("moods") >= 3, F.format_string("mood: %.1f of 5 on average", C.rounded(F.col("mean"), 1))), "topics", "people")
     return count.join(mood).join(top("topics")).join(top("people")).select(said.alias("overview"))  # single rows

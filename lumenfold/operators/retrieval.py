@@ -14,7 +14,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def dense_topk(vectors: DataFrame, query: list[float], k: int = 40, key: str = "id") -> DataFrame:
-    """The nearest vectors, with their rank from 0. Filter by date before, so that the filter reaches the scan."""
+    """The nearest vectors, with their rank from 0; exact, by one scan of all of them. Filter by date before, so that the filter reaches the scan."""
     far = vectors.where("vector is not null").select(key, C.rounded(squared_distance(F.col("vector"), F.array(*map(F.lit, query))), 6).alias("distance"))
     return _ranked(far, k, F.col("distance"), F.col(key))
 
@@ -25,22 +25,46 @@ def _ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str = "id") -> DataFrame:
-    """term, id, tf and the document's length; the inverted index as a table."""
+    """term, id, tf and the text's length dl: the inverted index as a table. A text without words has one row, with a null term."""
     words = docs.select(F.col(key).alias("id"), C.tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    words = words.select("id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
+    return words.groupBy("term", "id", "dl").agg(F.count("term").cast("int").alias("tf"))
+
+
+def collection(index: DataFrame) -> DataFrame:
+    """One row: the texts of an index and their mean length. ``index``: postings, all of them."""
+    return index.agg(F.countDistinct("id").alias("n"), F.sum("tf").alias("words")).select("n", (F.col("words") / F.col("n")).alias("avgdl"))
+
+
+def query_terms(spark, query: str) -> list[str]:
+    return sorted(set(spark.range(1).select(C.tokens(F.lit(query)).alias("t")).first().t))
+
+
+def bm25_of(index: DataFrame, whole: DataFrame, query: str, k: int = 40, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Best matches in stored postings with their rank from 0; ``whole``: the row of ``collection``, ``allowed``: ids that may be found.
+
+    Only the postings of the query's terms are read: the filter reaches the scan.
+    """
+    terms = query_terms(index.sparkSession, query)
+    own = index.where(F.col("term").isin(*terms))
+    df = own.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
+    hits = own.join(allowed, "id", "left_semi") if allowed is not None else own
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(whole))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return _ranked(scored.groupBy("id").agg(C.rounded(F.sum(part), 6).alias("score")), k, F.desc("score"), F.col("id"))
 
 
 def bm25_topk(docs: DataFrame, query: str, k: int = 40, key: str = "id", allowed: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Best matches with their rank from 0. Statistics are of the whole collection; ``allowed`` limits the candidates.
+    """Best matches in texts without an index, with their rank from 0. Statistics are of the whole collection; ``allowed`` limits the candidates.
 
-    Only the query's terms are counted in each text, so nothing but their frequencies is shuffled.
+    Every text is read once, and leaves a row of its length and its counts of the query's terms, from which statistics and scores come.
     """
-    terms = sorted(set(docs.sparkSession.range(1).select(C.tokens(F.lit(query)).alias("t")).first().t))
+    terms = query_terms(docs.sparkSession, query)
     if not terms:
         return docs.sparkSession.createDataFrame([], "id string, score double, rank int")
-    words = docs.select(F.col(key).alias("id"), C.tokens(F.coalesce("text", F.lit(""))).alias("words"), (allowed if allowed is not None else F.lit(True)).alias("allowed"))
-    tf = F.transform(F.lit(terms), lambda t: F.size(F.filter("words", lambda w: w == t)))
-    counted = words.select("id", "allowed", F.size("words").alias("dl"), tf.alias("tf"))
+    words = docs.select(F.col(key).alias("id"), (allowed if allowed is not None else F.lit(True)).alias("allowed"), F.explode_outer(C.tokens(F.coalesce("text", F.lit("")))).alias("word"))
+    counted = words.groupBy("id", "allowed").agg(F.count("word").alias("dl"), F.array(*(F.count_if(F.col("word") == t) for t in terms)).alias("tf"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms)))).alias("df"))
     part = lambda i: F.log(1 + (F.col("n") - F.get("df", F.lit(i)) + 0.5) / (F.get("df", F.lit(i)) + 0.5)) * F.get("tf", F.lit(i)) * (k1 + 1) / (F.get("tf", F.lit(i)) + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     score = sum((part(i) for i in range(1, len(terms))), part(0))

@@ -27,6 +27,11 @@ def default_k(n: int) -> int:
     return max(2, min(10, round((n / 4) ** 0.5) + 1))
 
 
+def default_k_of(n):
+    """``default_k`` as a column."""
+    return F.greatest(F.lit(2), F.least(F.lit(10), F.rint(F.sqrt(n / 4)).cast("int") + 1))
+
+
 def clusters(vectors: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     """entry_id, theme_id by k-means on unit vectors, at most 60 rounds."""
     rows = vectors.select("entry_id", array_to_vector("vector").alias("features"))
@@ -38,7 +43,8 @@ def clusters(vectors: DataFrame, k: int | None = None, seed: int = 0) -> DataFra
 
 
 def word_counts(texts: DataFrame, *keys: str, stopwords=STOPWORDS) -> DataFrame:
-    return texts.select(*keys, F.explode(C.theme_words(F.coalesce("text", F.lit("")), stopwords)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    words = texts.select(*keys, F.explode(C.theme_words(F.coalesce("text", F.lit("")))).alias("term"))
+    return words.where(~F.col("term").isin(*sorted(stopwords))).groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 
 def theme_terms(texts: DataFrame, n: int = 4, stopwords=STOPWORDS) -> DataFrame:
@@ -48,10 +54,11 @@ def theme_terms(texts: DataFrame, n: int = 4, stopwords=STOPWORDS) -> DataFrame:
     """
     local = word_counts(texts, "theme_id", stopwords=stopwords)
     corpus = local.groupBy("term").agg(F.sum("n").alias("all_n"))
-    total = corpus.agg(F.sum("all_n").alias("total"))
-    most = local.groupBy("theme_id").agg(F.max("n").alias("most"))
-    local = local.join(most, "theme_id").where("n >= 2 or most < 2")
-    local = local.join(local.groupBy("theme_id").agg(F.sum("n").alias("own")), "theme_id").join(corpus, "term").join(F.broadcast(total))
+    # one row for each theme: what its words sum up to, those that it has once only where it has no other
+    theme = local.groupBy("theme_id").agg(F.max("n").alias("most"), F.sum("n").alias("every"), F.sum(F.when(F.col("n") >= 2, F.col("n"))).alias("often"))
+    theme = theme.select("theme_id", "most", F.when(F.col("most") < 2, F.col("every")).otherwise(F.col("often")).alias("own"), "every")
+    total = theme.agg(F.sum("every").alias("total"))
+    local = local.join(theme.drop("every"), "theme_id").where("n >= 2 or most < 2").join(corpus, "term").join(F.broadcast(total))
     p, q = F.col("n") / F.col("own"), F.col("all_n") / F.col("total")
     scored = local.withColumn("score", C.rounded(p * F.log(p / (q + 1e-9) + 1e-9), 8))
     best = W.partitionBy("theme_id").orderBy(F.desc("score"), "term")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import dates as D
 from lumenfold.operators import corpus, digest, retrieval, signals, themes
 from lumenfold.plans.providers import ChatProvider, Embedder, answers, with_vectors
+from lumenfold.sources import conversations as chats
 from lumenfold.sources.snapshots import Snapshots
 
 NO_HITS = "No entries match that question."
@@ -34,28 +35,50 @@ def dated_records(records: DataFrame, today: dt.date) -> DataFrame:
 def ingest(store: Snapshots, records: DataFrame, embedder: Embedder, today: dt.date, now: str, **chunking) -> DataFrame:
     """New and changed entries into the store; returns each record's status. The new state is complete before it is seen.
 
-    The status is against the snapshot before, which stays, so it may be read later.
+    Only the buckets of changed entries are written. The status is against the state before, which stays until ``vacuum``, so it may be read later.
     """
     existing = store.read()
     status = dated_records(corpus.ingest_status(records, existing), today)
     changed = status.where(F.col("status").isin("added", "updated"))
-    store.write(corpus.merged(existing, with_vectors(corpus.to_chunks(changed, now, **chunking), embedder)))
+    store.replace(with_vectors(corpus.to_chunks(changed, now, **chunking), embedder), changed.select("entry_id"))
     return status.select("entry_id", "status", F.col("dt").cast("string").alias("date"), "date_source")
 
 
-def remove(store: Snapshots, ids: list[str] = (), date_from: str | None = None, date_to: str | None = None) -> DataFrame:
-    """Without the entries of these ids and of the period; without either, nothing goes."""
-    chunks = store.read()
-    gone = store.spark.createDataFrame([(i,) for i in ids], "entry_id string")
+def to_remove(store: Snapshots, ids: list[str] = (), date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """The entry_ids that ``remove`` is asked for: these and those of the period, each once."""
+    gone = store.spark.createDataFrame([(i,) for i in ids if i], "entry_id string")
     if date_from or date_to:
-        gone = gone.union(corpus.entry_ids(chunks, date_from, date_to))
-    return store.write(corpus.delete(chunks, gone))
+        gone = gone.union(corpus.entry_ids(store.read(), date_from, date_to))
+    return gone.distinct()
+
+
+def remove(store: Snapshots, ids: list[str] = (), date_from: str | None = None, date_to: str | None = None, everything: bool = False) -> int:
+    """Without the entries of these ids and of the period, or without any; how many ids were asked for. Without either, nothing goes."""
+    if everything:
+        n = store.read().select("entry_id").distinct().count()
+        store.write(store.read().where("false"))
+        return n
+    gone = to_remove(store, ids, date_from, date_to)
+    n = corpus.requested(gone).first().requested
+    store.replace(None, gone)
+    return n
 
 
 def derive(entries: Snapshots, store: Snapshots, a_pass: signals.Pass, now: str, since: str | None = None, rebuild: bool = False) -> DataFrame:
-    """The pass over chunks that it has not seen, or over all of them again."""
+    """The pass over chunks that it has not seen, or over all of them again. ``store`` has chunk_id as its key."""
     chunks = corpus.in_range(entries.read(), since).select(F.col("id").alias("chunk_id"), "entry_id", "text")
-    return store.write(signals.derive(chunks, store.read(), a_pass, now, rebuild))
+    return store.replace(signals.derived(chunks, store.read(), a_pass, now, rebuild), on=["chunk_id", "pass_name"])
+
+
+def aggregate(entries: Snapshots, store: Snapshots, rollup: Snapshots, a_pass: signals.LexicalPass) -> DataFrame:
+    """The rollup of stored signals to entries, as a new state of its store."""
+    chunks = entries.read().select(F.col("id").alias("chunk_id"), "entry_id", "date", "date_int", "word_count")
+    return rollup.write(signals.entry_signals(store.read(), chunks, a_pass))
+
+
+def reindex(store: Snapshots, index: Snapshots) -> DataFrame:
+    """The postings of all chunks, as a new state of the index, which has term as its key."""
+    return index.write(retrieval.postings(store.read()))
 
 
 def enrich(store: Snapshots, chat: ChatProvider, limit: int | None = None) -> DataFrame:
@@ -63,17 +86,23 @@ def enrich(store: Snapshots, chat: ChatProvider, limit: int | None = None) -> Da
     chunks = store.read()
     todo = corpus.full_texts(chunks.where("not enriched"))
     todo = todo.orderBy("entry_id").limit(limit) if limit else todo
-    return store.write(corpus.apply_enrichment(chunks, corpus.cleaned_answers(answers(todo, chat, ENRICH))))
+    said = corpus.cleaned_answers(answers(todo, chat, ENRICH))
+    own = chunks.join(todo.select("entry_id"), "entry_id", "left_semi")
+    return store.replace(corpus.apply_enrichment(own, said))
 
 
-def hybrid_search(chunks: DataFrame, query: str, embedder: Embedder, k: int = 8, date_from: str | None = None, date_to: str | None = None, pool: int = 40) -> DataFrame:
-    """The k best chunks of the nearest and the best matching ones, of the period only."""
+def hybrid_search(chunks: DataFrame, query: str, embedder: Embedder, k: int = 8, date_from: str | None = None, date_to: str | None = None, pool: int = 40, index: DataFrame | None = None) -> DataFrame:
+    """The k best chunks of the nearest and the best matching ones, of the period only; with ``index``, matches come from its postings."""
     period = corpus.in_range(chunks, date_from, date_to)
     allowed = F.lit(True)
     for given, ok in ((date_from, F.col("date") >= (date_from or "")), (date_to, F.col("date") <= (date_to or ""))):
         allowed = allowed & ok if given else allowed
     dense = retrieval.dense_topk(period, embedder.embed([query])[0], pool)
-    best = retrieval.fused(dense, retrieval.bm25_topk(chunks, query, pool, allowed=allowed), k)
+    if index is not None:
+        sparse = retrieval.bm25_of(index, retrieval.collection(index), query, pool, period.select("id"))
+    else:
+        sparse = retrieval.bm25_topk(chunks, query, pool, allowed=allowed)
+    best = retrieval.fused(dense, sparse, k)
     return chunks.join(F.broadcast(best), "id")
 
 
@@ -107,19 +136,20 @@ def compose_digest(entries: DataFrame, digests: DataFrame, chat: ChatProvider, d
     """(text, whether it was cached, the cache): from the sample's excerpts of 700 characters and the overview."""
     spark = entries.sparkSession
     key = entries.agg(corpus.digest_key(entries, date_from, date_to, model).alias("k")).first().k
-    hit = None if force else digests.where(F.col("cache_key") == key).first()
+    hit = None if force else chats.cached(digests, key).first()
     if hit:
         return hit.text, True, digests
     excerpts = [f"[{r.date}] {r.text[:700]}" for r in digest.sample(entries).orderBy("date", "entry_id").select("date", "text").collect()]
     text = chat.chat([{"role": "system", "content": digest.overview(entries).first().overview}, {"role": "user", "content": "\n\n".join(excerpts)}])
     new = spark.createDataFrame([(key, date_from, date_to, model, text, now)], digests.schema)
-    return text, False, corpus.merged(digests, new, "cache_key")
+    return text, False, chats.put(digests, new)
 
 
-def discover_themes(chunks: DataFrame, k: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(themes, assignment of entries with year and label)."""
+def discover_themes(chunks: DataFrame, k: int | None = None, seed: int = 0, characters: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(themes, assignment of entries with year and label); terms are of whole texts, or of their first ``characters``."""
     assigned = themes.clusters(themes.entry_vectors(chunks), k, seed)
-    members = assigned.join(corpus.full_texts(chunks).withColumn("text", F.substring("text", 1, 4000)), "entry_id")
+    texts = corpus.full_texts(chunks)
+    members = assigned.join(texts.withColumn("text", F.substring("text", 1, characters)) if characters else texts, "entry_id")
     found = themes.themes(members, themes.theme_terms(members))
     years = corpus.collapse(chunks).select("entry_id", "date", "year")
     return found, assigned.join(years, "entry_id").join(F.broadcast(found.select("theme_id", "label")), "theme_id")

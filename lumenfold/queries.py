@@ -142,13 +142,12 @@ def content_hash(spark, sf_dir):
 
 @query("SELECT content_hash, min(doc_id) AS first_doc_id, count(*) AS copies FROM doc_entries GROUP BY content_hash HAVING count(*) > 1")
 def dedup_status(spark, sf_dir):
-    return doc_entries(spark, sf_dir).groupBy("content_hash").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies")).where("copies > 1")
+    return corpus.duplicates(doc_entries(spark, sf_dir), "doc_id")
 
 
 @query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS token FROM doc_entries) GROUP BY token ORDER BY n DESC, token LIMIT 50")
 def lex_tokens_top(spark, sf_dir):
-    words = doc_entries(spark, sf_dir).select(F.explode(C.tokens(F.col("text"))).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
+    return stats.top_words(doc_entries(spark, sf_dir))
 
 
 @query("SELECT entry_id, CASE WHEN doc_id % 6 < 4 THEN date END AS found FROM doc_entries")
@@ -166,7 +165,19 @@ def header_date(spark, sf_dir):
     return doc_entries(spark, sf_dir).select("entry_id", D.header_date(F.concat_ws("\n", top, "text")).cast("string").alias("found"))
 
 
-@query()
+@query("""
+, par AS (SELECT entry_id, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS p, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM doc_entries),
+p AS (SELECT entry_id, p, row_number() OVER (PARTITION BY entry_id ORDER BY no) AS i, len(list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '')) AS w FROM par WHERE p <> ''),
+ranges AS (
+  WITH RECURSIVE st AS (
+    SELECT entry_id, i, 1::BIGINT AS a, w AS words, NULL::BIGINT AS fa, NULL::BIGINT AS fb FROM p WHERE i = 1
+    UNION ALL
+    SELECT st.entry_id, p.i, CASE WHEN st.words + p.w > 400 THEN st.i ELSE st.a END, CASE WHEN st.words + p.w > 400 THEN q.w ELSE st.words END + p.w, CASE WHEN st.words + p.w > 400 THEN st.a END, CASE WHEN st.words + p.w > 400 THEN st.i END
+    FROM st JOIN p ON p.entry_id = st.entry_id AND p.i = st.i + 1 JOIN p AS q ON q.entry_id = st.entry_id AND q.i = st.i)
+  SELECT entry_id, fa AS a, fb AS b FROM st WHERE fa IS NOT NULL UNION ALL SELECT entry_id, arg_max(a, i), max(i) FROM st GROUP BY entry_id)
+SELECT entry_id, (row_number() OVER (PARTITION BY entry_id ORDER BY a, b) - 1)::INTEGER AS chunk_index, sum(w)::INTEGER AS word_count, left(sha256(string_agg(p, chr(10) || chr(10) ORDER BY i)), 16) AS chunk_hash
+FROM ranges JOIN p USING (entry_id) WHERE i BETWEEN a AND b GROUP BY entry_id, a, b
+""")
 def chunks(spark, sf_dir):
     rows = doc_entries(spark, sf_dir).select("entry_id", F.posexplode(C.chunks(F.col("text"), 400, 1, "\n")).alias("chunk_index", "text"))
     return rows.select("entry_id", "chunk_index", C.word_count(F.col("text")).alias("word_count"), C.chunk_hash(F.col("text")).alias("chunk_hash"))
@@ -207,11 +218,26 @@ def attention_lens(spark, sf_dir):
     return stats.attention_lens(_insights(spark, sf_dir))
 
 
-@query()
+def _prompts(names, prefix: str, head: str, tail: str, ord_: int) -> str:
+    best = " UNION ALL ".join(f"SELECT {i} AS o, '{k}' AS name, sum({prefix}{k}) AS total FROM ins" for i, k in enumerate(names))
+    return f"SELECT {ord_} AS ord, concat('{head}', name, '{tail}') AS prompt FROM (SELECT * FROM ({best}) WHERE total > 0 ORDER BY total DESC, o LIMIT 1)"
+
+
+@query(f"""
+, ins AS ({INSIGHTS}) {_prompts(WORDS, "signal_", "You write most about ", ": what would you like it to lead to?", 1)} UNION ALL {_prompts(PAIRS, "need_", "How could tomorrow hold a little more ", "?", 2)}
+UNION ALL SELECT 3, concat('The day of ', date, ' was a low one: who or what would have helped?') FROM (SELECT date FROM doc_entries WHERE mood > 0 ORDER BY mood, date, entry_id LIMIT 1)
+""")
 def reflective_prompts(spark, sf_dir):
     return stats.reflective_prompts(doc_entries(spark, sf_dir), _insights(spark, sf_dir))
 
 
+@query("SELECT 4 AS ord, 'Which moment of this week is worth a few lines?' AS prompt WHERE (SELECT count(*) FROM doc_entries WHERE text LIKE '%zzz no such text%') = 0")
+def prompt_for_everybody(spark, sf_dir):
+    """Texts without any word of the lists, and no moods."""
+    blank = doc_entries(spark, sf_dir).withColumns({"text": F.regexp_replace("text", "[^\\d]+", " "), "mood": F.lit(0)})
+    return stats.reflective_prompts(blank, stats.insight_frame(blank, WORDS, PAIRS, TENSE))
+
+
 @query("SELECT entry_id, date, mood FROM doc_entries WHERE strftime(dt, '%m-%d') IN ('02-12', '02-13', '02-14', '02-15', '02-16', '02-17', '02-18')")
 def on_this_day(spark, sf_dir):
     return insights.on_this_day(doc_entries(spark, sf_dir), TODAY, 3).select("entry_id", "date", "mood")
@@ -268,11 +294,38 @@ def busiest_month(spark, sf_dir):
     return insights.busiest_month(doc_entries(spark, sf_dir))
 
 
-@query()
+@query("""
+, d AS (SELECT * FROM doc_entries), days AS (SELECT dt, date_diff('day', lag(dt) OVER (ORDER BY dt), dt) AS gap FROM (SELECT DISTINCT dt FROM d)),
+cat AS (SELECT people AS token, count(DISTINCT entry_id) AS mentions, min(dt) AS first_seen, max(dt) AS last_seen FROM d GROUP BY people),
+new AS (SELECT token, mentions, last_seen FROM cat WHERE first_seen >= (SELECT max(dt) - 180 FROM d) ORDER BY mentions DESC, last_seen DESC, token LIMIT 3)
+SELECT 1 AS ord, concat(count(*), ' entries and ', format('{:,}', sum(word_count)::BIGINT), ' words from ', count(DISTINCT year(dt)), ' year(s), the first of ', min(dt), ', the last of ', max(dt), '.') AS line FROM d
+UNION ALL SELECT 2, concat('The fullest month: ', strftime(m, '%B %Y'), ', with ', n, ' entries.') FROM (SELECT date_trunc('month', dt) AS m, count(*) AS n FROM d GROUP BY 1 ORDER BY n DESC, m LIMIT 1)
+UNION ALL SELECT 3, concat('Nothing for ', gap, ' days until ', dt, ', the longest pause.') FROM (SELECT * FROM days WHERE gap >= 30 ORDER BY gap DESC, dt LIMIT 1)
+UNION ALL SELECT 4, concat('The longest text is of ', date, ', with ', word_count, ' words or more.') FROM (SELECT * FROM d ORDER BY word_count DESC, entry_id LIMIT 1)
+UNION ALL SELECT 5, concat('Best mood: ', b.mood, ' of 5 on ', b.date, '; lowest: ', l.mood, ' of 5 on ', l.date, '.') FROM (SELECT * FROM d WHERE mood > 0 ORDER BY mood DESC, entry_id LIMIT 1) b, (SELECT * FROM d WHERE mood > 0 ORDER BY mood, entry_id LIMIT 1) l WHERE (SELECT count(*) FROM d WHERE mood > 0) >= 3
+UNION ALL SELECT 6, concat('People who came up in the last half year: ', string_agg(token, ', ' ORDER BY mentions DESC, last_seen DESC, token), '.') FROM new HAVING count(*) > 0
+""")
 def highlights(spark, sf_dir):
     return insights.highlights(doc_entries(spark, sf_dir), TODAY)
 
 
+@query("""
+, d AS (SELECT user_id, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b, count(*) AS n FROM events GROUP BY user_id),
+e AS (SELECT concat('u', user_id, ':', day) AS entry_id, concat('u', user_id) AS people, DATE '2015-01-01' + (CASE WHEN day = 'a' THEN user_id % 40 * 45 ELSE user_id % 40 * 45 + 300 END)::INTEGER AS dt, n, (1 + n % 5)::INTEGER AS mood FROM d, (VALUES ('a'), ('b')) AS v(day)),
+days AS (SELECT dt, date_diff('day', lag(dt) OVER (ORDER BY dt), dt) AS gap FROM (SELECT DISTINCT dt FROM e)),
+new AS (SELECT people, count(DISTINCT entry_id) AS mentions, max(dt) AS last_seen FROM e GROUP BY people HAVING min(dt) >= (SELECT max(dt) - 180 FROM e) ORDER BY mentions DESC, last_seen DESC, people LIMIT 3)
+SELECT 3 AS ord, concat('Nothing for ', gap, ' days until ', dt, ', the longest pause.') AS line FROM (SELECT * FROM days WHERE gap >= 30 ORDER BY gap DESC, dt LIMIT 1)
+UNION ALL SELECT 6, concat('People who came up in the last half year: ', string_agg(people, ', ' ORDER BY mentions DESC, last_seen DESC, people), '.') FROM new HAVING count(*) > 0
+""")
+def pauses_and_newcomers(spark, sf_dir):
+    """The two sentences that need pauses of months: two entries for each user, on days that lie 45 days apart."""
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    users = users.withColumn("day", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    start = F.date_add(F.lit(dt.date(2015, 1, 1)), (F.col("user_id") % 40 * 45 + F.when(F.col("day") == "b", 300).otherwise(0)).cast("int"))
+    rows = _with_dates(users.select(F.concat(F.lit("u"), "user_id", F.lit(":"), "day").alias("entry_id"), start.alias("dt"), F.concat(F.lit("u"), "user_id").alias("people"), F.col("n").cast("int").alias("word_count"), (1 + F.col("n") % 5).cast("int").alias("mood")))
+    return insights.highlights(rows, TODAY).where("ord in (3, 6)")
+
+
 @query("""
 , n AS (SELECT *, row_number() OVER (ORDER BY date, entry_id) - 1 AS place, count(*) OVER () AS total FROM doc_entries)
 SELECT entry_id, date, place::BIGINT AS place FROM n WHERE total <= 14 OR place IN (SELECT round_even(i * (total - 1) / 13.0, 0) FROM (SELECT DISTINCT total FROM n), range(14) AS r(i))
@@ -294,9 +347,19 @@ def _features(spark, sf_dir):
     return signals.LexicalPass().features(line_chunks(spark, sf_dir))
 
 
-@query(FEATURES + "SELECT chunk_id, entry_id, key, value_num FROM (SELECT chunk_id, entry_id, token_count, " + ", ".join(_KEYS) + " FROM features) UNPIVOT (value_num FOR key IN (token_count, " + ", ".join(_KEYS) + "))")
+_LONG = "SELECT chunk_id, entry_id, key, value_num FROM (SELECT chunk_id, entry_id, token_count, " + ", ".join(_KEYS) + ", past AS tense_past, present AS tense_present, future AS tense_future FROM features) UNPIVOT (value_num FOR key IN (token_count, " + ", ".join(_KEYS) + ", tense_past, tense_present, tense_future))"
+
+
+def _with_tenses(long):
+    """Signals with the stored tenses, read back, as rows of their own."""
+    tense = F.from_json("value_json", "map<string,double>")
+    each = F.when(F.col("key") == "temporal_focus", F.transform(F.map_entries(tense), lambda x: F.struct(F.concat(F.lit("tense_"), x["key"]).alias("key"), x["value"].alias("value_num")))).otherwise(F.array(F.struct("key", "value_num")))
+    return long.withColumn("x", F.explode(each)).select("chunk_id", "entry_id", "x.key", "x.value_num")
+
+
+@query(FEATURES + _LONG)
 def lexical_signals(spark, sf_dir):
-    return signals.LexicalPass().compute(line_chunks(spark, sf_dir)).where("value_num is not null").select("chunk_id", "entry_id", "key", "value_num")
+    return _with_tenses(signals.LexicalPass().compute(line_chunks(spark, sf_dir)))
 
 
 def _rolled(columns, places: int = 6) -> str:
@@ -310,11 +373,22 @@ def lexical_rollup(spark, sf_dir):
     return rolled.select("entry_id", "token_count", *(C.rounded(F.col(k), 6).alias(k) for k in _KEYS), *signals.TENSES)
 
 
-@query(FEATURES + f"SELECT entry_id, {_rolled(_KEYS)} FROM features GROUP BY entry_id")
+@query(FEATURES + f"SELECT entry_id, any_value(date) AS date, replace(any_value(date), '-', '')::BIGINT AS date_int, {_rolled(_KEYS)} FROM features GROUP BY entry_id")
 def lexical_wide(spark, sf_dir):
-    rolled = signals.lexical_rollup(_features(spark, sf_dir), _KEYS)
-    long = rolled.unpivot(["entry_id"], ["token_count", *_KEYS], "key", "value_num")
-    return signals.wide(long, ["token_count", *_KEYS]).select("entry_id", "token_count", *(C.rounded(F.col(k), 6).alias(k) for k in _KEYS))
+    """Features to signals, signals to the rollup, the rollup to columns, by date."""
+    chunks = line_chunks(spark, sf_dir)
+    rollup = signals.entry_signals(_stored_signals(spark, sf_dir), chunks, signals.LexicalPass())
+    return signals.lexical_wide(rollup, ["token_count", *_KEYS]).select("entry_id", "date", "date_int", "token_count", *(C.rounded(F.col(k), 6).alias(k) for k in _KEYS))
+
+
+def _stored_signals(spark, sf_dir):
+    return signals.derive(line_chunks(spark, sf_dir), corpus.empty(spark, corpus.SIGNALS), signals.LexicalPass(), "2024-02-15")
+
+
+@query(FEATURES + f"SELECT entry_id, {_rolled([*_KEYS, *signals.TENSES])} FROM features GROUP BY entry_id")
+def lexical_rollup_stored(spark, sf_dir):
+    rolled = signals.lexical_rollup(signals.stored_features(_stored_signals(spark, sf_dir), signals.LexicalPass()), _KEYS)
+    return rolled.select("entry_id", "token_count", *(C.rounded(F.col(k), 6).alias(k) for k in _KEYS), *signals.TENSES)
 
 
 def _period(period: str):
@@ -347,9 +421,18 @@ def derive_pending(spark, sf_dir):
     return signals.pending(line_chunks(spark, sf_dir), _seen(spark, sf_dir), signals.LexicalPass()).select("chunk_id", "content_hash")
 
 
-@query("SELECT chunk_id, key FROM line_chunks, (SELECT unnest(['token_count', 'temporal_focus', " + ", ".join(f"'{k}'" for k in _KEYS) + "]) AS key) WHERE NOT (CAST(substr(entry_id, 5) AS BIGINT) % 3 = 0 AND CAST(substr(entry_id, 5) AS BIGINT) % 6 <> 0 AND key <> 'token_count')")
+_OLD = "CAST(substr(entry_id, 5) AS BIGINT) % 3 = 0 AND CAST(substr(entry_id, 5) AS BIGINT) % 6 <> 0"
+
+
+@query(FEATURES + f", long AS ({_LONG}) SELECT chunk_id, entry_id, key, CASE WHEN {_OLD} THEN 1.0 ELSE value_num END AS value_num, CASE WHEN {_OLD} THEN '' ELSE '2024-02-15' END AS computed_at FROM long WHERE NOT ({_OLD}) OR key = 'token_count'")
 def derive_merge(spark, sf_dir):
-    return signals.derive(line_chunks(spark, sf_dir), _seen(spark, sf_dir), signals.LexicalPass(), "2024-02-15").select("chunk_id", "key")
+    done = signals.derive(line_chunks(spark, sf_dir), _seen(spark, sf_dir), signals.LexicalPass(), "2024-02-15")
+    return _with_tenses(done).join(done.select("chunk_id", "computed_at").distinct(), "chunk_id").select("chunk_id", "entry_id", "key", "value_num", "computed_at")
+
+
+@query(FEATURES + f", long AS ({_LONG}) SELECT chunk_id, entry_id, key, value_num FROM long")
+def derive_forced(spark, sf_dir):
+    return _with_tenses(signals.derive(line_chunks(spark, sf_dir), _seen(spark, sf_dir), signals.LexicalPass(), "2024-02-15", force=True))
 
 
 @query("SELECT count(DISTINCT entry_id) AS entries, count(DISTINCT entry_id) >= 30 AS enough FROM line_chunks")
@@ -357,28 +440,60 @@ def signal_gate(spark, sf_dir):
     return signals.signal_entries(line_chunks(spark, sf_dir))
 
 
-_LABELS = signals.EMOTIONS[:4]
+_LABELS = signals.EMOTIONS
 
 
 def _scores(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc:"), F.col("vec_id") % 100).alias("entry_id"), F.concat(F.lit("c"), "vec_id").alias("chunk_id"), "embedding", "vec_id")
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("doc:"), F.floor(F.col("vec_id") / 3)).alias("entry_id"), F.concat(F.lit("c"), "vec_id").alias("chunk_id"), "embedding", "vec_id")
     score = F.struct(*(F.abs(F.get("embedding", F.lit(i))).cast("double").alias(v) for i, v in enumerate(_LABELS))).alias("s")
     rows = vectors.select("entry_id", "chunk_id", "vec_id", score).select("entry_id", "chunk_id", "vec_id", "s.*")
     return rows.unpivot(["entry_id", "chunk_id", "vec_id"], list(_LABELS), "label", "score")
 
 
-@query(f"""
-, s AS (SELECT concat('doc:', vec_id % 100) AS entry_id, 1 + vec_id % 7 AS w, unnest([{', '.join(f"'{v}'" for v in _LABELS)}]) AS label, unnest([{', '.join(f'abs(embedding[{i + 1}])::DOUBLE' for i in range(4))}]) AS score FROM embeddings)
-SELECT entry_id, label, round_even(sum(score * w) / sum(w), 5) AS mean, round_even(max(score), 5) AS peak FROM s GROUP BY entry_id, label
-""")
+_EMOTION = f"""
+, s AS (SELECT concat('doc:', vec_id // 3) AS entry_id, 1 + vec_id % 7 AS w, unnest([{', '.join(f"'{v}'" for v in _LABELS)}]) AS label, unnest([{', '.join(f'abs(embedding[{i + 1}])::DOUBLE' for i in range(len(_LABELS)))}]) AS score FROM embeddings),
+emo AS (SELECT entry_id, label, round_even(sum(score * w) / sum(w), 5) AS mean, round_even(max(score), 5) AS peak FROM s GROUP BY entry_id, label)
+"""
+
+
+@query(_EMOTION + "SELECT * FROM emo")
 def emotion_rollup(spark, sf_dir):
     scores = _scores(spark, sf_dir)
     weights = scores.select("chunk_id", (1 + F.col("vec_id") % 7).alias("word_count")).distinct()
     return signals.emotion_rollup(scores.drop("vec_id"), weights, _LABELS)
 
 
+def _emotion_rollup_of_store(spark, sf_dir):
+    """Scores as a classifier's pass stores them, in JSON, and the rollup of what is read back. Entries have the date of their number."""
+    scores = _scores(spark, sf_dir)
+    maps = scores.groupBy("chunk_id", "entry_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("label", "score")))).alias("value_json"))
+    tags = {"namespace": "emotion", "key": "goemotions", "model_tag": "", "content_hash": "", "computed_at": "", "pass_name": "goemotions", "pass_version": "v1"}
+    stored = maps.withColumns({k: F.lit(v) for k, v in tags.items()} | {"value_num": F.lit(None).cast("double")}).select(*corpus.empty(spark, corpus.SIGNALS).columns)
+    day = F.date_add(F.lit(dt.date(2015, 1, 1)), F.floor(F.col("vec_id") / 3 % 1000).cast("int"))
+    chunks = scores.select("chunk_id", "entry_id", (1 + F.col("vec_id") % 7).alias("word_count"), day.cast("string").alias("date"), D.date_int(day).cast("bigint").alias("date_int")).distinct()
+    return signals.entry_signals(stored, chunks, signals.LexicalPass(), _LABELS)
+
+
+_DAY = "DATE '2015-01-01' + (substr(entry_id, 5)::BIGINT % 1000)::INTEGER"
+
+
+@query(_EMOTION + f"SELECT entry_id, ({_DAY})::VARCHAR AS date, strftime({_DAY}, '%Y%m%d')::BIGINT AS date_int, " + ", ".join(f"max(mean) FILTER (WHERE label = '{v}') AS {v}" for v in _LABELS) + " FROM emo GROUP BY entry_id")
+def emotion_wide(spark, sf_dir):
+    return signals.emotion_wide(_emotion_rollup_of_store(spark, sf_dir), _LABELS)
+
+
+@query(_EMOTION + f"""
+, per AS (SELECT date_trunc('quarter', {_DAY})::DATE::VARCHAR AS period, label, round_even(avg(mean), 6) AS value FROM emo GROUP BY 1, 2), best AS (SELECT label FROM per GROUP BY label ORDER BY round_even(avg(value), 9) DESC, label LIMIT 8)
+SELECT period, label, value FROM per JOIN best USING (label)
+""")
+def top_emotions(spark, sf_dir):
+    periods = signals.period_means(signals.emotion_wide(_emotion_rollup_of_store(spark, sf_dir), _LABELS), list(_LABELS), "quarter")
+    return signals.top_labels(periods, list(_LABELS)).select("period", "label", "value")
+
+
 def _probe(spark, sf_dir) -> list[float]:
-    return table(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first().embedding
+    found = table(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()
+    return list(found.embedding) if found else []
 
 
 @query("SELECT vec_id AS id, round_even(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS distance, row_number() OVER (ORDER BY distance, vec_id) - 1 AS rank FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) ORDER BY distance, id LIMIT 40")
@@ -407,6 +522,22 @@ def bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(BM25 + "SELECT id, score, rank FROM sparse")
+def bm25_postings(spark, sf_dir):
+    """The same from the inverted index: postings of all texts, of which the query's terms are read."""
+    docs = doc_entries(spark, sf_dir)
+    index = retrieval.postings(docs, "entry_id")
+    allowed = docs.where("date >= '2016-01-01'").select(F.col("entry_id").alias("id"))
+    return retrieval.bm25_of(index, retrieval.collection(index), _QUERY, allowed=allowed).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("SELECT count(*) AS rows, sum(tf)::BIGINT AS words, count(DISTINCT term) AS terms, sum(tf * dl)::BIGINT AS weight FROM (SELECT entry_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT entry_id, len(w) AS dl, unnest(w) AS term FROM (SELECT entry_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM doc_entries)) GROUP BY entry_id, term)")
+def postings(spark, sf_dir):
+    """What the index holds, in sums over all of it."""
+    index = retrieval.postings(doc_entries(spark, sf_dir), "entry_id").where("term is not null")
+    return index.agg(F.count("*").alias("rows"), F.sum("tf").alias("words"), F.countDistinct("term").alias("terms"), F.sum(F.col("tf") * F.col("dl")).alias("weight"))
+
+
 @query(BM25 + """
 , far AS (SELECT concat('doc:', vec_id) AS id, round_even(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS distance FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)),
 dense AS (SELECT id, row_number() OVER (ORDER BY distance, id) - 1 AS rank FROM far ORDER BY distance, id LIMIT 40)
@@ -427,10 +558,12 @@ def followup_query(spark, sf_dir):
     return asked.select("conv_id", "turn", retrieval.follow_up(F.col("text"), F.col("prev")).alias("query"))
 
 
-@query("SELECT entry_id, concat(least(y, z), '-01-01') AS date_from, concat(greatest(y, z), '-12-31') AS date_to FROM (SELECT entry_id, year(dt) AS y, CASE WHEN doc_id % 2 = 0 THEN year(dt) ELSE 2019 END AS z FROM doc_entries)")
+@query("SELECT entry_id, concat(least(y, z), '-01-01') AS date_from, concat(greatest(y, z), '-12-31') AS date_to FROM (SELECT entry_id, CASE doc_id % 4 WHEN 2 THEN 2023 WHEN 3 THEN 2024 ELSE year(dt) END AS y, CASE doc_id % 4 WHEN 0 THEN year(dt) WHEN 1 THEN 2019 WHEN 2 THEN 2023 ELSE 2024 END AS z FROM doc_entries)")
 def question_years(spark, sf_dir):
-    other = F.when(F.col("doc_id") % 2 == 0, F.col("year")).otherwise("2019")
-    question = F.concat(F.lit("What was on my mind in "), "year", F.lit(" and around "), other, F.lit(", not 1066 or 20155?"))
+    kind = F.col("doc_id") % 4
+    other = F.when(kind == 1, "2019").otherwise(F.col("year"))
+    end = F.when(kind == 2, " Was it so LAST YEAR, or this year?").when(kind == 3, " And This Year?").otherwise("")
+    question = F.concat(F.lit("What was on my mind in "), "year", F.lit(" and around "), other, F.lit(", not 1066 or 20155?"), end)
     low, high = D.question_years(question, TODAY)
     return doc_entries(spark, sf_dir).select("entry_id", low.alias("date_from"), high.alias("date_to"))
 
@@ -479,9 +612,15 @@ def list_entries(spark, sf_dir):
     return corpus.list_entries(line_chunks(spark, sf_dir))
 
 
-@query("SELECT DISTINCT entry_id FROM line_chunks WHERE regexp_matches(text, 'thond[a-e]', 'i') OR regexp_matches(concat(entry_id, chr(10), date, chr(10), source), 'thond[a-e]', 'i')")
+@query("SELECT DISTINCT entry_id FROM line_chunks WHERE regexp_matches(text, 'QUEAU[a-x]|nteres of|lichkeit', 'i') OR regexp_matches(concat(entry_id, chr(10), date, chr(10), source), 'QUEAU[a-x]|nteres of|lichkeit', 'i')")
 def manage_search(spark, sf_dir):
-    return corpus.search_entries(line_chunks(spark, sf_dir), "thond[a-e]")
+    return corpus.search_entries(line_chunks(spark, sf_dir), "QUEAU[a-x]|nteres of|lichkeit")
+
+
+@query("SELECT DISTINCT entry_id FROM line_chunks WHERE regexp_matches(text, 'src[12]$|2020-02', 'i') OR regexp_matches(concat(entry_id, chr(10), date, chr(10), source), 'src[12]$|2020-02', 'i')")
+def manage_search_fields(spark, sf_dir):
+    """Hits in dates and sources, which texts hardly hold."""
+    return corpus.search_entries(line_chunks(spark, sf_dir), "src[12]$|2020-02")
 
 
 @query("SELECT entry_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM line_chunks GROUP BY entry_id")
@@ -497,11 +636,11 @@ def load_frame(spark, sf_dir):
 
 def _vector_chunks(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return vectors.select(F.concat(F.lit("e"), F.col("vec_id") % 50).alias("entry_id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 3).alias("word_count"))
+    return vectors.select(F.concat(F.lit("e"), F.floor(F.col("vec_id") / 3)).alias("entry_id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 3).alias("word_count"))
 
 
 @query("""
-, p AS (SELECT vec_id % 50 AS e, greatest(vec_id % 3, 1) AS w, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS pos FROM embeddings), m AS (SELECT e, pos, sum(v * w) / sum(w) AS m FROM p GROUP BY e, pos),
+, p AS (SELECT vec_id // 3 AS e, greatest(vec_id % 3, 1) AS w, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS pos FROM embeddings), m AS (SELECT e, pos, sum(v * w) / sum(w) AS m FROM p GROUP BY e, pos),
 s AS (SELECT e, sqrt(sum(m * m)) AS norm FROM m GROUP BY e)
 SELECT concat('e', e) AS entry_id, pos::INTEGER AS pos, round_even(m / norm, 6) AS v FROM m JOIN s USING (e) WHERE norm > 0
 """)
@@ -532,22 +671,33 @@ def theme_year_share(spark, sf_dir):
 @query("""
 , t AS (SELECT string_agg(token, ', ' ORDER BY n DESC, token) AS s FROM (SELECT token, count(*) AS n FROM topic WHERE token <> '' GROUP BY token ORDER BY n DESC, token LIMIT 5)),
 p AS (SELECT string_agg(people, ', ' ORDER BY n DESC, people) AS s FROM (SELECT people, count(*) AS n FROM event_entries GROUP BY people ORDER BY n DESC, people LIMIT 5))
-SELECT concat((SELECT count(*) FROM event_entries), ' entries in this period; mean mood ', printf('%.1f', (SELECT round_even(avg(mood), 1) FROM event_entries WHERE mood > 0)), '/5; recurring topics: ', t.s, '; recurring people: ', p.s) AS overview FROM t, p
+SELECT concat('entries: ', (SELECT count(*) FROM event_entries), '; mood: ', printf('%.1f', (SELECT round_even(avg(mood), 1) FROM event_entries WHERE mood > 0)), ' of 5 on average; often named topics: ', t.s, '; often named people: ', p.s) AS overview FROM t, p
 """)
 def context_block(spark, sf_dir):
     return digest.overview(event_entries(spark, sf_dir))
 
 
-@query("SELECT sha256(concat('2015-01-01|2023-12-31|m', (SELECT string_agg(concat(entry_id, ':', content_hash), '' ORDER BY entry_id, content_hash) FROM doc_entries WHERE year = '2020'))) AS cache_key")
+@query(", h AS (SELECT sha256(concat(entry_id, ':', content_hash)) AS h FROM doc_entries WHERE date BETWEEN '2015-01-01' AND '2023-12-31') SELECT sha256(concat_ws('|', '2015-01-01', '2023-12-31', 'm', count(*), " + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::BIGINT" for i in range(8)) + ")) AS cache_key FROM h")
 def digest_key(spark, sf_dir):
-    period = doc_entries(spark, sf_dir).where("year = '2020'")
+    period = corpus.in_range(doc_entries(spark, sf_dir), "2015-01-01", "2023-12-31")
     return period.agg(corpus.digest_key(period, "2015-01-01", "2023-12-31", "m").alias("cache_key"))
 
 
-@query("SELECT conv_id, arg_min(text, turn) AS title, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def _heads(talk):
+    """A conversation's first text is its title, the number of its last turn the time of its last change."""
+    turn = F.lpad(F.col("turn").cast("string"), 6, "0")
+    return talk.groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.min_by("text", "turn").alias("title"), F.lit(None).cast("string").alias("date_from"), F.lit(None).cast("string").alias("date_to"), F.count("*").cast("int").alias("k"), F.min(turn).alias("created_at"), F.max(turn).alias("updated_at"))
+
+
+def _messages(talk):
+    return talk.select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").cast("int").alias("seq"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("excerpts_json"), F.lit("").alias("created_at"))
+
+
+@query("SELECT id, title, k, updated_at, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM (SELECT conv_id::VARCHAR AS id, arg_min(text, turn) AS title, count(*)::INTEGER AS k, lpad(max(turn)::VARCHAR, 6, '0') AS updated_at FROM conversations GROUP BY conv_id) ORDER BY place LIMIT 50")
 def conversation_list(spark, sf_dir):
-    talk = table(spark, sf_dir, "conversations")
-    return talk.groupBy("conv_id").agg(F.min_by("text", "turn").alias("title"), F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
+    """The 50 that are listed first, with their places."""
+    first = chats.listed(_heads(table(spark, sf_dir, "conversations"))).limit(50)
+    return first.select("id", "title", "k", "updated_at", F.expr("row_number() over (order by updated_at desc, id)").cast("bigint").alias("place"))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 3 <> 0")
@@ -564,6 +714,9 @@ def batch_split(spark, sf_dir):
     return doc_entries(spark, sf_dir).select("entry_id", F.explode(texts.batch_parts(blob)).alias("part")).withColumn("word_count", C.word_count(F.col("part")))
 
 
+from lumenfold import queries_more  # noqa: E402, F401  it adds its queries to these
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -1,4 +1,4 @@
-"""A mutable table as numbered Parquet snapshots: writers add one, readers take the latest that was committed."""
+"""A mutable table as Parquet: rows lie in buckets by a hash of their key, and a commit replaces the buckets that it touches."""
 
 from __future__ import annotations
 
@@ -8,24 +8,78 @@ from pyspark.sql import functions as F
 
 
 class Snapshots:
-    """A folder of ``snap=<n>`` and a table ``commits`` of the numbers that are complete. One writer at a time."""
+    """A folder of ``data/n=<commit>/bucket=<b>`` and a table ``commits`` (n, bucket, rows) of what is complete. One writer at a time.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+    The latest commit of a bucket holds all of its rows, so readers see whole states only, and a change of few keys rewrites few buckets. What
+    older commits wrote stays readable until ``vacuum``.
+    """
 
-    def _latest(self) -> int:
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str = "entry_id", buckets: int = 64):
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder.rstrip("/"), schema, key, buckets
+
+    def _commits(self) -> DataFrame:
+        schema = "n int, bucket int, full boolean"
         try:
-            return self.spark.read.schema("n int").parquet(f"{self.folder}/commits").agg(F.max("n").alias("n")).first().n or 0
-        except AnalysisException:  # nothing was committed yet
-            return 0
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/commits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # anything else must not look like an empty table
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _latest(self) -> dict[int, tuple[int, bool]]:
+        """Of each bucket the last commit, and whether it left any rows; at most ``buckets`` of them."""
+        rows = self._commits().groupBy("bucket").agg(F.max(F.struct("n", "full")).alias("x")).collect()
+        return {r.bucket: (r.x.n, r.x.full) for r in rows}
+
+    def _read(self, only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.folder}/data/n={n}/bucket={b}" for b, (n, full) in sorted(self._latest().items()) if full and (only is None or b in only)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        n = self._latest()
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/snap={n}") if n else self.spark.createDataFrame([], self.schema)
+        return self._read()
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """A new snapshot; committed ones, and what reads them, stay as they are. One that failed half-way is replaced."""
-        n = self._latest() + 1
-        df.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("overwrite").parquet(f"{self.folder}/snap={n}")
-        self.spark.range(1).select(F.lit(n).alias("n")).write.mode("append").parquet(f"{self.folder}/commits")
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _commit(self, rows: DataFrame, touched: list[int]) -> DataFrame:
+        n = max((n for n, _ in self._latest().values()), default=0) + 1
+        to = f"{self.folder}/data/n={n}"
+        own = rows.select(*self.spark.createDataFrame([], self.schema).columns).withColumn("bucket", self._bucket())
+        own.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(to)  # what a failed commit left is replaced
+        full = {r.bucket for r in self.spark.read.schema(f"{self.schema}, bucket int").parquet(to).select("bucket").distinct().collect()}
+        done = self.spark.createDataFrame([(n, b, b in full) for b in touched], "n int, bucket int, full boolean")
+        done.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
         return self.read()
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """A new state of the whole table."""
+        return self._commit(df, list(range(self.buckets)))
+
+    def replace(self, new: DataFrame | None, gone: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+        """``new`` in the place of the rows with the same values of ``on`` (default: the key, which must be among them), less those of ``gone``.
+
+        Only the buckets of these keys are read and written.
+        """
+        on = on or [self.key]
+        keys = [df.select(*on) for df in (new, gone) if df is not None]
+        keys = keys[0] if len(keys) == 1 else keys[0].union(keys[1])
+        touched = sorted(r.b for r in keys.select(self._bucket().alias("b")).distinct().collect())
+        if not touched:
+            return self.read()
+        rows = self._read(set(touched)).join(keys.distinct(), on, "left_anti")
+        return self._commit(rows.unionByName(new.select(*rows.columns)) if new is not None else rows, touched)
+
+    def vacuum(self) -> int:
+        """Delete what no bucket's latest commit holds; how many folders went. Not while older states are read."""
+        kept = {f"n={n}/bucket={b}" for b, (n, _) in self._latest().items()}
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/data")
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        gone = 0
+        for commit in fs.listStatus(top) if fs.exists(top) else []:
+            own = [b.getPath() for b in fs.listStatus(commit.getPath()) if b.isDirectory() and b.getPath().getName().startswith("bucket=")]
+            old = [b for b in own if f"{commit.getPath().getName()}/{b.getName()}" not in kept]
+            gone += sum(fs.delete(b, True) for b in old)
+            if len(old) == len(own):
+                fs.delete(commit.getPath(), True)
+        return gone

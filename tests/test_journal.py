@@ -17,54 +17,65 @@ NOW, TODAY = "2024-12-11T00:00:00", dt.date(2024, 12, 11)
 @pytest.fixture(scope="module")
 def entries(spark):
     rows = [
-        ("e1", "2023-07-14", 5, "max, anna", "travel, music", 100),
-        ("e2", "2023-07-15", 4, "max", "travel", 80),
-        ("e3", "2023-07-16", 1, "anna", "work", 120),
-        ("e4", "2024-07-14", 3, "max", "work, music", 60),
-        ("e5", "2024-12-01", 0, "", "", 500),
+        ("n1", "2019-03-02", 2, "lena, omar", "garden, books", 40),
+        ("n2", "2019-03-03", 5, "omar", "garden", 210),
+        ("n3", "2019-03-04", 4, "lena", "books", 90),
+        ("n4", "2021-03-03", 1, "omar", "books, repairs", 75),
+        ("n5", "2021-11-20", 0, "", "", 640),
     ]
     df = spark.createDataFrame(rows, "entry_id string, date string, mood int, people string, topics string, word_count int")
     return df.withColumns({"year": F.substring("date", 1, 4), "text": F.col("topics"), "content_hash": F.col("entry_id")})
 
 
 def test_calendar(entries):
-    assert [r.entry_id for r in insights.on_this_day(entries, dt.date(2026, 7, 14)).collect()] == ["e4", "e1"]
-    assert {r.entry_id for r in insights.on_this_day(entries, dt.date(2026, 7, 14), 2).collect()} == {"e1", "e2", "e3", "e4"}
+    assert [r.entry_id for r in insights.on_this_day(entries, dt.date(2024, 3, 3)).collect()] == ["n4", "n2"]
+    assert {r.entry_id for r in insights.on_this_day(entries, dt.date(2024, 3, 3), 1).collect()} == {"n1", "n2", "n3", "n4"}
     c = insights.cadence(entries, TODAY).first()
-    assert (c.entries, c.distinct_days, c.longest_streak, c.longest_gap, c.current_gap, c.median_gap, c.total_words) == (5, 5, 3, 364, 10, 70.5, 860)
+    assert (c.entries, c.distinct_days, c.longest_streak, c.longest_gap, c.current_gap, c.median_gap, c.total_words) == (5, 5, 3, 730, 1117, 131.5, 1055)
     rhythm = {r.year: r for r in insights.writing_rhythm(entries).collect()}
-    assert (rhythm[2023].Jul, rhythm[2024].Dec, rhythm[2024].Jan) == (3, 1, 0)
+    assert (rhythm[2019].Mar, rhythm[2021].Nov, rhythm[2021].Jan) == (3, 1, 0)
     assert insights.cadence(entries.where("false"), TODAY).count() == 0
 
 
 def test_moods_and_entities(entries):
     top = insights.mood_swings(entries).first()
-    assert (top.prev_date, top.date, top.delta) == ("2023-07-15", "2023-07-16", -3)
+    assert (top.prev_date, top.date, top.delta) == ("2019-03-02", "2019-03-03", 3)
     people = {r.token: r for r in insights.entity_catalog(entries, "people").collect()}
-    assert (people["max"].mentions, people["max"].first_seen, people["max"].last_seen, people["max"].mean_mood, people["anna"].mean_mood) == (3, "2023-07-14", "2024-07-14", 4.0, 3.0)
-    assert {r.year: r.mentions for r in insights.entity_timeline(entries, "people", "max").collect()} == {"2023": 2, "2024": 1}
-    assert [r.entry_id for r in insights.entity_entries(entries, "people", "anna").collect()] == ["e3", "e1"]
-    assert {r.token: r.n for r in insights.co_mentions(entries, "people", "max", "topics").collect()} == {"travel": 2, "music": 2, "work": 1}
-    lines = [r.line for r in insights.highlights(entries, TODAY).collect()]
-    assert lines[0].startswith("5 entries across 2 year(s) — 860 words") and lines[1].startswith("Your most prolific month was July 2023 (3")
-    assert "364 days, ending when you wrote again on 2024-07-14" in lines[2] and "2023-07-14 (mood 5/5); heaviest: 2023-07-16" in lines[4]
+    assert (people["omar"].mentions, people["omar"].first_seen, people["omar"].last_seen, people["omar"].mean_mood, people["lena"].mean_mood) == (3, "2019-03-02", "2021-03-03", 2.67, 3.0)
+    assert {r.year: r.mentions for r in insights.entity_timeline(entries, "people", "omar").collect()} == {"2019": 2, "2021": 1}
+    assert [r.entry_id for r in insights.entity_entries(entries, "people", "lena").collect()] == ["n3", "n1"]
+    assert {r.token: r.n for r in insights.co_mentions(entries, "people", "omar", "topics").collect()} == {"garden": 2, "books": 2, "repairs": 1}
+    assert [r.line for r in insights.highlights(entries, TODAY).collect()] == [
+        "5 entries and 1,055 words from 2 year(s), the first of 2019-03-02, the last of 2021-11-20.",
+        "The fullest month: March 2019, with 3 entries.",
+        "Nothing for 730 days until 2021-03-03, the longest pause.",
+        "The longest text is of 2021-11-20, with 640 words or more.",
+        "Best mood: 5 of 5 on 2019-03-03; lowest: 1 of 5 on 2021-03-03.",
+    ]
+    newer = entries.withColumn("people", F.when(F.col("entry_id") == "n5", "zoe, ana, lena").otherwise(F.col("people")))
+    assert insights.highlights(newer, TODAY).where("ord = 6").first().line == "People who came up in the last half year: ana, zoe."
 
 
 def test_lexicons(spark):
     rows = [
-        ("e1", "2024-01-01", "2024", "Grateful for a peaceful, quiet walk with a friend.", 9, 5, "friendship, rest"),
-        ("e2", "2024-01-02", "2024", "Stressed and tired; noticed I need rest and space.", 9, 2, "work, rest"),
-        ("e3", "2025-01-01", "2025", "I will choose a boundary and make a plan.", 9, 4, "work, agency"),
+        ("a", "2022-05-01", "2022", "Thankful, and lucky: we laughed, rested and felt safe.", 9, 5, "thanks, garden"),
+        ("b", "2022-05-02", "2022", "Worried, stuck and unsure; was tired.", 6, 1, "worry, garden"),
+        ("c", "2023-01-09", "2023", "We will decide tomorrow, soon, on a plan.", 8, 4, "worry, plans"),
+        ("d", "2023-01-10", "2023", None, None, 0, ""),
     ]
     df = spark.createDataFrame(rows, "entry_id string, date string, year string, text string, word_count int, mood int, topics string")
     ins = stats.insight_frame(df)
     by = {r.entry_id: r for r in ins.collect()}
-    assert by["e1"].signal_gratitude == 1 and by["e1"].signal_connection >= 1 and by["e1"].signal_gratitude_rate == 11.11
-    assert (by["e3"].dominant_signal, by["e3"].attention_lens) == ("agency", "future")
-    assert {r.name: r.total for r in stats.needs_totals(ins).collect()}["rest"] >= 2
+    assert (by["a"].signal_gratitude, by["a"].signal_restoration, by["a"].signal_joy, by["a"].signal_gratitude_rate, by["a"].dominant_signal) == (2, 2, 1, 22.22, "gratitude")
+    assert (by["b"].dominant_signal, by["b"].attention_lens, by["b"].signal_uncertainty) == ("strain", "past", 2)
+    assert (by["c"].dominant_signal, by["c"].attention_lens) == ("agency", "future")
+    assert (by["d"].dominant_signal, by["d"].attention_lens, by["d"].word_count) == ("unlabeled", "reflective", 1)
+    assert {r.name: r.total for r in stats.needs_totals(ins).collect()} == {"rest": 1, "clarity": 1, "safety": 1}
     topics = {r.topic: r for r in stats.topic_mood(df).collect()}
-    assert topics["rest"].entries == 2 and topics["work"].mean_mood == 3.0
-    assert stats.reflective_prompts(df, ins).count() == 3
+    assert topics["garden"].mean_mood == 3.0 and topics["worry"].mean_mood == 2.5 and set(topics) == {"garden", "worry"}
+    assert [r.prompt for r in stats.reflective_prompts(df, ins).collect()] == ["You write most about gratitude: what would you like it to lead to?", "How could tomorrow hold a little more rest?", "The day of 2022-05-02 was a low one: who or what would have helped?"]
+    nothing = df.where("entry_id = 'd'")
+    assert [r.ord for r in stats.reflective_prompts(nothing, stats.insight_frame(nothing)).collect()] == [4]
     assert stats.insight_frame(df.where("false")).count() == 0
 
 
@@ -137,7 +148,7 @@ def test_ingest_enrich_search_and_ask(spark, tmp_path):
     assert flows.ask(store.read(), "x", embedder, EchoChat(), TODAY, date_from="2030-01-01").text == flows.NO_HITS
 
 
-def test_commands(spark, tmp_path, capsys):
+def test_commands(spark, tmp_path, capsys, monkeypatch):
     from lumenfold.__main__ import main
 
     (tmp_path / "in").mkdir()
@@ -145,11 +156,104 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "in/2021-01-01.txt").write_text("A quiet walk")
     store = str(tmp_path / "store")
     run = lambda *args: (main([store, *args]), capsys.readouterr().out)[1]
-    assert "added" in run("ingest", str(tmp_path / "in"))
+    said = run("ingest", str(tmp_path / "in"))
+    assert "added" in said and "filename" in said
     assert "2020-01-01.txt" in run("list") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
-    assert "self_focus" in run("derive") and "2021" in run("stats")
+    assert "8 postings" in run("index") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
+    assert "2021-01-01" in run("ask", "What about the walk in 2021?") and flows.NO_HITS in run("ask", "x", "--from", "2030-01-01")
+    assert "0" in run("enrich") and "entries: 2" not in run("digest", "--from", "2021-01-01")
+    assert "self_focus" in run("derive", "--aggregate", "--pass", "lexical") and "2021" in run("stats")
+    monkeypatch.setattr("builtins.input", lambda _: "n")
     run("remove", "--from", "2021-01-01")
-    assert "2021-01-01.txt" not in run("list")
+    assert "2021-01-01.txt" in run("list")
+    assert "1 entries" in run("remove", "--from", "2021-01-01", "--yes")
+    assert "2021-01-01.txt" not in run("list") and "folders went" in run("vacuum")
+    assert "1 entries" in run("remove", "--all", "--yes") and ".txt" not in run("list")
+
+
+def test_store_writes_what_changes(spark, tmp_path):
+    import os
+
+    store = Snapshots(spark, str(tmp_path / "s"), "entry_id string, part string, n int", buckets=8)
+    rows = lambda *r: spark.createDataFrame(r, "entry_id string, part string, n int")
+    state = lambda: sorted((r.entry_id, r.part, r.n) for r in store.read().collect())
+    assert state() == [] and store.vacuum() == 0
+    store.write(rows(*((f"e{i}", "a", i) for i in range(40))))
+    before = store.read()
+    store.replace(rows(("e3", "a", -3)))
+    assert sum(len(os.listdir(tmp_path / "s/data" / d)) for d in ["n=2"]) <= 3  # one bucket, and the writer's marks
+    assert ("e3", "a", -3) in state() and len(state()) == 40 and before.where("n = 3").count() == 1
+    store.replace(rows(("e3", "b", 7)), on=["entry_id", "part"])
+    assert [r for r in state() if r[0] == "e3"] == [("e3", "a", -3), ("e3", "b", 7)]
+    store.replace(None, rows(("e3", "", 0), ("nobody", "", 0)))
+    store.replace(None, rows())
+    assert len(state()) == 39 and store.vacuum() > 0 and len(state()) == 39
+    store.write(store.read().where("false"))
+    assert state() == [] and store.replace(rows(("x", "a", 1))).count() == 1
+    (tmp_path / "bad/commits").mkdir(parents=True)
+    (tmp_path / "bad/commits/part.parquet").write_text("no table")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        Snapshots(spark, str(tmp_path / "bad"), "entry_id string").read()
+
+
+def test_settings():
+    from lumenfold.settings import Settings
+
+    lines = "# mine\nLUMENFOLD_K=5\nexport LUMENFOLD_STORE='here'\nLUMENFOLD_DAY_FIRST=yes\nother=1\n\nbroken"
+    got = Settings.read({"LUMENFOLD_K": "9", "PATH": "x"}, lines)
+    assert (got.k, got.store, got.day_first, got.pool) == (9, "here", True, 40)
+
+
+def test_passes_of_models(spark):
+    import pandas as pd
+    from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType
+
+    @F.pandas_udf(MapType(StringType(), DoubleType()))
+    def classify(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: {"joy": t.count("j") / max(1, len(t)), "fear": 0.25})
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def tag(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: ["past" if w.endswith("ed") else "future" for w in t.split()])
+
+    long = "jjj one. " * 300 + "end j."
+    chunks = spark.createDataFrame([("c1", "e", long, 500), ("c2", "e", "jj", 100), ("c3", "f", "", None)], "chunk_id string, entry_id string, text string, word_count int")
+    a_pass = signals.EmotionPass(classify)
+    store = signals.derive(chunks, corpus.empty(spark, corpus.SIGNALS), a_pass, NOW)
+    got = {(r.chunk_id, r.label): r.score for r in signals.stored_scores(store).collect()}
+    want = {}
+    for r in chunks.collect():
+        sentences, windows = r.text.strip().replace(". ", ".|").split("|"), [""]
+        for s in sentences:
+            if windows[-1] and len(windows[-1]) + len(s) + 1 > 1800:
+                windows.append("")
+            windows[-1] = f"{windows[-1]} {s}".strip()
+        total = max(1, sum(map(len, windows)))
+        want |= {(r.chunk_id, "joy"): round(sum(w.count("j") / max(1, len(w)) * len(w) for w in windows) / total, 5), (r.chunk_id, "fear"): round(sum(0.25 * len(w) for w in windows) / total, 5)}
+    assert got == pytest.approx(want) and len(want) == 6
+    both = signals.derive(chunks, store, signals.LexicalPass(), NOW)
+    meta = chunks.withColumns({"date": F.lit("2020-01-01"), "date_int": F.lit(20200101).cast("bigint")})
+    rolled = signals.entry_signals(both, meta, signals.LexicalPass())
+    wide = {r.entry_id: r for r in signals.emotion_wide(rolled).collect()}
+    assert wide["e"].joy == pytest.approx((500 * want["c1", "joy"] + 100 * want["c2", "joy"]) / 600, abs=1e-5) and wide["e"].grief == 0 and wide["e"].fear == 0.25
+    assert signals.emotion_wide(rolled, key="peak").where("entry_id = 'e'").first().joy == want["c2", "joy"]
+    assert {r.entry_id: r.token_count for r in signals.lexical_wide(rolled, ["token_count"]).collect()} == {"e": 603.0, "f": 1.0}
+    tagged = signals.TaggedTense(tag, "mine")
+    assert {r.chunk_id: (r.past, r.future) for r in tagged.features(chunks.withColumn("text", F.lit("walked went talked"))).collect()}["c1"] == (0.6667, 0.3333)
+    assert tagged.model_tag != signals.LexicalPass().model_tag and signals.pending(chunks, both, tagged).count() == 3
+    assert signals.fingerprint({"a": ("x", "y")}) == signals.fingerprint({"a": ("y", "x")}) != signals.fingerprint({"a": ("x",)})
+    again = signals.derive(chunks, both.withColumn("value_num", F.lit(-1.0)), signals.LexicalPass(), "later", force=True)
+    assert again.where("pass_name = 'lexical' and value_num < 0").count() == 0 and again.where("pass_name = 'goemotions'").count() == 3
+
+
+def test_searches_of_nothing(spark):
+    docs = spark.createDataFrame([], "id string, text string, vector array<float>, date string")
+    assert retrieval.dense_topk(docs, [0.0, 1.0]).count() == 0 and retrieval.bm25_topk(docs, "a b").count() == 0
+    index = retrieval.postings(docs)
+    assert retrieval.bm25_of(index, retrieval.collection(index), "a b").count() == 0
+    one = spark.createDataFrame([("e", "2020", "s", "what (is it")], "entry_id string, date string, source string, text string")
+    assert corpus.search_entries(one, "(IS").count() == 1 and corpus.search_entries(one, "[x").count() == 0
+    assert chats.cached(corpus.empty(spark, chats.DIGESTS), "k").count() == 0
 
 
 def test_theme_names_fall_back(spark):
@@ -210,7 +314,7 @@ def test_digest(spark, entries):
     assert not hit and flows.compose_digest(entries, cache, EchoChat(), "a", "b", "m", NOW)[:2] == (text, True)
     assert not flows.compose_digest(entries, cache, EchoChat(), "a", "b", "other", NOW)[1]
     assert not flows.compose_digest(entries.withColumn("content_hash", F.lit("x")), cache, EchoChat(), "a", "b", "m", NOW)[1]
-    assert digest.overview(entries).first().overview == "5 entries in this period; mean mood 3.2/5; recurring topics: music, travel, work; recurring people: max, anna"
+    assert digest.overview(entries).first().overview == "entries: 5; mood: 3.0 of 5 on average; often named topics: books, garden, repairs; often named people: omar, lena"
 
 
 def test_conversations(spark):
