@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.graphs import components
-from lumenfold.llm.shared import shingle_hashes, slices, text_bytes, word_hashes, written
+from lumenfold.llm.shared import identity, shingle_hashes, slices, text_bytes, unused, word_hashes, written
 
 #: Of the values in a sketch, the share that two linked sets surely have in common.
 FLOOR = 0.375
@@ -76,8 +76,8 @@ def _sketcher(shingle: int, k: int):
                 sketch.append(s[:k].view(np.int64))
                 odd.append(_odd(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "n_shingles", "sketch", "odd"],
+                [*map(batch.column, ("doc_id", "k", "k2")), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                ["doc_id", "k", "k2", "digest", "n_shingles", "sketch", "odd"],
             )
 
     return run
@@ -99,8 +99,8 @@ def _estimate(k: int):
 
 
 def _full_sets(digests: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    wanted = digests.distinct().join(nodes.select("digest", "rep"), "digest").select(F.col("rep").alias("doc_id")).distinct()
-    full = docs.join(wanted, "doc_id", "left_semi").select(*text_bytes()).mapInArrow(_full(shingle), "digest binary, shingles array<bigint>")
+    wanted = digests.distinct().join(nodes.select("digest", "rep"), "digest").select("rep.k", "rep.k2")
+    full = docs.join(wanted, ["k", "k2"], "left_semi").select(*text_bytes()).mapInArrow(_full(shingle), "digest binary, shingles array<bigint>")
     return written(full.groupBy("digest").agg(F.first("shingles").alias("shingles")), "full")
 
 
@@ -132,7 +132,7 @@ def _pair(x: str, y: str):
 def _leaders(lists: DataFrame) -> DataFrame:
     """Of each list, the member with the most common values."""
     lead = F.min(F.struct((-F.col("weight")).alias("o"), F.col("digest").alias("lead"))).alias("x")
-    return lists.groupBy("v").agg(lead, F.count("*").alias("members")).where("members > 1").select("v", "x.lead", "members")
+    return written(lists.groupBy("v").agg(lead, F.count("*").alias("members")).where("members > 1").select("v", "x.lead", "members"), "leaders")
 
 
 def _centres(links: DataFrame, of: DataFrame) -> DataFrame:
@@ -168,30 +168,23 @@ def _rest(lists: DataFrame, links: DataFrame, of: DataFrame, nodes: DataFrame, d
     # values of one component alone count as the rarest: their lists bring nobody together
     surely = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / (100 + percent) * (1 + 100 / percent)))
     prefix = F.col("d") - surely + 1 - (F.col("d") - F.size("es"))
-    met = by_member.where(prefix > 0).select("a", "digest", F.explode(F.slice("es", 1, prefix.cast("int"))).alias("x")).select("a", "digest", F.col("x.e").alias("e"))
-    met = met.join(with_c, "digest")
-    far = met.alias("x").join(met.alias("y"), F.expr("x.a = y.a and x.e = y.e") & allowed).select(*_pair("x.digest", "y.digest"))
+    met = by_member.where(prefix > 0).withColumn("es", F.transform(F.slice("es", 1, F.greatest(F.lit(0), prefix.cast("int"))), lambda x: x["e"])).select("a", "digest", "es", F.explode("es").alias("e"))
+    met = written(met.join(with_c, "digest"), "met")
+    # two members may share several values; they meet under the least of them only
+    once = F.expr("x.a = y.a and x.e = y.e and array_min(array_intersect(x.es, y.es)) = x.e")
+    far = met.alias("x").join(met.alias("y"), once & allowed).select(*_pair("x.digest", "y.digest"))
     return pairs.union(far).union(long.select(*_pair("digest", "lead"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer than
-    ``shingle`` words has its whole sequence as one shingle. Two texts are linked where
-    100 * intersection >= percent * union. component_id is the smallest doc_id that links reach.
-
-    Null, empty and blank texts have n_shingles 0 and are linked with nothing. Repeated rows and
-    equal texts are in one component, and each keeps its row. Rows with a null doc_id keep
-    theirs too; a component of only such rows has a null component_id. Columns beside doc_id
-    and text are ignored, whatever their names. An empty table gives no rows.
-    """
-    docs = docs.select("doc_id", "text")
-    rows = written(docs.select(*text_bytes()).mapInArrow(_sketcher(shingle, k), "doc_id bigint, digest binary, n_shingles bigint, sketch array<bigint>, odd array<bigint>"), "sketches")
-    nodes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")), "nodes")
+def _classes(docs: DataFrame, shingle: int, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of doc_id, k, k2, digest, n_shingles, and for every digest (of not empty sets) its component, named by a digest."""
+    sketched = "doc_id bigint, k bigint, k2 bigint, digest binary, n_shingles bigint, sketch array<bigint>, odd array<bigint>"
+    docs = docs.select("doc_id", "text", *identity("text", "doc_id"))
+    rows = written(docs.select(*text_bytes("doc_id", "text", "k", "k2")).mapInArrow(_sketcher(shingle, k), sketched), "sketches")
+    nodes = written(rows.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("k", "k2")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd")), "nodes")
 
     listed = nodes.select("digest", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
-    common = listed.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    common = written(listed.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "common")
     shared = listed.join(common, "v").groupBy("digest").agg(F.first("kept").alias("kept"), F.sum("df").alias("weight"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # values of no other sketch are the rarest, and their lists bring nobody together
     prefix = F.col("kept") - F.ceil(FLOOR * F.col("kept")) + 1 - (F.col("kept") - F.size("vs"))
@@ -203,11 +196,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     links = written(_confirmed(pairs, nodes, docs, shingle, k, percent), "links")
     found = _confirmed(_rest(lists, links, written(components(links), "components"), nodes, docs, shingle, percent), nodes, docs, shingle, k, percent)
     of = components(written(links.union(found), "links"))
+    return rows, nodes.select("digest").join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    member = nodes.select("digest", "rep").join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    first = member.groupBy("component").agg(F.min("rep").alias("first"))
-    ids = member.join(first, "component").select("digest", "first")
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer than
+    ``shingle`` words has its whole sequence as one shingle. Two texts are linked where
+    100 * intersection >= percent * union, both sets of 64-bit hashes of word sequences. component_id is the smallest doc_id that links reach.
+
+    Null, empty and blank texts have n_shingles 0 and are linked with nothing. Repeated rows and
+    equal texts are in one component, and each keeps its row. Rows with a null doc_id keep
+    theirs too; a component of only such rows has a null component_id. Columns beside doc_id
+    and text are ignored, whatever their names. An empty table gives no rows.
+    """
+    docs = docs.select("doc_id", "text")
+    rows, member = _classes(docs, shingle, percent, k)
+    member = written(member, "member")
+    first = rows.select("doc_id", "digest").join(member, "digest").groupBy("component").agg(F.min("doc_id").alias("first"))
+    ids = written(member.join(first, "component").select("digest", "first"), "ids")
     out = rows.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
+    """``docs`` with one row of each group that ``near_duplicates`` links, and all rows of texts without words.
+
+    The row that stays has the smallest doc_id (null last); of several texts with that id the one with the least hash, of equal
+    rows any one. Decisions are on rows, never on doc_id alone: another text under an id that goes elsewhere is not touched.
+    All columns stay as they are, whatever their names. An empty table gives no rows.
+    """
+    rows, member = _classes(docs.select("doc_id", "text"), shingle, percent, k)
+    place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "k", "k2")
+    placed = rows.select("doc_id", "k", "k2", "digest").join(written(member, "member"), "digest").groupBy("component", "k", "k2").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    placed = written(placed, "placed")
+    best = written(placed.groupBy("component").agg(F.min("place").alias("best")), "best")
+    # of most groups there is one row: only those that lose rows go on
+    lost = written(placed.join(best, "component").select("k", "k2", (F.col("place") == F.col("best")).alias("stays"), "n").where("not stays or n > 1"), "lost")
+    a, b = (unused(docs, c) for c in ("k_of_row", "k2_of_row"))
+    keyed = docs.withColumns(dict(zip((a, b), identity("text", "doc_id"))))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    untouched = keyed.join(lost.select(F.col("k").alias(a), F.col("k2").alias(b)), [a, b], "left_anti").select(*names)
+    repeated = keyed.join(lost.where("stays").select(F.col("k").alias(a), F.col("k2").alias(b)), [a, b], "left_semi")
+    return untouched.union(repeated.dropDuplicates([a, b]).select(*names))
