@@ -67,7 +67,8 @@ def remove(store: Snapshots, ids: list[str] = (), date_from: str | None = None,
 def derive(entries: Snapshots, store: Snapshots, a_pass: signals.Pass, now: str, since: str | None = None, rebuild: bool = False) -> DataFrame:
     """The pass over chunks that it has not seen, or over all of them again. ``store`` has chunk_id as its key."""
     chunks = corpus.in_range(entries.read(), since).select(F.col("id").alias("chunk_id"), "entry_id", "text")
-    return store.replace(signals.derived(chunks, store.read(), a_pass, now, rebuild), on=["chunk_id", "pass_name"])
+    todo = signals.to_derive(chunks, store.read(), a_pass, rebuild)
+    return store.replace(signals.derived(todo, a_pass, now), todo, ["chunk_id", "pass_name"])
 
 
 def aggregate(entries: Snapshots, store: Snapshots, rollup: Snapshots, a_pass: signals.LexicalPass) -> DataFrame:
@@ -88,7 +89,7 @@ def enrich(store: Snapshots, chat: ChatProvider, limit: int | None = None) -> Da
     todo = todo.orderBy("entry_id").limit(limit) if limit else todo
     said = corpus.cleaned_answers(answers(todo, chat, ENRICH))
     own = chunks.join(todo.select("entry_id"), "entry_id", "left_semi")
-    return store.replace(corpus.apply_enrichment(own, said))
+    return store.replace(corpus.apply_enrichment(own, said), todo)
 
 
 def hybrid_search(chunks: DataFrame, query: str, embedder: Embedder, k: int = 8, date_from: str | None = None, date_to: str | None = None, pool: int = 40, index: DataFrame | None = None) -> DataFrame:

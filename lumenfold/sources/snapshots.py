@@ -55,18 +55,18 @@ class Snapshots:
         """A new state of the whole table."""
         return self._commit(df, list(range(self.buckets)))
 
-    def replace(self, new: DataFrame | None, gone: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
-        """``new`` in the place of the rows with the same values of ``on`` (default: the key, which must be among them), less those of ``gone``.
+    def replace(self, new: DataFrame | None, keys: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+        """``new`` in the place of the rows with the values of ``on`` (default: the key, which must be among them) that ``keys`` has.
 
-        Only the buckets of these keys are read and written.
+        ``keys`` (default: those of ``new``) must hold all of ``new``'s; given, they spare a dear ``new``, such as a model's answers, from being
+        computed more than once. Only the buckets of these keys are read and written.
         """
         on = on or [self.key]
-        keys = [df.select(*on) for df in (new, gone) if df is not None]
-        keys = keys[0] if len(keys) == 1 else keys[0].union(keys[1])
+        keys = (keys if keys is not None else new).select(*on).distinct()
         touched = sorted(r.b for r in keys.select(self._bucket().alias("b")).distinct().collect())
         if not touched:
             return self.read()
-        rows = self._read(set(touched)).join(keys.distinct(), on, "left_anti")
+        rows = self._read(set(touched)).join(keys, on, "left_anti")
         return self._commit(rows.unionByName(new.select(*rows.columns)) if new is not None else rows, touched)
 
     def vacuum(self) -> int:
