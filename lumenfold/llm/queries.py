@@ -33,7 +33,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop("key", "span_list")
+    return pii.find(table(spark, sf_dir, "documents")).drop("k", "k2", "span_list")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
