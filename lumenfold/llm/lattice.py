@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.graphs import components
-from lumenfold.llm.shared import mix, written
+from lumenfold.llm.shared import drop, mix, written
 
 TABLES, PROBES = 8, 6
 #: Lattice units for a distance of 1 between unit vectors.
@@ -104,19 +104,35 @@ def _deal(batches):
 
 
 def _close(least: float):
-    def run(key, held: pa.Table, looking: pa.Table) -> pa.Table:
-        out = []
-        if held.num_rows and looking.num_rows:
-            a, b = (np.frombuffer(b"".join(t["small"].to_pylist()), np.int8).reshape(t.num_rows, -1).astype(np.float32) for t in (held, looking))
-            ia, ib = held["node"].to_numpy(), looking["node"].to_numpy()
-            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-            for start in range(0, len(b), 2048):
-                part = slice(start, start + 2048)
-                x, y = np.nonzero(a @ b[part].T >= (least - QUANTUM) * na[:, None] * nb[part])
-                p, q = ia[x], ib[part][y]
-                out.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q], axis=0))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    """Pairs near enough by their 8-bit numbers, from rows that come by cell and block; one pass goes through many cells."""
+
+    def pairs(rows: pa.RecordBatch, cut: np.ndarray):
+        node, looks = rows.column("node").to_numpy(), rows.column("looks").to_numpy(zero_copy_only=False)
+        dims = rows.column("dim").to_numpy()
+        at = np.concatenate(([0], np.cumsum(dims)))
+        raw = np.frombuffer(b"".join(rows.column("small").to_pylist()), np.int8)
+        out = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(cut[:-1], cut[1:]):
+            x = raw[at[a] : at[b]].reshape(b - a, -1).astype(np.float32)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            own, other = np.flatnonzero(~looks[a:b]), np.flatnonzero(looks[a:b])
+            i, j = np.nonzero(x[own] @ x[other].T >= least - QUANTUM)
+            p, q = node[a + own[i]], node[a + other[j]]
+            out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q])
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            dim, group = rows.column("dim").to_numpy(), rows.column("part").to_numpy()
+            cut = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (dim[1:] != dim[:-1]))))
+            held = rows.slice(cut[-1])  # the last cell may go on
+            if len(cut) > 1:
+                yield pairs(rows, cut)
+        if held is not None:
+            yield pairs(held, np.array([0, held.num_rows]))
 
     return run
 
@@ -124,8 +140,12 @@ def _close(least: float):
 def _verify(least: float):
     def run(batches):
         for batch in batches:
-            far = [np.array(x, np.float64) for x in batch.column("ea").to_pylist()], [np.array(x, np.float64) for x in batch.column("eb").to_pylist()]
-            cosine = np.array([x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) for x, y in zip(*far)])
+            size = batch.column("ea").value_lengths().to_numpy()
+            cosine = np.zeros(len(size))
+            for dim in np.unique(size):
+                rows = np.flatnonzero(size == dim)
+                x, y = (batch.column(c).take(pa.array(rows)).flatten().to_numpy().astype(np.float64).reshape(len(rows), -1) for c in ("ea", "eb"))
+                cosine[rows] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
             on = pa.array(np.flatnonzero(cosine >= least))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(on), batch.column("b").take(on)], ["a", "b"])
 
@@ -140,33 +160,38 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     different lengths. n_links counts other rows: equal vectors, repeated rows included, link with each other. Null
     vec_ids stay, and count as others' links. Other columns are ignored; an empty table gives no rows.
     """
-    rows = vectors.select("vec_id", "embedding", "label")
     e = F.col("embedding")
     fine = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False)) & F.col("label").isNotNull()
-    # equal vectors are one node, numbered by a hash of the label and all numbers
-    node = F.xxhash64("label", F.transform(e, lambda x: x + F.lit(0.0).cast("float")))
-    rows = written(rows.withColumn("node", F.when(fine, node)), "vectors")
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first")), "nodes")
+    numbers = F.transform(e, lambda x: x + F.lit(0.0).cast("float"))  # 0.0 and -0.0 are one
+    # equal vectors with one label are one node
+    own = [F.when(fine, F.xxhash64(*salt, "label", numbers)).alias(c) for c, salt in (("v1", []), ("v2", [F.lit("second")]))]
+    rows = written(vectors.select("vec_id", "embedding", "label", *own), "vectors")
+    nodes = rows.where("v1 is not null").groupBy("v1", "v2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     dealt = nodes.select("node", "label", "embedding").mapInArrow(_deal, f"label {dict(rows.dtypes)['label']}, dim bigint, cell bigint, looks boolean, node bigint, small binary")
     dealt = written(dealt, "dealt")
     place = ["label", "dim", "cell"]
     size = dealt.groupBy(*place).agg(F.count(F.when(~F.col("looks"), 1)).alias("held"), F.count(F.when(F.col("looks"), 1)).alias("looking")).where("held > 0 and looking > 1")
-    size = size.select(*place, F.ceil(F.col("held") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("looking") / BLOCK).cast("int").alias("lb"))
-    dealt = dealt.join(size, place)
+    size = written(size.select(*place, F.ceil(F.col("held") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("looking") / BLOCK).cast("int").alias("lb")), "sizes")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    held = dealt.where(~F.col("looks")).withColumn("h", block("hb")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lb") - 1)))
-    looking = dealt.where("looks").withColumn("l", block("lb")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)))
-    keys = [*place, "h", "l"]
-    other = looking.select(*keys, "node", "small").toDF(*(f"{k}_2" for k in keys), "node", "small")  # names of its own, for the analyser
-    pairs = held.select(*keys, "node", "small").groupBy(*keys).cogroup(other.groupBy(*(f"{k}_2" for k in keys))).applyInArrow(_close(least), "a bigint, b bigint").distinct()
-    full = lambda c: nodes.select(F.col("node").alias(c), F.col("embedding").alias(f"e{c}"))
-    links = written(pairs.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verify(least), "a bigint, b bigint"), "links")
-    both = links.union(links.select("b", "a")).toDF("node", "other")
-    degree = both.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("far"))
+    all_blocks = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = dealt.join(size, place)
+    # each of a cell's blocks of held vectors meets each of its blocks of looking ones
+    h = F.explode(F.when(F.col("looks"), all_blocks("hb")).otherwise(F.array(block("hb"))))
+    l = F.when(F.col("looks"), F.array(block("lb"))).otherwise(all_blocks("lb"))  # noqa: E741
+    parts = dealt.withColumn("ls", l).withColumn("h", h).withColumn("l", F.explode("ls")).withColumn("part", F.xxhash64("label", "cell", "h", "l"))
+    parts = parts.select("dim", "part", "looks", "node", "small").repartition("dim", "part").sortWithinPartitions("dim", "part")
+    pairs = written(parts.mapInArrow(_close(least), "a bigint, b bigint").distinct(), "pairs")
+    full = lambda c: nodes.select(F.col("node").alias(c), F.col("embedding").alias(f"e{c}"), F.col("label").alias(f"l{c}"))
+    both = pairs.join(full("a"), "a").join(full("b"), "b").where("la = lb and size(ea) = size(eb)").select("a", "b", "ea", "eb")
+    links = written(both.mapInArrow(_verify(least), "a bigint, b bigint"), "links")
+    drop(dealt, size, pairs)
+    ends = links.union(links.select("b", "a")).toDF("node", "other")
+    degree = ends.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("far"))
     of = components(links)
-    member = nodes.select("node", "copies", "first").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = member.join(first, "component").join(degree, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n"))
-    out = rows.select("vec_id", "node").join(known, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
+    member = nodes.select("node", "v1", "v2", "copies", "first").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = written(member.groupBy("component").agg(F.min("first").alias("component_id")), "first")
+    known = member.join(first, "component").join(degree, "node", "left").select("v1", "v2", "component_id", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n"))
+    out = rows.select("vec_id", "v1", "v2").join(written(known, "known"), ["v1", "v2"], "left")
+    own_id = F.when(F.col("v1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), own_id.alias("component_id"), F.coalesce(F.col("vec_id") == own_id, F.lit(False)).alias("kept"))
