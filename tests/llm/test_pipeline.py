@@ -57,6 +57,41 @@ def test_stages(spark, tmp_path):
     assert key(whole) == key(packed)
 
 
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    """Nulls, shared ids, repeated rows, empty and long texts, clashing names; then an empty table."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta " * 4, "one two three four five six seven eight nine ten"
+    rows = [(1, a), (2, a), (2, b), (None, a), (3, "mail x@example.org"), (3, "mail x@example.org"), (4, None), (None, None), (5, ""), (5, "\n \n"), (6, "w" * 30_000), (None, "unique words under no id")]
+    names = ["source", "span_list", "n_lines", "k", "k2", "th_of_row", "digest", "row"]
+    docs = spark.createDataFrame([(i, t, len(t or ""), *["c"] * len(names)) for i, t in rows], "doc_id bigint, text string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    for table_, many in ((docs, True), (docs.where("false"), False)):
+        now, kept = table_, []
+        for i, (name, stage) in enumerate(P.STAGES):
+            path = str(tmp_path / f"{many}{i}")
+            stage(spark, now, SMALL).write.parquet(path)
+            now = spark.read.parquet(path)
+            if i < 4:
+                assert now.columns == docs.columns, name
+            kept.append(sorted(str((r.doc_id, r.text)) for r in now.collect()) if i < 4 else now.collect())
+        if not many:
+            assert kept == [[]] * 5
+            continue
+        assert len(kept[0]) == len(rows)
+        # every copy of a line but the first goes; texts that are left without words all stay
+        lines = sorted(str(x) for x in [(1, a), (2, ""), (2, b), (None, ""), (3, "mail x@example.org"), (3, "mail x@example.org"), (4, None), (None, None), (5, ""), (5, "\n \n"), (6, "w" * 30_000), (None, "unique words under no id")])
+        assert kept[1] == lines
+        lines.remove(str((3, "mail x@example.org")))
+        assert kept[2] == lines
+        assert kept[3] == sorted(x.replace("x@example.org", "<EMAIL>") for x in lines)
+        assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in kept[4]}) == len(kept[4]) >= len(lines)
+    near = P.without_near_copies(spark, docs, SMALL)
+    left = sorted(str((r.doc_id, r.text)) for r in near.collect())
+    gone = [(2, a), (None, a), (3, "mail x@example.org")]
+    every = [str((i, t)) for i, t in rows]
+    for x in gone:
+        every.remove(str(x))
+    assert left == sorted(every)
+
+
 def test_entry_works_without_the_folder(monkeypatch):
     import importlib
     import sys
