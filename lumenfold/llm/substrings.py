@@ -1,12 +1,15 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A gear hash of the last 16 bytes decides where a text is cut: of any ``w`` positions in a row the one with the least value is a cut, the
-last of equal ones. So the cuts inside a passage are the same wherever it stands, and of w + k - 1 bytes in a row some k that
-end at a cut, a chunk, lie inside. More than ``words`` words have 2 * words + 1 bytes at least, and w + k - 1 is no more.
-
-A passage's chunks are all met elsewhere too. Where that holds, each run of words + 1 words is looked for by itself, and
-brings a text together with the earliest one that has the whole run, whichever texts have its parts. The two are
-compared, and every passage that they share is returned to its last byte.
+The gear hash rolls over words: h = (h << 8) + gear(word) modulo 2**32, so it remembers ``CONTEXT`` words. Of any ``w`` positions in a row the
+one with the least value is a cut, the last of equal ones; what lies between two cuts is a chunk, of 1 to w words. Cuts inside
+a passage are the same wherever it stands, and of 2 * w positions in a row two windows without a common position have two cuts, so a whole
+chunk lies in any words + 1 words: w is (words - 2) // 2.
+
+Chunks are deduplicated by digest. A passage's chunks are all met elsewhere too, so only texts with runs of words + 1
+words for which that holds go on. Of each such chunk the earliest text is found; a run's partner is the latest of its chunks' earliest
+texts, as no earlier one can have all of them. Partners are compared, and every passage that they share is returned to its last byte. A run
+that no comparison explains, though each of its chunks has an earlier text, is looked for by itself, and meets the earliest text that
+has the whole run, whichever texts have its parts.
 """
 
 from __future__ import annotations
@@ -16,110 +19,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import arrow_rows, mix, powers, prefix_sums, slices, text_bytes, words as words_of, written
+from lumenfold.llm.shared import Spans, arrow_rows, drop, identity, mix, slices, text_bytes, words as words_of, written
 
-GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
-#: Bytes of a chunk, and positions of which one is a cut, for passages of over 50 words.
-CHUNK, WINDOW = 40, 62
+CONTEXT = 4
+PLACE = "struct<last boolean, doc_id bigint, k bigint, k2 bigint>"
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash at each byte, h = 2 * h + gear[byte] modulo 2**16: of the last 16 bytes, by doubling."""
-    h = GEAR[data]
-    for step in (1, 2, 4, 8):
-        more = h.copy()
-        more[step:] += h[:-step] << np.uint16(step)
-        h = more
-    return h
+def gear(h: np.ndarray) -> np.ndarray:
+    """The rolling hash at each word, of the word and the CONTEXT - 1 before it."""
+    own = (mix(h) >> np.uint64(32)).astype(np.uint32)
+    out = own.copy()
+    for i in range(1, CONTEXT):
+        out[i:] += own[:-i] << np.uint32(8 * i)
+    return out
 
 
-def _lengths(words: int) -> tuple[int, int]:
-    """Bytes of a chunk and positions of a window, so that a chunk lies in any words + 1 words."""
-    if words < 16:
-        raise ValueError("passages of at least 16 words only: the gear hash takes 16 bytes")
-    k = min(CHUNK, words)
-    return k, 2 * words + 2 - k
+def window(words: int) -> int:
+    if words < 8:
+        raise ValueError("passages of at least 8 words only")
+    return (words + 2 - CONTEXT) // 2
 
 
-def _picks(data: np.ndarray, w: int) -> np.ndarray:
+def _picks(h: np.ndarray, w: int) -> np.ndarray:
     """For each ``w`` positions in a row, by their first: the last of those with the least gear value."""
-    least = gear(data).astype(np.int64) << 32 | np.arange(len(data) - 1, -1, -1)
+    if len(h) < w:
+        return np.zeros(0, np.int64)
+    least = gear(h).astype(np.int64) << 31 | np.arange(len(h) - 1, -1, -1)
     have = 1
     while have < w:
         step = min(have, w - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    return len(data) - 1 - (least & 0xFFFFFFFF)
-
-
-def _windows(data: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Picks of all windows, and which windows belong to one text with the chunks before all their positions."""
-    if len(data) < w:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    pick = _picks(data, w)
-    edge = np.zeros(len(data) + 2, np.int64)
-    low, high = bounds[:-1] + k - 1, bounds[1:] - w + 1
-    on = high > low
-    np.add.at(edge, low[on], 1)
-    np.add.at(edge, high[on], -1)
-    return pick, np.cumsum(edge)[: len(pick)] > 0
+    return len(h) - 1 - (least & 0x7FFFFFFF)
+
+
+class Text:
+    """One text's words and chunks. Chunk i, from 1, is the words after cuts[i - 1] up to cuts[i]; run i is the words from i on."""
+
+    def __init__(self, raw: bytes, words: int):
+        self.raw, self.words, self.w = raw, words, window(words)
+        self.data = np.frombuffer(raw, np.uint8)
+        self.starts, self.ends, _ = words_of(self.data, np.array([0, len(raw)]))
+        self.spans = Spans(self.data)
+        self.n = max(0, len(self.starts) - words)  # runs of words + 1 words
+        pick = _picks(self.spans.of(self.starts, self.ends), self.w)
+        self.cuts = np.unique(pick[CONTEXT - 1 :])
+        self.digests = np.concatenate([[0], self.spans.of(self.starts[self.cuts[:-1] + 1], self.ends[self.cuts[1:]]).view(np.int64)]) if len(self.cuts) else np.zeros(0, np.int64)
+        # the first and the last cut inside each run
+        self.first = np.searchsorted(self.cuts, pick[CONTEXT - 1 : CONTEXT - 1 + self.n])
+        self.last = np.searchsorted(self.cuts, pick[self.words + 1 - self.w :][: self.n])
+
+    def within(self, known: np.ndarray) -> np.ndarray:
+        """Which runs have only chunks of ``known``."""
+        upto = np.cumsum(~np.isin(self.digests, known))
+        return upto[self.last] == upto[self.first] if self.n else np.zeros(0, bool)
+
+    def chunks(self, runs: np.ndarray) -> np.ndarray:
+        """The distinct digests of the chunks in some runs."""
+        edge = np.zeros(len(self.cuts) + 2, np.int64)
+        np.add.at(edge, self.first[runs] + 1, 1)
+        np.add.at(edge, self.last[runs] + 1, -1)
+        return np.unique(self.digests[np.cumsum(edge)[: len(self.cuts)] > 0])
+
+    def latest(self, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Of each run the largest rank of its chunks; ``ranks`` go with ``known``, which is in order."""
+        if not (self.n and len(known)):
+            return np.zeros(self.n, np.int64)
+        at = np.minimum(np.searchsorted(known, self.digests), len(known) - 1)
+        rank = np.append(np.where(known[at] == self.digests, ranks[at], -1), -1)
+        return np.maximum.reduceat(rank, np.stack([self.first + 1, self.last + 1], 1).ravel())[::2]
+
+
+def _chunks(words: int):
+    """Each text, compressed, the digests of its chunks in order, and the ranges of chunks that its runs have."""
+    w = window(words)
 
+    def run(batches):
+        for batch in batches:
+            digests, ranges, small = [], [], []
+            for _, _, data, bounds in slices(batch, "text"):
+                starts, ends, before = words_of(data, bounds)
+                spans = Spans(data)
+                pick = _picks(spans.of(starts, ends), w)
+                edge = np.zeros(len(starts) + 1, np.int64)
+                low, high = before[:-1] + CONTEXT - 1, before[1:] - w + 1
+                on = high > low
+                np.add.at(edge, low[on], 1)
+                np.add.at(edge, high[on], -1)
+                cut = np.unique(pick[np.cumsum(edge)[: len(pick)] > 0])
+                of = np.searchsorted(before, cut, "right") - 1
+                same = np.flatnonzero(of[1:] == of[:-1])
+                h = spans.of(starts[cut[same] + 1], ends[cut[same + 1]]).view(np.int64)
+                at = np.searchsorted(of[same], np.arange(len(bounds)))
+                digests += [h[a:b] for a, b in zip(at[:-1], at[1:])]
+                # runs lie within one text; of neighbours with one range the first
+                begin = np.flatnonzero(np.arange(len(starts)) + words < before[1:][np.searchsorted(before, np.arange(len(starts)), "right") - 1])
+                text = np.searchsorted(before, begin, "right") - 1
+                first, last = (np.searchsorted(cut, pick[begin + d]) for d in (CONTEXT - 1, words + 1 - w))
+                new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])))) if len(begin) else begin
+                text, base = text[new], np.searchsorted(of, text[new])
+                pairs = np.stack([first[new] - base, last[new] - base], 1).astype(np.int32)
+                at = np.searchsorted(text, np.arange(len(bounds)))
+                ranges += [pairs[a:b].ravel() for a, b in zip(at[:-1], at[1:])]
+                small += [pa.compress(data[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(bounds[:-1], bounds[1:])]
+            more = pa.array(small, pa.binary()), pa.array(digests, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, _NAMES), *more], [*_NAMES, "small", "digests", "ranges"])
 
-def cuts(data: np.ndarray, k: int = CHUNK, w: int = WINDOW) -> np.ndarray:
-    """Ends of the chunks of one text."""
-    pick, within = _windows(data, np.array([0, len(data)]), k, w)
-    return np.unique(pick[within]) + 1
+    return run
 
 
-def _hashes(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * down[start])
+_NAMES = ["doc_id", "k", "k2", "size"]
 
 
-def _chunks(k: int, w: int):
-    def run(batches):
-        for batch in batches:
-            digests = []
-            for _, _, data, bounds in slices(batch, "text"):
-                pick, within = _windows(data, bounds, k, w)
-                end = pick[within]
-                end = end[np.diff(end, prepend=-1) > 0] + 1
-                h = _hashes(prefix_sums(data), powers(len(data))[1], end - k, end).view(np.int64)
-                at = np.searchsorted(end, bounds, "right")
-                digests += [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(digests, pa.list_(pa.int64()))], ["key", "digests"])
+def _texts(batch: pa.RecordBatch, words: int):
+    for size, small in zip(batch.column("size").to_pylist(), batch.column("small").to_pylist()):
+        yield Text(pa.decompress(small, size, "zstd", asbytes=True), words)
 
-    return run
 
+def _candidates(batches):
+    """Of the runs whose chunks are all met elsewhere, the ranges, and the distinct chunks."""
+    for batch in batches:
+        found, ranges = [], []
+        for digests, own, met in zip(batch.column("digests"), batch.column("ranges"), batch.column("met")):
+            digests, own = np.array(digests.values), np.array(own.values, np.int64).reshape(-1, 2)
+            upto = np.concatenate(([0], np.cumsum(~np.isin(digests, np.array(met.values)))))
+            own = own[upto[own[:, 1]] == upto[own[:, 0]]]
+            edge = np.zeros(len(digests) + 1, np.int64)
+            np.add.at(edge, own[:, 0], 1)
+            np.add.at(edge, own[:, 1], -1)
+            found.append(np.unique(digests[np.cumsum(edge)[:-1] > 0]))
+            ranges.append(own.ravel().astype(np.int32))
+        names = ["doc_id", "k", "k2", "digests"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(ranges, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], [*names, "ranges", "found"])
 
-def _runs(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of a text: starts, ends and hashes of all runs of words + 1."""
-    start, end = starts[: max(0, len(starts) - words)], ends[words:]
-    return start, end, _hashes(sums, down, start, end)
 
+def _partners(batches):
+    """Of each text the ranks of its runs' partners, and the chunks that have an earlier text, with its rank.
 
-def _candidates(words: int):
-    """Hashes of the runs of words + 1 words in which every window's chunk is met elsewhere."""
-    k, w = _lengths(words)
+    ``fd``, ``fk``, ``fk2``: of each chunk the digest and the earliest text's hashes, in the order of these texts.
+    """
+    for batch in batches:
+        tops, known, ranks = [], [], []
+        for k, k2, fd, fk, fk2, digests, own in zip(batch.column("k").to_pylist(), batch.column("k2").to_pylist(), *(batch.column(c) for c in ("fd", "fk", "fk2", "digests", "ranges"))):
+            fd, fk, fk2, digests, own = (np.array(x.values) for x in (fd, fk, fk2, digests, own))
+            rank = np.concatenate(([0], np.cumsum((fk[1:] != fk[:-1]) | (fk2[1:] != fk2[:-1]))))
+            mine = rank[(fk == k) & (fk2 == k2)]
+            mine = mine[0] if len(mine) else len(fd)
+            order = np.argsort(fd)
+            at = np.minimum(np.searchsorted(fd[order], digests), len(fd) - 1)
+            of = np.append(np.where(fd[order][at] == digests, rank[order][at], -1), -1)
+            top = np.unique(np.maximum.reduceat(of, own)[::2])
+            early = order[rank[order] < mine]
+            tops.append(top[top < mine].astype(np.int32))
+            known.append(fd[early])
+            ranks.append(rank[early].astype(np.int32))
+        made = pa.array(tops, pa.list_(pa.int32())), pa.array(known, pa.list_(pa.int64())), pa.array(ranks, pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("place"), *made, batch.column("places")], ["place", "tops", "known", "ranks", "places"])
+
+
+def _grams(words: int):
+    """Hashes of the runs of words + 1 words whose chunks are all asked for."""
 
     def run(batches):
         for batch in batches:
-            grams, row, known = [], 0, batch.column("met").to_pylist()
-            for _, _, data, bounds in slices(batch, "text"):
-                sums, down = prefix_sums(data), powers(len(data))[1]
-                starts, ends, before, _, _ = words_of(data, bounds)
-                pick, within = _windows(data, bounds, k, w)
-                for t, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-                    low, high = a + k - 1, b - w + 1
-                    found = np.zeros(0, np.uint64)
-                    if high > low:
-                        end = pick[low:high] + 1
-                        alone = ~np.isin(_hashes(sums, down, end - k, end).view(np.int64), np.array(known[row], np.int64))
-                        upto = np.concatenate(([0], np.cumsum(alone)))
-                        start, stop, h = _runs(sums, down, starts[before[t] : before[t + 1]], ends[before[t] : before[t + 1]], words)
-                        found = np.unique(h[upto[stop - w + 1 - low] == upto[start + k - 1 - low]])
-                    grams.append(found.view(np.int64))
-                    row += 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "key", "grams"])
+            out = []
+            for text, asked in zip(_texts(batch, words), batch.column("met")):
+                on = np.flatnonzero(text.within(np.array(asked.values)))
+                out.append(np.unique(text.spans.of(text.starts[on], text.ends[on + words])).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k", "k2")), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "k", "k2", "grams"])
 
     return run
 
@@ -130,91 +197,134 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _longest(a: tuple, at: int, b: tuple, there: np.ndarray) -> int:
-    """Of the places ``there`` in text b, the one from which b agrees longest with a from ``at``."""
-    if len(there) == 1:
-        return int(there[0])
-    (sa, da), (sb, db) = a, b
-    low, high = np.zeros(len(there), np.int64), np.minimum(len(sa) - 1 - at, len(sb) - 1 - there)
-    while (low < high).any():
-        mid = (low + high + 1) // 2
-        same = (sa[at + mid] - sa[at]) * da[at] == (sb[there + mid] - sb[there]) * db[there]
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return int(there[low.argmax()])
-
-
-def _passages(own: bytes, other: bytes, words: int):
-    """(start, end, words) of every longest passage of more than ``words`` words of ``own`` that ``other`` has, in bytes."""
-    sides = []
-    for raw in (own, other):
-        data = np.frombuffer(raw, np.uint8)
-        starts, ends, *_ = words_of(data, np.array([0, len(data)]))
-        sums, down = prefix_sums(data), powers(len(data))[1]
-        sides.append((data, (sums, down), *_runs(sums, down, starts, ends, words)))
-    (a, ha, start, stop, grams), (b, hb, starts_b, _, grams_b) = sides
-    order = np.argsort(grams_b, kind="stable")
-    ranked = grams_b[order]
-    low, high = np.searchsorted(ranked, grams), np.searchsorted(ranked, grams, "right")
-    met, i = np.flatnonzero(high > low), 0
-    while i < len(met):
-        g = met[i]
-        at = int(start[g])
-        there = _longest(ha, at, hb, starts_b[order[low[g] : high[g]]])
-        first = at - _common(a[:at][::-1], b[:there][::-1])
-        end = at + _common(a[at:], b[there:])
-        # only whole words: a word that goes on beyond the match is not repeated
-        inside = own[first:end]
-        if first and not own[first - 1 : first].isspace() and not inside[:1].isspace():
-            first += len(inside) - len(inside.split(None, 1)[-1]) if len(inside.split(None, 1)) > 1 else len(inside)
-        if end < len(own) and not own[end : end + 1].isspace() and not own[end - 1 : end].isspace():
-            end = first + len(own[first:end].rsplit(None, 1)[0]) if len(own[first:end].split(None, 1)) > 1 else first
-        n = len(own[first:end].split())
-        if n > words:
-            yield first, end, n
-        i = max(i + 1, int(np.searchsorted(stop[met], end, "right")))
-
-
-def _extended(words: int):
-    def run(batches):
+def _passage(own: Text, run: int, other: bytes):
+    """(start, end, words), in bytes, of the longest passage of ``own`` around a run that ``other`` has, where it has the run first; None where it has not."""
+    raw, at, stop = own.raw, int(own.starts[run]), int(own.ends[run + own.words])
+    there = other.find(raw[at:stop])
+    if there < 0:
+        return None
+    theirs = np.frombuffer(other, np.uint8)
+    first = at - _common(own.data[:at][::-1], theirs[:there][::-1])
+    end = stop + _common(own.data[stop:], theirs[there + stop - at :])
+    # only whole words: a word that goes on beyond the match is not repeated
+    if first and first < at and not raw[first - 1 : first].isspace():
+        first = int(own.starts[np.searchsorted(own.starts, first)])
+    if end < len(raw) and end > stop and not raw[end : end + 1].isspace():
+        end = int(own.ends[np.searchsorted(own.ends, end, "right") - 1])
+    return first, end, len(raw[first:end].split())
+
+
+FOUND = "doc_id bigint, passages array<struct<start bigint, stop bigint, n_words bigint, first_doc_id bigint>>, asks array<bigint>"
+
+
+def _compare(words: int, every: bool):
+    """Rows come by text: which of its chunks have an earlier text, the text itself, its partners one after another, with their ranks.
+
+    A run is looked for in its partner, or in ``every`` text. Returns the passages, and the chunks of the runs that none explains though each of their chunks has
+    an earlier text.
+    """
+    kinds = pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64())])), pa.list_(pa.int64())
+
+    def done(own: Text, left: np.ndarray, found: list):
+        points = np.concatenate(([0], np.cumsum(own.data & 0xC0 != 0x80))) if found else None
+        asks = own.chunks(np.flatnonzero(left)) if left.any() and not every else []
+        return [{"start": int(points[a]), "stop": int(points[b]), "n_words": n, "first_doc_id": d} for a, b, n, d in found], asks
+
+    def rows(batches):
         for batch in batches:
-            rows = []
-            for i, (own, other) in enumerate(zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())):
-                rows += [(i, len(own[:a].decode(errors="replace")), len(own[:b].decode(errors="replace")), n) for a, b, n in _passages(own, other, words)]
-            index = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)), batch.column("first_doc_id").take(index)], ["doc_id", "start", "stop", "n_words", "first_doc_id"])
+            lists = [batch.column(c) for c in ("known", "ranks")]
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "k2", "kind", "rank", "size", "small", "first_doc_id")))):
+                yield *row, *((np.array(x[i].values) for x in lists) if row[3] == 0 else (None, None))
+
+    def run(batches):
+        out, key, own = [], None, None
+        for doc_id, k, k2, kind, rank, size, small, first_doc_id, known_, ranks_ in rows(batches):
+            if kind == 0:
+                if own is not None:
+                    out.append((key[0], *done(own, left, found)))
+                    if len(out) == 200:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "passages", "asks"])
+                        out = []
+                key, own, known, ranks, found = (doc_id, k, k2), None, known_, ranks_, []
+            elif key == (doc_id, k, k2) and kind == 1:
+                own = Text(pa.decompress(small, size, "zstd", asbytes=True), words)
+                left = np.ones(own.n, bool) if every else own.within(known)
+                latest = None if every else own.latest(known, ranks)
+            elif key == (doc_id, k, k2):
+                todo = left if every else left & (latest == rank)
+                other = pa.decompress(small, size, "zstd", asbytes=True) if todo.any() else b""
+                for i in np.flatnonzero(todo):
+                    if left[i] and (passage := _passage(own, i, other)):
+                        found.append((*passage, first_doc_id))
+                        left &= (own.starts[: own.n] < passage[0]) | (own.ends[words:] > passage[1])
+        if own is not None:
+            out.append((key[0], *done(own, left, found)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "passages", "asks"])
 
     return run
 
 
+def _place():
+    return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "k", "k2").alias("place")
+
+
+def _compared(linked: DataFrame, held: DataFrame, words: int, every: bool = False) -> DataFrame:
+    """``linked``: place, known (digests) and their ranks, others (rank and place). Each text is held against one other at a time."""
+    nothing = lambda t: F.lit(None).cast(t)
+    order = ["doc_id", "k", "k2", "kind", "rank", "size", "small", "known", "ranks", "first_doc_id"]
+    lists = {"known": nothing("array<bigint>"), "ranks": nothing("array<int>")}
+    marks = linked.select("place.doc_id", "place.k", "place.k2", "known", "ranks").withColumns({"kind": F.lit(0), "rank": nothing("int"), "size": nothing("int"), "small": nothing("binary"), "first_doc_id": nothing("bigint")})
+    own = held.select("doc_id", "k", "k2", "size", "small").withColumns({"kind": F.lit(1), "rank": nothing("int"), "first_doc_id": nothing("bigint")} | lists)
+    pairs = linked.select("place", F.explode("others").alias("other")).select("place", "other.rank", F.col("other.place.doc_id").alias("first_doc_id"), F.col("other.place.k").alias("ok"), F.col("other.place.k2").alias("ok2"))
+    theirs = held.select(F.col("k").alias("ok"), F.col("k2").alias("ok2"), "size", "small")
+    others = pairs.join(theirs, ["ok", "ok2"]).select("place.doc_id", "place.k", "place.k2", "rank", "size", "small", "first_doc_id").withColumns({"kind": F.lit(2)} | lists)
+    rows = marks.select(*order).union(own.select(*order)).union(others.select(*order))
+    rows = rows.repartition("k", "k2").sortWithinPartitions("k", "k2", "kind", "rank")
+    with arrow_rows(held.sparkSession, 200):
+        return written(rows.mapInArrow(_compare(words, every), FOUND), "found")
+
+
 def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """Passages of more than ``words`` words that an earlier document has: doc_id, start, stop, n_words, first_doc_id.
 
-    Earlier: smaller doc_id, null last, then a hash of the text. start and stop are code points (stop exclusive) of whole words;
-    the passage is as long as the two texts agree, and first_doc_id is the earliest document with some words + 1 words of it. One
-    row for each passage and earlier document found for it; documents without any have no row. Every run of words + 1
-    words that an earlier document has, byte for byte, lies in a row.
+    Earlier: smaller doc_id, null last, then two hashes of id and text. start and stop are code points (stop exclusive) of whole words;
+    the passage is as long as the two texts agree, and first_doc_id is an earlier document with all of it, mostly the earliest with some
+    words + 1 words of it. One row for each passage and earlier document that was needed to explain it; documents without any have no row. Every
+    run of words + 1 words that an earlier document has, byte for byte, lies in a row.
 
     Null and empty texts have no passages. Repetition within one document is not looked for. Rows equal in doc_id and text
     are one document; other columns are ignored; an empty table gives no rows.
     """
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key")
-    rows = docs.select("doc_id", "text").withColumn("key", key)
-    chunked = rows.select(*text_bytes("doc_id", "text", "key")).where(F.length("text") > 2 * words).mapInArrow(_chunks(*_lengths(words)), "key bigint, digests array<bigint>")
-    chunk = written(chunked, "chunks").select("key", F.explode("digests").alias("digest"))
-    # two plain numbers for each chunk find the few digests that documents share
-    shared = chunk.groupBy("digest").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 <> k1").select("digest")
-    met = written(chunk.join(shared, "digest").groupBy("key").agg(F.collect_set("digest").alias("met")), "met")
-    with arrow_rows(docs.sparkSession, 1000):
-        found = rows.select(*text_bytes("doc_id", "text", "key")).join(met, "key").mapInArrow(_candidates(words), "doc_id bigint, key bigint, grams array<bigint>")
-        found = written(found.where("size(grams) > 0"), "candidates")
-    gram = found.select("doc_id", "key", F.explode("grams").alias("gram"))
-    # of each run the earliest document
-    sources = gram.groupBy("gram").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "key")).alias("source"), F.max("key").alias("k1"), F.min("key").alias("k0")).where("k0 <> k1")
-    units = gram.join(sources.select("gram", "source"), "gram").where("key <> source.key").select("key", "doc_id", F.col("source.key").alias("other"), F.col("source.doc_id").alias("first_doc_id"))
-    units = written(units.groupBy("key", "other").agg(F.first("doc_id").alias("doc_id"), F.first("first_doc_id").alias("first_doc_id")), "units")
-    wanted = units.select("key").union(units.select("other")).distinct()
-    texts = written(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first(F.col("text").cast("binary")).alias("text")), "texts")
-    both = units.join(texts.select("key", F.col("text").alias("own")), "key").join(texts.select(F.col("key").alias("other"), F.col("text").alias("source")), "other")
-    both = both.select("doc_id", "first_doc_id", "own", F.col("source").alias("other"))
-    with arrow_rows(docs.sparkSession, 200):
-        return written(both.mapInArrow(_extended(words), "doc_id bigint, start bigint, stop bigint, n_words bigint, first_doc_id bigint"), "passages").distinct()
+    rows = docs.select("doc_id", "text", *identity("text", "doc_id"), F.octet_length("text").alias("size")).where(F.length("text") > 2 * words)
+    texts = written(rows.select(*text_bytes("doc_id", "text", "k", "k2", "size")).mapInArrow(_chunks(words), "doc_id bigint, k bigint, k2 bigint, size int, small binary, digests array<bigint>, ranges array<int>"), "chunks")
+    chunk = texts.select("k", F.explode(F.array_distinct("digests")).alias("digest"))
+    # a text has a digest once here, so counts find the few that texts share
+    shared = written(chunk.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "shared")
+    met = chunk.join(shared, "digest").groupBy("k").agg(F.collect_set("digest").alias("met"))
+    # equal rows are one; the join has dealt them by k already
+    some = texts.select("doc_id", "k", "k2", "digests", "ranges").join(met, "k").dropDuplicates(["k", "k2"])
+    some = written(some.mapInArrow(_candidates, "doc_id bigint, k bigint, k2 bigint, digests array<bigint>, ranges array<int>, found array<bigint>").where("size(ranges) > 0"), "candidates")
+    held = texts.select("doc_id", "k", "k2", "size", "small").join(some.select("k", "k2"), ["k", "k2"], "left_semi").dropDuplicates(["k", "k2"])
+    held = written(held, "held")
+    drop(texts, shared)
+
+    each = some.select(_place(), F.explode("found").alias("digest"))
+    earliest = written(each.groupBy("digest").agg(F.min("place").alias("other")), "earliest")
+    firsts = each.join(earliest, "digest").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("other", "digest"))).alias("f"))
+    firsts = firsts.select("place", F.col("f.digest").alias("fd"), F.col("f.other.k").alias("fk"), F.col("f.other.k2").alias("fk2"), F.array_distinct("f.other").alias("places"))
+    partners = some.select(_place(), "k", "k2", "digests", "ranges").join(firsts, "place").mapInArrow(_partners, f"place {PLACE}, tops array<int>, known array<bigint>, ranks array<int>, places array<{PLACE}>")
+    others = F.transform("tops", lambda t: F.struct(t.alias("rank"), F.get("places", t).alias("place")))
+    first = written(partners.where("size(tops) > 0").select("place", "known", "ranks", others.alias("others")), "linked")
+    found = _compared(first, held, words)
+    asked = written(found.select(F.explode("asks").alias("digest")).distinct(), "asked")
+    if not asked.isEmpty():
+        asks = some.select("k", "k2", F.explode("found").alias("digest")).join(asked, "digest", "left_semi").groupBy("k", "k2").agg(F.collect_set("digest").alias("met"))
+        with arrow_rows(docs.sparkSession, 1000):
+            grams = written(held.join(asks, ["k", "k2"]).mapInArrow(_grams(words), "doc_id bigint, k bigint, k2 bigint, grams array<bigint>"), "grams")
+        run = grams.select(_place(), F.explode("grams").alias("gram"))
+        source = written(run.groupBy("gram").agg(F.min("place").alias("other")), "sources")
+        more = run.join(source, "gram").where("place <> other").groupBy("place").agg(F.array_sort(F.collect_set("other")).alias("others"))
+        more = more.select("place", F.expr("cast(array() as array<bigint>)").alias("known"), F.expr("cast(array() as array<int>)").alias("ranks"), F.transform("others", lambda x, i: F.struct(i.alias("rank"), x.alias("place"))).alias("others"))
+        found = found.union(_compared(written(more, "linked"), held, words, True))
+    return found.select("doc_id", F.explode("passages").alias("x")).select("doc_id", "x.start", "x.stop", "x.n_words", "x.first_doc_id").distinct()
