@@ -154,14 +154,16 @@ def _candidates(batches):
 
 
 def _partners(batches):
-    """Of each text the ranks of its runs' partners, and the chunks that have an earlier text, with its rank.
+    """Of each text its runs' partners with their ranks, and the chunks that have an earlier text, with its rank.
 
-    ``fd``, ``fk``, ``fk2``: of each chunk the digest and the earliest text's hashes, in the order of these texts.
+    ``fd``, ``fk``, ``fk2``, ``fid``: of each chunk the digest, and the earliest text's hashes and id, in the order of these texts.
     """
+    others = pa.struct([("rank", pa.int32()), ("k", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64())])
     for batch in batches:
-        tops, known, ranks = [], [], []
-        for k, k2, fd, fk, fk2, digests, own in zip(batch.column("k").to_pylist(), batch.column("k2").to_pylist(), *(batch.column(c) for c in ("fd", "fk", "fk2", "digests", "ranges"))):
-            fd, fk, fk2, digests, own = (np.array(x.values) for x in (fd, fk, fk2, digests, own))
+        picked, known, ranks, at_end = [], [], [], [0]
+        whole = {c: batch.column(c) for c in ("fd", "fk", "fk2", "fid", "digests", "ranges")}
+        for i, (k, k2) in enumerate(zip(batch.column("k").to_pylist(), batch.column("k2").to_pylist())):
+            fd, fk, fk2, digests, own = (np.array(whole[c][i].values) for c in ("fd", "fk", "fk2", "digests", "ranges"))
             rank = np.concatenate(([0], np.cumsum((fk[1:] != fk[:-1]) | (fk2[1:] != fk2[:-1]))))
             mine = rank[(fk == k) & (fk2 == k2)]
             mine = mine[0] if len(mine) else len(fd)
@@ -169,12 +171,15 @@ def _partners(batches):
             at = np.minimum(np.searchsorted(fd[order], digests), len(fd) - 1)
             of = np.append(np.where(fd[order][at] == digests, rank[order][at], -1), -1)
             top = np.unique(np.maximum.reduceat(of, own)[::2])
+            top = top[top < mine]
+            first = np.searchsorted(rank, top)  # ranks are in order
+            picked.append(pa.StructArray.from_arrays([pa.array(top.astype(np.int32)), pa.array(fk[first]), pa.array(fk2[first]), whole["fid"][i].values.take(pa.array(first))], fields=list(others)))
+            at_end.append(at_end[-1] + len(top))
             early = order[rank[order] < mine]
-            tops.append(top[top < mine].astype(np.int32))
             known.append(fd[early])
             ranks.append(rank[early].astype(np.int32))
-        made = pa.array(tops, pa.list_(pa.int32())), pa.array(known, pa.list_(pa.int64())), pa.array(ranks, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("place"), *made, batch.column("places")], ["place", "tops", "known", "ranks", "places"])
+        lists = pa.ListArray.from_arrays(pa.array(at_end, pa.int32()), pa.concat_arrays(picked) if picked else pa.array([], others))
+        yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "k", "k2")), pa.array(known, pa.list_(pa.int64())), pa.array(ranks, pa.list_(pa.int32())), lists], ["doc_id", "k", "k2", "known", "ranks", "others"])
 
 
 def _grams(words: int):
@@ -220,7 +225,7 @@ FOUND = "doc_id bigint, passages array<struct<start bigint, stop bigint, n_words
 def _compare(words: int, every: bool):
     """Rows come by text: which of its chunks have an earlier text, the text itself, its partners one after another, with their ranks.
 
-    A run is looked for in its partner, or in ``every`` text. Returns the passages, and the chunks of the runs that none explains though each of their chunks has
+    A run of known chunks is looked for in its partner, or in ``every`` text. Returns the passages, and the chunks of the runs that none explains though each of their chunks has
     an earlier text.
     """
     kinds = pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64())])), pa.list_(pa.int64())
@@ -248,7 +253,7 @@ def _compare(words: int, every: bool):
                 key, own, known, ranks, found = (doc_id, k, k2), None, known_, ranks_, []
             elif key == (doc_id, k, k2) and kind == 1:
                 own = Text(pa.decompress(small, size, "zstd", asbytes=True), words)
-                left = np.ones(own.n, bool) if every else own.within(known)
+                left = own.within(known)
                 latest = None if every else own.latest(known, ranks)
             elif key == (doc_id, k, k2):
                 todo = left if every else left & (latest == rank)
@@ -269,16 +274,19 @@ def _place():
     return F.struct(F.isnull("doc_id").alias("last"), "doc_id", "k", "k2").alias("place")
 
 
+LINKED = "doc_id bigint, k bigint, k2 bigint, known array<bigint>, ranks array<int>, others array<struct<rank int, k bigint, k2 bigint, doc_id bigint>>"
+
+
 def _compared(linked: DataFrame, held: DataFrame, words: int, every: bool = False) -> DataFrame:
-    """``linked``: place, known (digests) and their ranks, others (rank and place). Each text is held against one other at a time."""
+    """``linked``: doc_id, k, k2, known (digests) and their ranks, others (rank, hashes and id). Each text is held against one other at a time."""
     nothing = lambda t: F.lit(None).cast(t)
     order = ["doc_id", "k", "k2", "kind", "rank", "size", "small", "known", "ranks", "first_doc_id"]
     lists = {"known": nothing("array<bigint>"), "ranks": nothing("array<int>")}
-    marks = linked.select("place.doc_id", "place.k", "place.k2", "known", "ranks").withColumns({"kind": F.lit(0), "rank": nothing("int"), "size": nothing("int"), "small": nothing("binary"), "first_doc_id": nothing("bigint")})
-    own = held.select("doc_id", "k", "k2", "size", "small").withColumns({"kind": F.lit(1), "rank": nothing("int"), "first_doc_id": nothing("bigint")} | lists)
-    pairs = linked.select("place", F.explode("others").alias("other")).select("place", "other.rank", F.col("other.place.doc_id").alias("first_doc_id"), F.col("other.place.k").alias("ok"), F.col("other.place.k2").alias("ok2"))
+    marks = linked.select("doc_id", "k", "k2", "known", "ranks").withColumns({"kind": F.lit(0), "rank": nothing("int"), "size": nothing("int"), "small": nothing("binary"), "first_doc_id": nothing("bigint")})
+    own = held.join(linked.select("k", "k2"), ["k", "k2"], "left_semi").select("doc_id", "k", "k2", "size", "small").withColumns({"kind": F.lit(1), "rank": nothing("int"), "first_doc_id": nothing("bigint")} | lists)
+    pairs = linked.select("doc_id", "k", "k2", F.explode("others").alias("o")).select("doc_id", "k", "k2", "o.rank", F.col("o.doc_id").alias("first_doc_id"), F.col("o.k").alias("ok"), F.col("o.k2").alias("ok2"))
     theirs = held.select(F.col("k").alias("ok"), F.col("k2").alias("ok2"), "size", "small")
-    others = pairs.join(theirs, ["ok", "ok2"]).select("place.doc_id", "place.k", "place.k2", "rank", "size", "small", "first_doc_id").withColumns({"kind": F.lit(2)} | lists)
+    others = pairs.join(theirs, ["ok", "ok2"]).select("doc_id", "k", "k2", "rank", "size", "small", "first_doc_id").withColumns({"kind": F.lit(2)} | lists)
     rows = marks.select(*order).union(own.select(*order)).union(others.select(*order))
     rows = rows.repartition("k", "k2").sortWithinPartitions("k", "k2", "kind", "rank")
     with arrow_rows(held.sparkSession, 200):
@@ -311,11 +319,11 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
 
     each = some.select(_place(), F.explode("found").alias("digest"))
     earliest = written(each.groupBy("digest").agg(F.min("place").alias("other")), "earliest")
-    firsts = each.join(earliest, "digest").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("other", "digest"))).alias("f"))
-    firsts = firsts.select("place", F.col("f.digest").alias("fd"), F.col("f.other.k").alias("fk"), F.col("f.other.k2").alias("fk2"), F.array_distinct("f.other").alias("places"))
-    partners = some.select(_place(), "k", "k2", "digests", "ranges").join(firsts, "place").mapInArrow(_partners, f"place {PLACE}, tops array<int>, known array<bigint>, ranks array<int>, places array<{PLACE}>")
-    others = F.transform("tops", lambda t: F.struct(t.alias("rank"), F.get("places", t).alias("place")))
-    first = written(partners.where("size(tops) > 0").select("place", "known", "ranks", others.alias("others")), "linked")
+    flat = F.struct(*(F.col(f"other.{c}").alias(c) for c in ("last", "doc_id", "k", "k2")), "digest")
+    firsts = each.join(earliest, "digest").groupBy("place.k", "place.k2").agg(F.array_sort(F.collect_list(flat)).alias("f"))
+    firsts = firsts.select("k", "k2", F.col("f.digest").alias("fd"), F.col("f.k").alias("fk"), F.col("f.k2").alias("fk2"), F.col("f.doc_id").alias("fid"))
+    with arrow_rows(docs.sparkSession, 1000):
+        first = written(some.select("doc_id", "k", "k2", "digests", "ranges").join(firsts, ["k", "k2"]).mapInArrow(_partners, LINKED).where("size(others) > 0"), "linked")
     found = _compared(first, held, words)
     asked = written(found.select(F.explode("asks").alias("digest")).distinct(), "asked")
     if not asked.isEmpty():
@@ -324,7 +332,8 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
             grams = written(held.join(asks, ["k", "k2"]).mapInArrow(_grams(words), "doc_id bigint, k bigint, k2 bigint, grams array<bigint>"), "grams")
         run = grams.select(_place(), F.explode("grams").alias("gram"))
         source = written(run.groupBy("gram").agg(F.min("place").alias("other")), "sources")
-        more = run.join(source, "gram").where("place <> other").groupBy("place").agg(F.array_sort(F.collect_set("other")).alias("others"))
-        more = more.select("place", F.expr("cast(array() as array<bigint>)").alias("known"), F.expr("cast(array() as array<int>)").alias("ranks"), F.transform("others", lambda x, i: F.struct(i.alias("rank"), x.alias("place"))).alias("others"))
+        more = run.join(source, "gram").where("place <> other").groupBy("place").agg(F.array_sort(F.collect_set("other")).alias("o"))
+        more = more.select("place.*", F.transform("o", lambda x, i: F.struct(i.alias("rank"), x["k"].alias("k"), x["k2"].alias("k2"), x["doc_id"].alias("doc_id"))).alias("others"))
+        more = more.join(asks.withColumnRenamed("met", "known"), ["k", "k2"]).select("doc_id", "k", "k2", "known", F.expr("cast(array() as array<int>)").alias("ranks"), "others")
         found = found.union(_compared(written(more, "linked"), held, words, True))
     return found.select("doc_id", F.explode("passages").alias("x")).select("doc_id", "x.start", "x.stop", "x.n_words", "x.first_doc_id").distinct()
