@@ -312,7 +312,8 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     met = chunk.join(shared, "digest").groupBy("k").agg(F.collect_set("digest").alias("met"))
     # equal rows are one; the join has dealt them by k already
     some = texts.select("doc_id", "k", "k2", "digests", "ranges").join(met, "k").dropDuplicates(["k", "k2"])
-    some = written(some.mapInArrow(_candidates, "doc_id bigint, k bigint, k2 bigint, digests array<bigint>, ranges array<int>, found array<bigint>").where("size(ranges) > 0"), "candidates")
+    kept = "doc_id bigint, k bigint, k2 bigint, digests array<bigint>, ranges array<int>, found array<bigint>"
+    some = written(some.mapInArrow(_candidates, kept).where("size(ranges) > 0"), "candidates")
     held = texts.select("doc_id", "k", "k2", "size", "small").join(some.select("k", "k2"), ["k", "k2"], "left_semi").dropDuplicates(["k", "k2"])
     held = written(held, "held")
     drop(texts, shared)
@@ -328,12 +329,15 @@ def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     asked = written(found.select(F.explode("asks").alias("digest")).distinct(), "asked")
     if not asked.isEmpty():
         asks = some.select("k", "k2", F.explode("found").alias("digest")).join(asked, "digest", "left_semi").groupBy("k", "k2").agg(F.collect_set("digest").alias("met"))
+        # by chunks alone: only texts with a run of asked chunks go on
+        needed = some.drop("found").join(asks, ["k", "k2"]).mapInArrow(_candidates, kept).where("size(ranges) > 0").select("k", "k2", F.col("found").alias("met"))
         with arrow_rows(docs.sparkSession, 1000):
-            grams = written(held.join(asks, ["k", "k2"]).mapInArrow(_grams(words), "doc_id bigint, k bigint, k2 bigint, grams array<bigint>"), "grams")
+            held = written(held.join(written(needed, "needed"), ["k", "k2"]), "asked_texts")
+            grams = written(held.mapInArrow(_grams(words), "doc_id bigint, k bigint, k2 bigint, grams array<bigint>"), "grams")
         run = grams.select(_place(), F.explode("grams").alias("gram"))
         source = written(run.groupBy("gram").agg(F.min("place").alias("other")), "sources")
         more = run.join(source, "gram").where("place <> other").groupBy("place").agg(F.array_sort(F.collect_set("other")).alias("o"))
         more = more.select("place.*", F.transform("o", lambda x, i: F.struct(i.alias("rank"), x["k"].alias("k"), x["k2"].alias("k2"), x["doc_id"].alias("doc_id"))).alias("others"))
-        more = more.join(asks.withColumnRenamed("met", "known"), ["k", "k2"]).select("doc_id", "k", "k2", "known", F.expr("cast(array() as array<int>)").alias("ranks"), "others")
+        more = more.join(held.select("k", "k2", F.col("met").alias("known")), ["k", "k2"]).select("doc_id", "k", "k2", "known", F.expr("cast(array() as array<int>)").alias("ranks"), "others")
         found = found.union(_compared(written(more, "linked"), held, words, True))
     return found.select("doc_id", F.explode("passages").alias("x")).select("doc_id", "x.start", "x.stop", "x.n_words", "x.first_doc_id").distinct()
