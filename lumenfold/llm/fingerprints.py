@@ -20,33 +20,57 @@ from pyspark.sql import functions as F
 from lumenfold.llm.shared import mix, partitions, shingle_hashes, word_hashes
 
 K, TUPLE, REPEATS = 2, 2, 64
+#: About so many characters of texts are fingerprinted together.
+TOGETHER = 1 << 17
 _SEEDS = mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def fingerprint(text: bytes) -> np.ndarray:
-    """32 bits for each repeat. A text without words has the fingerprint of no k-mers, all 0."""
-    data = np.frombuffer(text, np.uint8)
-    h, _ = word_hashes(data, np.array([0, len(data)]))
-    kmers = shingle_hashes(h, K)
-    if not len(kmers):
-        return np.zeros(REPEATS, np.uint32)
-    order = np.argsort(kmers, kind="stable")
-    run = kmers[order]
-    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+def fingerprints(texts: list[bytes]) -> np.ndarray:
+    """32 bits for each repeat of each text. A text without words has the fingerprint of no k-mers, all 0."""
+    out = np.zeros((len(texts), REPEATS), np.uint32)
+    bounds = np.cumsum([0, *map(len, texts)])
+    h, before = word_hashes(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    if not len(h):
+        return out
+    n_words = np.diff(before)
+    of = np.repeat(np.arange(len(texts)), n_words)
+    at = np.flatnonzero(np.arange(len(h)) + K <= before[of + 1])
+    few = np.flatnonzero((n_words > 0) & (n_words < K))
+    kmers = np.concatenate([shingle_hashes(h, K)[at] if len(at) else at.astype(np.uint64), *(shingle_hashes(h[before[t] : before[t + 1]], K) for t in few)])
+    owner = np.concatenate([of[at], few])
+    order = np.argsort(owner, kind="stable")
+    kmers, owner = kmers[order], owner[order]
+    # each k-mer is numbered by how often its text had it before
+    order = np.lexsort((kmers, owner))
+    run, whose = kmers[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (whose[1:] != whose[:-1]))))
     number = np.empty(len(run), np.uint64)
     number[order] = np.arange(len(run)) - np.repeat(first, np.diff(np.append(first, len(run))))
     numbered = mix(kmers + number * np.uint64(0xD1B54A32D192ED03))
-    out = np.empty(REPEATS, np.uint32)
-    for some in np.array_split(np.arange(REPEATS), max(1, len(numbered) * REPEATS >> 20)):
+
+    there = np.unique(owner)
+    cut = np.searchsorted(owner, there)
+    size = np.diff(np.append(cut, len(owner)))
+    # the lowest bits of a hash give way to the k-mer's place, so that the least hash tells it
+    bits = np.uint64(max(1, int(size.max() - 1).bit_length()))
+    place = (np.arange(len(owner)) - np.repeat(cut, size)).astype(np.uint64)
+    none = np.iinfo(np.uint64).max
+    for some in np.array_split(np.arange(REPEATS), min(REPEATS, max(1, len(numbered) * REPEATS >> 18))):
         hashed = numbered * _SEEDS[some, None]
         hashed ^= hashed >> np.uint64(32)
         hashed *= np.uint64(0xFF51AFD7ED558CCD)
-        least = min(TUPLE, len(numbered))
-        at = np.sort(np.argpartition(hashed, least - 1, axis=1)[:, :least], axis=1)
-        total = np.zeros(len(some), np.uint64)
-        for i in range(least):
-            total = mix(total * np.uint64(3) + numbered[at[:, i]])
-        out[some] = (mix(total + _SEEDS[some]) >> np.uint64(32)).astype(np.uint32)
+        hashed = hashed >> bits << bits | place
+        picks = []
+        for i in range(TUPLE):
+            least = np.minimum.reduceat(hashed, cut, axis=1)
+            picks.append(np.where(i < size, least & (np.uint64(1) << bits) - np.uint64(1), none))
+            hashed[hashed == np.repeat(least, size, axis=1)] = none
+        picks, total = np.sort(picks, axis=0), np.zeros((len(some), len(there)), np.uint64)
+        for i in range(TUPLE):
+            on = np.broadcast_to(i < size, total.shape)
+            value = numbered[np.where(on, picks[i], 0).astype(np.int64) + cut]
+            total = np.where(on, mix(total * np.uint64(3) + value), total)
+        out[there[:, None], some] = (mix(total + _SEEDS[some, None]) >> np.uint64(32)).astype(np.uint32).T
     return out
 
 
@@ -62,25 +86,36 @@ def _rows(batches) -> Iterator[tuple]:
         yield from zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("bucket").to_pylist(), batch.column("only_next").to_pylist())
 
 
+def _judged(jobs: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    """Rows for (doc_id, text, next text); where the next text is that of the following job, it is fingerprinted once."""
+    edited, texts, following = [], [own for _, own, _ in jobs], []
+    for i, (_, own, nxt) in enumerate(jobs):
+        n = len(own) // 3
+        edited.append(own[: len(own) - n] + nxt[:n])
+        if i + 1 < len(jobs) and jobs[i + 1][1] is nxt:
+            following.append(i + 1)
+        else:
+            following.append(len(texts))
+            texts.append(nxt)
+    prints = fingerprints([t.encode() for t in texts + edited])
+    own, new, nxt = prints[: len(jobs)], prints[len(texts) :], prints[following]
+    columns = [d for d, _, _ in jobs], [len(t) for _, t, _ in jobs], [hashlib.sha256(t.encode()).hexdigest() for t in edited], [p.tobytes().hex() for p in own], [p.tobytes().hex() for p in new], [*map(likeness, own, new)], [*map(likeness, own, nxt)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, OUT.types)], schema=OUT)
+
+
 def _compare(batches):
     """Rows come by bucket, in the order of the texts, then the first text of the next bucket."""
-    rows, before, done = _rows(batches), None, []
-    prints: tuple[str, np.ndarray] = ("", fingerprint(b""))
-    for doc_id, text, bucket, only_next in rows:
-        now = (text, fingerprint(text.encode()))
-        if before is not None and before[1] == bucket:
-            own_id, (own, own_print) = before[0], prints
-            n = len(own) // 3
-            edited = own[: len(own) - n] + text[:n]
-            edited_print = fingerprint(edited.encode())
-            digest = hashlib.sha256(edited.encode()).hexdigest()
-            done.append((own_id, len(own), digest, own_print.tobytes().hex(), edited_print.tobytes().hex(), likeness(own_print, edited_print), likeness(own_print, now[1])))
-            if len(done) == 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), OUT.types)], schema=OUT)
-                done = []
-        before, prints = (None, prints) if only_next else ((doc_id, bucket), now)
-    if done:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), OUT.types)], schema=OUT)
+    jobs, waiting, before = [], 0, None
+    for doc_id, text, bucket, only_next in _rows(batches):
+        if before is not None and before[2] == bucket:
+            jobs.append((before[0], before[1], text))
+            waiting += len(before[1])
+            if waiting >= TOGETHER:
+                yield _judged(jobs)
+                jobs, waiting = [], 0
+        before = None if only_next else (doc_id, text, bucket)
+    if jobs:
+        yield _judged(jobs)
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
