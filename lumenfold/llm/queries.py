@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, fingerprints, language_model, lattice, line_dedup, minhash, packing, pii, substrings, toxicity
+from lumenfold.llm import bpe, decontamination, fingerprints, language_model, lattice, line_dedup, minhash, packing, pii, substrings, toxicity
 from lumenfold.llm.shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,9 +62,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op9_line_dedup": line_dedup.ORACLE_SQL, "op12_benchmark_decontamination": decontamination.ORACLE_SQL}
