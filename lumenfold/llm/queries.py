@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, decontamination, fingerprints, language_model, lattice, line_dedup, minhash, packing, pii, substrings, toxicity
+from lumenfold.llm import bpe, decontamination, fingerprints, language_model, lattice, line_dedup, minhash, packing, periods, pii, substrings, toxicity, whitening
 from lumenfold.llm.shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,20 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periods.periodic_runs(periods.with_planted_periods(table(spark, sf_dir, "documents")), least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = done.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.back"), F.col("best.length"), -F.col("best.short")
+    milli = F.expr("1000 * best.length div -best.short")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
