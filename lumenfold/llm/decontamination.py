@@ -21,8 +21,8 @@ BROADCAST_ROWS = 500_000
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Characters beyond ASCII that ``lower`` changes, among others; only texts with one of them take the slow way.
-_CASED = r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{IsUppercase}]]"
+#: Characters beyond ASCII that ``lower`` changes (it knows later ones than the pattern does, which are unassigned there), among others; only texts with one of them take the slow way.
+_CASED = r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{IsUppercase}\p{Cn}]]"
 
 
 def words(text: Column) -> Column:
