@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 The gear hash rolls over words: h = (h << 8) + gear(word) modulo 2**32, so it remembers ``CONTEXT`` words. Of any ``w`` positions in a row the
-one with the least value is a cut, the last of equal ones; what lies between two cuts is a chunk, of 1 to w words. Cuts inside
+one with the least value is a cut, the last of equal ones; what lies between two cuts is a chunk, of 1 to w words, told by them and by the words that
+the first cut comes from, as a few words alone are met everywhere. Cuts inside
 a passage are the same wherever it stands, and of 2 * w positions in a row two windows without a common position have two cuts, so a whole
 chunk lies in any words + 1 words: w is (words - 2) // 2.
 
@@ -54,7 +55,7 @@ def _picks(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Text:
-    """One text's words and chunks. Chunk i, from 1, is the words after cuts[i - 1] up to cuts[i]; run i is the words from i on."""
+    """One text's words and chunks. Chunk i, from 1, is the words after cuts[i - 1] up to cuts[i], and its digest also of the CONTEXT words before; run i is the words from i on."""
 
     def __init__(self, raw: bytes, words: int):
         self.raw, self.words, self.w = raw, words, window(words)
@@ -64,7 +65,7 @@ class Text:
         self.n = max(0, len(self.starts) - words)  # runs of words + 1 words
         pick = _picks(self.spans.of(self.starts, self.ends), self.w)
         self.cuts = np.unique(pick[CONTEXT - 1 :])
-        self.digests = np.concatenate([[0], self.spans.of(self.starts[self.cuts[:-1] + 1], self.ends[self.cuts[1:]]).view(np.int64)]) if len(self.cuts) else np.zeros(0, np.int64)
+        self.digests = np.concatenate([[0], self.spans.of(self.starts[self.cuts[:-1] - CONTEXT + 1], self.ends[self.cuts[1:]]).view(np.int64)]) if len(self.cuts) else np.zeros(0, np.int64)
         # the first and the last cut inside each run
         self.first = np.searchsorted(self.cuts, pick[CONTEXT - 1 : CONTEXT - 1 + self.n])
         self.last = np.searchsorted(self.cuts, pick[self.words + 1 - self.w :][: self.n])
@@ -109,7 +110,7 @@ def _chunks(words: int):
                 cut = np.unique(pick[np.cumsum(edge)[: len(pick)] > 0])
                 of = np.searchsorted(before, cut, "right") - 1
                 same = np.flatnonzero(of[1:] == of[:-1])
-                h = spans.of(starts[cut[same] + 1], ends[cut[same + 1]]).view(np.int64)
+                h = spans.of(starts[cut[same] - CONTEXT + 1], ends[cut[same + 1]]).view(np.int64)
                 at = np.searchsorted(of[same], np.arange(len(bounds)))
                 digests += [h[a:b] for a, b in zip(at[:-1], at[1:])]
                 # runs lie within one text; of neighbours with one range the first
