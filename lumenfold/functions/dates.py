@@ -16,9 +16,10 @@ _MONTH = "(?:" + "|".join(s + "".join(f"(?:{c}" for c in long[3:]) + ")?" * (len
 
 
 # Fixed formats: file names carry YYYYMMDD, year-month-day, or month-day-year, header lines a numeric date or a month's name.
-_SEP = "[-_./]"
-_COMPACT, _YEAR_FIRST, _YEAR_LAST = r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)", rf"(?<!\d)(\d{{4}}){_SEP}(\d{{1,2}}){_SEP}(\d{{1,2}})(?!\d)", rf"(?<!\d)(\d{{1,2}}){_SEP}(\d{{1,2}}){_SEP}(\d{{2,4}})(?!\d)"
-_NUMERIC, _MONTH_FIRST, _DAY_FIRST = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", rf"{_MONTH}\.?\s+\d{{1,2}},?\s+\d{{4}}", rf"\d{{1,2}}\s+{_MONTH}\.?\s+\d{{4}}"
+_COMPACT = r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)"
+_YEAR_FIRST = r"(?<!\d)(\d{4})[-_./](\d{1,2})[-_./](\d{1,2})(?!\d)"
+_YEAR_LAST = r"(?<!\d)(\d{1,2})[-_./](\d{1,2})[-_./](\d{2,4})(?!\d)"
+_HEADER = rf"(?i)\b(\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|{_MONTH}\.?\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}\s+{_MONTH}\.?\s+\d{{4}})\b"
 
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
@@ -45,7 +46,7 @@ def filename_date(name: Column, day_first: bool = False) -> Column:
 def header_date(body: Column) -> Column:
     """The first date in the first lines: year-month-day, month day year, or day month year with the month's name."""
     head = F.array_join(F.slice(F.split(body, r"\r\n|\n|\r"), 1, HEADER_LINES), "\n")
-    found = F.regexp_extract(head, rf"(?i)\b({_NUMERIC}|{_MONTH_FIRST}|{_DAY_FIRST})\b", 1)
+    found = F.regexp_extract(head, _HEADER, 1)
     number = F.array(*map(F.lit, (m.lower() for m in MONTHS)))
     month = F.array_position(number, F.lower(F.regexp_extract(found, r"(?i)([a-z]{3})[a-z]*", 1))).cast("string")
     day = F.regexp_extract(found, r"(?<!\d)(\d{1,2})(?!\d)", 1)
@@ -54,9 +55,9 @@ def header_date(body: Column) -> Column:
     return F.when(found.rlike(r"^\d{4}"), numeric).otherwise(calendar_date(year, month, day))
 
 
-def file_date(stem: Column, body: Column, modified: Column) -> tuple[Column, Column]:
+def file_date(stem: Column, body: Column, modified: Column, day_first: bool = False) -> tuple[Column, Column]:
     """(date, source): from the name, the header, or the time of the last change."""
-    name, head = filename_date(stem), header_date(body)
+    name, head = filename_date(stem, day_first), header_date(body)
     source = F.when(name.isNotNull(), "filename").when(head.isNotNull(), "header").otherwise("mtime")
     return F.coalesce(name, head, F.to_date(modified)), source
 

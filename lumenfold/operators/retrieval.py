@@ -31,6 +31,11 @@ def postings(docs: DataFrame, key: str = "id") -> DataFrame:
     return words.groupBy("term", "id", "dl").agg(F.count("term").cast("int").alias("tf"))
 
 
+def lengths(docs: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and dl, the tokens of each text."""
+    return docs.select(*keys, F.size(C.tokens(F.coalesce("text", F.lit("")))).alias("dl"))
+
+
 def collection(index: DataFrame) -> DataFrame:
     """One row: the texts of an index and their mean length. ``index``: postings, all of them."""
     return index.agg(F.countDistinct("id").alias("n"), F.sum("tf").alias("words")).select("n", (F.col("words") / F.col("n")).alias("avgdl"))

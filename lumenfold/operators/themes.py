@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,13 +15,15 @@ from lumenfold.functions.lexicons import STOPWORDS
 
 
 def entry_vectors(chunks: DataFrame) -> DataFrame:
-    """One unit vector for each entry: the mean of its chunks' by words (none: 1). Zero means are left out."""
+    """One unit vector for each entry: the mean of its chunks' by words (none: 1). Zero means are left out. An entry's vectors have one length.
+
+    A task adds its chunks' vectors up before they are dealt, so a row for each entry and task moves, not one for each number.
+    """
     w = F.when(F.col("word_count") > 0, F.col("word_count")).otherwise(1).cast("double")
-    parts = chunks.where("vector is not null").select("entry_id", w.alias("w"), F.posexplode("vector").alias("pos", "v"))
-    mean = parts.groupBy("entry_id", "pos").agg((F.sum(F.col("v").cast("double") * F.col("w")) / F.sum("w")).alias("m"))
-    vectors = mean.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("vector"))
+    parts = chunks.where("vector is not null").select("entry_id", w.alias("w"), array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
+    mean = parts.groupBy("entry_id").agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("w"))).alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return vectors.withColumn("norm", norm).where("norm > 0").select("entry_id", F.transform("vector", lambda x: x / F.col("norm")).alias("vector"))
+    return mean.withColumn("norm", norm).where("norm > 0").select("entry_id", F.transform("vector", lambda x: x / F.col("norm")).alias("vector"))
 
 
 def default_k(n: int) -> int:
@@ -32,14 +36,84 @@ def default_k_of(n):
     return F.greatest(F.lit(2), F.least(F.lit(10), F.rint(F.sqrt(n / 4)).cast("int") + 1))
 
 
-def clusters(vectors: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
-    """entry_id, theme_id by k-means on unit vectors, at most 60 rounds."""
-    rows = vectors.select("entry_id", array_to_vector("vector").alias("features"))
-    n = rows.count()
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of each row to each centre."""
+    return np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
+
+
+def numbers(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float64)
+
+
+def farthest_first(vectors: DataFrame, k: int) -> np.ndarray:
+    """Centres to begin with: the vector of the least entry_id, then always the one that is farthest from its nearest centre, the least id of equal ones.
+
+    Fewer where there are fewer different vectors.
+    """
+    found = vectors.orderBy("entry_id").limit(1).collect()
+    centres = [found[0].vector]
+    while len(centres) < k:
+        known = np.array(centres)
+
+        def far(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    d = distances(numbers(batch), known).min(1)
+                    top = pa.array(np.flatnonzero(d == d.max()))  # of equal ones the least id is chosen below
+                    yield pa.RecordBatch.from_arrays([batch.column("entry_id").take(top), batch.column("vector").take(top), pa.array(d).take(top)], ["entry_id", "vector", "d"])
+
+        best = vectors.mapInArrow(far, "entry_id string, vector array<double>, d double").orderBy(F.desc(C.rounded(F.col("d"), 12)), "entry_id").limit(1).collect()
+        if best[0].d <= 0:
+            break
+        centres.append(best[0].vector)
+    return np.array(centres)
+
+
+def assigned(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """entry_id, theme_id: the nearest centre, the first of equally near ones."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("entry_id"), pa.array(distances(numbers(batch), centres).argmin(1).astype(np.int32))], ["entry_id", "theme_id"])
+
+    return vectors.mapInArrow(run, "entry_id string, theme_id int")
+
+
+def moved(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The means of what is nearest to each centre; a centre without any stays. Each task sends its sums only."""
+    k, dim = centres.shape
+
+    def run(batches):
+        total = np.zeros((k, dim + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = numbers(batch)
+                np.add.at(total, distances(x, centres).argmin(1), np.column_stack([x, np.ones(len(x))]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * (dim + 1))), pa.array(total.ravel())], ["at", "x"])
+
+    sums = vectors.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()  # numbers of the centres only
+    total = np.zeros(k * (dim + 1))
+    total[[r.at for r in sums]] = [r.x for r in sums]
+    total = total.reshape(k, dim + 1)
+    return np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), centres)
+
+
+def clusters(vectors: DataFrame, k: int | None = None, rounds: int = 60) -> DataFrame:
+    """entry_id, theme_id by k-means on (entry_id, vector), vectors of one length: at most ``rounds`` rounds, or until no centre moves.
+
+    It begins with ``farthest_first``; of equally near centres the first counts, a centre without vectors stays where it is. So the result depends on the
+    vectors alone. Centres are the driver's, sums are made in tasks.
+    """
+    n = vectors.count()
     if not n:
-        return rows.select("entry_id", F.lit(0).alias("theme_id"))
-    model = KMeans(k=min(k or default_k(n), n), seed=seed, maxIter=60).fit(rows)
-    return model.transform(rows).select("entry_id", F.col("prediction").alias("theme_id"))
+        return vectors.select("entry_id", F.lit(0).alias("theme_id"))
+    centres = farthest_first(vectors, min(k or default_k(n), n))
+    for _ in range(rounds):
+        before, centres = centres, _moved(vectors, centres)
+        if np.abs(centres - before).max() < 1e-12:
+            break
+    return assigned(vectors, centres)
 
 
 def word_counts(texts: DataFrame, *keys: str, stopwords=STOPWORDS) -> DataFrame:
@@ -54,11 +128,11 @@ def theme_terms(texts: DataFrame, n: int = 4, stopwords=STOPWORDS) -> DataFrame:
     """
     local = word_counts(texts, "theme_id", stopwords=stopwords)
     corpus = local.groupBy("term").agg(F.sum("n").alias("all_n"))
-    # one row for each theme: what its words sum up to, those that it has once only where it has no other
+    # one row for each theme, ten unless more were asked for: what its words sum up to, those that it has once only where it has no other
     theme = local.groupBy("theme_id").agg(F.max("n").alias("most"), F.sum("n").alias("every"), F.sum(F.when(F.col("n") >= 2, F.col("n"))).alias("often"))
     theme = theme.select("theme_id", "most", F.when(F.col("most") < 2, F.col("every")).otherwise(F.col("often")).alias("own"), "every")
     total = theme.agg(F.sum("every").alias("total"))
-    local = local.join(theme.drop("every"), "theme_id").where("n >= 2 or most < 2").join(corpus, "term").join(F.broadcast(total))
+    local = local.join(F.broadcast(theme.drop("every")), "theme_id").where("n >= 2 or most < 2").join(corpus, "term").join(F.broadcast(total))
     p, q = F.col("n") / F.col("own"), F.col("all_n") / F.col("total")
     scored = local.withColumn("score", C.rounded(p * F.log(p / (q + 1e-9) + 1e-9), 8))
     best = W.partitionBy("theme_id").orderBy(F.desc("score"), "term")

@@ -18,6 +18,7 @@ from lumenfold.functions.lexicons import RATES, lexicon
 from lumenfold.operators import corpus, digest, insights, retrieval, signals, stats, themes
 from lumenfold.sources import conversations as chats
 from lumenfold.sources import texts
+from lumenfold.sources.snapshots import scratch, staged
 
 TODAY = dt.date(2024, 2, 15)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -648,9 +649,31 @@ def entry_vectors(spark, sf_dir):
     return themes.entry_vectors(_vector_chunks(spark, sf_dir)).select("entry_id", F.posexplode("vector").alias("pos", "v")).select("entry_id", "pos", C.rounded(F.col("v"), 6).alias("v"))
 
 
-@query()
+_FAR = "list_sum(list_transform(list_zip({}, vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+#: K-means as recursive SQL: farthest-first centres, then rounds, each state one row with all centres.
+_KMEANS = f"""
+, p AS (SELECT concat('e', vec_id // 3) AS id, greatest(vec_id % 3, 1) AS w, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS pos FROM embeddings), m AS (SELECT id, pos, sum(v * w) / sum(w) AS m FROM p GROUP BY id, pos),
+s AS (SELECT id, sqrt(sum(m * m)) AS norm FROM m GROUP BY id), v AS (SELECT id, list(m / norm ORDER BY pos) AS vec FROM m JOIN s USING (id) WHERE norm > 0 GROUP BY id),
+size AS (SELECT greatest(2, least(10, round_even(sqrt(count(*) / 4), 0)::INTEGER + 1)) AS k FROM v),
+seeds AS (WITH RECURSIVE st AS (
+  SELECT 1 AS i, [vec] AS cs FROM (SELECT vec FROM v ORDER BY id LIMIT 1)
+  UNION ALL SELECT i + 1, list_append(cs, vec) FROM (SELECT i, cs, vec, d, row_number() OVER (ORDER BY round(d, 12) DESC, id) AS rn FROM (SELECT i, cs, id, vec, list_min(list_transform(cs, lambda c: {_FAR.format('c')})) AS d FROM st, v)), size WHERE rn = 1 AND i < k AND d > 0) SELECT arg_max(cs, i) AS cs FROM st),
+final AS (WITH RECURSIVE lloyd AS (
+  SELECT 0 AS r, cs FROM seeds
+  UNION ALL SELECT r, list_transform(range(1, len(cs) + 1), lambda j: coalesce(map_extract_value(means, j), cs[j])) FROM (
+    SELECT any_value(r) + 1 AS r, any_value(cs) AS cs, map(list(j), list(mean)) AS means FROM (
+      SELECT any_value(r) AS r, any_value(cs) AS cs, j, list(x ORDER BY pos) AS mean FROM (
+        SELECT any_value(r) AS r, any_value(cs) AS cs, j, pos, avg(x) AS x FROM (
+          SELECT r, cs, list_position(ds, list_min(ds)) AS j, unnest(vec) AS x, unnest(range(len(vec))) AS pos FROM (SELECT r, cs, vec, list_transform(cs, lambda c: {_FAR.format('c')}) AS ds FROM lloyd, v WHERE r < 60)) GROUP BY j, pos) GROUP BY j)) WHERE r IS NOT NULL) SELECT arg_max(cs, r) AS cs FROM lloyd)
+SELECT id AS entry_id, (list_position(ds, list_min(ds)) - 1)::INTEGER AS theme_id FROM (SELECT id, list_transform(cs, lambda c: {_FAR.format('c')}) AS ds FROM v, final)
+"""
+
+
+@query(_KMEANS)
 def kmeans_themes(spark, sf_dir):
-    return themes.clusters(themes.entry_vectors(_vector_chunks(spark, sf_dir)))
+    vectors = staged(themes.entry_vectors(_vector_chunks(spark, sf_dir)), scratch(spark, "vectors"))
+    return themes.clusters(vectors)
 
 
 @query("""
@@ -714,7 +737,7 @@ def batch_split(spark, sf_dir):
     return doc_entries(spark, sf_dir).select("entry_id", F.explode(texts.batch_parts(blob)).alias("part")).withColumn("word_count", C.word_count(F.col("part")))
 
 
-from lumenfold import queries_more  # noqa: E402, F401  it adds its queries to these
+from lumenfold import queries_more, queries_stores  # noqa: E402, F401  they add their queries to these
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,6 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
-    store: str = "store"
     chunk_words: int = 400
     chunk_overlap: int = 1
     day_first: bool = False
@@ -16,6 +15,7 @@ class Settings:
     k: int = 8
     trend_gate: int = 30
     mtime_warning: float = 0.3
+    quiet: float = 1.0
 
     @classmethod
     def read(cls, environment: Mapping[str, str], lines: str = "", prefix: str = "LUMENFOLD_") -> Settings:

@@ -153,55 +153,178 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in/2020-01-01.txt").write_text("I think we were tired")
-    (tmp_path / "in/2021-01-01.txt").write_text("A quiet walk")
+    (tmp_path / "in/05-02-2021.txt").write_text("A quiet walk\n\nand a long rest")
+    (tmp_path / "mine").write_text("LUMENFOLD_DAY_FIRST=yes\nLUMENFOLD_CHUNK_WORDS=3\nLUMENFOLD_CHUNK_OVERLAP=0\nLUMENFOLD_TREND_GATE=2\nLUMENFOLD_QUIET=0.2")
     store = str(tmp_path / "store")
-    run = lambda *args: (main([store, *args]), capsys.readouterr().out)[1]
+    run = lambda *args: (main(["--settings", str(tmp_path / "mine"), store, *args]), capsys.readouterr().out)[1]
     said = run("ingest", str(tmp_path / "in"))
     assert "added" in said and "filename" in said
-    assert "2020-01-01.txt" in run("list") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
-    assert "8 postings" in run("index") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
-    assert "2021-01-01" in run("ask", "What about the walk in 2021?") and flows.NO_HITS in run("ask", "x", "--from", "2030-01-01")
-    assert "0" in run("enrich") and "entries: 2" not in run("digest", "--from", "2021-01-01")
-    assert "self_focus" in run("derive", "--aggregate", "--pass", "lexical") and "2021" in run("stats")
+    assert "|05-02-2021.txt|2021-02-05|" in "".join(run("list").split()).replace("||", "|\n|") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
+    assert "'chunks': 3" in run("index") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
+    (tmp_path / "in/2022-01-01.txt").write_text("zebra zebra")
+    run("watch", str(tmp_path / "in"), "--once")
+    assert "zebra zebra" in run("search", "zebra", "-k", "1") and "2022-01-01.txt" not in run("search", "walk", "--period", "2021")
+    assert "2021-02-05" in run("ask", "What about the walk in 2021?") and flows.NO_HITS in run("ask", "x", "--from", "2030-01-01")
+    run("ask", "What about the walk?", "--conversation", "c1")
+    run("ask", "And why?", "--conversation", "c1")
+    talk = run("conversations", "c1").splitlines()
+    assert [x.split(":")[0] for x in talk] == ["user", "assistant"] * 2 and talk[2] == "user: And why?" and "What about the walk?" in run("conversations")
+    run("conversations", "c1", "--rename", "Walks")
+    assert "Walks" in run("conversations")
+    run("conversations", "c1", "--delete")
+    assert "Walks" not in run("conversations") and run("conversations", "c1").strip() == ""
+    assert "|0|" in run("enrich").replace(" ", "") and "entries: 1;" not in run("digest", "--from", "2021-01-01")
+    derived = run("derive", "--aggregate", "--pass", "lexical")
+    assert "self_focus" in derived and "true" in derived and "2021" in run("stats")
+    assert "token_count" in run("derive", "--rebuild")
     monkeypatch.setattr("builtins.input", lambda _: "n")
-    run("remove", "--from", "2021-01-01")
-    assert "2021-01-01.txt" in run("list")
-    assert "1 entries" in run("remove", "--from", "2021-01-01", "--yes")
-    assert "2021-01-01.txt" not in run("list") and "folders went" in run("vacuum")
-    assert "1 entries" in run("remove", "--all", "--yes") and ".txt" not in run("list")
+    run("remove", "--from", "2021-01-01", "--to", "2021-12-31")
+    assert "05-02-2021.txt" in run("list")
+    assert "1 entries" in run("remove", "--period", "2021", "--yes")
+    assert "05-02-2021.txt" not in run("list") and "folders went" in run("vacuum") and "zebra" in run("search", "zebra")
+    assert "2 entries" in run("remove", "--all", "--yes") and ".txt" not in run("list")
 
 
-def test_store_writes_what_changes(spark, tmp_path):
-    import os
+STORED = "entry_id string, part string, n int"
+
+
+def stored(spark, *rows):
+    return spark.createDataFrame(rows, STORED)
+
+
+def held(store):
+    return sorted((r.entry_id, r.part, r.n) for r in store.read().collect())
 
-    store = Snapshots(spark, str(tmp_path / "s"), "entry_id string, part string, n int", buckets=8)
-    rows = lambda *r: spark.createDataFrame(r, "entry_id string, part string, n int")
-    state = lambda: sorted((r.entry_id, r.part, r.n) for r in store.read().collect())
-    assert state() == [] and store.vacuum() == 0
-    store.write(rows(*((f"e{i}", "a", i) for i in range(40))))
-    before = store.read()
-    store.replace(rows(("e3", "a", -3)))
-    assert sum(len(os.listdir(tmp_path / "s/data" / d)) for d in ["n=2"]) <= 3  # one bucket, and the writer's marks
-    assert ("e3", "a", -3) in state() and len(state()) == 40 and before.where("n = 3").count() == 1
-    store.replace(rows(("e3", "b", 7)), on=["entry_id", "part"])
-    assert [r for r in state() if r[0] == "e3"] == [("e3", "a", -3), ("e3", "b", 7)]
-    store.replace(None, rows(("e3", "", 0), ("nobody", "", 0)))
-    store.replace(None, rows())
-    assert len(state()) == 39 and store.vacuum() > 0 and len(state()) == 39
+
+def test_store(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "s"), STORED, most=20)
+    assert held(store) == [] and store.vacuum() == 0
+    store.write(stored(spark, *((f"e{i}", "a", i) for i in range(40))))
+    assert store.state().buckets == 2 and len(held(store)) == 40
+    before, n = store.read(), store.state().n
+    store.replace(stored(spark, ("e3", "a", -3), ("e3", "b", 7)))
+    assert [r for r in held(store) if r[0] == "e3"] == [("e3", "a", -3), ("e3", "b", 7)] and before.where("n = 3").count() == 1
+    assert len(store.read(n).collect()) == 40 and [r.n for r in store.of(stored(spark, ("e5", "", 0), ("x", "", 0))).collect()] == [5]
+    store.replace(None, stored(spark, ("e4", "", 0), ("nobody", "", 0)))
+    store.replace(None, stored(spark))
+    changes = store.changes(n)
+    assert sorted((r.entry_id, r.n) for r in changes.added.collect()) == [("e3", -3), ("e3", 7)] and {r.entry_id for r in changes.gone.collect()} == {"e3", "e4", "nobody"}
+    assert not changes.reset and store.changes(0).reset and store.changes(0).added.count() == 40 and store.changes(changes.upto).added.count() == 0
+    assert len(held(store)) == 40 and store.vacuum() > 0 and len(held(store)) == 40
     store.write(store.read().where("false"))
-    assert state() == [] and store.replace(rows(("x", "a", 1))).count() == 1
-    (tmp_path / "bad/commits").mkdir(parents=True)
-    (tmp_path / "bad/commits/part.parquet").write_text("no table")
-    with pytest.raises(Exception, match="(?i)parquet"):
+    assert held(store) == [] and store.replace(stored(spark, ("x", "a", 1))).count() == 1
+    pairs = Snapshots(spark, str(tmp_path / "p"), STORED, on=["entry_id", "part"])
+    pairs.write(stored(spark, ("a", "x", 1), ("a", "y", 2)))
+    assert {(r.part, r.n) for r in pairs.replace(stored(spark, ("a", "y", 3))).collect()} == {("x", 1), ("y", 3)}
+    (tmp_path / "bad/log").mkdir(parents=True)
+    (tmp_path / "bad/log/000000000001.json").write_text("no record")
+    with pytest.raises(ValueError):
         Snapshots(spark, str(tmp_path / "bad"), "entry_id string").read()
 
 
+def test_store_of_several_writers(spark, tmp_path):
+    """Writers lose nothing to one another, whether they put rows or change those that are there; buckets split meanwhile."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = lambda: Snapshots(spark, str(tmp_path / "s"), STORED, most=15)
+    store().write(stored(spark, ("sum", "a", 0)))
+
+    def put(k):
+        for i in range(4):
+            store().replace(stored(spark, *((f"t{k}_{i}_{j}", "a", j) for j in range(5))))
+
+    def add(_):
+        for _ in range(3):
+            store().update(lambda rows: (rows.where("entry_id = 'sum'").withColumn("n", F.col("n") + 1), stored(spark, ("sum", "", 0))))
+
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(f, k) for k in range(2) for f in (put, add)]
+        [j.result() for j in jobs]
+    rows = held(store())
+    assert len(rows) == 41 and ("sum", "a", 6) in rows and store().state().buckets > 2
+
+
+def test_work_of_a_commit_is_bounded(spark, tmp_path):
+    import os
+
+    store = Snapshots(spark, str(tmp_path / "s"), STORED, most=5000)
+    store.write(spark.range(100_000).select(F.concat(F.lit("e"), "id").alias("entry_id"), F.lit("a").alias("part"), F.col("id").cast("int").alias("n")))
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet"))
+    before, most = size(), 0
+    for i in range(10):
+        at = size()
+        store.replace(stored(spark, ("e7", "b", i)))
+        most = max(most, size() - at)
+    assert most < before / 5 and store.read().where("entry_id = 'e7'").count() == 1 and store.read().count() == 100_000
+
+
+def test_index_follows_its_store(spark, tmp_path):
+    from lumenfold.plans.follow import Index
+
+    store, embedder, index = Snapshots(spark, str(tmp_path / "entries"), corpus.CHUNKS), HashEmbedder(8), Index(spark, str(tmp_path / "index"))
+    put = lambda *bodies: flows.ingest(store, spark.createDataFrame([(i, b, "s", None) for i, b in bodies], "entry_id string, body string, source string, explicit_date string"), embedder, TODAY, NOW)
+
+    def same(query):
+        want = [(r.id, r.score, r["rank"]) for r in retrieval.bm25_topk(store.read(), query).collect()]
+        assert [(r.id, r.score, r["rank"]) for r in index.best(query).collect()] == want
+        return [w[0] for w in want]
+
+    put(("a", "a quiet walk by the sea"), ("b", "heavy work and a walk"), ("c", "\n\n".join(["sea words " * 150] * 3)))
+    assert index.mark() is None and index.best("walk").count() == 0
+    index.follow(store)
+    assert set(same("walk")) == {"a::0", "b::0"}
+    put(("z", "zebra zebra"), ("a", "a loud run by the lake"))
+    index.follow(store)
+    assert same("zebra") == ["z::0"] and same("walk") == ["b::0"] and same("lake sea walk")
+    before = index.mark()
+    flows.remove(store, ["c", "nobody"])
+    index.follow(store)
+    assert same("sea") == [] and same("zebra run a") and index.mark()["chunks"] == before["chunks"] - 3
+    index.follow(store)
+    index.gone.replace(None, spark.createDataFrame([("a",)], "entry_id string"), mark=before)  # as if the last round had been broken off before its end
+    put(("a", "a quiet walk again"))
+    index.follow(store)
+    assert same("quiet walk a")
+    flows.remove(store, everything=True)
+    index.follow(store)
+    assert same("walk") == [] and index.mark()["chunks"] == 0
+    plan = index.of(["walk"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan or "PushedFilters: [IsNotNull(term), EqualTo(term" in plan or index.postings.state().rows() == 0
+
+
+def test_signals_and_rollup_follow_their_store(spark, tmp_path):
+    from lumenfold.plans.follow import follow_rollup, follow_signals
+
+    store, embedder, a_pass = Snapshots(spark, str(tmp_path / "entries"), corpus.CHUNKS), HashEmbedder(8), signals.LexicalPass()
+    kept, rollup = Snapshots(spark, str(tmp_path / "signals"), corpus.SIGNALS), Snapshots(spark, str(tmp_path / "rollup"), signals.ROLLUP)
+    put = lambda *bodies: flows.ingest(store, spark.createDataFrame([(i, b, "s", "2024-01-01") for i, b in bodies], "entry_id string, body string, source string, explicit_date string"), embedder, TODAY, NOW)
+    plain = lambda df: sorted(map(str, df.select(*sorted(c for c in df.columns if c != "computed_at")).collect()))
+
+    def whole():
+        chunks = store.read().select(F.col("id").alias("chunk_id"), "entry_id", "text", "date", "date_int", "word_count")
+        every = signals.derive(chunks, corpus.empty(spark, corpus.SIGNALS), a_pass, NOW)
+        assert plain(follow_signals(store, kept, a_pass, NOW)) == plain(every)
+        assert plain(follow_rollup(store, kept, rollup, a_pass)) == plain(signals.entry_signals(every, chunks, a_pass))
+
+    put(("a", "I think we walked"), ("b", "They will know"), ("c", "nothing"))
+    whole()
+    put(("d", "we were there"), ("a", "I knew"))
+    before = kept.state().n
+    whole()
+    assert {r.entry_id for r in kept.changes(before).added.collect()} == {"a", "d"}
+    flows.remove(store, ["b"])
+    whole()
+    whole()
+    assert flows.derive(store, kept, a_pass, "later").where("computed_at = 'later'").count() == 0
+    assert flows.derive(store, kept, a_pass, "later", rebuild=True).where("computed_at <> 'later'").count() == 0
+
+
 def test_settings():
     from lumenfold.settings import Settings
 
-    lines = "# mine\nLUMENFOLD_K=5\nexport LUMENFOLD_STORE='here'\nLUMENFOLD_DAY_FIRST=yes\nother=1\n\nbroken"
+    lines = "# mine\nLUMENFOLD_K=5\nexport LUMENFOLD_QUIET='2'\nLUMENFOLD_DAY_FIRST=yes\nother=1\n\nbroken"
     got = Settings.read({"LUMENFOLD_K": "9", "PATH": "x"}, lines)
-    assert (got.k, got.store, got.day_first, got.pool) == (9, "here", True, 40)
+    assert (got.k, got.day_first, got.pool) == (9, True, 40)
 
 
 def test_passes_of_models(spark):
@@ -266,20 +389,56 @@ def test_theme_names_fall_back(spark):
     assert flows.name_themes(found, EchoChat()).first().label == "A short title for entries about: sea, sand"
 
 
-def test_dropped_files(spark, tmp_path):
+def test_watched_folder(spark, tmp_path):
+    import threading
+    import time
+
     folder = tmp_path / "drop"
     folder.mkdir()
     (folder / "2020-01-01.txt").write_text("first")
     store, embedder = Snapshots(spark, str(tmp_path / "store"), corpus.CHUNKS), HashEmbedder(8)
-    stream = lambda: drops.follow(spark, store, str(folder), str(tmp_path / "ck"), embedder, TODAY, NOW).awaitTermination()
-    stream()
-    assert [(r.entry_id, r.date) for r in store.read().collect()] == [("2020-01-01.txt", "2020-01-01")]
-    (folder / "2020-01-01.txt").write_text("first, edited")
-    (folder / "second.txt").write_text("second")
-    stream()
-    assert sorted(r.text for r in store.read().collect()) == ["first", "second"]
+    watch = lambda **more: drops.Watch(spark, store, str(folder), str(tmp_path / "work"), embedder, quiet=1.0, clock=lambda: dt.datetime(2024, 12, 11), **more)
+
+    def until(done, seconds=60):
+        end = time.time() + seconds
+        while not done():
+            assert time.time() < end
+            time.sleep(0.2)
+
+    once = watch()
+    once.run(0.2, once=True)
+    assert once.batches == [{"2020-01-01.txt": "added"}] and [(r.entry_id, r.date) for r in store.read().collect()] == [("2020-01-01.txt", "2020-01-01")]
+    (folder / "2020-01-01.txt").write_text("first, edited")  # while nobody watches
+    (folder / "odd [x]*.txt").write_text("second")
+    second = watch(forget=True)
+    running = threading.Thread(target=second.run, args=(0.2,))
+    running.start()
+    until(lambda: second.taken >= 2)
+    assert {k: v for b in second.batches for k, v in b.items()} == {"2020-01-01.txt": "updated", "odd [x]*.txt": "added"}
+    for i in range(5):
+        (folder / "burst.txt").write_text(f"burst {'x' * i}")
+        time.sleep(0.3)
+    until(lambda: second.taken >= 3)
+    assert [b for b in second.batches if "burst.txt" in b] == [{"burst.txt": "added"}]
+    (folder / "2020-01-01.txt").unlink()
+    until(lambda: second.taken >= 4)
+    second.stop()
+    running.join()
+    assert sorted(r.text for r in store.read().collect()) == ["burst xxxx", "second"]
+    third = watch()
+    third.run(0.2, once=True)
+    assert third.batches == [] and third.noted == 0
+    (folder / "burst.txt").write_text("burst by hand")
     assert sorted(r.status for r in drops.sweep(store, str(folder), embedder, TODAY, NOW).collect()) == ["skipped", "updated"]
-    assert sorted(r.text for r in store.read().collect()) == ["first, edited", "second"]
+
+
+def test_uploads_and_settings_reach_ingest(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "store"), corpus.CHUNKS)
+    files = spark.createDataFrame([("03-04-2020.txt", "one\n\ntwo\n\nthree"), ("note.txt", "May 6, 2021\nx"), ("plain.txt", "y")], "filename string, content string")
+    flows.ingest(store, texts.uploads(files), HashEmbedder(8), TODAY, NOW, day_first=True, target=1, overlap=0)
+    got = {(r.entry_id, r.chunk_index): (r.date, r.date_source, r.text) for r in store.read().collect()}
+    assert got["upload:03-04-2020.txt", 2] == ("2020-04-03", "filename", "three") and len(got) == 5
+    assert got["upload:note.txt", 0][:2] == ("2021-05-06", "header") and got["upload:plain.txt", 0][:2] == ("2024-12-11", "today")
 
 
 def test_fusion_prefers_both_lists(spark):
