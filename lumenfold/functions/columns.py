@@ -128,12 +128,16 @@ def chunks(c: Column, target: int = 400, overlap: int = 1, delimiter: str = r"\n
 def windows(c: Column, most: int = 1800) -> Column:
     """Sentences packed into windows of at most ``most`` characters; a longer sentence is a window."""
     sentences = F.split(stripped(c), r"(?<=[.!?])\s+")
-    kinds = "struct<done: array<string>, now: string>"
+    # only the sentence's number, the open window's first one and length, and the finished ranges are carried
+    kinds = "struct<at: int, first: int, size: int, done: array<struct<a: int, b: int>>>"
 
-    def take(state: Column, s: Column) -> Column:
-        full = (state["now"] != "") & (F.length(state["now"]) + F.length(s) + 1 > most)
-        done = F.when(full, F.array_append(state["done"], state["now"])).otherwise(state["done"])
-        return F.struct(done.alias("done"), F.when(full, s).otherwise(F.trim(F.concat_ws(" ", state["now"], s))).alias("now")).cast(kinds)
+    def take(state: Column, n: Column) -> Column:
+        full = (state["at"] >= state["first"]) & (state["size"] + n + 1 > most)
+        first = F.when(full, state["at"] + 1).otherwise(state["first"])
+        size = F.when(full | (state["at"] < state["first"]), n).otherwise(state["size"] + 1 + n)
+        done = F.when(full, F.array_append(state["done"], F.struct(state["first"].alias("a"), state["at"].alias("b")))).otherwise(state["done"])
+        return F.struct((state["at"] + 1).alias("at"), first.alias("first"), size.alias("size"), done.alias("done")).cast(kinds)
 
-    end = F.aggregate(sentences, F.expr(f"cast(named_struct('done', array(), 'now', '') as {kinds})"), take)
-    return F.when(end["now"] == "", F.when(F.size(end["done"]) > 0, end["done"]).otherwise(F.array(c))).otherwise(F.array_append(end["done"], end["now"]))
+    end = F.aggregate(F.transform(sentences, F.length), F.expr(f"cast(named_struct('at', 0, 'first', 1, 'size', 0, 'done', array()) as {kinds})"), take)
+    ranges = F.array_append(end["done"], F.struct(end["first"].alias("a"), end["at"].alias("b")))
+    return F.when(stripped(c) == "", F.array(c)).otherwise(F.transform(ranges, lambda r: F.array_join(F.slice(sentences, r["a"], r["b"] - r["a"] + 1), " ")))

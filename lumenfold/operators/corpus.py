@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions import columns as C
@@ -76,14 +78,25 @@ def list_entries(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("entry_id").agg(*first, F.count("*").alias("chunks")).orderBy("date", "entry_id")
 
 
+def java_pattern(spark: SparkSession, pattern: str) -> str:
+    """``pattern`` as Spark runs it, whatever the case: named groups as Python writes them are taken too, and what is no pattern stands for itself."""
+    own = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    compiled = spark.sparkContext._jvm.java.util.regex.Pattern
+    try:
+        compiled.compile(f"(?i){own}")
+        return f"(?i){own}"
+    except Py4JJavaError:
+        return f"(?i){compiled.quote(pattern)}"
+
+
+def matches(pattern: str) -> Column:
+    """A chunk whose text, or whose id, date or source, has a match of a pattern from ``java_pattern``."""
+    return F.concat_ws("\n", "entry_id", "date", "source").rlike(pattern) | F.col("text").rlike(pattern)
+
+
 def search_entries(chunks: DataFrame, pattern: str) -> DataFrame:
     """Entries with a match, whatever the case, in a chunk's text or in their id, date or source. What is no pattern is looked for as it stands."""
-    try:
-        re.compile(pattern)
-    except re.error:
-        pattern = re.escape(pattern)
-    hit = F.concat_ws("\n", "entry_id", "date", "source").rlike(f"(?i){pattern}") | F.col("text").rlike(f"(?i){pattern}")
-    return chunks.where(hit).select("entry_id").distinct()
+    return chunks.where(matches(java_pattern(chunks.sparkSession, pattern))).select("entry_id").distinct()
 
 
 def entry_ids(chunks: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -94,15 +107,17 @@ def ingest_status(records: DataFrame, existing: DataFrame) -> DataFrame:
     """Each record's content_hash and status: empty, skipped (nothing new), updated or added.
 
     ``existing``: chunks. Of records with one id in a batch the one with the least content_hash counts, equal ones are all one; the others are
-    skipped. Bodies are hashed where they are read: only ids and hashes are grouped.
+    skipped. Records are told apart by what they hold, so a recomputed task gives the same.
     """
     known = existing.groupBy("entry_id").agg(F.max("content_hash").alias("known"))
     body = C.stripped(F.coalesce("body", F.lit("")))
-    hashed = records.withColumn("body", body).withColumn("content_hash", C.content_hash(F.col("body"))).withColumn("row", F.monotonically_increasing_id())
-    counts = hashed.select("entry_id", "content_hash", "row").groupBy("entry_id").agg(F.min(F.struct("content_hash", "row")).alias("first"))
-    counts = counts.join(known, "entry_id", "left").select("entry_id", "known", F.col("first.row").alias("first_row"))
-    status = F.when(F.col("body") == "", "empty").when((F.col("row") != F.col("first_row")) | (F.col("known") == F.col("content_hash")), "skipped").when(F.col("known").isNotNull(), "updated").otherwise("added")
-    return hashed.join(counts, "entry_id", "left").withColumn("status", status).drop("row", "first_row", "known")
+    hashed = records.withColumn("body", body).withColumn("content_hash", C.content_hash(F.col("body")))
+    more = [c for c, t in records.dtypes if c not in ("entry_id", "body") and not t.startswith("map")]
+    nth = F.row_number().over(W.partitionBy("entry_id").orderBy("content_hash", *more))
+    # the window has dealt the records by entry_id already, as the join wants them
+    rows = hashed.withColumn("nth", nth).join(known, "entry_id", "left")
+    status = F.when(F.col("body") == "", "empty").when((F.col("nth") > 1) | (F.col("known") == F.col("content_hash")), "skipped").when(F.col("known").isNotNull(), "updated").otherwise("added")
+    return rows.withColumn("status", status).drop("nth", "known")
 
 
 def to_chunks(records: DataFrame, ingested_at: str, target: int = 400, overlap: int = 1, delimiter: str = r"\n\s*\n") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import columns as C
 from lumenfold.functions import dates as D
 from lumenfold.operators import corpus, insights, retrieval, themes
+from lumenfold.plans import flows
 from lumenfold.queries import ORACLES, TODAY, doc_entries, line_chunks, query, table
 from lumenfold.queries import _heads, _messages, _records, _stored
 from lumenfold.sources import conversations as chats
@@ -118,11 +119,24 @@ def corpus_totals(spark, sf_dir):
     return corpus.corpus_totals(line_chunks(spark, sf_dir))
 
 
-@query("SELECT topics, bool_or(mood > 0) AS has_enrichment FROM doc_entries WHERE topics = 'de, src1' GROUP BY topics UNION ALL SELECT 'none', false")
+@query("SELECT 'all' AS name, bool_or(mood > 0) AS has_enrichment FROM doc_entries UNION ALL SELECT 'without moods', bool_or(mood > 0 AND mood < 0) FROM doc_entries UNION ALL SELECT 'no rows', false")
 def enrichment_there(spark, sf_dir):
+    """Of all entries, of all without their moods, and of none."""
     docs = doc_entries(spark, sf_dir)
-    some = corpus.has_enrichment(docs.where("topics = 'de, src1'")).join(docs.where("topics = 'de, src1'").select("topics").distinct())
-    return some.select("topics", "has_enrichment").union(corpus.has_enrichment(docs.withColumn("mood", F.lit(0))).select(F.lit("none").alias("topics"), "has_enrichment"))
+    frames = {"all": docs, "without moods": docs.withColumn("mood", F.lit(0)), "no rows": docs.where("false")}
+    parts = [corpus.has_enrichment(df).select(F.lit(name).alias("name"), "has_enrichment") for name, df in frames.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT concat('upload:', name) AS entry_id, CASE doc_id % 3 WHEN 2 THEN '2024-02-15' ELSE date END AS date, CASE doc_id % 3 WHEN 0 THEN 'filename' WHEN 1 THEN 'header' ELSE 'today' END AS date_source FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN concat(doc_id, ' ', strftime(dt, '%d-%m-%Y'), '.txt') ELSE concat('n', doc_id, '.txt') END AS name FROM doc_entries)")
+def upload_dates(spark, sf_dir):
+    """Uploads as ingest dates them: the name, with the day first, then the header, then today."""
+    kind = F.col("doc_id") % 3
+    name = F.when(kind == 0, F.concat_ws(" ", "doc_id", F.concat(F.date_format("dt", "dd-MM-yyyy"), F.lit(".txt")))).otherwise(F.concat(F.lit("n"), "doc_id", F.lit(".txt")))
+    body = F.when(kind == 1, F.concat(F.date_format("dt", "MMMM d, yyyy"), F.lit("\n"), "text")).otherwise(F.concat(F.lit("\n\n\n\n\nx "), "text"))
+    sent = texts.uploads(doc_entries(spark, sf_dir).select(name.alias("filename"), body.alias("content")))
+    # the strip takes the blank lines away, so the header of the others is the text's own first lines, which hold no dates
+    return flows.dated_records(sent, TODAY, day_first=True).select("entry_id", F.col("dt").cast("string").alias("date"), "date_source")
 
 
 def _flagged(spark, sf_dir):
