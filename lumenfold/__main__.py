@@ -1,4 +1,4 @@
-"""``python -m lumenfold STORE COMMAND ...``: ingest, watch, list, remove, index, search, ask, conversations, enrich, digest, stats, themes, derive, vacuum."""
+"""``python -m lumenfold STORE COMMAND ...``: ingest, watch, list, remove, index, find, search, ask, conversations, enrich, digest, stats, themes, derive, vacuum."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import dates as D
 from lumenfold.operators import corpus, insights, signals, stats
 from lumenfold.plans import flows
-from lumenfold.plans.follow import Index, follow_rollup, follow_signals
+from lumenfold.plans.follow import Grams, Index, follow_rollup, follow_signals
 from lumenfold.plans.providers import ChatProvider, EchoChat, HashEmbedder
 from lumenfold.plans.talks import Talks
 from lumenfold.session import session
@@ -33,6 +33,9 @@ def _parser(settings: Settings) -> argparse.ArgumentParser:
     commands.choices["watch"].add_argument("--forget", action="store_true", help="entries of files that went go too")
     for name in ("list", "stats", "themes", "index", "vacuum"):
         commands.add_parser(name)
+    find = commands.add_parser("find")
+    find.add_argument("pattern")
+    find.add_argument("--index", action="store_true", help="make the index that finds patterns, or keep it up")
     for name, what in (("search", "query"), ("ask", "question")):
         sub = commands.add_parser(name)
         sub.add_argument(what)
@@ -50,7 +53,7 @@ def _parser(settings: Settings) -> argparse.ArgumentParser:
     gone.add_argument("--yes", action="store_true")
     derive = commands.add_parser("derive")
     derive.add_argument("--since")
-    derive.add_argument("--pass", dest="pass_name", choices=["lexical"], default="lexical")
+    derive.add_argument("--pass", dest="pass_name", choices=[*signals.PASSES], default="lexical")
     derive.add_argument("--rebuild", action="store_true")
     derive.add_argument("--aggregate", action="store_true")
     for name in ("search", "ask", "digest", "remove"):
@@ -113,6 +116,13 @@ def main(argv: list[str] | None = None, settings: Settings | None = None, chat:
     elif args.command == "search":
         found = flows.hybrid_search(store.read(), args.query, embedder, k, args.date_from, args.date_to, settings.pool, indexed())
         found.orderBy(F.desc("score")).select("date", "entry_id", "text").show(k, truncate=100)
+    elif args.command == "find":
+        grams = Grams(spark, f"{args.store}/grams")
+        if args.index or grams.mark():
+            grams.follow(store)
+            grams.find(store, args.pattern).show(1000, truncate=False)
+        else:
+            corpus.search_entries(store.read(), args.pattern).show(1000, truncate=False)
     elif args.command == "ask":
         history = talks.history(args.conversation) if args.conversation else []
         said = flows.ask(store.read(), args.question, embedder, chat, today, k, args.date_from, args.date_to, history, True, settings.pool, indexed())
@@ -146,7 +156,7 @@ def main(argv: list[str] | None = None, settings: Settings | None = None, chat:
     elif args.command == "themes":
         flows.discover_themes(store.read())[0].show(truncate=False)
     elif args.command == "derive":
-        a_pass = signals.LexicalPass()
+        a_pass = signals.PASSES[args.pass_name]()
         store_of_pass = Snapshots(spark, f"{args.store}/signals_{a_pass.name}", corpus.SIGNALS)
         if args.since or args.rebuild:
             done = flows.derive(store, store_of_pass, a_pass, stamp, args.since, args.rebuild)
@@ -154,8 +164,10 @@ def main(argv: list[str] | None = None, settings: Settings | None = None, chat:
             done = follow_signals(store, store_of_pass, a_pass, stamp)
         done.groupBy("key").count().show(truncate=False)
         if args.aggregate:
-            rolled = follow_rollup(store, store_of_pass, Snapshots(spark, f"{args.store}/rollup_{a_pass.name}", signals.ROLLUP), a_pass)
-            signals.lexical_wide(rolled, a_pass.keys).show(truncate=False)
+            lexical = a_pass if isinstance(a_pass, signals.LexicalPass) else signals.LexicalPass()
+            rolled = follow_rollup(store, store_of_pass, Snapshots(spark, f"{args.store}/rollup_{a_pass.name}", signals.ROLLUP), lexical)
+            wide = signals.lexical_wide(rolled, lexical.keys) if lexical is a_pass else signals.emotion_wide(rolled)
+            wide.show(truncate=False)
             signals.signal_entries(rolled, settings.trend_gate).show()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,15 +79,20 @@ def list_entries(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("entry_id").agg(*first, F.count("*").alias("chunks")).orderBy("date", "entry_id")
 
 
-def java_pattern(spark: SparkSession, pattern: str) -> str:
-    """``pattern`` as Spark runs it, whatever the case: named groups as Python writes them are taken too, and what is no pattern stands for itself."""
+def as_java(spark: SparkSession, pattern: str) -> str | None:
+    """``pattern`` as Java's regular expressions have it, with named groups as Python writes them too; None where it is none."""
     own = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
-    compiled = spark.sparkContext._jvm.java.util.regex.Pattern
     try:
-        compiled.compile(f"(?i){own}")
-        return f"(?i){own}"
-    except Py4JJavaError:
-        return f"(?i){compiled.quote(pattern)}"
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(own)
+        return own
+    except (Py4JJavaError, IllegalArgumentException):
+        return None
+
+
+def java_pattern(spark: SparkSession, pattern: str) -> str:
+    """``pattern`` as Spark runs it, whatever the case; what is no pattern stands for itself."""
+    own = as_java(spark, pattern)
+    return f"(?i){own if own is not None else spark.sparkContext._jvm.java.util.regex.Pattern.quote(pattern)}"
 
 
 def matches(pattern: str) -> Column:

@@ -110,7 +110,7 @@ def clusters(vectors: DataFrame, k: int | None = None, rounds: int = 60) -> Data
         return vectors.select("entry_id", F.lit(0).alias("theme_id"))
     centres = farthest_first(vectors, min(k or default_k(n), n))
     for _ in range(rounds):
-        before, centres = centres, _moved(vectors, centres)
+        before, centres = centres, moved(vectors, centres)
         if np.abs(centres - before).max() < 1e-12:
             break
     return assigned(vectors, centres)

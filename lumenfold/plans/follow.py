@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions import patterns
 from lumenfold.operators import corpus, retrieval, signals, themes
 from lumenfold.sources.snapshots import BROADCAST_KEYS, Snapshots
 
@@ -203,6 +205,51 @@ class Cells(Follower):
         return among(near[(far[near] - radii[near] <= most) | (np.arange(len(near)) < probes)])
 
 
+class Grams(Follower):
+    """The runs of three ASCII characters, in small letters, that a store's chunks and their ids, dates and sources have: an index for patterns.
+
+    What a pattern cannot do without (``patterns.needed``) picks the chunks, which then are tried with the pattern itself. A pattern that needs nothing of that
+    length goes through all chunks.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, most: int = 200_000):
+        super().__init__(spark, folder, most)
+        self.rows = Snapshots(spark, f"{folder}/grams", "gram string, id string, entry_id string, version bigint", "gram", most=20 * most)
+
+    def _grams(self, chunks: DataFrame, n: int) -> DataFrame:
+        text = F.lower(F.concat_ws("\n", "entry_id", "date", "source", "text"))
+        grams = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=([\x09-\x7E]{3}))"), F.lit(1)))
+        return chunks.select(F.explode(grams).alias("gram"), "id", "entry_id", F.lit(n).cast("bigint").alias("version"))
+
+    def _whole(self, chunks: DataFrame, n: int) -> dict:
+        self.rows.write(self._grams(chunks, n))
+        return {"entries": chunks.select("entry_id").distinct().count()}
+
+    def _more(self, added: DataFrame, gone: DataFrame, n: int, mark: dict) -> tuple[DataFrame, dict]:
+        self.rows.append(self._grams(added, n))
+        return self.gone.stage(gone), {"entries": mark["entries"]}
+
+    def candidates(self, pattern: str) -> DataFrame | None:
+        """id, entry_id of the chunks that have all that one of the pattern's alternatives needs; None: any chunk may match."""
+        ways = patterns.needed(pattern if corpus.as_java(self.spark, pattern) is not None else re.escape(pattern))
+        if ways is None:
+            return None
+        asked = [(g, i, len(own)) for i, own in enumerate(ways) for g in own]
+        grams = sorted({g for g, _, _ in asked})
+        rows = self.rows.of(self.spark.createDataFrame([(g,) for g in grams], "gram string")).where(F.col("gram").isin(*grams))
+        rows = self._alive(rows).join(F.broadcast(self.spark.createDataFrame(asked, "gram string, way int, need int")), "gram")
+        met = rows.groupBy("way", "need", "id", "entry_id", "version").agg(F.countDistinct("gram").alias("n")).where("n = need")
+        return met.select("id", "entry_id").distinct()
+
+    def find(self, store: Snapshots, pattern: str) -> DataFrame:
+        """The entries that ``corpus.search_entries`` finds in the store that this follows."""
+        some = self.candidates(pattern)
+        if some is None:
+            return corpus.search_entries(store.read(), pattern)
+        some = self.rows.stage(some)
+        return corpus.search_entries(store.of(some).join(some.select("id"), "id", "left_semi"), pattern)
+
+
 def _since(kept: Snapshots, source: Snapshots, key: str):
     """The changes of ``source`` that ``kept`` does not have yet; None: it has all."""
     n = (kept.state().mark or {}).get(key, 0)

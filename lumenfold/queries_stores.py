@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import columns as C
+from lumenfold.functions import models
 from lumenfold.operators import corpus, signals
-from lumenfold.plans.follow import Cells, Index, follow_rollup, follow_signals
+from lumenfold.plans.follow import Cells, Grams, Index, follow_rollup, follow_signals
 from lumenfold.queries import _KEYS, _QUERY, BM25, FEATURES, _probe, _rolled, doc_entries, line_chunks, query, table
 from lumenfold.sources.snapshots import Snapshots, scratch
 
@@ -85,3 +86,30 @@ def store_followed(spark, sf_dir):
     return held.where("text <> 'stale'").groupBy("entry_id").agg(F.count("*").alias("chunks"))
 
 
+
+
+_PATTERN = "QUEAU[a-x]|nteres of|lichkeit"
+
+
+@query(f"SELECT DISTINCT entry_id FROM line_chunks WHERE substr(entry_id, 5)::BIGINT % 9 <> 4 AND (regexp_matches(text, '{_PATTERN}', 'i') OR regexp_matches(concat(entry_id, chr(10), date, chr(10), source), '{_PATTERN}', 'i'))")
+def regex_followed(spark, sf_dir):
+    """Entries that match a pattern, by the index of runs of three characters that followed three commits."""
+    grams = Grams(spark, scratch(spark, "grams"))
+    lines = line_chunks(spark, sf_dir).withColumnRenamed("chunk_id", "id").withColumn("n", F.substring("entry_id", 5, 20).cast("bigint"))
+    columns = ["id", "entry_id", "date", "source", "text"]
+    store = _changing(spark, lines, "n", columns, {"text": F.lit("queaux lichkeit")}, grams.follow, "id string, entry_id string, date string, source string, text string")
+    return grams.find(store, _PATTERN)
+
+
+@query()
+def emotion_signals(spark, sf_dir):
+    """The emotion pass with its small model over every line; tests hold it against a plain loop."""
+    rows = signals.derive(line_chunks(spark, sf_dir), corpus.empty(spark, corpus.SIGNALS), signals.default_emotions(), "2024-02-15")
+    return signals.stored_scores(rows)
+
+
+@query()
+def tagged_tenses(spark, sf_dir):
+    """How many verbs of each tense the tagger finds in each text; tests hold it against a plain Viterbi."""
+    found = doc_entries(spark, sf_dir).select("entry_id", models.tenses("text").alias("t"))
+    return found.select("entry_id", *(F.size(F.filter("t", lambda x, v=v: x == v)).alias(v) for v in signals.TENSES))
