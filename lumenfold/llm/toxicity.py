@@ -28,6 +28,8 @@ SCALE = 64.0
 NEUTRAL = 150
 #: Weight of the squared embeddings in the loss.
 DECAY = 3e-5
+#: N-grams of less leaning to a class are not learned from.
+LEAN = 2.5
 
 _PLAIN = _LOWER.copy()
 _PLAIN[_SPACE] = 32
@@ -73,12 +75,12 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(keys, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["toxic", "buckets", "shares"])
 
 
-def fit(y: np.ndarray, cut: np.ndarray, keys: np.ndarray, shares: np.ndarray, totals: dict[int, int], least_texts: int = 4, steps: int = 600, epochs: int = 8, batch: int = 64, rate: float = 0.15, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(y: np.ndarray, cut: np.ndarray, keys: np.ndarray, shares: np.ndarray, totals: dict[int, int], lean: float = LEAN, steps: int = 600, epochs: int = 8, batch: int = 64, rate: float = 0.15, seed: int = 7) -> tuple[np.ndarray, float]:
     """A number for each bucket, and the bias: log-odds of label 1 = bias + their mean over a text's n-grams.
 
     Text i has the label y[i], and in keys[cut[i] : cut[i + 1]] its buckets with their shares. Adagrad on the weighted
-    cross-entropy, at least ``epochs`` times through the texts and ``steps`` steps. N-grams of fewer than ``least_texts`` texts teach
-    nothing: they would only tell those texts apart.
+    cross-entropy, at least ``epochs`` times through the texts and ``steps`` steps. N-grams that texts of both classes have about equally often, by ``leaning`` below
+    ``lean``, have no embedding: with few labels they would only tell the texts apart. The others are numbered anew, so that a step's work goes with them.
     """
     rng = np.random.default_rng(seed)
     emb = (rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM
@@ -87,10 +89,12 @@ def fit(y: np.ndarray, cut: np.ndarray, keys: np.ndarray, shares: np.ndarray, to
     have = np.bincount(y, minlength=2)
     if have.min() == 0:
         return np.zeros(1 << BITS), float(bias[1] - bias[0])
-    seen = np.bincount(keys, minlength=1 << BITS)
-    on = seen[keys] >= least_texts
+    chosen = np.flatnonzero(leaning(y, cut, keys) >= lean)
+    emb, place = emb[chosen], np.full(1 << BITS, -1)
+    place[chosen] = np.arange(len(chosen))
+    on = place[keys] >= 0
     cut = np.concatenate(([0], np.cumsum(on)))[cut]
-    keys, shares = keys[on], shares[on]
+    keys, shares = place[keys[on]], shares[on]
     weight = np.array([totals[c] / have[c] for c in (0, 1)])[y]
     weight = (weight / weight.mean()).astype(np.float32)
     sq_emb, sq_out = np.full_like(emb, 1e-6), np.full_like(out, 1e-6)
@@ -114,7 +118,24 @@ def fit(y: np.ndarray, cut: np.ndarray, keys: np.ndarray, shares: np.ndarray, to
             sq_out += g_out * g_out
             out -= rate * g_out / np.sqrt(sq_out)
             bias -= np.float32(0.02) * p.sum(0)
-    return np.where(seen >= least_texts, SCALE * (emb @ (out[:, 1] - out[:, 0])), 0).astype(np.float64), float(bias[1] - bias[0])
+    values = np.zeros(1 << BITS)
+    values[chosen] = SCALE * (emb @ (out[:, 1] - out[:, 0]))
+    return values, float(bias[1] - bias[0])
+
+
+def leaning(y: np.ndarray, cut: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of each bucket how surely one class has it more often: the root of the likelihood ratio statistic of its texts in both."""
+    of = np.repeat(y, np.diff(cut))
+    n = np.bincount(y, minlength=2)
+    have = [np.bincount(keys[of == c], minlength=1 << BITS) for c in (0, 1)]
+
+    def likelihood(x, total, share):
+        share = np.clip(share, 1e-12, 1 - 1e-12)
+        return x * np.log(share) + (total - x) * np.log1p(-share)
+
+    both = (have[0] + have[1]) / len(y)
+    ratio = sum(likelihood(have[c], n[c], have[c] / n[c]) - likelihood(have[c], n[c], both) for c in (0, 1))
+    return np.where(have[0] + have[1] > 0, np.sqrt(2 * np.maximum(ratio, 0)), -1)
 
 
 def base_rate(totals: dict[int, int]) -> np.ndarray:
@@ -122,7 +143,7 @@ def base_rate(totals: dict[int, int]) -> np.ndarray:
     return np.log(np.array([totals.get(0, 0) + 1.0, totals.get(1, 0) + 1.0]) / (sum(totals.values()) + 2.0)).astype(np.float32)
 
 
-def _fitted(totals: dict[int, int], least_texts: int, steps: int):
+def _fitted(totals: dict[int, int], lean: float, steps: int):
     def run(batches):
         y, keys, shares = [], [], []
         for batch in batches:
@@ -133,13 +154,13 @@ def _fitted(totals: dict[int, int], least_texts: int, steps: int):
             # the order in which rows arrive is no input of the fit
             order = sorted(range(len(y)), key=lambda i: (y[i], len(keys[i]), xxhash.xxh3_128_digest(keys[i]), xxhash.xxh3_128_digest(shares[i])))
             cut = np.concatenate(([0], np.cumsum([len(keys[i]) for i in order])))
-            values, bias = fit(np.array(y)[order], cut, np.concatenate([keys[i] for i in order]), np.concatenate([shares[i] for i in order]), totals, least_texts, steps)
+            values, bias = fit(np.array(y)[order], cut, np.concatenate([keys[i] for i in order]), np.concatenate([shares[i] for i in order]), totals, lean, steps)
             yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()]), pa.array([bias])], ["vals", "bias"])
 
     return run
 
 
-def learned(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 2500, least_texts: int = 4, steps: int = 600):
+def learned(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 2500, lean: float = LEAN, steps: int = 600):
     """A function of an Arrow array of texts (UTF-8 bytes) that gives their scores; workers read one number for each bucket."""
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null")
@@ -148,7 +169,7 @@ def learned(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 2500,
     taught = F.broadcast(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).union(known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)))
     one = docs.select("doc_id", "text").join(taught, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     bags = one.select(*text_bytes(), "toxic").mapInArrow(_bags, "toxic int, buckets array<int>, shares array<float>")
-    fitted = bags.repartition(1).mapInArrow(_fitted(totals, least_texts, steps), "vals binary, bias double").first()
+    fitted = bags.repartition(1).mapInArrow(_fitted(totals, lean, steps), "vals binary, bias double").first()
     values = np.frombuffer(fitted.vals) if fitted else np.zeros(1 << BITS)
     bias = fitted.bias if fitted else float(np.diff(base_rate(totals))[0])
     model = spark.sparkContext.broadcast(values)
@@ -166,16 +187,16 @@ def learned(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 2500,
     return scores
 
 
-def score(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 2500, least_texts: int = 4, steps: int = 600) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn=None, sample: int = 2500, lean: float = LEAN, steps: int = 600) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, score from 0 to 1 (higher: label 1 likelier).
 
     ``labels`` (doc_id, toxic) teach where ``learn``, a condition on doc_id, holds (default: all). Null labels
     teach nothing; of several labels of one id the largest counts, of several texts the least one. Null and empty texts, and those without any n-gram, get the
     base rate. Without labels of both classes every score is the base rate. ``sample`` bounds the labelled texts of each class that are fitted,
-    ``least_texts`` and ``steps`` are those of ``fit``. Labels, languages and sources are no inputs of a
+    ``lean`` and ``steps`` are those of ``fit``. Labels, languages and sources are no inputs of a
     score. Other columns are ignored; repeated rows and null ids keep their rows; an empty table gives no rows.
     """
-    scores = learned(docs, labels, learn, sample, least_texts, steps)
+    scores = learned(docs, labels, learn, sample, lean, steps)
 
     def run(batches):
         for batch in batches:

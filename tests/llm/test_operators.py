@@ -623,12 +623,23 @@ def logistic(x):
     return 1 / (1 + math.exp(-x))
 
 
-def plain_fit(bags, y, totals, least_texts, epochs=8, batch=64, rate=0.15, seed=7):
+def plain_leaning(has, y):
+    """The root of the likelihood ratio statistic of having something, in two classes or in one."""
+    total = 0.0
+    for c in (0, 1):
+        own = [h for h, label in zip(has, y) if label == c]
+        for value in (True, False):
+            n = own.count(value)
+            if n:
+                total += n * (math.log(n / len(own)) - math.log(has.count(value) / len(has)))
+    return math.sqrt(max(0.0, 2 * total))
+
+
+def plain_fit(bags, y, totals, lean, epochs=8, batch=64, rate=0.15, seed=7):
     """Bags of embeddings into a softmax, one number at a time."""
     rng, dims = np.random.default_rng(seed), range(toxicity.DIM)
     start = (rng.random((1 << toxicity.BITS, toxicity.DIM), np.float32) - 0.5) / toxicity.DIM
-    seen = Counter(k for bag in bags for k in bag)
-    emb = {k: [float(x) for x in start[k]] for k, n in seen.items() if n >= least_texts}
+    emb = {k: [float(x) for x in start[k]] for k in {k for bag in bags for k in bag} if plain_leaning([k in bag for bag in bags], y) >= lean}
     sq = {k: [1e-6] * toxicity.DIM for k in emb}
     out, sq_out = [[0.0, 0.0] for _ in dims], [[1e-6, 1e-6] for _ in dims]
     bias = [math.log((totals[c] + 1) / (sum(totals.values()) + 2)) for c in (0, 1)]
@@ -667,10 +678,10 @@ def test_toxicity_by_plain_loops(spark):
     texts = [f"{prose(9, i)} {'Stupido' if i % 3 == 0 else 'gentle'} {prose(5, 50 + i)}" for i in range(14)] + ["", "ab", " a b\tab ", None]
     y = [int(i % 3 == 0) for i in range(14)]
     bags = [{k: n / (toxicity.NEUTRAL + sum(c.values())) for k, n in c.items()} for c in (Counter(grams_of(t)) for t in texts[:14])]
-    values, bias = plain_fit(bags, y, {0: y.count(0), 1: y.count(1)}, 2)
+    values, bias = plain_fit(bags, y, {0: y.count(0), 1: y.count(1)}, 1.9)
     # texts are fitted in an order of their own: by class, number of n-grams, and digests
     marks = spark.createDataFrame(list(enumerate(y)), "doc_id bigint, toxic int")
-    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), marks, least_texts=2, steps=1).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), marks, lean=1.9, steps=1).collect()}
     want = []
     for t in texts:
         g = grams_of(t or "")
