@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import drop, identity, written
+from lumenfold.llm.shared import drop, identity, tidy, written
 
 #: So many rows at most (16 to 40 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -74,6 +74,7 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+@tidy
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Of every row of ``docs`` (doc_id, text), what it shares with ``benchmark`` (item_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 

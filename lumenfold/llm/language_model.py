@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import arrow_rows, mix, partitions, slices, text_bytes, word_hashes, written
+from lumenfold.llm.shared import arrow_rows, mix, partitions, slices, text_bytes, word_hashes, tidy, written
 
 END, BEGIN = np.uint64(0x51ED270B7A3C9E15), np.uint64(0x2545F4914F6CDD1D)
 BITS_EACH, PROBES = 8, 3
-#: A shard's arrays leave a task when so many tokens are waiting.
-FLUSH = 2_000_000
+#: A shard's arrays leave a task when so many tokens are waiting; a shard is for the n-grams of about so many bytes of text.
+FLUSH, SHARD_BYTES = 2_000_000, 4 << 20
 #: Bytes of the texts that ask for levels together, and how many shards' segments are read in one place (as a power of two).
 CHUNK, NEAR = 8 << 20, 3
 #: Weight of the bigram's part.
@@ -132,7 +132,7 @@ def _counter(bits: int):
 
 def _spots(keys: np.ndarray, q: int, size: np.ndarray | int):
     """Bits, within a segment of ``size`` bits, of keys entered at level ``q``."""
-    g = mix(keys + np.uint64(0xD1B54A32D192ED03) * np.uint64(q))
+    g = mix(keys + np.uint64(0xD1B54A32D192ED03 * q & (1 << 64) - 1))
     a, b = g & np.uint64(0xFFFFFFFF), g >> np.uint64(32)
     for i in range(PROBES):
         yield ((a + np.uint64(i) * b & np.uint64(0xFFFFFFFF)) * np.asarray(size).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
@@ -276,22 +276,25 @@ def _scores(batch: pa.RecordBatch, ids: pa.Array, bits: int, n: int, v: int, rea
     return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(np.bincount(text, np.log10(p), texts))], [c.split()[0] for c in SCORED.split(", ")])
 
 
-def score(docs: DataFrame, learn=None, broadcast_bytes: int = 4 << 20) -> DataFrame:
+@tidy
+def score(docs: DataFrame, learn=None, broadcast_bytes: int = 4 << 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and one end for every text; the rows where
     ``learn``, a condition on doc_id, holds (default: all) are counted. With c the token's count, N all and V the
     distinct tokens counted, base_score sums log10((c + 0.1) / (N + 0.1 * (V + 1))); n_known counts tokens with c > 0.
     score sums log10 of (1 - BIGRAM) * unigram + BIGRAM * bigram probability, all counts read from the filter. ``broadcast_bytes``
-    decides how the filter is read, not what it says.
+    decides how the filter is read, not what it says. N-grams are dealt into shards for about ``shard_bytes`` of text each, however many partitions the
+    session has, so that no task holds more as the corpus grows.
 
     Null and empty texts are an end alone. Repeated rows count as often as they come, and keep their rows, as null
     ids do (which teach nothing where ``learn`` is not true of them). With nothing to learn from, N and V are 0.
     Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    bits = min(24, (4 * partitions(spark)).bit_length())
     rows = docs.select("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(24, max((4 * partitions(spark)).bit_length(), (size // shard_bytes).bit_length()))
     taught = rows.where(learn) if learn is not None else rows
     counted = taught.select(*text_bytes()).mapInArrow(_counter(bits), SHARD)
     grams = written(counted.groupBy("gram", "shard").applyInArrow(_merged, MERGED), "grams")

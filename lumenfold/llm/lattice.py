@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.graphs import components
-from lumenfold.llm.shared import drop, mix, written
+from lumenfold.llm.shared import drop, mix, tidy, written
 
 TABLES, PROBES = 8, 6
 #: Lattice units for a distance of 1 between unit vectors.
@@ -152,6 +152,7 @@ def _verify(least: float):
     return run
 
 
+@tidy
 def near_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import unused, written
+from lumenfold.llm.shared import unused, tidy, written
 
 #: So many candidate lines at most are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LINES = 500_000
@@ -100,6 +100,7 @@ def near_lines(docs: DataFrame, first: DataFrame, lines: DataFrame, near_from: i
     return sure.select("h1", "h2").distinct()
 
 
+@tidy
 def dedup_lines(docs: DataFrame, near_from: int = 20, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` with every line dropped from ``text`` that an earlier line makes superfluous, and n_lines, n_dropped.
 

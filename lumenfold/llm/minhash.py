@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.graphs import components
-from lumenfold.llm.shared import identity, shingle_hashes, slices, text_bytes, unused, word_hashes, written
+from lumenfold.llm.shared import identity, shingle_hashes, slices, text_bytes, unused, word_hashes, tidy, written
 
 #: Of the values in a sketch, the share that two linked sets surely have in common.
 FLOOR = 0.375
@@ -199,6 +199,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, k: int) -> tuple[DataF
     return rows, nodes.select("digest").join(of.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -221,6 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+@tidy
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32) -> DataFrame:
     """``docs`` with one row of each group that ``near_duplicates`` links, and all rows of texts without words.
 

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.llm.pieces import Pieces
-from lumenfold.llm.shared import partitions, written
+from lumenfold.llm.shared import partitions, tidy, written
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -144,6 +144,7 @@ def _places(patterns: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+@tidy
 def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset, gapless from 0 in each sequence.
 

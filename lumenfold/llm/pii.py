@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import identity, unused, written
+from lumenfold.llm.shared import identity, unused, tidy, written
 
 # The kinds in the order that spans of one start have.
 KINDS = ("email", "ip", "card", "phone")
@@ -148,6 +148,7 @@ def accepted_patterns(seen: DataFrame, rounds: int = 3, accept: float = 0.8, bel
     return scored.where((F.col("score") >= accept) & (F.col("seeds") >= least)).select("kind", "context")
 
 
+@tidy
 def find(docs: DataFrame, reach: int = 60, **scoring) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, k, k2 (hashes of the text), span_list.
 
@@ -191,6 +192,7 @@ def _masked(column: str):
     return run
 
 
+@tidy
 def mask(docs: DataFrame, **finding) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind, as in <EMAIL>; overlapping spans by the first's.
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, wraps
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -28,20 +30,45 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCOPES = threading.local()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and survives lost executors.
 
-    What an operator needs no more it takes away with ``drop``; what its lazy result reads stays until ``clear``.
+    What an operator needs no more it takes away with ``drop``, or ``tidy`` does; what its lazy result reads stays until ``clear``.
     """
     path = f"{shared_folder(df.sparkSession)}/lumenfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
+    for scope in getattr(_SCOPES, "open", [])[-1:]:
+        scope.append(path)
     return table
 
 
+def tidy(operator):
+    """An operator that returns a DataFrame: of the tables that it has written, those that the result does not read go when it returns."""
+
+    @wraps(operator)
+    def run(*args, **more) -> DataFrame:
+        scopes = _SCOPES.open = getattr(_SCOPES, "open", [])
+        scopes.append([])
+        try:
+            out = operator(*args, **more)
+        finally:
+            paths = scopes.pop()
+        read = {name for file in out.inputFiles() for name in re.findall(r"/lumenfold/([^/]+)/", file)} if paths else set()
+        for path in paths:
+            if path.rsplit("/", 1)[1] not in read:
+                _delete(out.sparkSession, path)
+            elif scopes:
+                scopes[-1].append(path)
+        return out
+
+    return run
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

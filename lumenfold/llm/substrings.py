@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import Spans, arrow_rows, drop, identity, mix, slices, text_bytes, words as words_of, written
+from lumenfold.llm.shared import Spans, arrow_rows, drop, identity, mix, slices, text_bytes, words as words_of, tidy, written
 
 CONTEXT = 4
 PLACE = "struct<last boolean, doc_id bigint, k bigint, k2 bigint>"
@@ -294,6 +294,7 @@ def _compared(linked: DataFrame, held: DataFrame, words: int, every: bool = Fals
         return written(rows.mapInArrow(_compare(words, every), FOUND), "found")
 
 
+@tidy
 def repeated_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """Passages of more than ``words`` words that an earlier document has: doc_id, start, stop, n_words, first_doc_id.
 

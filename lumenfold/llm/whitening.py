@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.shared import drop, written
+from lumenfold.llm.shared import drop, tidy, written
 
 SCALE, OFFSET = 64, 1_000_000
 #: Deviations below this share of the largest are taken for 0.
@@ -159,6 +159,7 @@ def _solved(upper: list[tuple[int, int, float]], rows: int, columns: int):
 OUT = "component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
 
 
+@tidy
 def whitened(vectors: DataFrame, most: int = 32) -> DataFrame:
     """The whitened coordinates of ``vectors`` (vec_id, embedding): vec_id, component, n, deviation, whitened, explained, identity_error.
 

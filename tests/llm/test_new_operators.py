@@ -205,3 +205,22 @@ def test_query_of_periodic_runs(spark):
         assert (r.n_runs, r.start, r.length, r.period, r.exponent_milli) == (len(want), *best, 1000 * best[1] // best[2] if want else None)
         assert r.runs_sha256 == hashlib.sha256("".join(f"{a},{m},{q}\n" for a, m, q in want).encode()).hexdigest()
         assert r.collapsed_sha256 == hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("op1_toxicity", "op7_byte_bpe", "op8_fingerprints", "op13_periodic_runs")] + ["pipeline"])
+def test_only_what_a_result_reads_is_left(spark, name):
+    import os
+
+    import corpus_pipeline
+    from lumenfold.llm import shared
+
+    folder = f"{shared.shared_folder(spark)}/lumenfold"
+    there = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = there()
+    out = (queries.queries() | {"pipeline": corpus_pipeline.run})[name](spark, SMALL)
+    read = {n for f in out.inputFiles() for n in re.findall("/lumenfold/([^/]+)/", f)}
+    assert there() - before == read - before and len(read) <= 4
+    assert out.count() > 0
