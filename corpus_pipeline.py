@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import line_dedup, minhash, packing, pii, toxicity
-from lumenfold.llm.shared import table, written
+from lumenfold.llm.shared import drop, table, tidy, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOXIC = 0.3
@@ -73,7 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage makes; the tables of a stage go as soon as the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, tidy(lambda: written(stage(spark, docs, sf_dir), name))()  # noqa: B023  called at once
+        drop(before)
     return docs
