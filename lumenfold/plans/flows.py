@@ -15,6 +15,8 @@ from lumenfold.plans.providers import ChatProvider, Embedder, answers, with_vect
 from lumenfold.sources import conversations as chats
 from lumenfold.sources.snapshots import Snapshots, scratch, staged
 
+#: The largest filter of chunks that a pass has seen; beyond it they are joined.
+FILTER_BYTES = 8 << 20
 NO_HITS = "No entries match that question."
 ENRICH = "Answer with a JSON object: mood (1 to 5), topics, people, places (lists)."
 
@@ -72,7 +74,7 @@ def derive(entries: Snapshots, store: Snapshots, a_pass: signals.Pass, now: str,
     It looks at every chunk's hash; ``follow_signals`` reads only what has changed.
     """
     chunks = corpus.in_range(entries.read(), since).select(F.col("id").alias("chunk_id"), "entry_id", "text")
-    own = store.stage(signals.to_derive(chunks, store.read(), a_pass, rebuild).select("entry_id").distinct())
+    own = store.stage(signals.to_derive(chunks, store.read(), a_pass, rebuild, FILTER_BYTES).select("entry_id").distinct())
     todo = signals.to_derive(chunks.join(own, "entry_id", "left_semi"), store.read(), a_pass, True)
     return store.replace(signals.derived(todo, a_pass, now), own)
 

@@ -140,3 +140,12 @@ def test_orders(spark):
     for frame, keys in ((corpus.list_entries(lines), ("date", "entry_id")), (Q.queries()["lexical_wide"](spark, small), ("date_int", "entry_id")), (Q.queries()["emotion_wide"](spark, small), ("date_int", "entry_id"))):
         rows = [tuple(r[k] for k in keys) for r in frame.collect()]
         assert len(rows) > 100 and rows == sorted(rows)
+
+
+def test_filter_of_what_was_seen(spark):
+    seen = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"))
+    rows = spark.range(15_000, 45_000).select(F.concat(F.lit("k"), "id").alias("k"), "id")
+    told = {r.id: r.possibly for r in signals.possibly_seen(rows, seen, ["k"], 1 << 20).collect()}
+    assert len(told) == 30_000 and all(told[i] for i in range(15_000, 20_000))
+    assert sum(told.values()) < 5_000 + 0.1 * 25_000  # so many go on to the join
+    assert signals.possibly_seen(rows, seen, ["k"], 1000) is None and signals.possibly_seen(rows, seen.where("false"), ["k"], 1000) is None
