@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import dates as D
 from lumenfold.operators import corpus, insights, signals, stats
 from lumenfold.plans import flows
-from lumenfold.plans.follow import Grams, Index, follow_rollup, follow_signals
+from lumenfold.plans.follow import Cells, Grams, Index, follow_rollup, follow_signals
 from lumenfold.plans.providers import ChatProvider, EchoChat, HashEmbedder
 from lumenfold.plans.talks import Talks
 from lumenfold.session import session
@@ -33,6 +33,7 @@ def _parser(settings: Settings) -> argparse.ArgumentParser:
     commands.choices["watch"].add_argument("--forget", action="store_true", help="entries of files that went go too")
     for name in ("list", "stats", "themes", "index", "vacuum"):
         commands.add_parser(name)
+    commands.choices["index"].add_argument("--vectors", action="store_true", help="make the cells of vectors for approximate searches too")
     find = commands.add_parser("find")
     find.add_argument("pattern")
     find.add_argument("--index", action="store_true", help="make the index that finds patterns, or keep it up")
@@ -40,6 +41,7 @@ def _parser(settings: Settings) -> argparse.ArgumentParser:
         sub = commands.add_parser(name)
         sub.add_argument(what)
         sub.add_argument("-k", type=int)
+    commands.choices["search"].add_argument("--approximate", action="store_true", help="near vectors from the cells around the query, if index --vectors was run")
     commands.choices["ask"].add_argument("--conversation", help="goes on with this one, or begins it")
     talks = commands.add_parser("conversations")
     talks.add_argument("id", nargs="?")
@@ -74,7 +76,7 @@ def main(argv: list[str] | None = None, settings: Settings | None = None, chat:
         settings = Settings.read(os.environ, lines)
     spark, now = session(), dt.datetime.now()
     store, embedder = Snapshots(spark, f"{args.store}/entries", corpus.CHUNKS), HashEmbedder()
-    index, talks = Index(spark, f"{args.store}/index"), Talks(spark, args.store)
+    index, cells, talks = Index(spark, f"{args.store}/index"), Cells(spark, f"{args.store}/vectors"), Talks(spark, args.store)
     stamp, today = now.isoformat(timespec="seconds"), now.date()
     ingesting = {"day_first": settings.day_first, "target": settings.chunk_words, "overlap": settings.chunk_overlap}
     if getattr(args, "period", None):
@@ -105,6 +107,9 @@ def main(argv: list[str] | None = None, settings: Settings | None = None, chat:
     elif args.command == "index":
         index.rebuild(store)
         print(index.mark())
+        if args.vectors:
+            cells.rebuild(store)
+            print(cells.mark())
     elif args.command == "vacuum":
         print(sum(s.vacuum() for s in (store, index.postings, index.gone, talks.heads, talks.messages)), "folders went")
     elif args.command == "remove":
@@ -114,7 +119,10 @@ def main(argv: list[str] | None = None, settings: Settings | None = None, chat:
             print(flows.remove(store, args.ids, args.date_from, args.date_to, args.everything), "entries were asked to go")
             indexed()
     elif args.command == "search":
-        found = flows.hybrid_search(store.read(), args.query, embedder, k, args.date_from, args.date_to, settings.pool, indexed())
+        near = args.approximate and cells.mark() is not None
+        if near:
+            cells.follow(store)
+        found = flows.hybrid_search(store.read(), args.query, embedder, k, args.date_from, args.date_to, settings.pool, indexed(), cells if near else None)
         found.orderBy(F.desc("score")).select("date", "entry_id", "text").show(k, truncate=100)
     elif args.command == "find":
         grams = Grams(spark, f"{args.store}/grams")

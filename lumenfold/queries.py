@@ -394,12 +394,13 @@ def lexical_rollup_stored(spark, sf_dir):
 
 def _period(period: str):
     columns = [*_KEYS, *signals.TENSES]
-    means = ", ".join(f"round_even(avg({k}), 6) AS {k}" for k in columns)
+    # tenses have four places, so means of them often lie half between two numbers of six
+    means = ", ".join(f"round_even(avg({k}), 9) AS {k}" for k in columns)
     sql = FEATURES + f", roll AS (SELECT entry_id, any_value(date) AS date, {_rolled(columns, 12)} FROM features GROUP BY entry_id) SELECT CAST(CAST(date_trunc('{period}', CAST(date AS DATE)) AS DATE) AS VARCHAR) AS period, {means}, count(*) AS entries FROM roll GROUP BY 1"
 
     def run(spark, sf_dir):
         rolled = signals.lexical_rollup(_features(spark, sf_dir), _KEYS).join(doc_entries(spark, sf_dir).select("entry_id", "date"), "entry_id")
-        return signals.period_means(rolled, columns, period)
+        return signals.period_means(rolled, columns, period, 9)
 
     run.__name__ = f"period_means_{period}"
     query(sql)(run)

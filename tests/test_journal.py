@@ -160,10 +160,10 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     said = run("ingest", str(tmp_path / "in"))
     assert "added" in said and "filename" in said
     assert "|05-02-2021.txt|2021-02-05|" in "".join(run("list").split()).replace("||", "|\n|") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
-    assert "'chunks': 3" in run("index") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
+    assert "'chunks': 3" in run("index", "--vectors") and "A quiet walk" in run("search", "quiet walk", "-k", "1")
     (tmp_path / "in/2022-01-01.txt").write_text("zebra zebra")
     run("watch", str(tmp_path / "in"), "--once")
-    assert "zebra zebra" in run("search", "zebra", "-k", "1") and "2022-01-01.txt" not in run("search", "walk", "--period", "2021")
+    assert "zebra zebra" in run("search", "zebra", "-k", "1") and "zebra zebra" in run("search", "zebra", "-k", "1", "--approximate") and "2022-01-01.txt" in run("find", "(?P<x>ZEB)ra", "--index") and "2022-01-01.txt" not in run("search", "walk", "--period", "2021")
     assert "2021-02-05" in run("ask", "What about the walk in 2021?") and flows.NO_HITS in run("ask", "x", "--from", "2030-01-01")
     run("ask", "What about the walk?", "--conversation", "c1")
     run("ask", "And why?", "--conversation", "c1")
@@ -176,7 +176,7 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert "|0|" in run("enrich").replace(" ", "") and "entries: 1;" not in run("digest", "--from", "2021-01-01")
     derived = run("derive", "--aggregate", "--pass", "lexical")
     assert "self_focus" in derived and "true" in derived and "2021" in run("stats")
-    assert "token_count" in run("derive", "--rebuild")
+    assert "token_count" in run("derive", "--rebuild") and "neutral" in run("derive", "--pass", "goemotions", "--aggregate") and "token_count" in run("derive", "--pass", "lexical_tagged")
     monkeypatch.setattr("builtins.input", lambda _: "n")
     run("remove", "--from", "2021-01-01", "--to", "2021-12-31")
     assert "05-02-2021.txt" in run("list")
