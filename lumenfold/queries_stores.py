@@ -112,4 +112,5 @@ def emotion_signals(spark, sf_dir):
 def tagged_tenses(spark, sf_dir):
     """How many verbs of each tense the tagger finds in each text; tests hold it against a plain Viterbi."""
     found = doc_entries(spark, sf_dir).select("entry_id", models.tenses("text").alias("t"))
-    return found.select("entry_id", *(F.size(F.filter("t", lambda x, v=v: x == v)).alias(v) for v in signals.TENSES))
+    of = lambda tense: F.size(F.filter("t", lambda x: x == tense)).alias(tense)
+    return found.select("entry_id", *map(of, signals.TENSES))

@@ -185,13 +185,17 @@ class Snapshots:
         return self.rows(state, only).join(keys, self.key, "left_semi").select(*self._empty.columns)
 
     def changes(self, after: int) -> Changes:
-        """What later commits than ``after`` did; only what they wrote is read."""
+        """What later commits than ``after`` did; only what they wrote is read. If a vacuum has taken some of it, all is new."""
         now, parts = self.state(), []
         for n in range(after + 1, now.n + 1):
             record = self._record(n)
             if record.get("reset"):
                 return Changes(now.n, True, self.rows(now), None)
             parts += [(b, [n, kind, folder, rows]) for b, kind, folder, rows in record.get("parts", [])]
+        for folder in {p[2] for _, p in parts}:
+            path, fs = self._file(f"data/{folder}")
+            if not fs.exists(path):
+                return Changes(now.n, True, self.rows(now), None)
         gone = [x for x in parts if x[1][1] == "gone"]
         keys = self._files(gone, "gone", self._keys).select(*self.on).distinct() if gone else self._empty.select(*self.on)
         return Changes(now.n, False, self._merged(parts), keys)
@@ -290,7 +294,7 @@ class Snapshots:
     def vacuum(self, keep_from: int | None = None) -> int:
         """Delete what the present state does not read; how many folders went. Not while others write or read older states.
 
-        ``changes`` can be asked for from commit ``keep_from`` on (default: the last).
+        What follows the store finds the changes since commit ``keep_from`` (default: the last) and is made anew if it is further behind.
         """
         state = self.state()
         kept = {p[2] for own in state.parts.values() for p in own}

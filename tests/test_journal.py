@@ -210,7 +210,10 @@ def test_store(spark, tmp_path):
     changes = store.changes(n)
     assert sorted((r.entry_id, r.n) for r in changes.added.collect()) == [("e3", -3), ("e3", 7)] and {r.entry_id for r in changes.gone.collect()} == {"e3", "e4", "nobody"}
     assert not changes.reset and store.changes(0).reset and store.changes(0).added.count() == 40 and store.changes(changes.upto).added.count() == 0
-    assert len(held(store)) == 40 and store.vacuum() > 0 and len(held(store)) == 40
+    assert len(held(store)) == 40 and store.vacuum(n) > 0 and store.changes(n).added.count() == 2 and len(held(store)) == 40
+    for _ in range(10):  # so many that the bucket is put together
+        store.replace(stored(spark, ("e5", "a", 5)))
+    assert store.vacuum() > 0 and store.changes(n).reset and store.changes(n).added.count() == len(held(store)) == 40
     store.write(store.read().where("false"))
     assert held(store) == [] and store.replace(stored(spark, ("x", "a", 1))).count() == 1
     pairs = Snapshots(spark, str(tmp_path / "p"), STORED, on=["entry_id", "part"])
