@@ -84,12 +84,12 @@ def cells(unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _deal(batches):
     for batch in batches:
-        embedding, label, node = batch.column("embedding").to_pylist(), batch.column("label"), batch.column("node")
-        sizes = np.array([len(e) for e in embedding])
+        embedding, label, node = (batch.column(c) for c in ("embedding", "label", "node"))
+        sizes = embedding.value_lengths().to_numpy().astype(np.int64)
         for dim in np.unique(sizes):
             rows = np.flatnonzero(sizes == dim)
             for some in np.array_split(rows, max(1, len(rows) // 2000)):
-                v = np.array([embedding[i] for i in some], np.float64)
+                v = embedding.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), -1)
                 v /= np.abs(v).max(1, keepdims=True)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 small = np.rint(v * 127).astype(np.int8)
