@@ -20,8 +20,9 @@ How the lists stay short, and no list's pairs are all emitted:
   difference, linked means s(X, Y) <= u * (|X| + |Y|) for u = (1 - t) / (1 + t), so that
   2 * |D(X) & D(Y)| = s(X, L) + s(Y, L) - s(X, Y) > 0 unless Y is L. So members meet in lists by the
   values of their differences, which independent edits of one text hardly share, and no link is lost. The
-  prefix principle applies here too: by the triangle inequality D(X) and D(Y) share at least
-  |D(X)| - u * (|X| + |X| / t) values.
+  prefix principle applies here too: D(X) and D(Y) differ where X and Y do, in at most u * (|X| + |X| / t) = |X| * (1 - t) / t
+  values, so of each difference the first |X| * (1 - t) / t + 1 values are enough, in any one order for L, and no others become rows.
+  The order only decides how many meet: values that are frequent in the differences of ``FEW`` members come last.
 * Each text also has an odd sketch: ``ODD`` longs whose bits tell whether an odd number of its values fell there. As
   every value in which two sets differ flips one bit, no more bits can differ than the sets do; pairs
   above the difference that a link allows are never made.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.graphs import components
@@ -47,6 +48,8 @@ SLACK = 0.43
 #: Lists up to this length are compared pair by pair.
 SHORT = 24
 ODD = 8
+#: Members of a long list that the order of values is taken from, and the most values that it puts last; neither changes a result.
+FEW, FREQUENT = 32, 1024
 
 
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
@@ -92,6 +95,16 @@ def _full(shingle: int):
     return run
 
 
+def _frequent(batches):
+    """Of the values ``es`` of each row those that come more than once, the most frequent last."""
+    for batch in batches:
+        last = []
+        for es in batch.column("es"):
+            values, n = np.unique(es.values.to_numpy(), return_counts=True)
+            last.append(values[np.lexsort((values, n))][np.sort(n) > 1][-FREQUENT:])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(last, pa.list_(pa.int64()))], ["a", "last"])
+
+
 def _estimate(k: int):
     """Of the k smallest values of the union, the share in both sketches; above k values the union's sketch is theirs."""
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
@@ -160,15 +173,18 @@ def _rest(lists: DataFrame, links: DataFrame, of: DataFrame, nodes: DataFrame, d
 
     full = _full_sets(long.select("digest").union(long.select("lead")), nodes, docs, shingle)
     apart = _with_sets(long.select(F.col("digest").alias("b"), F.col("lead").alias("a")), full)
-    apart = apart.select("a", F.col("b").alias("digest"), F.explode(F.array_union(F.array_except("fa", "fb"), F.array_except("fb", "fa"))).alias("e"))
+    apart = apart.select("a", F.col("b").alias("digest"), F.array_union(F.array_except("fa", "fb"), F.array_except("fb", "fa")).alias("es"))
     apart = written(apart.join(with_c.select("digest", "n", "c"), "digest"), "apart")
-    common = apart.groupBy("a", "e").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a", "e", "df")
-    size = apart.groupBy("a", "digest").agg(F.count("*").alias("d"))
-    by_member = apart.join(common, ["a", "e"]).groupBy("a", "digest").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es")).join(size, ["a", "digest"])
-    # values of one component alone count as the rarest: their lists bring nobody together
-    surely = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / (100 + percent) * (1 + 100 / percent)))
-    prefix = F.col("d") - surely + 1 - (F.col("d") - F.size("es"))
-    met = by_member.where(prefix > 0).withColumn("es", F.transform(F.slice("es", 1, F.greatest(F.lit(0), prefix.cast("int"))), lambda x: x["e"])).select("a", "digest", "es", F.explode("es").alias("e"))
+    few = long.select(F.col("lead").alias("a"), "digest", F.row_number().over(Window.partitionBy("lead").orderBy("digest")).alias("i")).where(f"i <= {FEW}")
+    last = apart.join(few, ["a", "digest"], "left_semi").groupBy("a").agg(F.flatten(F.collect_list("es")).alias("es"))
+    last = written(last.mapInArrow(_frequent, "a binary, last array<bigint>"), "last")
+    # every member lists the first of its values; array_intersect keeps the order of ``last``
+    ordered = F.concat(F.array_sort(F.array_except("es", "last")), F.array_intersect("last", "es"))
+    first = F.slice(ordered, F.lit(1), F.expr(f"int(n * {100 - percent} div {percent}) + 1"))
+    first = written(apart.join(last, "a").select("a", "digest", "c", F.explode(first).alias("e")), "first")
+    # values of one component alone bring nobody together
+    common = first.groupBy("a", "e").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("a", "e")
+    met = first.join(common, ["a", "e"], "left_semi").groupBy("a", "digest").agg(F.collect_list("e").alias("es")).select("a", "digest", "es", F.explode("es").alias("e"))
     met = written(met.join(with_c, "digest"), "met")
     # two members may share several values; they meet under the least of them only
     once = F.expr("x.a = y.a and x.e = y.e and array_min(array_intersect(x.es, y.es)) = x.e")

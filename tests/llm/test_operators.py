@@ -87,6 +87,41 @@ def test_pairs_at_the_threshold_are_linked(spark):
     assert [got[2 * i + 1] for i in range(300)] == [2 * i + (i >= 250) for i in range(300)]
 
 
+def test_members_of_a_long_list_make_few_rows(spark, monkeypatch):
+    """Of a member's difference to the list's centre, only as many values become rows as a link lets it differ in, and one."""
+    texts = [prose(40, 300 + i) + " " + prose(80, 299) for i in range(60)]
+    rows = {}
+
+    def counted(df, name):
+        table = shared.written(df, name)
+        if name == "long" or "e" in df.columns:
+            rows[name] = table.count()
+        return table
+
+    monkeypatch.setattr(minhash, "written", counted)
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), 3, 85).collect()}
+    assert all(r.kept for r in got.values())
+    members, most = rows.pop("long"), max(r.n_shingles for r in got.values()) * 15 // 85 + 1
+    assert members > minhash.SHORT and 0 < max(rows.values()) <= members * most
+
+
+@pytest.mark.parametrize(("shingle", "percent", "few", "frequent"), [(3, 85, 2, 3), (5, 80, 1, 1), (3, 85, 32, 1024)])
+def test_links_do_not_depend_on_the_order_of_values(spark, monkeypatch, shingle, percent, few, frequent):
+    for name, value in (("SHORT", 2), ("FEW", few), ("FREQUENT", frequent)):
+        monkeypatch.setattr(minhash, name, value)
+    base = prose(150, 400)
+    texts = [base, *(changed(base, n, 410 + 10 * n + i) for n in (2, 4, 6, 9) for i in range(8))]
+    cut = " ".join(base.split()[:90])
+    texts += [cut, *(changed(cut, 3, 600 + i) for i in range(12)), *(base + " " + prose(60, 620 + i) for i in range(12))]
+    for i in range(6):  # pairs beside a passage that all have
+        own = prose(60, 640 + i) + " " + prose(70, 699)
+        texts += [own, changed(own, 2, 650 + i)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), shingle, percent).collect()}
+    s = [sets(t, shingle) for t in texts]
+    links = [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j])]
+    assert [got[i] for i in range(len(s))] == groups(links, len(s))
+
+
 def test_null_ids_are_linked_too(spark):
     t = prose(60, 3)
     got = minhash.near_duplicates(frame(spark, [t, changed(t, 1, 5), "x"], [None, None, 4]), 3, 85).collect()
