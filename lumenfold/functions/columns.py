@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` has it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """Runs of a-z and apostrophes in the lower-cased text."""
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z']+)"), F.lit(1))
@@ -126,8 +131,11 @@ def chunks(c: Column, target: int = 400, overlap: int = 1, delimiter: str = r"\n
 
 
 def windows(c: Column, most: int = 1800) -> Column:
-    """Sentences packed into windows of at most ``most`` characters; a longer sentence is a window."""
-    sentences = F.split(stripped(c), r"(?<=[.!?])\s+")
+    """Sentences packed into windows of at most ``most`` characters; a longer sentence is a window.
+
+    What fits into one window is not cut. Values that are used again are bound by ``once``, as Spark would work them out for each use.
+    """
+    gap = r"(?<=[.!?])\s+"
     # only the sentence's number, the open window's first one and length, and the finished ranges are carried
     kinds = "struct<at: int, first: int, size: int, done: array<struct<a: int, b: int>>>"
 
@@ -138,6 +146,14 @@ def windows(c: Column, most: int = 1800) -> Column:
         done = F.when(full, F.array_append(state["done"], F.struct(state["first"].alias("a"), state["at"].alias("b")))).otherwise(state["done"])
         return F.struct((state["at"] + 1).alias("at"), first.alias("first"), size.alias("size"), done.alias("done")).cast(kinds)
 
-    end = F.aggregate(F.transform(sentences, F.length), F.expr(f"cast(named_struct('at', 0, 'first', 1, 'size', 0, 'done', array()) as {kinds})"), take)
-    ranges = F.array_append(end["done"], F.struct(end["first"].alias("a"), end["at"].alias("b")))
-    return F.when(stripped(c) == "", F.array(c)).otherwise(F.transform(ranges, lambda r: F.array_join(F.slice(sentences, r["a"], r["b"] - r["a"] + 1), " ")))
+    def cut(sentences: Column) -> Column:
+        end = F.aggregate(F.transform(sentences, F.length), F.expr(f"cast(named_struct('at', 0, 'first', 1, 'size', 0, 'done', array()) as {kinds})"), take)
+        ranges = once(end, lambda e: F.array_append(e["done"], F.struct(e["first"].alias("a"), e["at"].alias("b"))))
+        return F.transform(ranges, lambda r: F.array_join(F.slice(sentences, r["a"], r["b"] - r["a"] + 1), " "))
+
+    def packed(text: Column) -> Column:
+        whole = lambda joined: F.when(F.length(joined) <= most, F.array(joined)).otherwise(once(F.split(text, gap), cut))
+        return F.when(text == "", F.array(c)).otherwise(once(F.regexp_replace(text, gap, " "), whole))
+
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return once(F.when(ends.rlike(r"(?U)\s"), stripped(c)).otherwise(c), packed)

@@ -18,7 +18,7 @@ from lumenfold.functions.lexicons import RATES, lexicon
 from lumenfold.operators import corpus, digest, insights, retrieval, signals, stats, themes
 from lumenfold.sources import conversations as chats
 from lumenfold.sources import texts
-from lumenfold.sources.snapshots import scratch, staged
+from lumenfold.sources.snapshots import BROADCAST_KEYS, scratch, staged
 
 TODAY = dt.date(2024, 2, 15)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,12 +50,20 @@ def _with_dates(df: DataFrame) -> DataFrame:
     return df.withColumns({"date": F.col("dt").cast("string"), "year": F.date_format("dt", "yyyy"), "date_int": D.date_int(F.col("dt")).cast("bigint")})
 
 
-def doc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_entries(spark: SparkSession, sf_dir: str, moods: bool = True) -> DataFrame:
+    """Without ``moods`` the same rows, but no text is dealt out to meet its label: only documents with several labels, which come as often, are joined."""
     mood = F.when(F.col("quality").isNull(), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(5), 2 + 3 * F.col("quality") - 2 * F.col("toxic")))).cast("int")
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    if moods:
+        docs = docs.join(labels, "doc_id", "left")
+    else:
+        several = labels.groupBy("doc_id").agg(F.count("*").cast("int").alias("times")).where("times > 1")
+        if n := several.count():
+            docs = docs.join(F.broadcast(several) if n <= BROADCAST_KEYS else several, "doc_id", "left")
+            docs = docs.withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)))))
     entries = docs.select(
         "doc_id", F.concat(F.lit("doc:"), "doc_id").alias("entry_id"), F.date_add(F.lit(dt.date(2015, 1, 1)), (F.col("doc_id") * 7919 % 3287).cast("int")).alias("dt"), "text",
-        C.word_count(F.col("text")).alias("word_count"), F.concat_ws(", ", "lang", "source").alias("topics"), F.col("source").alias("people"), F.col("lang").alias("places"), mood.alias("mood"), C.content_hash(F.col("text")).alias("content_hash"),
+        C.word_count(F.col("text")).alias("word_count"), F.concat_ws(", ", "lang", "source").alias("topics"), F.col("source").alias("people"), F.col("lang").alias("places"), *([mood.alias("mood")] if moods else []), C.content_hash(F.col("text")).alias("content_hash"),
     )
     return _with_dates(entries)
 
@@ -68,8 +76,8 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_dates(days.select(F.concat_ws(":", user, F.col("dt").cast("string")).alias("entry_id"), "dt", user.alias("people"), "topics", mood.alias("mood"), F.col("n").cast("int").alias("word_count")))
 
 
-def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = doc_entries(spark, sf_dir).select("entry_id", "date", "year", "date_int", "mood", F.col("people").alias("source"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text")).where(F.trim("text") != "")
+def line_chunks(spark: SparkSession, sf_dir: str, moods: bool = True) -> DataFrame:
+    lines = doc_entries(spark, sf_dir, moods).select("entry_id", "date", "year", "date_int", *(["mood"] if moods else []), F.col("people").alias("source"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text")).where(F.trim("text") != "")
     return lines.withColumns({"chunk_id": F.concat_ws("::", "entry_id", "chunk_index"), "word_count": C.word_count(F.col("text"))})
 
 

@@ -104,7 +104,7 @@ def regex_followed(spark, sf_dir):
 @query()
 def emotion_signals(spark, sf_dir):
     """The emotion pass with its small model over every line; tests hold it against a plain loop."""
-    rows = signals.derive(line_chunks(spark, sf_dir), corpus.empty(spark, corpus.SIGNALS), signals.default_emotions(), "2024-02-15")
+    rows = signals.derive(line_chunks(spark, sf_dir, moods=False), corpus.empty(spark, corpus.SIGNALS), signals.default_emotions(), "2024-02-15")
     return signals.stored_scores(rows)
 
 

@@ -149,3 +149,54 @@ def test_filter_of_what_was_seen(spark):
     assert len(told) == 30_000 and all(told[i] for i in range(15_000, 20_000))
     assert sum(told.values()) < 5_000 + 0.1 * 25_000  # so many go on to the join
     assert signals.possibly_seen(rows, seen, ["k"], 1000) is None and signals.possibly_seen(rows, seen.where("false"), ["k"], 1000) is None
+
+
+def test_emotions_of_many_new_words():
+    """What is held does not grow with the words of a batch, and a text's scores don't depend on what is beside it."""
+    import itertools
+    import tracemalloc
+
+    words = ["".join(w) for w in itertools.product("abcdefghijkl", repeat=4)]  # 20,736 of them
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + [" ".join(words), "thththth aaaa a I'm", ""]
+    model = models.EmotionModel()
+    tracemalloc.start()
+    got = model.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # a row of all buckets for each word would be 340 MB
+    for i in (0, 100, -2):
+        own = re.findall("[a-z']+", texts[i].lower())
+        assert got[i] == pytest.approx(sum(model._softmax(model._features(w) @ model.weights + model.bias) for w in own) / len(own))
+    assert got[-3] == pytest.approx(np.average(got[:-3], axis=0, weights=[len(t.split()) for t in texts[:-3]]))
+    small = models.EmotionModel()
+    small.KEEP = small.PIECE  # is emptied again and again
+    assert (small.scores(texts) == got).all() and len(small.known) <= small.PIECE
+
+
+def test_emotions_deal_out_windows_only(spark):
+    """One row for each window goes through a shuffle, not one for each label, and none meets signals of a pass that is new."""
+    chunks = spark.createDataFrame([(f"c{i}", "e", "We are happy. " * (200 * i)) for i in range(4)], "chunk_id string, entry_id string, text string")
+    a_pass, none = signals.default_emotions(), corpus.empty(spark, corpus.SIGNALS)
+    plan = a_pass.compute(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in signals.pending(chunks, none, a_pass)._jdf.queryExecution().executedPlan().toString()
+    once = signals.derive(chunks, none, a_pass, "now").localCheckpoint()
+    assert signals.pending(chunks, once, a_pass).count() == 0 and signals.pending(chunks.withColumn("text", F.lit("x")), once, a_pass).count() == 4
+
+
+def test_entries_without_moods(spark, tmp_path):
+    """Documents with several labels come as often without their labels, and no text is dealt out."""
+    from lumenfold import queries as Q
+
+    text = "one\ntwo"
+    spark.createDataFrame([(i, text, "en", "web", len(text)) for i in (1, 2, 3, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, 0, 0), (3, 1, 0), (3, 1, 0), (3, 0, 1), (None, 1, 1), (None, 1, 1), (9, 1, 0), (9, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    few = spark.createDataFrame(labels[:2], "doc_id long, quality int, toxic int")
+    few.write.parquet(str(tmp_path / "few/labels.parquet"))
+    spark.read.parquet(str(tmp_path / "documents.parquet")).write.parquet(str(tmp_path / "few/documents.parquet"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for top in (tmp_path, tmp_path / "few"):
+        for of in (Q.doc_entries, Q.line_chunks):
+            assert rows(of(spark, str(top), moods=False)) == rows(of(spark, str(top)).drop("mood"))
+    assert Q.doc_entries(spark, str(tmp_path), moods=False).count() == 6
+    assert "Join" not in Q.line_chunks(spark, str(tmp_path / "few"), moods=False)._jdf.queryExecution().executedPlan().toString()
