@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.functions import patterns
+from lumenfold.functions import blocks, patterns
+from lumenfold.functions import columns as C
 from lumenfold.operators import corpus, retrieval, signals, themes
 from lumenfold.sources.snapshots import BROADCAST_KEYS, Snapshots
 
@@ -64,21 +66,48 @@ class Follower:
         return rows.join(F.broadcast(dead) if state.rows() <= BROADCAST_KEYS else dead, "entry_id", "left").where("since is null or version >= since").drop("since")
 
 
-class Index(Follower):
-    """The postings of a store's chunks, in buckets by term and sorted by it, so that a search opens its terms' files only.
+class Inverted(Follower):
+    """What terms a store's chunks have, as ``functions.blocks`` writes it: in buckets by term, sorted by it, so that a search opens its terms' files only."""
+
+    #: Bytes of text that a block has at most.
+    BYTES = 8 << 20
+
+    def __init__(self, spark: SparkSession, folder: str, most: int, rows: int):
+        super().__init__(spark, f"{folder.rstrip('/')}/blocks", most)
+        self.postings = Snapshots(spark, f"{self.folder}/terms", f"{blocks.ROWS}, version bigint", "term", most=rows)
+
+    def _find(self, terms: list[str]) -> DataFrame:
+        keys = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        return self.postings.of(keys).where(F.col("term").isin(*terms))
+
+    def _named(self, hits: DataFrame) -> DataFrame:
+        """``hits`` (block, spot, version and more) of entries that are as they were then, with id, entry_id and size."""
+        hits = self.postings.stage(hits)
+        keys = hits.select(F.concat(F.lit(blocks.DIRECTORY), "block").alias("term"))
+        names = self.postings.of(keys).where(F.col("term").startswith(blocks.DIRECTORY))
+        names = names.select("block", F.posexplode(F.arrays_zip("ids", "entries", "sizes")).alias("spot", "x"))
+        names = names.select("block", "spot", F.col("x.ids").alias("id"), F.col("x.entries").alias("entry_id"), F.col("x.sizes").alias("size"))
+        return self._alive(hits.join(names, ["block", "spot"]))
+
+
+def _bytes(chunks: DataFrame, *columns: str) -> int:
+    return chunks.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0).cast("bigint"))), F.lit(0))).first()[0]
+
+
+class Index(Inverted):
+    """The postings of a store's chunks.
 
     The mark also says how many chunks, words and entries there are; that comes from the lengths of chunks, which are kept by entry.
     """
 
     def __init__(self, spark: SparkSession, folder: str, most: int = 200_000):
-        super().__init__(spark, folder, most)
-        self.postings = Snapshots(spark, f"{folder}/terms", "term string, id string, entry_id string, dl int, tf int, version bigint", "term", most=20 * most)
-        self.lengths = Snapshots(spark, f"{folder}/lengths", "id string, entry_id string, dl int", most=most)
+        super().__init__(spark, folder, most, 20 * most)
+        self.lengths = Snapshots(spark, f"{self.folder}/lengths", "id string, entry_id string, dl int", most=most)
 
     def _postings(self, chunks: DataFrame, n: int) -> DataFrame:
-        found = retrieval.postings(chunks.select("id", "text")).where("term is not null")
         entry = F.regexp_replace("id", "::[0-9]+$", "")  # as to_chunks makes ids
-        return found.select("term", "id", entry.alias("entry_id"), "dl", "tf", F.lit(n).cast("bigint").alias("version"))
+        text = F.coalesce("text", F.lit(""))
+        return blocks.inverted(chunks.select("id", entry.alias("entry_id"), F.size(C.tokens(text)).alias("size"), F.lower(text).alias("text")), n, blocks.words, self.BYTES, True)
 
     def _sums(self, lengths: DataFrame) -> list[int]:
         r = lengths.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.countDistinct("entry_id")).first()
@@ -88,10 +117,11 @@ class Index(Follower):
         return dict(zip(("chunks", "words", "entries"), sums)) | {"lengths": self.lengths.state().n}
 
     def _whole(self, chunks: DataFrame, n: int) -> dict:
-        self.postings.write(self._postings(chunks, n))
+        self.postings.write(self._postings(chunks, n), rows=_bytes(chunks, "text") // 75)  # blocks have about a row for so many bytes
         lengths = self.lengths.stage(retrieval.lengths(chunks, "id", "entry_id"))
-        self.lengths.write(lengths)
-        return self._said(self._sums(lengths))
+        sums = self._sums(lengths)
+        self.lengths.write(lengths, rows=sums[0])
+        return self._said(sums)
 
     def _more(self, added: DataFrame, gone: DataFrame, n: int, mark: dict) -> tuple[DataFrame, dict]:
         before = self.lengths.of(gone, at=mark["lengths"])
@@ -104,9 +134,17 @@ class Index(Follower):
 
     def of(self, terms: list[str]) -> DataFrame:
         """The postings of these terms: term, id, dl, tf."""
-        keys = self.spark.createDataFrame([(t,) for t in terms], "term string")
-        rows = self._alive(self.postings.of(keys).where(F.col("term").isin(*terms)))
-        return rows.groupBy("term", "id").agg(F.max("dl").alias("dl"), F.max("tf").alias("tf"))  # a round may have been done twice
+
+        def opened(batches):
+            for batch in batches:
+                for term, block, spots, counts, version in zip(*(c.to_pylist() for c in batch.columns)):
+                    own = blocks.spots_of(spots)
+                    columns = [[term] * len(own), [block] * len(own), own.astype(np.int32), blocks.unpacked(counts).astype(np.int32), [version] * len(own)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["term", "block", "spot", "tf", "version"])
+
+        found = self._find(terms).select("term", "block", "spots", "counts", "version")
+        rows = self._named(found.mapInArrow(opened, "term string, block string, spot int, tf int, version bigint"))
+        return rows.groupBy("term", "id").agg(F.max("size").alias("dl"), F.max("tf").alias("tf"))  # a round may have been done twice
 
     def best(self, query: str, k: int = 40, allowed: DataFrame | None = None) -> DataFrame:
         """Best matches by BM25 with their rank from 0, among the ids of ``allowed`` (default: all); id, score, rank."""
@@ -205,28 +243,28 @@ class Cells(Follower):
         return among(near[(far[near] - radii[near] <= most) | (np.arange(len(near)) < probes)])
 
 
-class Grams(Follower):
+class Grams(Inverted):
     """The runs of three ASCII characters, in small letters, that a store's chunks and their ids, dates and sources have: an index for patterns.
 
     What a pattern cannot do without (``patterns.needed``) picks the chunks, which then are tried with the pattern itself. A pattern that needs nothing of that
     length goes through all chunks.
     """
 
+    BYTES = 2 << 20
+
     def __init__(self, spark: SparkSession, folder: str, most: int = 200_000):
-        super().__init__(spark, folder, most)
-        self.rows = Snapshots(spark, f"{folder}/grams", "gram string, id string, entry_id string, version bigint", "gram", most=20 * most)
+        super().__init__(spark, folder, most, 2 * most)
 
     def _grams(self, chunks: DataFrame, n: int) -> DataFrame:
         text = F.lower(F.concat_ws("\n", "entry_id", "date", "source", "text"))
-        grams = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=([\x09-\x7E]{3}))"), F.lit(1)))
-        return chunks.select(F.explode(grams).alias("gram"), "id", "entry_id", F.lit(n).cast("bigint").alias("version"))
+        return blocks.inverted(chunks.select("id", "entry_id", F.lit(0).alias("size"), text.alias("text")), n, blocks.grams, self.BYTES, False)
 
     def _whole(self, chunks: DataFrame, n: int) -> dict:
-        self.rows.write(self._grams(chunks, n))
+        self.postings.write(self._grams(chunks, n), rows=_bytes(chunks, "text", "entry_id", "date", "source") // 200)  # blocks have about a row for so many bytes
         return {"entries": chunks.select("entry_id").distinct().count()}
 
     def _more(self, added: DataFrame, gone: DataFrame, n: int, mark: dict) -> tuple[DataFrame, dict]:
-        self.rows.append(self._grams(added, n))
+        self.postings.append(self._grams(added, n))
         return self.gone.stage(gone), {"entries": mark["entries"]}
 
     def candidates(self, pattern: str) -> DataFrame | None:
@@ -234,19 +272,29 @@ class Grams(Follower):
         ways = patterns.needed(pattern if corpus.as_java(self.spark, pattern) is not None else re.escape(pattern))
         if ways is None:
             return None
-        asked = [(g, i, len(own)) for i, own in enumerate(ways) for g in own]
-        grams = sorted({g for g, _, _ in asked})
-        rows = self.rows.of(self.spark.createDataFrame([(g,) for g in grams], "gram string")).where(F.col("gram").isin(*grams))
-        rows = self._alive(rows).join(F.broadcast(self.spark.createDataFrame(asked, "gram string, way int, need int")), "gram")
-        met = rows.groupBy("way", "need", "id", "entry_id", "version").agg(F.countDistinct("gram").alias("n")).where("n = need")
-        return met.select("id", "entry_id").distinct()
+
+        def met(table: pa.Table) -> pa.Table:
+            """The texts of one block that have what one of the ways needs."""
+            spots: dict[str, np.ndarray] = {}
+            for term, data in zip(table["term"].to_pylist(), table["spots"].to_pylist()):
+                spots[term] = np.union1d(spots.get(term, np.zeros(0, np.int64)), blocks.spots_of(data))
+            found = np.zeros(0, np.int64)
+            for own in ways:
+                if all(g in spots for g in own):
+                    found = np.union1d(found, reduce(np.intersect1d, [spots[g] for g in own]))
+            some = [pa.array([table[c][0].as_py()] * len(found), t) for c, t in (("block", pa.string()), ("version", pa.int64()))]
+            return pa.Table.from_arrays([some[0], pa.array(found.astype(np.int32)), some[1]], ["block", "spot", "version"])
+
+        rows = self._find(sorted({g for own in ways for g in own})).select("term", "block", "spots", "version")
+        hits = rows.groupBy("block").applyInArrow(met, "block string, spot int, version bigint")
+        return self._named(hits).select("id", "entry_id").distinct()
 
     def find(self, store: Snapshots, pattern: str) -> DataFrame:
         """The entries that ``corpus.search_entries`` finds in the store that this follows."""
         some = self.candidates(pattern)
         if some is None:
             return corpus.search_entries(store.read(), pattern)
-        some = self.rows.stage(some)
+        some = self.postings.stage(some)
         return corpus.search_entries(store.of(some).join(some.select("id"), "id", "left_semi"), pattern)
 
 

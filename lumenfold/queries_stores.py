@@ -19,7 +19,7 @@ def _changing(spark, rows: DataFrame, n: str, columns: list[str], stale: dict, f
     store = Snapshots(spark, scratch(spark, "changing"), schema)
     number = F.col(n)
     first = rows.where(number % 5 != 0)
-    store.write(first.withColumns({c: F.when(number % 7 == 0, v).otherwise(F.col(c)) for c, v in stale.items()}).select(*columns))
+    store.write(first.withColumns({c: F.when(number % 7 == 0, v).otherwise(F.col(c)) for c, v in stale.items()}).select(*columns), rows=rows.count())
     follow(store)
     again = rows.where((number % 5 == 0) | (number % 7 == 0))
     store.replace(again.select(*columns), again.select("entry_id"))
@@ -36,7 +36,7 @@ _LEFT = "doc_id % 9 <> 4"
 def bm25_followed(spark, sf_dir):
     """Best matches from an index that followed a store through three commits."""
     index = Index(spark, scratch(spark, "index"))
-    docs = doc_entries(spark, sf_dir).withColumn("id", F.concat("entry_id", F.lit("::0")))
+    docs = doc_entries(spark, sf_dir, moods=False).withColumn("id", F.concat("entry_id", F.lit("::0")))
     _changing(spark, docs, "doc_id", ["id", "entry_id", "date", "text"], {"text": F.concat(F.lit(f"{_QUERY} {_QUERY} "), "text")}, index.follow, "id string, entry_id string, date string, text string")
     return index.best(_QUERY).withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -45,7 +45,7 @@ def bm25_followed(spark, sf_dir):
 def index_statistics_followed(spark, sf_dir):
     """What the index knows of the whole collection after three commits, from the changes."""
     index = Index(spark, scratch(spark, "index"))
-    docs = doc_entries(spark, sf_dir).withColumn("id", F.concat("entry_id", F.lit("::0")))
+    docs = doc_entries(spark, sf_dir, moods=False).withColumn("id", F.concat("entry_id", F.lit("::0")))
     _changing(spark, docs, "doc_id", ["id", "entry_id", "date", "text"], {"text": F.lit("stale")}, index.follow, "id string, entry_id string, date string, text string")
     mark = index.mark()
     return spark.createDataFrame([(mark["chunks"], mark["words"], mark["entries"])], "chunks bigint, words bigint, entries bigint")
@@ -95,7 +95,7 @@ _PATTERN = "QUEAU[a-x]|nteres of|lichkeit"
 def regex_followed(spark, sf_dir):
     """Entries that match a pattern, by the index of runs of three characters that followed three commits."""
     grams = Grams(spark, scratch(spark, "grams"))
-    lines = line_chunks(spark, sf_dir).withColumnRenamed("chunk_id", "id").withColumn("n", F.substring("entry_id", 5, 20).cast("bigint"))
+    lines = line_chunks(spark, sf_dir, moods=False).withColumnRenamed("chunk_id", "id").withColumn("n", F.substring("entry_id", 5, 20).cast("bigint"))
     columns = ["id", "entry_id", "date", "source", "text"]
     store = _changing(spark, lines, "n", columns, {"text": F.lit("queaux lichkeit")}, grams.follow, "id string, entry_id string, date string, source string, text string")
     return grams.find(store, _PATTERN)

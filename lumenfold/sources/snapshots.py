@@ -6,7 +6,8 @@ import json
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: A bucket with more parts is put together; so many keys that went are broadcast at most; after so many commits the log's sum is kept.
 PARTS, BROADCAST_KEYS, SUMMED = 8, 200_000, 32
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Conflict(Exception):
@@ -143,7 +145,8 @@ class Snapshots:
         folder = uuid.uuid4().hex
         path, columns = f"{self.folder}/data/{folder}/{kind}", self._empty.columns if kind == "add" else self.on
         own = df.select(*columns, self._bucket(buckets).alias("__bucket")) if self.key in columns else df.select(*columns, F.col("__bucket"))
-        own.hint("rebalance", "__bucket").sortWithinPartitions("__bucket", *[c for c in (self.key,) if c in columns]).write.partitionBy("__bucket").parquet(path)
+        with swept(self.spark):
+            own.hint("rebalance", "__bucket").sortWithinPartitions("__bucket", *[c for c in (self.key,) if c in columns]).write.partitionBy("__bucket").parquet(path)
         written = self.spark.read.schema(f"{self.schema if kind == 'add' else self._keys}, __bucket int").parquet(path)
         return [[r["__bucket"], kind, folder, r["count"]] for r in written.groupBy("__bucket").count().collect()]
 
@@ -203,14 +206,15 @@ class Snapshots:
     # --- commits
 
     def _commit(self, base: State, record: dict, touched: set[int], alone: bool) -> int:
-        """The commit's number. A Conflict if, since ``base``, a bucket of ``touched`` was split or, if ``alone``, changed."""
+        """The commit's number. A Conflict if, since ``base``, a bucket of ``touched`` or the whole table was split or, if ``alone``, changed."""
         n = base.n + 1
         while not self._put(f"log/{n:012d}.json", record):
             other = self._record(n)
             swap = other.get("swap") or {"drop": []}
             split = set(swap["drop"]) if other["buckets"] != base.buckets else set()
             changed = {p[0] for p in other.get("parts", [])} if alone else set()
-            if touched & (split | changed) or (alone and other.get("reset")):
+            dealt_anew = other.get("reset") and other["buckets"] != base.buckets
+            if touched & (split | changed) or (alone and other.get("reset")) or dealt_anew:
                 raise Conflict(f"commit {n} of {self.folder}")
             record = record | {"buckets": max(record["buckets"], other["buckets"])}
             n += 1
@@ -223,9 +227,9 @@ class Snapshots:
         """``df`` written and read again, so that what is dear is done once however often a commit is tried."""
         return staged(df, f"{self.folder}/data/{uuid.uuid4().hex}/staged")
 
-    def write(self, df: DataFrame, mark: dict | None = None) -> DataFrame:
-        """A new state of the whole table."""
-        self._change(lambda _: (df, None), mark, reset=True)
+    def write(self, df: DataFrame, mark: dict | None = None, rows: int = 0) -> DataFrame:
+        """A new state of the whole table. ``rows``: about how many it has; buckets are made for them at once, where else all is written again to be split."""
+        self._change(lambda _: (df, None), mark, reset=True, rows=rows)
         return self.read()
 
     def append(self, new: DataFrame, mark: dict | None = None) -> None:
@@ -246,25 +250,25 @@ class Snapshots:
         self._change(lambda state: change(self.rows(state)), mark, alone=True)
         return self.read()
 
-    def _change(self, make, mark: dict | None, alone: bool = False, reset: bool = False, tries: int = 10) -> None:
+    def _change(self, make, mark: dict | None, alone: bool = False, reset: bool = False, tries: int = 10, rows: int = 0) -> None:
         held: DataFrame | None = None
         for again in range(tries):
             state = self.state()
             made = make(state)
             if made is None:
                 return
-            (new, keys), parts = made, []
+            (new, keys), parts, buckets = made, [], max(state.buckets, -(-rows // self.most))
             if keys is not None:
                 own = keys.select(*dict.fromkeys([*self.on, self.key])).distinct()
                 parts = self._write(own.withColumn("__bucket", self._bucket(state.buckets)), "gone", state.buckets)
             # where only the buckets have changed, rows are dealt out anew, not made again
-            added = self._write(new if alone or held is None else held, "add", state.buckets) if new is not None else []
+            added = self._write(new if alone or held is None else held, "add", buckets) if new is not None else []
             parts += added
             if not parts and mark is None and not reset:
                 return
             touched = {p[0] for p in parts}
             try:
-                self._commit(state, {"buckets": state.buckets, "reset": reset, "parts": parts, "mark": mark}, touched, alone)
+                self._commit(state, {"buckets": buckets, "reset": reset, "parts": parts, "mark": mark}, touched, alone)
                 return self._tidy(touched)
             except Conflict:
                 if again + 1 == tries:
@@ -315,7 +319,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What runs within leaves no shuffle files behind when it has ended; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SWEEP, before) if before is not None else spark.conf.unset(SWEEP)
+
+
 def staged(df: DataFrame, folder: str) -> DataFrame:
     """``df`` written as Parquet and read again: what is read several times is worked out once, and lost executors cost nothing."""
-    df.write.parquet(folder)
+    with swept(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -200,3 +200,67 @@ def test_entries_without_moods(spark, tmp_path):
             assert rows(of(spark, str(top), moods=False)) == rows(of(spark, str(top)).drop("mood"))
     assert Q.doc_entries(spark, str(tmp_path), moods=False).count() == 6
     assert "Join" not in Q.line_chunks(spark, str(tmp_path / "few"), moods=False)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks():
+    """Postings as bytes, against plain sets and counts; a block has so many bytes of text, or one text."""
+    import pyarrow as pa
+
+    from lumenfold.functions import blocks
+
+    values, starts = np.array([0, 254, 255, 256, 5, 1000, 510]), np.array([0, 3, 4])
+    assert [blocks.unpacked(x).tolist() for x in blocks.packed(values, starts).to_pylist()] == [[0, 254, 255], [256], [5, 1000, 510]]
+    texts = ["it's a sea, a sea", "", "ünder abcé abc\tabd", "no", "sea\x01sea", "x" * 2000 + " sea sea"] * 120
+    for find, plain in ((blocks.words, lambda t: re.findall("[a-z']+", t)), (blocks.grams, lambda t: re.findall(r"(?=([\x09-\x7E]{3}))", t))):
+        terms, starts, spots, times = find(pa.array(["zz", *texts], pa.string()).slice(1))
+        ends = [*starts[1:], len(spots)]
+        got = {t: spots[a:b].tolist() for t, a, b in zip(terms.to_pylist(), starts, ends)}
+        own = [plain(t) for t in texts]
+        assert len(got) == len(terms) and got == {t: [i for i, x in enumerate(own) if t in x] for x in own[:6] for t in x}
+        if len(times):
+            assert times.tolist() == [own[i].count(t) for t, some in got.items() for i in some]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, "b" * 90, "c" * 500, "d", "e"])], ["text"])
+    assert [len(x) for x in blocks._blocks(batch, 100)] == [2, 1, 2]
+    assert all(len(x[0]) == 0 for x in (blocks.words(pa.array([""], pa.string())), blocks.grams(pa.array(["", ""], pa.string()))))
+
+
+def test_index_of_patterns_is_small(spark, tmp_path):
+    """Both indexes take less than the texts, no term meets its texts as rows, and what a first round writes is not written again to be split."""
+    import os
+
+    from lumenfold.plans.follow import Index
+
+    rng = np.random.default_rng(1)
+    known = ["".join(rng.choice(list("etaoinsh"), rng.integers(2, 8))) for _ in range(3000)]
+    rows = [(f"e{i}::0", f"e{i}", "2020-01-01", "s", " ".join(rng.choice(known, 300))) for i in range(1000)]
+    store = Snapshots(spark, str(tmp_path / "s"), "id string, entry_id string, date string, source string, text string", most=300)
+    store.write(spark.createDataFrame(rows, store.schema), rows=len(rows))
+    assert store.state().buckets == 4 and store.state().n == 1 and store.state().rows() == 1000
+    store.replace(spark.createDataFrame(rows[:10], store.schema))
+    assert sorted(r.id for r in store.read().collect()) == sorted(r[0] for r in rows)
+    size = lambda top: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top) for f in names)
+    for kind in (Grams, Index):
+        found = kind(spark, str(tmp_path / kind.__name__), most=40)
+        found.follow(store)
+        state = found.postings.state()
+        assert state.n == 1 and state.buckets > 1  # one commit, no split
+        assert size(tmp_path / kind.__name__) < 1.2 * sum(len(r[-1]) for r in rows)
+
+
+def test_write_with_other_buckets_is_a_conflict(spark, tmp_path):
+    """Rows dealt out for the buckets before a write that made more are dealt out again."""
+    schema = "entry_id string, n int"
+    rows = lambda a, b: spark.createDataFrame([(f"e{i}", i) for i in range(a, b)], schema)
+    store, other = (Snapshots(spark, str(tmp_path / "s"), schema, most=10) for _ in range(2))
+    store.append(rows(0, 5))
+    calls = []
+
+    def change(_):
+        calls.append(1)
+        if len(calls) == 1:
+            other.write(rows(100, 180), rows=80)
+        return rows(200, 205), rows(200, 205)
+
+    store._change(lambda state: change(state), None)
+    assert len(calls) == 2 and sorted(r.n for r in store.read().collect()) == [*range(100, 180), *range(200, 205)]
+    assert sorted(r.n for r in store.of(rows(100, 180).union(rows(200, 205))).collect()) == [*range(100, 180), *range(200, 205)]
