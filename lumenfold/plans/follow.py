@@ -117,7 +117,7 @@ class Index(Inverted):
         return dict(zip(("chunks", "words", "entries"), sums)) | {"lengths": self.lengths.state().n}
 
     def _whole(self, chunks: DataFrame, n: int) -> dict:
-        self.postings.write(self._postings(chunks, n), rows=_bytes(chunks, "text") // 75)  # blocks have about a row for so many bytes
+        self.postings.write(self._postings(chunks, n), rows=_bytes(chunks, "text") // 45)  # blocks have a row for about 63 bytes; the rest is room for what comes
         lengths = self.lengths.stage(retrieval.lengths(chunks, "id", "entry_id"))
         sums = self._sums(lengths)
         self.lengths.write(lengths, rows=sums[0])
